@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bytes of text that one numpy pass holds at once; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -17,6 +19,10 @@ SEPARATOR[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Unicode white space.
+BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+BLANK, LETTER, NUMBER, OTHER = range(4)
+
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -31,10 +37,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def point_classes() -> np.ndarray:
+    """Class of each code point: white space, letter, number or other."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, what in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(what, everything):
+            a, b = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))
+            out[a : b + 1] = kind
+    out[BLANKS] = BLANK
+    return out
+
+
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0, 1, ... n - 1, kept up to the usual length."""
+    out = _known_powers.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(n, PASS_BYTES + (1 << 16)), np.uint64(base), np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n <= PASS_BYTES + (1 << 16):
+            _known_powers[base] = out
+    return out[:n]
 
 
 def passes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,9 +84,17 @@ def passes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row += n
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that are no part of a run of letters: ASCII but for A-Z and a-z.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Bytes that end a sentence.
+STOP = np.zeros(256, bool)
+STOP[[10, 33, 46, 63]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of its first word for each text (one more at the end)."""
-    gap = SEPARATOR[data]
+    gap = separator[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     return starts, ends, np.searchsorted(starts, offsets)
@@ -72,6 +108,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((run[ends] - run[starts]) * _powers(_INVERSE, n + 1)[starts])
 
 
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of an array of unsigned integers."""
+    n = len(values)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum((values + np.uint64(0x2545F491)) * _powers(_ODD, n), out=run[1:])
+    return mix((run[ends] - run[starts]) * _powers(_INVERSE, n + 1)[starts])
+
+
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of every run of `width` words; a text with fewer words gives all of them as one."""
     count = np.diff(first)
