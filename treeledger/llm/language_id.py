@@ -13,7 +13,7 @@ so repeats change nothing. Other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,10 @@ LEXICON, BUCKETS = 400, 1 << 15
 #: Affixes and n-grams are of the first and last so many letters of a word.
 WIDTH = 14
 EPOCHS, RATE, RIDGE, WINDOW = 30, 0.15, 1e-6, 64
+#: A task forgets the emissions of words beyond so many.
+REMEMBERED = 1_000_000
+#: Words of a segment that runs beside the other segments of its text.
+SEGMENT = 128
 #: Code points that are turned into words at once; words that are labelled at once (a longer text is labelled alone).
 PASS, TOGETHER = 2_000_000, 3_000_000
 UNKNOWN = "und"
@@ -41,6 +45,23 @@ class Model:
     state: np.ndarray  # BUCKETS + 1 + len(lexicon) + 1 rows, one column a label; the last rows of both parts are 0
     step: np.ndarray  # transitions, exponentiated
     start: np.ndarray
+    #: words met so far, and their emissions
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    rows: np.ndarray | None = None
+
+    def emissions(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of distinct words, whose keys ascend."""
+        at = np.searchsorted(self.known, keys)
+        new = np.flatnonzero(np.append(self.known, 0)[at] != keys) if len(self.known) else np.arange(len(keys))
+        made = _emissions(self.state, _features(points, starts[new], ends[new]), _place(self.lexicon, keys[new]))
+        if self.rows is None or len(self.known) + len(new) > REMEMBERED:
+            self.known, self.rows = np.zeros(0, np.uint64), np.zeros((0, len(self.labels)), made.dtype)
+            if len(new) < len(keys):
+                return self.emissions(keys, points, starts, ends)
+        both = np.concatenate((self.known, keys[new]))
+        order = np.argsort(both, kind="stable")
+        self.known, self.rows = both[order], np.concatenate((self.rows, made))[order]
+        return self.rows[np.searchsorted(self.known, keys)]
 
 
 def _words(texts: list[str]):
@@ -93,37 +114,74 @@ def _place(lexicon: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(lexicon[at] == keys, at, len(lexicon))
 
 
-def _marginals(emission: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray):
-    """Forward-backward over sequences that lie end to end. Returns the posterior of each word, and of each
-    pair of labels summed over all neighbours. All sequences advance together, the longest first."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def _marginals(e: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray, end: np.ndarray, with_pairs: bool = False):
+    """Forward-backward over sequences that lie end to end, all at the same step together, the longest first.
+
+    start and end: what comes in from the left and from the right of each sequence. Returns the posterior of each
+    word and, if asked for, of each pair of labels summed over all neighbours.
+    """
     order = np.argsort(-length, kind="stable")
     first = (np.cumsum(length) - length)[order]
     sorted_length = length[order]
+    start, end = start[order], end[order]
     steps = int(sorted_length[0]) if len(length) else 0
     active = np.searchsorted(-sorted_length, -np.arange(steps), side="left")
-    e = np.exp(emission - emission.max(axis=1, keepdims=True))
-    alpha = np.empty_like(e)
+    post = np.empty_like(e)
     for t in range(steps):
         at = first[: active[t]] + t
-        a = (alpha[at - 1] @ step if t else start) * e[at]
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
+        post[at] = _scaled((post[at - 1] @ step if t else start) * e[at])
     pairs = np.zeros_like(step)
-    beta = np.ones((len(length), e.shape[1]), e.dtype)
-    post = alpha
+    beta = end.copy()
     for t in range(steps - 1, -1, -1):
         at = first[: active[t]] + t
         b = beta[: active[t]]
-        before = alpha[at - 1].copy() if t else None
-        p = alpha[at] * b
-        post[at] = p / p.sum(axis=1, keepdims=True)
+        post[at] *= b
         if t:
-            right = e[at] * b
-            right /= right.sum(axis=1, keepdims=True)
-            total = ((before @ step) * right).sum(axis=1, keepdims=True)
-            pairs += step * (before.T @ (right / total))
-            b = right @ step.T
-            beta[: active[t]] = b / b.sum(axis=1, keepdims=True)
-    return post, pairs
+            right = _scaled(e[at] * b)
+            if with_pairs:
+                before = post[at - 1]
+                pairs += step * (before.T @ (right / ((before @ step) * right).sum(axis=1, keepdims=True)))
+            beta[: active[t]] = right @ step.T
+    return _scaled(post), pairs
+
+
+def _posteriors(emission: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posterior of each word of whole texts (length: their words, none 0).
+
+    A long text is cut into segments that exchange exact messages: a segment's words multiply to one matrix, the
+    few matrices of a text are passed along, and then all segments run side by side.
+    """
+    k = emission.shape[1]
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    parts = -(-length // SEGMENT)
+    text = np.repeat(np.arange(len(length)), parts)
+    number = np.arange(len(text)) - (np.cumsum(parts) - parts)[text]
+    size = np.minimum(SEGMENT, length[text] - number * SEGMENT)
+    left = np.tile(start, (len(text), 1)).astype(e.dtype)
+    right = np.ones_like(left)
+    if (parts > 1).any():
+        long = np.flatnonzero(parts[text] > 1)
+        begin, n = (np.cumsum(size) - size)[long], size[long]
+        product = np.zeros((len(long), k, k), e.dtype)
+        product[:] = np.eye(k)
+        product *= e[begin][:, None, :]
+        for t in range(1, int(n.max())):
+            on = np.flatnonzero(n > t)
+            p = (product[on] @ step) * e[begin[on] + t][:, None, :]
+            product[on] = p / p.sum(axis=(1, 2), keepdims=True)
+        place = np.full(len(text) + 1, -1)
+        place[long] = np.arange(len(long))
+        for i in range(int(parts.max()) - 1):
+            at = np.flatnonzero((number == i) & (parts[text] > i + 1))
+            left[at + 1] = _scaled(np.einsum("ni,nij->nj", left[at], product[place[at]])) @ step
+        for i in range(int(parts.max()) - 1, 0, -1):
+            at = np.flatnonzero(number == i)
+            right[at - 1] = _scaled(np.einsum("nij,nj->ni", product[place[at]], right[at])) @ step.T
+    return _marginals(e, size, step, left, right)[0]
 
 
 def fit(texts: list[str], langs: list[str]) -> Model | None:
@@ -151,7 +209,10 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     squares = [np.full_like(w, 1e-8) for w in weights]
     flat = features.ravel()
     for _ in range(EPOCHS if len(gold) else 0):
-        post, pairs = _marginals(_emissions(weights[0], features, place)[which], length, np.exp(weights[1]), np.exp(weights[2]))
+        emission = _emissions(weights[0], features, place)
+        e = np.exp(emission - emission.max(axis=1, keepdims=True))[which]
+        start = np.tile(np.exp(weights[2]), (len(length), 1))
+        post, pairs = _marginals(e, length, np.exp(weights[1]), start, np.ones_like(start), with_pairs=True)
         rest = hot - post
         grad = [np.zeros((rows, k)), pair_gold - pairs, rest[first].sum(axis=0)]
         for j in range(k):
@@ -175,14 +236,14 @@ def label(model: Model, texts: list[str]) -> np.ndarray:
         n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PASS, side="right")) - at)
         points, starts, ends, count = _words(texts[at : at + n])
         keys, where, which = np.unique(spans_hash(points, starts, ends), return_index=True, return_inverse=True)
-        emission.append(_emissions(model.state, _features(points, starts[where], ends[where]), _place(model.lexicon, keys))[which])
+        emission.append(model.emissions(keys, points, starts[where], ends[where])[which])
         counts.append(count)
         at += n
         if at == len(texts) or sum(map(len, emission)) > TOGETHER:
             length = np.concatenate(counts)
             has = length > 0
             if has.any():
-                post, _ = _marginals(np.concatenate(emission), length[has], model.step, model.start)
+                post = _posteriors(np.concatenate(emission), length[has], model.step, model.start)
                 out[begin:at][has] = np.add.reduceat(post.astype(np.float64), (np.cumsum(length) - length)[has], axis=0)
             emission, counts, begin = [], [], at
     return out
@@ -209,7 +270,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     order = F.xxhash64("doc_id", F.lit("language"))
     many = rows.groupBy("lang").count()
     # about twice the sample of each language passes by its hash, so no language is ranked whole
-    some = rows.join(many, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.col("count") * 0 + F.lit(2_000_006.0 * sample + 20e6) / F.col("count"))
+    some = rows.join(many, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.lit(2_000_006.0 * sample + 20e6) / F.col("count"))
     ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("n") <= sample)
     found = ranked.select("lang", "n", "text").toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
     return fit(found["text"].to_pylist(), found["lang"].to_pylist())

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.llm.components import components
@@ -28,7 +28,9 @@ from treeledger.llm.text import distinct_per_text, mix, passes, shingle_hashes,
 BANDS, ROWS = 36, 5
 #: Percent of the union that the intersection of linked sets has at least.
 PERCENT = 80
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+#: Leaders of a bucket in the second round; eight times as many in each later one.
+LEADERS = 4
+_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
 def _permute(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -78,11 +80,14 @@ def _sign(width: int, bands: int, rows: int):
                         for r in range(rows):
                             acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[b * rows + r])
                         keys[:, b] = acc
+                    low = np.ascontiguousarray(sig.T).astype(np.uint8)
+                sketch = np.full(len(size), None, object)
+                sketch[has] = [x.tobytes() for x in low] if len(has) else []
                 offsets = np.zeros(len(size) + 1, np.int32)
                 offsets[1:] = np.cumsum(np.where(size > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(size)), pa.array(size.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(row, len(size)), pa.array(size.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
     return run
@@ -97,8 +102,28 @@ def _full_sets(width: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are alike enough."""
+def _promising(least: float):
+    """Pairs whose signatures agree often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+    return run
+
+
+def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, percent: int, coordinates: int) -> DataFrame:
+    """Those of pairs (a, b) whose full shingle sets are alike enough.
+
+    Signatures that agree six standard deviations too seldom for that (a chance of 1e-9 at the threshold) spare
+    the reading of their texts.
+    """
+    share = percent / 100
+    least = share - 6 * (share * (1 - share) / coordinates) ** 0.5
+    near = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = stage(near.select("a", "b", "x", "y").mapInArrow(_promising(least), "a long, b long").distinct(), "pairs")
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = stage(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -111,45 +136,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
 
     docs has doc_id and text. Equal sets become one class; a class meets the others of its bucket
     through the bucket's leader, so a bucket of m classes gives m - 1 pairs, not m * m.
-    What the leaders leave in different components of a bucket is compared too: by
-    further leaders while that is much, then all of it.
+    What the leaders leave in different components of a bucket is compared too: with
+    more leaders each round while that is much, then all of it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(_sign(width, bands, rows), _SIGNATURE), "signed")
     same_set = ["set_a", "set_b", "n_shingles"]
     has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = stage(signed.where(has_set).groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = stage(signed.join(classes, same_set).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct(), "keyed")
+    reps = signed.join(classes, same_set).where("doc_id = rep")
+    sketches = stage(reps.select("rep", "sketch").dropDuplicates(["rep"]), "sketches")
+    keyed = stage(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct(), "keyed")
+    verified = lambda pairs: _verified(docs, sketches, pairs, width, percent, bands * rows)
+    may = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("leader")).where("m > 1")
     members = stage(keyed.join(shared, "key").where("rep <> leader.rep").select("key", "rep", "n", "leader"), "members")
-    may = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    pairs = members.where(may("leader.n", "n")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(docs, stage(pairs, "pairs"), width, percent)
-    enough = max(100_000, classes.count())
+    links = verified(members.where(may("leader.n", "n")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct())
     left = members.select("key", "rep", "n")
+    few, leaders = max(100_000, classes.count() // 4), LEADERS
     found = stage(components(links), "found")
     while True:
         own = left.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
         mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        left = stage(own.join(mixed, "key"), "left")
+        left = stage(own.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))), "left")
         counted = left.groupBy("key", "c").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
         total = counted.agg(F.sum("p")).first()[0]
         if not total:
             break
-        if total <= enough:
-            other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = left.withColumnRenamed("rep", "a").join(other, "key").where(F.col("c") < F.col("c2"))
-        else:
-            sizes = left.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("first"))
-            lead = sizes.groupBy("key").agg(F.min(F.struct("m", "c", "first")).alias("l")).select("key", F.col("l.first.rep").alias("b"), F.col("l.first.n").alias("n2"), F.col("l.c").alias("c2"))
-            left = stage(left.join(lead, "key").where("rep <> b"), "left")
-            pairs = left.withColumnRenamed("rep", "a").where("c <> c2")
-            left = left.select("key", "rep", "n")
-        pairs = stage(pairs.where(may("n", "n2")).select("a", "b").distinct(), "pairs")
-        links = stage(links.unionByName(_verified(docs, pairs, width, percent)), "links")
+        lead = (left if total <= few else left.where(F.col("rank") <= leaders)).select("key", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("rank").alias("rank2"))
+        pairs = left.join(lead, "key").where((F.col("rank") > F.col("rank2")) & (F.col("c") != F.col("c2")) & may("n", "n2"))
+        links = stage(links.unionByName(verified(pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())), "links")
         found = stage(components(links), "found")
-        if total <= enough:
+        if total <= few:
             break
+        left = left.where(F.col("rank") > leaders).select("key", "rep", "n")
+        leaders *= 8
     top = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*same_set, F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", *same_set).join(top, same_set, "left")
     component = F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id"))
