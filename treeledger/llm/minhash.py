@@ -175,3 +175,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     out = signed.select("doc_id", *same_set).join(top, same_set, "left")
     component = F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def unique_documents(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, whole, that near_duplicates() keeps."""
+    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(small(stage(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.language_id import languages
 from treeledger.llm.minhash import near_duplicates
+from treeledger.llm.mixing import mixed
+from treeledger.llm.packing import packed
+from treeledger.llm.repeats import deduplicated
 from treeledger.llm.token_counts import token_counts
 from treeledger.llm.toxicity import toxicity
 
@@ -21,6 +25,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
@@ -37,11 +45,27 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_repeats": op2_repeats,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
-    "op6_tokens": op6_tokens,
     "op5_minhash": op5_minhash,
+    "op6_tokens": op6_tokens,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_mixing": op8_mixing,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
