@@ -28,8 +28,8 @@ from treeledger.llm.text import distinct_per_text, mix, passes, shingle_hashes,
 BANDS, ROWS = 36, 5
 #: Percent of the union that the intersection of linked sets has at least.
 PERCENT = 80
-#: Leaders of a bucket in the second round; eight times as many in each later one.
-LEADERS = 4
+#: Leaders of a bucket in the second round; four times as many in each later one.
+LEADERS = 1
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -158,7 +158,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     while True:
         own = left.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
         mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        left = stage(own.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))), "left")
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+        own = own.join(mixed, "key").join(degree, "rep", "left")
+        # what has most links so far is the best to compare with
+        best = Window.partitionBy("key").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("rep"), "rep")
+        left = stage(own.select("key", "rep", "n", "c", F.row_number().over(best).alias("rank")), "left")
         counted = left.groupBy("key", "c").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
         total = counted.agg(F.sum("p")).first()[0]
         if not total:
@@ -170,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
         if total <= few:
             break
         left = left.where(F.col("rank") > leaders).select("key", "rep", "n")
-        leaders *= 8
+        leaders *= 4
     top = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*same_set, F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", *same_set).join(top, same_set, "left")
     component = F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id"))

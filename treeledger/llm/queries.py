@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeledger.llm.embedding_dedup import similar_vectors
 from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.language_id import languages
+from treeledger.llm.lm_scoring import language_model_scores
 from treeledger.llm.minhash import near_duplicates
 from treeledger.llm.mixing import mixed
 from treeledger.llm.packing import packed
@@ -25,6 +27,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_repeats": op2_repeats,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
@@ -66,6 +77,7 @@ QUERIES = {
     "op7_fingerprint": op7_fingerprint,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
