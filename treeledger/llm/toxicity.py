@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from treeledger.llm.text import NO_LETTER, STOP, passes, word_hashes, words
 
 #: At most so many labelled documents of each kind are fitted on; their kinds are weighted back to all labelled rows.
-SAMPLE = 3000
+SAMPLE = 1500
 AFFIX = 4
 #: Features the model keeps: those that tell the kinds apart best and occur in MIN_DOCS sampled documents.
 VOCABULARY, MIN_DOCS = 2000, 5
@@ -64,8 +64,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model | None:
         n += len(d)
     hashes, sentence, doc = np.concatenate(hashes), np.concatenate(sentence), np.concatenate(doc)
     keys, inverse = np.unique(hashes, return_inverse=True)
+    del hashes
+    inverse, sentence = inverse.astype(np.int32), sentence.astype(np.int32)
     pair = np.unique(inverse.astype(np.int64) * len(toxic) + doc[sentence])
     word, of = pair // len(toxic), pair % len(toxic)
+    del pair
     seen = np.bincount(word, minlength=len(keys))
     bad = np.bincount(word, weights=toxic[of], minlength=len(keys))
     p, q = (bad + 0.5) / (toxic.sum() + 1), (seen - bad + 0.5) / ((1 - toxic).sum() + 1)
@@ -74,7 +77,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model | None:
     place = np.full(len(keys), -1)
     place[chosen] = np.arange(len(chosen))
     use = place[inverse] >= 0
-    col, at = place[inverse][use], sentence[use]
+    col, at = place[inverse[use]], sentence[use]
+    del use, inverse, sentence, word, of
     w, b = np.zeros(len(chosen) + 1), -3.0
     m, v = np.zeros(len(w)), np.zeros(len(w))
     w[-1] = b
