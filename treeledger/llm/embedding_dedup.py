@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.llm.cells import in_cells, runs, sides
 from treeledger.llm.components import components
 from treeledger.llm.staging import small, stage
 from treeledger.llm.text import mix
@@ -130,9 +131,7 @@ def _compare(codes: Codes):
         turns = known[x.shape[1]]
         bits = np.frombuffer(b"".join(cell["bits"].to_pylist()), np.uint8).reshape(len(x), codes.rotations, -1)
         corrections = np.frombuffer(b"".join(cell["corrections"].to_pylist()), np.float32).reshape(len(x), -1)
-        block, i, j = np.asarray(cell["block"]), cell["i"][0].as_py(), cell["j"][0].as_py()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
+        left, right = sides(cell)
         if not len(left) or not len(right):
             return None
         a, b = _linked(codes, x, bits, corrections, turns, left, right, cell["band"][0].as_py())
@@ -142,18 +141,10 @@ def _compare(codes: Codes):
         return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(many[a]), pa.array(many[b])], names=["a", "b", "many_a", "many_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, {}
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            cell = np.stack([np.asarray(table[c]) for c in ("key", "i", "j")])
-            first = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0))[: table.num_rows])
-            for s, e in zip(first[:-1], first[1:], strict=True):
-                if e - s > 1 and (out := pairs(table.slice(s, e - s), known)):
-                    yield out
-            held = table.slice(first[-1]).combine_chunks() if len(first) else None
-        if held is not None and held.num_rows > 1 and (out := pairs(held, known)):
-            yield out
+        known = {}
+        for cell in runs(batches, "key", "i", "j"):
+            if cell.num_rows > 1 and (out := pairs(cell, known)):
+                yield out
 
     return run
 
@@ -171,11 +162,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     coded = stage(classes.select("rep", F.xxhash64("label").alias("same"), "embedding").mapInArrow(_coded(codes), "rep long, bits binary, corrections binary, keys array<long>"), "coded")
     keyed = coded.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    # a block meets itself and each other block once: as i where the other comes later, as j where it came before
-    met = met.select("key", "band", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "band", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = in_cells(keyed.join(shared, "key"), "key", "rep", F.col("n"), block).drop("n")
     full = met.join(coded.select("rep", "bits", "corrections").join(classes.select("rep", "embedding", "many"), "rep"), "rep")
     cells = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = stage(cells.select("key", "i", "j", "band", "block", "rep", "bits", "corrections", "embedding", "many").mapInArrow(_compare(codes), "a long, b long, many_a long, many_b long"), "links")

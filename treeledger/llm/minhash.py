@@ -18,9 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.llm.cells import in_cells, runs, sides
 from treeledger.llm.components import components
 from treeledger.llm.staging import small, stage
 from treeledger.llm.text import distinct_per_text, mix, passes, shingle_hashes, word_hashes, words
@@ -28,8 +29,10 @@ from treeledger.llm.text import distinct_per_text, mix, passes, shingle_hashes,
 BANDS, ROWS = 36, 5
 #: Percent of the union that the intersection of linked sets has at least.
 PERCENT = 80
-#: Leaders of a bucket in the second round; four times as many in each later one.
-LEADERS = 1
+#: A bucket of at most so many classes that are still apart is compared pair by pair; members of a block otherwise.
+SMALL, BLOCK = 16, 256
+#: Shingles whose incidence a block's matrix holds at once.
+COLUMNS = 8192
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -131,13 +134,63 @@ def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int
     return stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "linked")
 
 
+def _cell_links(percent: int):
+    """Rows of cells (rep, c, keys, shingles) -> links between components c of reps that share a key, by the sizes of
+    all common sets of two blocks at once: products of their shingles' incidence matrices."""
+
+    def matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, value number) of each list entry, for values that several rows have."""
+        value = np.asarray(lists.flatten())
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        _, number, many = np.unique(value, return_inverse=True, return_counts=True)
+        use = many[number] > 1
+        return row[use], np.unique(number[use], return_inverse=True)[1]
+
+    def common(row: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(number, kind="stable")
+        row, number = row[order], number[order]
+        top = int(number[-1]) + 1 if len(number) else 0
+        for a in range(0, top, COLUMNS):
+            s, e = np.searchsorted(number, [a, a + COLUMNS])
+            x = np.zeros((n, min(COLUMNS, top - a)), np.float32)
+            x[row[s:e], number[s:e] - a] = 1
+            out += x[left] @ x[right].T
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches, "g", "i", "j"):
+            left, right = sides(cell)
+            if cell.num_rows < 2 or not len(left) or not len(right):
+                continue
+            rep, c, size = (np.asarray(cell[x]) for x in ("rep", "c", "n"))
+            least, most = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+            may = (c[left][:, None] != c[right][None, :]) & (100 * least >= percent * most)
+            if left is right:
+                may = np.triu(may, 1)
+            if may.any():
+                may &= common(*matrix(cell["keys"].combine_chunks()), left, right, cell.num_rows) > 0
+            if may.any():
+                both = common(*matrix(cell["shingles"].combine_chunks()), left, right, cell.num_rows).astype(np.int64)
+                a, b = np.nonzero(may & (100 * both >= percent * (least + most - both)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[left[a]], rep[right[b]])), pa.array(np.maximum(rep[left[a]], rep[right[b]]))], names=["a", "b"])
+
+    return run
+
+
+def _mixed(left: DataFrame, links: DataFrame) -> DataFrame:
+    """Of (key, rep, n): the buckets that hold several components of the links, with c and m (rows of the bucket)."""
+    own = left.join(components(links).withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
+    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
+    return stage(own.join(mixed, "key"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id), kept.
 
-    docs has doc_id and text. Equal sets become one class; a class meets the others of its bucket
-    through the bucket's leader, so a bucket of m classes gives m - 1 pairs, not m * m.
-    What the leaders leave in different components of a bucket is compared too: with
-    more leaders each round while that is much, then all of it.
+    docs has doc_id and text. Equal sets become one class. The classes of a bucket meet its first member, then its
+    member with most links: 2 * (m - 1) pairs for a bucket of m. Whatever is in different components of a bucket after
+    that is compared as well: small buckets pair by pair, large ones in cells of two blocks that give only links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(_sign(width, bands, rows), _SIGNATURE), "signed")
@@ -152,29 +205,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("leader")).where("m > 1")
     members = stage(keyed.join(shared, "key").where("rep <> leader.rep").select("key", "rep", "n", "leader"), "members")
     links = verified(members.where(may("leader.n", "n")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    left = members.select("key", "rep", "n")
-    few, leaders = max(100_000, classes.count() // 4), LEADERS
-    found = stage(components(links), "found")
-    while True:
-        own = left.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
-        mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        own = own.join(mixed, "key").join(degree, "rep", "left")
-        # what has most links so far is the best to compare with
-        best = Window.partitionBy("key").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("rep"), "rep")
-        left = stage(own.select("key", "rep", "n", "c", F.row_number().over(best).alias("rank")), "left")
-        counted = left.groupBy("key", "c").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
-        total = counted.agg(F.sum("p")).first()[0]
-        if not total:
-            break
-        lead = (left if total <= few else left.where(F.col("rank") <= leaders)).select("key", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("rank").alias("rank2"))
-        pairs = left.join(lead, "key").where((F.col("rank") > F.col("rank2")) & (F.col("c") != F.col("c2")) & may("n", "n2"))
-        links = stage(links.unionByName(verified(pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct())), "links")
-        found = stage(components(links), "found")
-        if total <= few:
-            break
-        left = left.where(F.col("rank") > leaders).select("key", "rep", "n")
-        leaders *= 4
+
+    left = _mixed(members.select("key", "rep", "n"), links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    known = left.join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    best = known.groupBy("key").agg(F.max(F.struct("degree", "rep", "n", "c")).alias("best"))
+    pairs = left.join(best, "key").where((F.col("c") != F.col("best.c")) & may("n", "best.n"))
+    links = stage(links.unionByName(verified(pairs.select(F.least("rep", "best.rep").alias("a"), F.greatest("rep", "best.rep").alias("b")).distinct())), "links")
+
+    left = _mixed(left.select("key", "rep", "n"), links)
+    few = left.where(F.col("m") <= SMALL)
+    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    pairs = few.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & may("n", "n2"))
+    links = stage(links.unionByName(verified(pairs.select("a", "b").distinct())), "links")
+
+    left = _mixed(left.select("key", "rep", "n"), links).where(F.col("m") > SMALL)
+    firsts = left.groupBy("key").agg(F.min("rep").alias("b"))
+    near = components(left.join(firsts, "key").select(F.col("rep").alias("a"), "b").distinct())
+    members = left.groupBy("rep", "n", "c").agg(F.collect_set("key").alias("keys")).join(near, F.col("rep") == F.col("vertex")).withColumnRenamed("component_id", "g").drop("vertex")
+    members = stage(members, "crowded")
+    sets = docs.join(small(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, shingles array<long>")
+    # of rows that share a doc_id each text is compared: the set's own size counts
+    full = members.drop("n").join(sets, F.col("rep") == F.col("doc_id")).withColumn("n", F.size("shingles").cast("long"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    cells = in_cells(full.join(sizes, "g"), "g", "rep", F.col("size"), BLOCK).select("g", "i", "j", "block", "rep", "c", "n", "keys", "shingles")
+    crowded = cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_cell_links(percent), "a long, b long")
+    found = components(stage(links.unionByName(crowded), "links"))
+
     top = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*same_set, F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", *same_set).join(top, same_set, "left")
     component = F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id"))
