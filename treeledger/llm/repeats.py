@@ -28,7 +28,7 @@ from treeledger.llm.text import mix, passes, spans_hash
 
 LENGTH, SEED = 50, 16
 #: Text of the corpus for each partition of minimisers.
-PARTITION_BYTES = 14_000_000
+PARTITION_BYTES = 5_000_000
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
