@@ -390,7 +390,7 @@ def record_rendering(spark, d):
     return rows.select("o_orderkey", records.as_json("plan", "files", "status").alias("json"), records.as_line("PLAN", "files", "status").alias("line"))
 
 
-@query("""SELECT o_custkey, least(sum(greatest(cast(round(o_totalprice) AS HUGEINT) * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 10000000000000 END, 0)), 18446744073709551615)::DECIMAL(20, 0) AS total FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, least(sum(greatest(cast(round(o_totalprice) AS HUGEINT) * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 10000000000000 END, 0)), 18446744073709551615)::DECIMAL(20, 0)::VARCHAR AS total FROM orders GROUP BY 1""")
 def saturating_totals(spark, d):
     x = F.round("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(10**13)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(totals.saturating_sum(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(x)).alias("total"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(totals.saturating_sum(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(x)).cast("string").alias("total"))
