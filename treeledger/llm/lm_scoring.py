@@ -29,10 +29,10 @@ from treeledger.llm.staging import stage
 from treeledger.llm.text import mix, passes, word_hashes, words
 
 ALPHA, MIN_COUNT = 0.4, 2
-#: Bigram occurrences of a partition, and words of a partition of the unigram table.
-PARTITION_WORDS, PARTITION_TYPES = 2_500_000, 1_000_000
-#: Bytes of text whose bigrams are gathered before they are sent.
-FLUSH_BYTES = 8_000_000
+#: Bigram occurrences of a partition, words of a partition of the unigram table, documents whose sums travel together.
+PARTITION_WORDS, PARTITION_TYPES, SHARD_DOCS = 1_200_000, 200_000, 4000
+#: Bytes of text whose words or bigrams are gathered before they are sent.
+FLUSH_BYTES = 4_000_000
 _END = np.uint64(0)
 
 
@@ -66,17 +66,28 @@ def _hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(held: list) -> pa.RecordBatch:
+        word, count = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "count"])
+
     for batch in batches:
-        all_ = [h for h, _, _ in _hashes(batch.column(0))]
-        word, count = np.unique(np.concatenate(all_) if all_ else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "count"])
+        held, size = [], 0
+        for h, _, n in _hashes(batch.column(0)):
+            held.append(h)
+            size += n
+            if size > FLUSH_BYTES:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
 
 class Layout:
     """How words and bigrams are numbered and dealt."""
 
-    def __init__(self, total: int, types: int, heavy: dict[int, int]) -> None:
+    def __init__(self, total: int, types: int, docs: int, heavy: dict[int, int]) -> None:
         self.total = total
+        self.shards = max(1, math.ceil(docs / SHARD_DOCS))
         self.parts = max(8, math.ceil(total / PARTITION_WORDS))
         self.tables = max(1, math.ceil(types / PARTITION_TYPES))
         self.words = np.array(sorted(heavy), np.uint64)
@@ -94,6 +105,15 @@ class Layout:
         return ((h & np.uint64(0xFFFFFF)) % np.uint64(self.tables)).astype(np.int64)
 
 
+def _sums(layout: Layout, ids: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """(shard, none of a table, no word, sums, ids) of distinct ids, a row a shard."""
+    shard = (mix(ids.view(np.uint64)) % np.uint64(layout.shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, ids, value = shard[order], ids[order], value[order]
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return [(int(shard[a]), -1, None, value[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(first, [*first[1:], len(ids)], strict=False)]
+
+
 _SENT = "part long, first binary, pairs binary, second binary, place binary, many binary, doc binary, ids binary"
 
 
@@ -145,7 +165,8 @@ def _send(layout: Layout):
     return run
 
 
-_SCORED = "doc_id long, score double, place long, word binary, many binary, ids binary"
+_SCORED = "shard long, place long, word binary, many binary, ids binary"
+_NAMES = ["shard", "place", "word", "many", "ids"]
 
 
 def _score(layout: Layout, min_count: int):
@@ -179,7 +200,7 @@ def _score(layout: Layout, min_count: int):
         value = np.where(kept, np.log(np.maximum(together, 1)) - np.log(np.maximum(alone[at], 1)), 0.0) + np.where(back & (a != end), math.log(ALPHA), 0.0)
         value, occurrence = np.repeat(value, many), np.repeat(back, many)
         ids, which = np.unique(doc, return_inverse=True)
-        out = [pd.DataFrame({"doc_id": ids, "score": np.bincount(which, weights=value, minlength=len(ids)), "place": -1, "word": None, "many": None, "ids": None})]
+        out = _sums(layout, ids, np.bincount(which, weights=value, minlength=len(ids)))
         if back.any():
             word, table, n, doc = b[back], place[back], many[back], doc[occurrence]
             item = np.repeat(np.arange(len(word)), n)
@@ -189,36 +210,41 @@ def _score(layout: Layout, min_count: int):
                 s, e = np.searchsorted(table, [t, t + 1])
                 own = word[s:e]
                 new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                out.append(pd.DataFrame({"doc_id": [None], "score": [None], "place": [t], "word": [_five(own[new])], "many": [np.diff(np.append(new, e - s)).astype(np.uint32).tobytes()], "ids": [doc[s:e].tobytes()]}))
-        return pd.concat([o.astype({"doc_id": "Int64", "score": "Float64"}) for o in out], ignore_index=True)
+                out.append((-1, t, _five(own[new]), np.diff(np.append(new, e - s)).astype(np.uint32).tobytes(), doc[s:e].tobytes()))
+        return pd.DataFrame(out, columns=_NAMES)
 
     return run
 
 
-def _back_off(total: int):
-    """One table's words (many null: ids hold the counts) and those who ask for them -> score of each document."""
+def _back_off(layout: Layout):
+    """One table's words (many null: ids hold the counts) and those who ask for them -> sums of documents."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         is_table = frame["many"].isna()
         word = np.concatenate([_from_five(b) for b in frame.loc[is_table, "word"]])
         count = np.concatenate([np.frombuffer(b, np.int64) for b in frame.loc[is_table, "ids"]])
         order = np.argsort(word)
-        word, value = word[order], np.log(count[order]) - math.log(total)
+        word, value = word[order], np.log(count[order]) - math.log(layout.total)
         asked = frame[~is_table]
-        doc, score = [], []
+        doc, score = [np.zeros(0, np.int64)], [np.zeros(0)]
         for w, n, ids in zip(asked["word"], asked["many"], asked["ids"], strict=True):
             got = np.repeat(value[np.searchsorted(word, _from_five(w))], np.frombuffer(n, np.uint32))
             own, which = np.unique(np.frombuffer(ids, np.int64), return_inverse=True)
             doc.append(own)
             score.append(np.bincount(which, weights=got))
-        if not doc:
-            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         doc, which = np.unique(np.concatenate(doc), return_inverse=True)
-        return pd.DataFrame({"doc_id": doc, "score": np.bincount(which, weights=np.concatenate(score))})
+        return pd.DataFrame(_sums(layout, doc, np.bincount(which, weights=np.concatenate(score), minlength=len(doc))), columns=_NAMES)
 
     return run
 
 
+def _total(frame: pd.DataFrame) -> pd.DataFrame:
+    """One shard's sums -> one row a document."""
+    doc, which = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in frame["ids"]]), return_inverse=True)
+    value = np.concatenate([np.frombuffer(b, np.float64) for b in frame["many"]])
+    return pd.DataFrame({"doc_id": doc, "log_score": np.bincount(which, weights=value)})
+
+
 def _tabled(layout: Layout):
     """word, count -> rows of each table."""
 
@@ -241,12 +267,13 @@ def language_model_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFr
     share = total / (2 * max(8, math.ceil(total / PARTITION_WORDS)))
     # fewer than 2 x partitions words can have more than that share
     heavy = {r[0] & (1 << 64) - 1: r[1] for r in unigrams.where(F.col("count") > share).collect()}
-    layout = Layout(total, types, heavy)
+    layout = Layout(total, types, docs.count(), heavy)
     found = stage(docs.mapInArrow(_send(layout), _SENT).groupBy("part").applyInPandas(_score(layout, min_count), _SCORED), "found")
     asked = found.where("place >= 0").select("place", "word", "many", "ids")
     tables = unigrams.mapInArrow(_tabled(layout), "place long, word binary, ids binary").select("place", "word", F.lit(None).cast("binary").alias("many"), "ids")
-    backed = asked.unionByName(tables).groupBy("place").applyInPandas(_back_off(total), "doc_id long, score double")
-    scores = found.where("place < 0").select("doc_id", "score").unionByName(backed).groupBy("doc_id").agg(F.sum("score").alias("log_score"))
+    backed = asked.unionByName(tables).groupBy("place").applyInPandas(_back_off(layout), _SCORED)
+    sums = found.where("place < 0").unionByName(backed).select("shard", "many", "ids")
+    scores = sums.groupBy("shard").applyInPandas(_total, "doc_id long, log_score double")
     counted = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(scores, "doc_id", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0)))
     same = F.sum("n_words").over(Window.partitionBy("doc_id"))
