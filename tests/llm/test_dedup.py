@@ -218,5 +218,5 @@ def test_odd_vectors(spark):
 def test_runs_cross_batches():
     import pyarrow as pa
 
-    batches = [pa.RecordBatch.from_pydict({"k": k}) for k in ([1, 1], [1, 2], [], [2], [3])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], names=["k"]) for k in ([1, 1], [1, 2], [], [2], [3])]
     assert [t["k"].to_pylist() for t in runs(iter(batches), "k")] == [[1, 1, 1], [2, 2], [3]]

@@ -148,6 +148,6 @@ def take(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")]
     chosen = copies(stage(docs.select(*key), "sized"), block, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
     chosen = small(stage(chosen, "chosen")).alias("c")
-    d = docs.alias("d").withColumn("_size", words_in(F.col("text")))
-    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("_size") == F.col("c.size"))
-    return d.join(chosen, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size"))
+    return d.join(chosen, on).select("row", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("copy")).select("row.*")

@@ -250,8 +250,9 @@ class _Corpus:
             raise ValueError(f"length must be at least {SEED + 8}")
         self.length = length
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": text})
-        self.table = stage(keyed.select("doc_id", "id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha"), F.pmod(F.xxhash64("_text"), F.lit(1 << 31)).cast("int").alias("t")), "texts")
+        # the whole row rides along in one column, so that no name of it can clash
+        keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), text.alias("_text"))
+        self.table = stage(keyed.select(F.col("_row.doc_id").alias("doc_id"), "id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha"), F.pmod(F.xxhash64("_text"), F.lit(1 << 31)).cast("int").alias("t")), "texts")
         # ids that stand for different texts; the others need no tag
         odd = stage(self.table.groupBy("id").agg((F.min("sha") != F.max("sha")).alias("odd")).where("odd"), "odd")
         self.odd = None if odd.isEmpty() else small(odd)
@@ -290,11 +291,19 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t if t is None or not s else _rest(t.encode(), _union(s)).decode(errors="ignore") for t, s in zip(_column(batch, "text").to_pylist(), _column(batch, "spans").to_pylist(), strict=True)]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["spans"])
+def _rewritten(names: list[str]):
+    """Rows without their last two columns, text and spans; what is left of the text takes its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for batch in batches:
+            columns = list(batch.columns)
+            spans, texts = columns.pop().to_pylist(), columns.pop().to_pylist()
+            left = [_rest(t.encode(), _union(s)).decode(errors="ignore") if s else t for t, s in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(left, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -302,7 +311,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     corpus = _Corpus(docs, length)
     whole = corpus.marked.where(F.col("copy") & (F.col("n_bytes") >= length))
     found = small(stage(corpus.spans().withColumn("whole", F.lit(False)).unionByName(whole.select("id", "tag", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole"))).dropDuplicates(["id", "tag"]), "found"), 100_000)
-    joined = corpus.keyed.drop("text").withColumnRenamed("_text", "text").join(found, ["id", "tag"], "left")
-    joined = joined.withColumn("text", F.when(F.coalesce("whole", F.lit(False)), F.lit("")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], "spans")
-    out = joined.mapInArrow(_rewritten, docs.schema)
+    joined = corpus.keyed.join(found, ["id", "tag"], "left")
+    text = F.when(F.coalesce("whole", F.lit(False)), F.lit("")).when(F.col("spans").isNotNull(), F.col("_text")).otherwise(F.col("_row.text"))
+    rows = joined.select(*[F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text.alias("text"), "spans")
+    out = rows.mapInArrow(_rewritten(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
