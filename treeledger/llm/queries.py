@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeledger.llm.embedding_dedup import similar_vectors
 from treeledger.llm.fingerprint import fingerprints
@@ -10,11 +11,14 @@ from treeledger.llm.language_id import languages
 from treeledger.llm.lm_scoring import language_model_scores
 from treeledger.llm.minhash import near_duplicates
 from treeledger.llm.mixing import mixed
+from treeledger.llm.oracle import ORACLE_SQL
 from treeledger.llm.packing import packed
 from treeledger.llm.repeats import deduplicated
 from treeledger.llm.token_counts import token_counts
 from treeledger.llm.toxicity import toxicity
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +32,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(_table(spark, sf_dir, "documents"))
+    out = language_model_scores(_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +84,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
 }
-
-ORACLE_SQL: dict[str, str] = {}
