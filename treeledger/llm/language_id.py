@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeledger.llm.staging import small, stage
 from treeledger.llm.text import LETTER, point_classes, spans_hash
 
 #: At most so many labelled documents of each language are fitted on.
@@ -268,7 +269,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on documents with a language, but for those whose crc32(doc_id) mod 5 is 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and coalesce(crc32(cast(doc_id as string)) % 5 <> 0, true)")
     order = F.xxhash64("doc_id", F.lit("language"))
-    many = rows.groupBy("lang").count()
+    many = small(stage(rows.groupBy("lang").count(), "many"))
     # about twice the sample of each language passes by its hash, so no language is ranked whole
     some = rows.join(many, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.lit(2_000_006.0 * sample + 20e6) / F.col("count"))
     ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("n") <= sample)

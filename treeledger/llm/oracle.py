@@ -16,7 +16,8 @@ g AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 4) AS log_score, round(CASE WHEN len(ws) > 0 THEN x / len(ws) END, 4) AS mean_log_score FROM d LEFT JOIN g USING (doc_id)"""
 
 REPEATS = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(greatest(length(h) // 2 - 49, 0))) AS i FROM t)),
+b AS (SELECT doc_id, k, substr(h, 1024 * k + 1, 1122) AS c FROM (SELECT *, unnest(range((length(h) + 1023) // 1024)) AS k FROM t)),
+p AS (SELECT doc_id, 512 * k + j AS i, substr(c, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(least(512, greatest(length(c) // 2 - 49, 0)))) AS j FROM b)),
 f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY 1),
 hit AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE first < doc_id),
 edge AS (SELECT *, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM hit),
