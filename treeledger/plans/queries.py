@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions import globs, paths, records, totals
-from treeledger.operators import assertions, manifest, repair, selection, trees
+from treeledger.operators import assertions, manifest, repair, reports, selection, trees
 from treeledger.plans.derived import manifest as build
 from treeledger.plans.derived import side, table, with_
 
@@ -394,3 +394,48 @@ def record_rendering(spark, d):
 def saturating_totals(spark, d):
     x = F.round("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(10**13)
     return table(spark, d, "orders").groupBy("o_custkey").agg(totals.saturating_sum(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(x)).cast("string").alias("total"))
+
+
+@query(f"WITH t AS ({_tree_sql('s.rel = d.rel')}) SELECT list_position(['missing', 'extra', 'changed', 'type-conflict', 'case-mismatch', 'identical'], bucket)::BIGINT AS rank, upper(bucket) AS label, coalesce(src_rel, dst_rel) AS rel, tag FROM t WHERE bucket <> 'identical'")
+def verdict_stream(spark, d):
+    return reports.verdict_stream(_diff(spark, d, False))
+
+
+@query("""WITH b AS (SELECT event_type AS grp, event_id AS seq, cast(round(value * 100) AS BIGINT) AS bytes FROM events),
+r AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY grp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev FROM b)
+SELECT grp, sum(least(bytes, greatest(100000 - prev, 0)))::BIGINT AS stored, count(*) FILTER (least(bytes, greatest(100000 - prev, 0)) < bytes) AS truncated FROM r GROUP BY 1""")
+def error_body_budget(spark, d):
+    b = table(spark, d, "events").select(F.col("event_type").alias("grp"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
+    return reports.stored_bodies(b, 100_000).groupBy("grp").agg(F.sum("stored").alias("stored"), F.count_if("truncated").alias("truncated"))
+
+
+@query("SELECT o_custkey AS grp, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
+def newest_copies(spark, d):
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("attempt"), "o_orderkey")
+    return reports.newest(c, 3).select("grp", "o_orderkey")
+
+
+@query(with_("chunks") + "SELECT arg_min(m, (doc_id, cpos)) AS id FROM new_chunk WHERE m NOT IN (SELECT m FROM old_chunk)")
+def first_new_id(spark, d):
+    return reports.first_new_id(_chunks(spark, d, "new"), _chunks(spark, d, "old"))
+
+
+@query(with_("sides") + """, s AS (SELECT rel FROM dst WHERE rel NOT IN (SELECT rel FROM src)) SELECT rel, (SELECT greatest(count(*) - 5, 0) FROM s) AS more FROM s ORDER BY rel LIMIT 5""")
+def uncovered_examples(spark, d):
+    return reports.examples(trees.stale(side(spark, d, "dst"), side(spark, d, "src")))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'repaired' END AS outcome, cast(round(value) AS BIGINT) AS bytes FROM events)
+SELECT count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'repaired') AS repaired, count(*) FILTER (outcome = 'failed') AS failed, sum(CASE WHEN outcome = 'repaired' THEN greatest(bytes, 0) ELSE 0 END)::BIGINT AS bytes, count(*) AS done FROM e""")
+def run_summary(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(F.when(k % 3 == 0, "skipped").when(k % 7 == 0, "failed").otherwise("repaired").alias("outcome"), F.round("value").cast("long").alias("bytes"))
+    return reports.run_summary(e)
+
+
+@query(with_("reuse") + """, u AS (SELECT field, file, sum(CASE WHEN source <> off THEN n ELSE 0 END) AS payload FROM reuse GROUP BY ALL), b AS (SELECT *, coalesce(sum(payload) OVER (PARTITION BY field ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+SELECT field, file, CASE WHEN payload = 0 OR before + payload <= 4096 THEN 'staged' ELSE 'ordered' END AS tier FROM b""")
+def in_place_tiers(spark, d):
+    moved = F.coalesce(F.col("source") != F.col("offset"), F.lit(False))
+    p = _reuse(spark, d).groupBy(F.col("field").alias("grp"), "file").agg(F.sum(F.when(moved, F.col("uncompressed_size")).otherwise(0)).alias("payload"))
+    return reports.tiering(p, 4096).select(F.col("grp").alias("field"), "file", "tier")
