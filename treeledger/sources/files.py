@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -85,10 +87,6 @@ def contents(spark: SparkSession, root: str, glob: str | None = None) -> DataFra
 
 def inventory(files: DataFrame) -> DataFrame:
     """path, bytes, md5, sha256, encoding; gzip members are digested as what they hold."""
-    import gzip
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def inflated(column: pd.Series) -> pd.Series:
         return column.map(lambda b: gzip.decompress(b))
