@@ -282,8 +282,8 @@ class _Corpus:
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text)."""
     corpus = _Corpus(docs, length)
-    cut = corpus.keyed.select("id", "tag", F.col("_text").alias("text")).join(small(corpus.spans(), 100_000), ["id", "tag"])
-    cut = small(stage(cut.mapInArrow(_digests, "id long, tag int, removed long, number long, sha string").withColumnRenamed("sha", "rest").dropDuplicates(["id", "tag"]), "cut"), 100_000)
+    cut = corpus.keyed.select("id", "tag", F.col("_text").alias("text")).join(corpus.spans(), ["id", "tag"])
+    cut = stage(cut.mapInArrow(_digests, "id long, tag int, removed long, number long, sha string").withColumnRenamed("sha", "rest").dropDuplicates(["id", "tag"]), "cut")
     whole = F.col("copy") & (F.col("n_bytes") >= length)
     pick = lambda all_, some, none: F.when(whole, all_).otherwise(F.coalesce(some, none))
     return corpus.marked.join(cut, ["id", "tag"], "left").select(
@@ -310,7 +310,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the text that is left; bytes of a character cut in two go with it. n_chars follows, if there is one."""
     corpus = _Corpus(docs, length)
     whole = corpus.marked.where(F.col("copy") & (F.col("n_bytes") >= length))
-    found = small(stage(corpus.spans().withColumn("whole", F.lit(False)).unionByName(whole.select("id", "tag", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole"))).dropDuplicates(["id", "tag"]), "found"), 100_000)
+    found = stage(corpus.spans().withColumn("whole", F.lit(False)).unionByName(whole.select("id", "tag", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole"))).dropDuplicates(["id", "tag"]), "found")
     joined = corpus.keyed.join(found, ["id", "tag"], "left")
     text = F.when(F.coalesce("whole", F.lit(False)), F.lit("")).when(F.col("spans").isNotNull(), F.col("_text")).otherwise(F.col("_row.text"))
     rows = joined.select(*[F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text.alias("text"), "spans")
