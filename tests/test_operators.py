@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from treeledger.operators import assertions, manifest, repair, selection, trees
+from treeledger.plans.queries import QUERIES
 
 FILE = "field string, manifest_pos int, pos int, file string, is_folder boolean, size long, md5 string, chunks array<struct<id:string,uncompressed_md5:string,offset:long,compressed_size:long,uncompressed_size:long>>"
 
@@ -132,6 +135,45 @@ def test_greedy_does_not_charge_what_is_refused(spark):
     assert [r.key for r in selection.admitted_prefix(items, 10, "n").orderBy("spent").collect()] == ["free", "c", "a"]
 
 
+def test_greedy_walks_ranges_as_one_list(spark):
+    rng = random.Random(3)
+    for budget in (0, 1, 1000, 10**6, 10**17):
+        # every key twice; costs of all sizes up to beyond the budget
+        rows = [(i, f"k{i // 2}", int(2 ** rng.uniform(0, 1 + budget.bit_length())) - 1) for i in range(2000)]
+        left, want = budget, {}
+        for i, _, c in rows:
+            if c <= left:
+                left -= c
+                want[i] = budget - left
+        got = selection.greedy(spark.createDataFrame(rows, "n int, key string, cost long").repartition(7), budget, "n").collect()
+        assert len(got) == len(rows)
+        assert {r.n for r in got if r.admitted} == set(want)
+        assert all(r.spent == want[r.n] for r in got if r.admitted and r.cost > 0)
+
+
+def test_no_task_of_an_admission_gets_all_items(spark):
+    items = spark.range(8000).select((F.col("id") * 37 % 8000).alias("n"), F.col("id").alias("key"), F.lit(3).cast("long").alias("cost"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (selection.greedy(items, 10**6, "n"), selection.admitted_prefix(items, 10**6, "n")):
+            parts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert sum(parts) == 8000
+            assert max(parts) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.spent for r in selection.admitted_prefix(items, 1000, "n", already=100).orderBy("n").collect()] == list(range(103, 1001, 3))
+
+
+def test_greedy_walk_covers_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.p_partkey, round(r.p_retailprice * 100)) for r in spark.read.parquet(f"{sf}/part.parquet").collect())
+    left, want = 2_000_000, {}
+    for k, c in rows:
+        want[k] = c <= left
+        left -= c if want[k] else 0
+    assert {r.p_partkey: r.admitted for r in QUERIES["greedy_walk"](spark, sf).collect()} == want
+
+
 def test_selection_covers_and_reports_over_budget(spark):
     rows = [("game", "i", "identical", 1, 0, 1, 1), ("game", "m", "changed", 8, 1, 2, 3), ("game", "n", "changed", 50, 0, 0, 2), ("game", "add", "added", 2, 0, 0, 1)]
     found = selection.candidates(spark.createDataFrame(rows, "field string, file string, state string, total_cost long, moved long, reused long, nchunks long"))

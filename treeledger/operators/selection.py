@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from treeledger.functions.paths import field_rank
 from treeledger.operators.manifest import CLASSES
@@ -25,49 +30,124 @@ def admission_ranked(candidates: DataFrame) -> DataFrame:
     return numbered(candidates, [F.col("budget_cost"), field_rank(F.col("field")), F.col("file")], "admission_rank")
 
 
-def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Row numbers 1, 2, ... over a total order."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(rows: DataFrame, order: list) -> DataFrame:
+    """Rows dealt to ranges of a total order and kept there: `_part` is the range, `_in` rises within it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
-    # one row a partition
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    return ranged.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at").checkpoint()
+
+
+def _with_before(ranged: DataFrame, amount: Column) -> DataFrame:
+    """`_before`: the sum of `amount` over all earlier ranges, from one row a range."""
+    sums = ranged.groupBy("_part").agg(amount.alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_at", "_part", "_in", "_before")
+    return ranged.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Row numbers 1, 2, ... over a total order."""
+    return _with_before(_ranged(rows, order), F.count("*")).withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
+
+
+def _range_sums(left: int, half: int):
+    """A range of costs -> its number, the sum of those up to half, and the least that a larger one needs to fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, needs = None, 0, left + 1
+        for batch in batches:
+            for part, cost in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if cost <= half:
+                    total += cost
+                else:
+                    needs = min(needs, total + cost)
+        if part is not None:
+            # what is beyond the budget need not be exact
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([min(total, left + 1)], pa.int64()), pa.array([needs], pa.int64())], names=["part", "total", "needs"])
+
+    return run
+
+
+def _range_walk(left: int):
+    """A range of costs -> what its walk leaves of the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = left
+        for batch in batches:
+            for cost in batch.column(1).to_pylist():
+                if cost <= rest:
+                    rest -= cost
+        yield pa.RecordBatch.from_arrays([pa.array([rest], pa.int64())], names=["left"])
+
+    return run
+
+
+def _lefts(costs: DataFrame, budget: int) -> tuple[list[int], list[int]]:
+    """Ranges, ascending, and what is left of the budget before each; in any other range nothing fits of what is left before the next.
+
+    Costs up to half of what is left all fit until their sum is beyond it, and a larger one that fits halves what is
+    left. So sums by range find the first range where either happens, that range is walked, and what is left has
+    halved: the rounds are at most the bits of the budget, and the driver holds a few numbers for each range.
+    """
+    parts, lefts, left, done = [0], [budget], budget, -1
+    while left > 0:
+        rest = costs.where((F.col("_part") > done) & (F.col("_cost") <= left))
+        stop = None
+        for part, total, needs in sorted(tuple(r) for r in rest.mapInArrow(_range_sums(left, left // 2), "part long, total long, needs long").collect()):
+            parts.append(part)
+            lefts.append(left)
+            if total > left or needs <= left:
+                stop = part
+                break
+            left -= total
+        if stop is None:
+            break
+        left, done = min(r.left for r in costs.where(F.col("_part") == stop).mapInArrow(_range_walk(left), "left long").collect()), stop
+    parts.append(parts[-1] + 1)
+    lefts.append(left)
+    return parts, lefts
+
+
+def _admit(parts: list[int], lefts: list[int], budget: int):
+    """Rows that end in _part and _cost -> the rows with `spent` where they are admitted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            *columns, part, cost = batch.columns
+            if left is None and len(part):
+                left = lefts[min(bisect_left(parts, part[0].as_py()), len(parts) - 1)]
+            spent = []
+            for c in cost.to_pylist():
+                ok = c is not None and c <= left
+                left -= c if ok else 0
+                spent.append(budget - left if ok else None)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spent, pa.int64())], names=[*batch.schema.names[:-2], "spent"])
+
+    return run
 
 
 def greedy(items: DataFrame, budget: int, *order: str, cost: str = "cost", key: str = "key") -> DataFrame:
     """Walk the items in order and admit what still fits; what is refused is not charged.
 
     An item that costs more than the whole budget never fits, and items that cost nothing always do, so both are
-    decided where they are. The walk itself is sequential: it folds one ordered list of (cost, key).
+    decided where they are. Of what lies before a range of the order, its walk needs only what is left of the
+    budget; once that is known for each range, all are walked at once.
     """
-    inside = items.where((F.col(cost) > 0) & (F.col(cost) <= budget))
-    entry = F.struct(*order, F.col(cost).cast("long").alias("_cost"), F.col(key).alias("_key"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<struct<key:{dict(items.dtypes)[key]},spent:bigint>>").alias("taken"))
-
-    def step(acc, x):
-        spent = acc["spent"] + x["_cost"]
-        taken = F.concat(acc["taken"], F.array(F.struct(x["_key"].alias("key"), spent.alias("spent"))))
-        return F.when(spent <= budget, F.struct(spent.alias("spent"), taken.alias("taken"))).otherwise(acc)
-
-    walked = inside.agg(F.array_sort(F.collect_list(entry)).alias("items")).select(F.explode(F.aggregate("items", start, step)["taken"]).alias("t"))
-    admitted = walked.select(F.col("t.key").alias("_admitted"), "t.spent")
-    out = items.join(admitted, F.col(key) == F.col("_admitted"), "left")
-    ok = F.col("_admitted").isNotNull() | (F.col(cost) <= 0)
-    return out.withColumn("admitted", ok).drop("_admitted")
+    ranged = _ranged(items, [*order, cost, key]).drop("_in")
+    rows = ranged.select(*[F.col(f"`{c}`") for c in items.columns], "_part", F.when((F.col(cost) > 0) & (F.col(cost) <= budget), F.col(cost).cast("long")).alias("_cost"))
+    parts, lefts = _lefts(rows.where("_cost is not null").select("_part", "_cost"), budget)
+    schema = StructType([*items.schema.fields, StructField("spent", LongType())])
+    return rows.mapInArrow(_admit(parts, lefts, budget), schema).withColumn("admitted", F.col("spent").isNotNull() | (F.col(cost) <= 0))
 
 
 def admitted_prefix(items: DataFrame, budget: int, *order: str, cost: str = "cost", already: int = 0) -> DataFrame:
     """The same for a list in ascending order of cost, where what is admitted is a prefix: running sums decide.
 
-    Costs above what is left of the budget are dropped before the sums, so at most budget / cost rows meet.
+    Sums run within ranges of the order, on top of what the earlier ranges cost.
     """
-    left = budget - already
-    running = F.sum(cost).over(Window.orderBy(cost, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return items.where(F.col(cost) <= left).withColumn("spent", already + running).where(F.col("spent") <= budget)
+    ranged = _with_before(_ranged(items.where(F.col(cost) <= budget - already), [cost, *order]), F.sum(cost))
+    running = F.sum(cost).over(Window.partitionBy("_part").orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("spent", already + F.col("_before") + running).where(F.col("spent") <= budget).drop("_part", "_in", "_before")
 
 
 def candidates(scores: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str | None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return register
@@ -299,6 +300,13 @@ def greedy_fold(spark, d):
     return selection.greedy(items, 2_000_000, "p_partkey", key="p_partkey").select("p_partkey", "admitted")
 
 
+# the same walk over all parts; SQL can only recurse row by row
+@query(None)
+def greedy_walk(spark, d):
+    items = table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cost"))
+    return selection.greedy(items, 2_000_000, "p_partkey", key="p_partkey").select("p_partkey", "admitted")
+
+
 @query(with_("scored") + """, k AS (SELECT unnest(['identical', 'no_reuse', 'reuse_in_place', 'reuse_moved', 'added', 'removed']) AS class),
 m AS (SELECT class, coalesce(total_cost, 0)::BIGINT AS c, field, file FROM scored)
 SELECT class, arg_min(file, (c, field <> 'game', field, file)) AS file, CASE WHEN count(file) = 0 THEN 'unavailable' ELSE 'captured' END AS status FROM k LEFT JOIN m USING (class) GROUP BY class""")
