@@ -113,6 +113,14 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(wrong) / len(wrong) < 0.01
 
 
+def test_toxicity_of_rare_languages_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic = 1").select("doc_id"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.predicted for r in out) / len(out) > 0.85
+    rare = [r.predicted for r in out if r.lang != "en"]
+    assert sum(rare) / len(rare) > 0.75
+
+
 def test_toxicity_finds_the_sentence_and_keeps_clean_rows(spark):
     rows = [(i, f"All is well here {i}. " * 3 + ("You vilest wretch! " if i % 2 else "Good day! ") + "The end.", "x") for i in range(200)]
     docs = spark.createDataFrame(rows + [(900, None, "x"), (901, "", "x"), (901, "", "x"), (None, "vilest", "x")], "doc_id long, text string, toxic string")

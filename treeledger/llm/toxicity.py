@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
-Each sentence has a logistic score over its words and their affixes; the document's score is their noisy-or,
+Each sentence has a logistic score over its words, their tails and what they begin with; the document's score is their noisy-or,
 1 - prod(1 - p). Only documents have labels, and the gradient of the noisy-or hands
 the blame of a toxic document to its worst sentences, which the model then locates.
 
@@ -16,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.llm.staging import stage
 from treeledger.llm.text import NO_LETTER, STOP, passes, word_hashes, words
 
 #: At most so many labelled documents of each kind are fitted on; their kinds are weighted back to all labelled rows.
-SAMPLE = 1500
-AFFIX = 4
-#: Features the model keeps: those that tell the kinds apart best and occur in MIN_DOCS sampled documents.
-VOCABULARY, MIN_DOCS = 2000, 5
+SAMPLE = 3000
+#: Bytes of a word's tail, and of the heads that it has if it goes on after them: a rare language's words share these.
+TAIL, HEADS = 4, range(3, 11)
+#: Features the model keeps: those of toxic documents with the highest log-likelihood ratio, which must reach MIN_GAIN (nats).
+VOCABULARY, MIN_GAIN = 500, 3.0
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
 THRESHOLD = 0.7
 
@@ -38,7 +41,7 @@ class Model:
 
 
 def _sentences(data: np.ndarray, offsets: np.ndarray):
-    """Features (words, their first and their last AFFIX bytes), the sentence of each feature, document and byte
+    """Features (words, their last TAIL bytes and their HEADS), the sentence of each feature, document and byte
     span of each sentence that has a word."""
     starts, ends, first = words(data, offsets, NO_LETTER)
     stop = np.cumsum(STOP[data])
@@ -46,43 +49,70 @@ def _sentences(data: np.ndarray, offsets: np.ndarray):
     which = np.searchsorted(sentence, stop[starts])
     doc = np.searchsorted(first, index, side="right") - 1
     last = np.append(index[1:], len(starts)) - 1
-    head = word_hashes(data, starts, np.minimum(ends, starts + AFFIX)) ^ np.uint64(0x1F3D5B79)
-    tail = word_hashes(data, np.maximum(starts, ends - AFFIX), ends) ^ np.uint64(0x2E4C6A88)
-    return np.concatenate((word_hashes(data, starts, ends), head, tail)), np.tile(which, 3), doc, starts[index], ends[last] if len(index) else ends[:0]
+    kinds = [(np.arange(len(starts)), starts, ends)]
+    for size in (TAIL, *HEADS):
+        at = np.flatnonzero(ends - starts > size)
+        kinds.append((at, ends[at] - size, ends[at]) if len(kinds) == 1 else (at, starts[at], starts[at] + size))
+    salt = np.repeat(np.arange(len(kinds), dtype=np.uint64) * np.uint64(0x1F3D5B792E4C6A88), [len(k[0]) for k in kinds])
+    at, begin, end = (np.concatenate(c) for c in zip(*kinds, strict=True))
+    return word_hashes(data, begin, end) ^ salt, which[at], doc, starts[index], ends[last] if len(index) else ends[:0]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """toxic, text -> the features of some texts with the numbers of toxic and of other texts that have them."""
+    for batch in batches:
+        toxic = np.asarray(batch.column(0)).astype(np.int64)
+        for row, data, offsets in passes(batch.column(1)):
+            hashes, sentence, doc, _, _ = _sentences(data, offsets)
+            keys, inverse = np.unique(hashes, return_inverse=True)
+            n = len(offsets) - 1
+            word, of = np.divmod(np.unique(inverse * n + doc[sentence]), n)
+            seen = np.bincount(word, minlength=len(keys))
+            bad = np.bincount(word, weights=toxic[row + of], minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(seen - bad)], names=["key", "bad", "good"])
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model | None:
-    """A model from texts with labels 0 and 1 and the weight of each."""
-    if not (toxic == 1).any() or not (toxic == 0).any():
-        return None
-    hashes, sentence, doc, n = [], [], [], 0
-    for row, data, offsets in passes(texts):
-        h, s, d, _, _ = _sentences(data, offsets)
-        hashes.append(h)
-        sentence.append(s + n)
-        doc.append(d + row)
-        n += len(d)
-    hashes, sentence, doc = np.concatenate(hashes), np.concatenate(sentence), np.concatenate(doc)
-    keys, inverse = np.unique(hashes, return_inverse=True)
-    del hashes
-    inverse, sentence = inverse.astype(np.int32), sentence.astype(np.int32)
-    pair = np.unique(inverse.astype(np.int64) * len(toxic) + doc[sentence])
-    word, of = pair // len(toxic), pair % len(toxic)
-    del pair
-    seen = np.bincount(word, minlength=len(keys))
-    bad = np.bincount(word, weights=toxic[of], minlength=len(keys))
-    p, q = (bad + 0.5) / (toxic.sum() + 1), (seen - bad + 0.5) / ((1 - toxic).sum() + 1)
-    gain = np.where(seen >= MIN_DOCS, seen * np.abs(np.log(p / q)), -1)
-    chosen = np.sort(np.lexsort((keys, -gain))[: min(VOCABULARY, int((gain > 0).sum()))])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[inverse] >= 0
-    col, at = place[inverse[use]], sentence[use]
-    del use, inverse, sentence, word, of
-    w, b = np.zeros(len(chosen) + 1), -3.0
+def _gain(bads: int, goods: int) -> Column:
+    """Log-likelihood ratio of label and presence, for what toxic texts have more often."""
+    bad, good, n = F.col("bad"), F.col("good"), bads + goods
+
+    def part(k: Column, of: Column, share: float) -> Column:
+        return F.when(k > 0, k * F.log(k / (of * share))).otherwise(0.0)
+
+    seen = bad + good
+    terms = part(bad, seen, bads / n) + part(good, seen, goods / n) + part(bads - bad, n - seen, bads / n) + part(goods - good, n - seen, goods / n)
+    return F.when(bad * goods > good * bads, terms).otherwise(0.0)
+
+
+def _bags(keys: np.ndarray):
+    """doc_id, toxic, text -> number of sentences, and the sentence and the number of each feature that is in keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in passes(batch.column(2)):
+                n = len(offsets) - 1
+                hashes, sentence, doc, _, _ = _sentences(data, offsets)
+                place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                use = np.flatnonzero(keys[place] == hashes)
+                use = use[np.argsort(sentence[use], kind="stable")]
+                begin = np.searchsorted(doc, np.arange(n + 1))
+                cut = np.searchsorted(sentence[use], begin)
+                at, col = (sentence[use] - begin[doc[sentence[use]]]).astype(np.int32), place[use].astype(np.int32)
+                parts = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (at, col)]
+                part = batch.slice(row, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(begin)), *(pa.array(x, pa.binary()) for x in parts)], names=["doc_id", "toxic", "sentences", "at", "features"])
+
+    return run
+
+
+def fit(keys: np.ndarray, toxic: np.ndarray, weight: np.ndarray, sentences: np.ndarray, at: np.ndarray, col: np.ndarray) -> Model:
+    """A model over keys from documents' labels 0 and 1, weights and numbers of sentences, and the sentence (counted
+    through all documents) and the key of each feature."""
+    n, doc = int(sentences.sum()), np.repeat(np.arange(len(toxic)), sentences)
+    w, b = np.zeros(len(keys) + 1), -3.0
     m, v = np.zeros(len(w)), np.zeros(len(w))
     w[-1] = b
-    empty = np.bincount(doc, minlength=len(toxic)) == 0
+    empty = sentences == 0
     scale = weight / weight.sum()
     for step in range(1, STEPS + 1):
         z = np.clip(np.bincount(at, weights=w[col], minlength=n) + w[-1], -30, 30)
@@ -91,10 +121,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model | None:
         clean[empty] = 0.5
         blame = np.where(toxic == 1, -clean / (1 - clean), 1.0) * scale
         slope = blame[doc] * prob
-        grad = np.append(np.bincount(col, weights=slope[at], minlength=len(chosen)) + RIDGE * w[:-1] / 10, slope.sum())
+        grad = np.append(np.bincount(col, weights=slope[at], minlength=len(keys)) + RIDGE * w[:-1] / 10, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Model(keys[chosen], w[:-1], float(w[-1]))
+    return Model(keys, w[:-1], float(w[-1]))
 
 
 def _score(model: Model | None, keep_from: float | None):
@@ -135,12 +165,22 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
         return None
     some = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # at most 2 x sample rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    toxic = np.asarray(texts["toxic"]).astype(np.int64)
-    if len(np.unique(toxic)) < 2:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "toxic", "text")
+    texts = stage(texts, "labelled")
+    kinds = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+    if len(kinds) < 2:
         return None
-    weight = np.array([total[k] / max(1, int((toxic == k).sum())) for k in (0, 1)])[toxic]
-    return fit(texts["text"].combine_chunks(), toxic, weight)
+    counted = texts.select("toxic", "text").mapInArrow(_counted, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    best = counted.withColumn("gain", F.round(_gain(kinds[1], kinds[0]), 6)).where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "key").limit(VOCABULARY)
+    keys = np.sort(np.array([r.key for r in best.select("key").collect()], np.int64).view(np.uint64))
+    if not len(keys):
+        keys = np.zeros(1, np.uint64)
+    bags = texts.mapInArrow(_bags(keys), "doc_id long, toxic int, sentences long, at binary, features binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    toxic, sentences = (np.asarray(bags[c]).astype(np.int64) for c in ("toxic", "sentences"))
+    at, col = (np.frombuffer(b"".join(bags[c].to_pylist()), np.int32) for c in ("at", "features"))
+    at = at + np.repeat(np.cumsum(sentences) - sentences, np.asarray(pc.binary_length(bags["at"])) // 4)
+    weight = np.array([total[k] / kinds[k] for k in (0, 1)])[toxic]
+    return fit(keys, toxic, weight, sentences, at, col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
