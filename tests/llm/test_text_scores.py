@@ -139,3 +139,17 @@ def test_toxicity_finds_the_sentence_and_keeps_clean_rows(spark):
     assert not {r.doc_id for r in kept.collect()} & {1, 3}
     assert toxicity.toxicity(docs, labels.limit(0)).agg({"score": "max"}).first()[0] == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_finds_every_offending_sentence(spark):
+    rows = [(i, f"All is fine {i}. " * 3 + ("Hé, you vilest wretch! Good day. Vilest wretch there? " if i % 2 else "Good day! ") + "The end.") for i in range(200)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    for r in toxicity.toxicity(docs, labels).collect():
+        text = rows[r.doc_id][1].encode() if r.doc_id < 200 else b""
+        assert [text[s.start : s.end].decode() for s in r.offending] == (["Hé, you vilest wretch", "Vilest wretch there"] if r.doc_id % 2 and r.doc_id < 200 else [])
+        assert r.n_offending == len(r.offending)
+        assert all(s.score >= 0.5 for s in r.offending)
+        if r.offending:
+            assert (r.worst_start, r.worst_end) in [(s.start, s.end) for s in r.offending if s.score == max(o.score for o in r.offending)]
+    assert all(r.offending == [] for r in toxicity.toxicity(docs, labels.limit(0)).collect())

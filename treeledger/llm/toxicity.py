@@ -30,7 +30,8 @@ TAIL, HEADS = 4, range(3, 11)
 #: Features the model keeps: those of toxic documents with the highest log-likelihood ratio, which must reach MIN_GAIN (nats).
 VOCABULARY, MIN_GAIN = 500, 3.0
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
-THRESHOLD = 0.7
+#: Score from which a document is toxic, and a sentence offending.
+THRESHOLD, OFFENDING = 0.7, 0.5
 
 
 @dataclass
@@ -127,12 +128,18 @@ def fit(keys: np.ndarray, toxic: np.ndarray, weight: np.ndarray, sentences: np.n
     return Model(keys, w[:-1], float(w[-1]))
 
 
+def _spans(cut: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> pa.Array:
+    """Lists of (start, end, score), cut at `cut`."""
+    spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end), pa.array(score)], names=["start", "end", "score"])
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans)
+
+
 def _score(model: Model | None, keep_from: float | None):
     def of(column: pa.Array) -> Iterator[tuple]:
         for row, data, offsets in passes(column):
             n = len(offsets) - 1
             if model is None:
-                yield (row, n, np.zeros(n), np.zeros(n, np.int64), np.full((2, n), -1))
+                yield (row, n, np.zeros(n), _spans(np.zeros(n + 1, np.int64), *np.zeros((2, 0), np.int64), np.zeros(0)), np.full((2, n), -1))
                 continue
             hashes, sentence, doc, start, end = _sentences(data, offsets)
             at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1) if len(model.keys) else None
@@ -142,15 +149,18 @@ def _score(model: Model | None, keep_from: float | None):
             score = -np.expm1(np.bincount(doc, weights=np.log1p(-prob), minlength=n))
             worst = np.full((2, n), -1)
             order = np.argsort(prob, kind="stable")
-            worst[0, doc[order]], worst[1, doc[order]] = start[order] - offsets[doc[order]], end[order] - offsets[doc[order]]
-            yield row, n, np.clip(score, 0, 1), np.bincount(doc, weights=prob >= 0.5, minlength=n).astype(np.int64), worst
+            start, end = start - offsets[doc], end - offsets[doc]
+            worst[0, doc[order]], worst[1, doc[order]] = start[order], end[order]
+            hit = np.flatnonzero(prob >= OFFENDING)
+            yield row, n, np.clip(score, 0, 1), _spans(np.searchsorted(doc[hit], np.arange(n + 1)), start[hit], end[hit], prob[hit]), worst
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, score, offending, worst in of(batch.column(batch.schema.get_field_index("text"))):
                 part = batch.slice(row, n)
                 if keep_from is None:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(offending), pa.array(worst[0]), pa.array(worst[1])], names=["doc_id", "score", "n_offending", "worst_start", "worst_end"])
+                    number = pc.list_value_length(offending).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), number, pa.array(worst[0]), pa.array(worst[1]), offending], names=["doc_id", "score", "n_offending", "worst_start", "worst_end", "offending"])
                 else:
                     yield part.filter(pa.array(score < keep_from))
 
@@ -184,12 +194,13 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_offending (sentences of 0.5 or more),
-    worst_start and worst_end (UTF-8 byte span of the worst sentence, -1 without one). One pass over docs, no shuffle."""
+    """One row per document: doc_id, held_out, score, predicted, n_offending (sentences of 0.5 or more), worst_start and
+    worst_end (UTF-8 byte span of the worst sentence, offending or not, -1 without one), offending (start, end and score of
+    each offending sentence, in the order of the text). Scoring is one pass over docs, no shuffle."""
     model = learned(docs, labels, sample)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, None), "doc_id long, score double, n_offending long, worst_start long, worst_end long")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, None), "doc_id long, score double, n_offending long, worst_start long, worst_end long, offending array<struct<start:long,end:long,score:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end", "offending")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
