@@ -7,8 +7,10 @@ import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from treeledger.llm import repeats
 from treeledger.llm.cells import runs
 from treeledger.llm.components import components
 from treeledger.llm.embedding_dedup import similar_vectors
@@ -220,3 +222,20 @@ def test_runs_cross_batches():
 
     batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], names=["k"]) for k in ([1, 1], [1, 2], [], [2], [3])]
     assert [t["k"].to_pylist() for t in runs(iter(batches), "k")] == [[1, 1, 1], [2, 2], [3]]
+
+
+def test_batches_send_a_shared_passage_once():
+    n, passage = 2000, "".join(random.Random(8).choices("abcdefgh ", k=400))
+    batch = pa.table({"id": np.arange(n), "tag": np.zeros(n, np.int32), "text": [f"{i:09d}{passage}{i:09d}" for i in range(n)]}).to_batches()[0]
+    shared = repeats._shared(next(repeats._scatter(1, 50)(iter([batch]))).to_pandas())
+    found = dict(zip(shared["id"], shared[["part", "numbers"]].to_dict("records"), strict=True))
+    lists = pa.array([[found[i]] if i in found else [] for i in range(n)], pa.list_(pa.struct([("part", pa.int64()), ("numbers", pa.binary())])))
+    sent = next(repeats._cut_out(1, 50)(iter([pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "tag", "text", "shared"])]))).to_pandas()
+    inner = sum(len(x) for x in sent["which"]) // 4
+    assert inner >= 5 * n
+    # runs at the edges of the passage hold what is beside it and differ
+    assert 1 <= sent["data"].map(lambda d: d.count(passage.encode()[180:230])).sum() <= 3
+    found = repeats._repeated(50)(sent)
+    assert sorted(found["id"]) == list(range(1, n))
+    # numbers that begin or end alike are covered too
+    assert all(start <= 9 and end >= 409 for b in found["spans"] for start, end in repeats._union([b]))

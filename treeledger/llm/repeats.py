@@ -29,6 +29,8 @@ from treeledger.llm.text import mix, passes, spans_hash
 LENGTH, SEED = 50, 16
 #: Text of the corpus for each partition of minimisers.
 PARTITION_BYTES = 5_000_000
+#: Occurrences whose places are looked up at once.
+STEP = 100_000
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -137,7 +139,8 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut_out(parts: int, length: int):
-    """id, tag, text, shared -> part, substrings of the runs whose minimiser is shared."""
+    """id, tag, text, shared -> part, the distinct substrings of the runs whose minimiser is shared, and which of them
+    each document has where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,17 +159,26 @@ def _cut_out(parts: int, length: int):
                 mine = mix((text.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)) ^ (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 at = np.flatnonzero(np.isin(mine, have))
                 at = at[np.argsort(part[at], kind="stable")]
+                spans = np.zeros(len(text), np.uint64)
+                spans[at] = spans_hash(data, offsets[text[at]] + place[at], offsets[text[at]] + place[at] + count[at] + length - 1)
                 for a, b in _slices(np.flatnonzero(np.append(True, part[at][1:] != part[at][:-1])[: len(at)]), len(at)):
                     own = at[a:b]
-                    size = count[own] + length - 1
-                    index = np.repeat(offsets[text[own]] + place[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    out.setdefault(int(part[own[0]]), []).append((data[index], count[own], place[own], text[own] + row))
+                    begin, size = offsets[text[own]] + place[own], count[own] + length - 1
+                    _, one, which = np.unique(spans[own], return_index=True, return_inverse=True)
+                    index = np.repeat(begin[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(size[one].sum())
+                    out.setdefault(int(part[own[0]]), []).append((spans[own][one], data[index], size[one], which, place[own], text[own] + row))
             rows = []
             for p, pieces in out.items():
-                data, count, place, doc = (np.concatenate(c) for c in zip(*pieces, strict=True))
-                rows.append((p, data.tobytes(), count.astype(np.uint8).tobytes(), place.astype(np.uint32).tobytes(), *_keys(all_ids, all_tags, doc)))
+                spans, data, size, which, place, doc = map(list, zip(*pieces, strict=True))
+                first = np.cumsum([0, *map(len, spans)])
+                which = np.concatenate([w + n for w, n in zip(which, first[:-1], strict=True)])
+                spans, data, size, place, doc = (np.concatenate(c) for c in (spans, data, size, place, doc))
+                # once more over the passes of the batch
+                _, one, again = np.unique(spans, return_index=True, return_inverse=True)
+                index = np.repeat((np.cumsum(size) - size)[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(size[one].sum())
+                rows.append((p, data[index].tobytes(), (size[one] - length + 1).astype(np.uint8).tobytes(), again[which].astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), *_keys(all_ids, all_tags, doc)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "data", "sizes", "places", "ids", "tags", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "data", "sizes", "which", "places", "ids", "tags", "counts"])
 
     return run
 
@@ -181,7 +193,10 @@ def _repeated(length: int):
         ids, tags = (np.concatenate(k) for k in zip(*[_unkeyed(*k) for k in zip(frame["ids"], frame["tags"], frame["counts"], strict=True)], strict=True))
         size = count + length - 1
         begin = np.cumsum(size) - size
-        _, one, which = np.unique(spans_hash(data, begin, begin + size), return_index=True, return_inverse=True)
+        _, one, same = np.unique(spans_hash(data, begin, begin + size), return_index=True, return_inverse=True)
+        # the distinct substring of each occurrence
+        sent = np.cumsum([0, *map(len, frame["sizes"])])
+        which = same[np.concatenate([np.frombuffer(b, np.uint32) + n for b, n in zip(frame["which"], sent[:-1], strict=True)])]
         least = np.full(len(one), LAST)
         np.minimum.at(least, which, ids)
         # distinct substrings with a zero byte after each
@@ -198,10 +213,15 @@ def _repeated(length: int):
         lowest = np.full(len(text), LAST)
         if len(order):
             lowest[order] = np.repeat(np.minimum.reduceat(least[owner[order]], first), np.diff(np.append(first, len(order))))
-        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        item = np.repeat(np.arange(len(count)), count)
-        hit = np.flatnonzero(lowest[base[which[item]] + nth] < ids[item])
-        item, at = item[hit], place[item[hit]] + nth[hit]
+        items, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for from_ in range(0, len(which), STEP):
+            many = count[one][which[from_ : from_ + STEP]]
+            nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            item = np.repeat(np.arange(from_, from_ + len(many)), many)
+            hit = np.flatnonzero(lowest[base[which[item]] + nth] < ids[item])
+            items.append(item[hit])
+            ats.append(place[item[hit]] + nth[hit])
+        item, at = np.concatenate(items), np.concatenate(ats)
         new = np.append(True, (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)) if len(item) else np.zeros(0, bool)
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(item)) - 1 if len(a) else a
@@ -274,7 +294,7 @@ class _Corpus:
         sent = own.mapInArrow(_scatter(self.parts, self.length), "part long, numbers binary, ids binary, tags binary, counts binary")
         shared = sent.groupBy("part").applyInPandas(_shared, "id long, tag int, part long, numbers binary")
         shared = stage(shared.groupBy("id", "tag").agg(F.collect_list(F.struct("part", "numbers")).alias("shared")), "shared")
-        cut = own.join(shared, ["id", "tag"]).mapInArrow(_cut_out(self.parts, self.length), "part long, data binary, sizes binary, places binary, ids binary, tags binary, counts binary")
+        cut = own.join(shared, ["id", "tag"]).mapInArrow(_cut_out(self.parts, self.length), "part long, data binary, sizes binary, which binary, places binary, ids binary, tags binary, counts binary")
         found = cut.groupBy("part").applyInPandas(_repeated(self.length), "id long, tag int, spans binary")
         return stage(found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans")), "spans")
 
