@@ -23,9 +23,9 @@ LOWER[65:91] += 32
 BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 BLANK, LETTER, NUMBER, OTHER = range(4)
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of a block of a long span; such a span is hashed by the hashes of its blocks.
+BLOCK_BYTES = 256
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,21 +50,6 @@ def point_classes() -> np.ndarray:
     return out
 
 
-_known_powers: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1, kept up to the usual length."""
-    out = _known_powers.get(base)
-    if out is None or len(out) < n:
-        out = np.full(max(n, PASS_BYTES + (1 << 16)), np.uint64(base), np.uint64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if n <= PASS_BYTES + (1 << 16):
-            _known_powers[base] = out
-    return out[:n]
-
-
 def passes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; a line feed follows each text; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,19 +86,42 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARAT
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z folded: a polynomial over the bytes from differences of its running sum."""
-    n = len(data)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * _powers(_ODD, n), out=run[1:])
-    return mix((run[ends] - run[starts]) * _powers(_INVERSE, n + 1)[starts])
+    """64-bit hash of each word, A-Z folded."""
+    return spans_hash(LOWER[data], starts, ends)
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of an array of unsigned integers."""
-    n = len(values)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum((values + np.uint64(0x2545F491)) * _powers(_ODD, n), out=run[1:])
-    return mix((run[ends] - run[starts]) * _powers(_INVERSE, n + 1)[starts])
+    """64-bit hash of each span of an array of unsigned integers.
+
+    A span's bytes are taken eight at a time, each eight mixed by a bijection into what came before, starting from its
+    length. So spans of one length of at most eight bytes never share a hash, and no sums or products of the
+    contents can cancel.
+    """
+    width = values.dtype.itemsize
+    data = np.concatenate((np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8)))
+    at, size = np.asarray(starts, np.int64) * width, (np.asarray(ends, np.int64) - starts) * width
+    return _hashed(data, at, size)
+
+
+def _hashed(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of data[at:at + size]; data goes on for eight bytes after the last span."""
+    acc = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    large = np.flatnonzero(size > BLOCK_BYTES)
+    if len(large):
+        blocks = -(-size[large] // BLOCK_BYTES)
+        first = np.cumsum(blocks) - blocks
+        nth = (np.arange(int(blocks.sum())) - np.repeat(first, blocks)) * BLOCK_BYTES
+        inner = _hashed(data, np.repeat(at[large], blocks) + nth, np.minimum(BLOCK_BYTES, np.repeat(size[large], blocks) - nth))
+        acc[large] = mix(acc[large] ^ spans_hash(inner, first, first + blocks))
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= BLOCK_BYTES))
+    done = 0
+    while len(live):
+        rest = size[live] - done
+        lane = eights[at[live] + done] & _MASK[np.minimum(rest, 8)]
+        acc[live] = mix(acc[live] * np.uint64(0xD6E8FEB86659FD93) ^ lane)
+        live, done = live[rest > 8], done + 8
+    return acc
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -117,7 +117,7 @@ class BytePairs:
         self.last = np.array([vocab[c + suffix] for c in symbol], np.int64)
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -179,22 +179,34 @@ class BytePairs:
         return out.tolist()
 
     def _each(self, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Number of tokens of each pre-token."""
+        """Number of tokens of each pre-token. What is remembered is told apart by its characters."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        keys, where, which = np.unique(spans_hash(points, starts, ends), return_index=True, return_inverse=True)
-        got = list(map(self.known.get, keys.tolist()))
+        _, where, which = np.unique(spans_hash(points, starts, ends), return_index=True, return_inverse=True)
+        if not _same(points, starts, ends, where[which]):
+            _, where, which = np.unique(np.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)
+        words = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        got = list(map(self.known.get, words))
         new = [i for i, n in enumerate(got) if n is None]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
         for i in range(0, len(new), TOGETHER):
             part = new[i : i + TOGETHER]
-            counts = self.merged([text[a:b] for a, b in zip(starts[where[part]].tolist(), ends[where[part]].tolist(), strict=True)]).tolist()
-            self.known.update(zip(keys[part].tolist(), counts, strict=True))
+            counts = self.merged([words[k] for k in part]).tolist()
+            self.known.update(zip([words[k] for k in part], counts, strict=True))
             for k, n in zip(part, counts, strict=True):
                 got[k] = n
         return np.array(got, np.int64)[which] if got else np.zeros(0, np.int64)
 
 
+def _same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span holds what the span that it is like holds."""
+    size = ends - starts
+    if (size != size[like]).any():
+        return False
+    nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return bool((points[np.repeat(starts, size) + nth] == points[np.repeat(starts[like], size) + nth]).all())
+
+
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> BytePairs:
     return BytePairs(path)
