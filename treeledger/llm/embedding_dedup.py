@@ -1,6 +1,7 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Each vector is turned by several random rotations; the signs of the coordinates are its codes, and the inner product
+Each vector is turned by several random rotations (each three times random signs and a Hadamard transform, so a
+rotation is a few signs and not a matrix); the signs of the coordinates are its codes, and the inner product
 of a code with its vector is kept as the correction that makes estimates of inner products unbiased.
 Bands of code bits bring vectors of one label together. There the estimate, averaged over the rotations, and
 its confidence bound decide which pairs are recomputed exactly, in double precision.
@@ -9,7 +10,8 @@ from that, so that a pair at the threshold shares no band with a probability of
 
 Defined results: a vector that is null, zero, or holds a null or a non-finite number links with nothing, as does a row
 without label or vec_id (n_links 0, a component of its own, kept). Only vectors of equal length are compared.
-Each repeated row counts as a vector. Other columns of the input are not read.
+Each repeated row counts as a vector, and so do unequal vectors with one vec_id; a component's id is the smallest vec_id
+in it. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -45,16 +47,19 @@ class Codes:
         self.rotations = math.ceil(self.bands / (64 // self.bits))
 
     def turns(self, width: int) -> np.ndarray:
-        """The rotations of vectors padded to a multiple of 64."""
-        size = 64 * -(-width // 64)
+        """The signs of each rotation: rotations x 3 x the power of two that vectors are padded to."""
+        size = max(64, 1 << (width - 1).bit_length())
         rng = np.random.default_rng(size)
-        return np.stack([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(self.rotations)]).astype(np.float32)[:, :width]
+        return rng.integers(0, 2, (self.rotations, 3, size)).astype(np.float32) * 2 - 1
 
     def encode(self, unit: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sign bits (packed, by rotation) and corrections <code, vector> of unit vectors."""
-        turned = np.einsum("nd,rds->nrs", unit, turns)
-        bits = np.packbits(turned > 0, axis=2)
-        return bits, np.abs(turned).sum(axis=2) / math.sqrt(turns.shape[2])
+        bits, corrections = [], []
+        for signs in turns:
+            turned = _turned(unit, signs)
+            bits.append(np.packbits(turned > 0, axis=1))
+            corrections.append(np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1]))
+        return np.stack(bits, axis=1), np.stack(corrections, axis=1)
 
     def banded(self, bits: np.ndarray) -> np.ndarray:
         """The number that each band of each code spells."""
@@ -63,6 +68,22 @@ class Codes:
         return number.reshape(len(bits), -1)[:, : self.bands]
 
 
+def _turned(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows, padded with zeros, after one rotation."""
+    n, size = len(unit), signs.shape[1]
+    x = np.zeros((n, size), np.float32)
+    x[:, : unit.shape[1]] = unit
+    for s in signs:
+        x *= s
+        step = 1
+        while step < size:
+            pair = x.reshape(n, -1, 2, step)
+            x = np.stack((pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]), axis=2).reshape(n, size)
+            step *= 2
+        x *= np.float32(1 / math.sqrt(size))
+    return x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, by way of rows whose largest number is 1, so that no square overflows."""
     x = x.astype(np.float64)
@@ -106,9 +127,11 @@ def _linked(codes: Codes, x: np.ndarray, bits: np.ndarray, corrections: np.ndarr
     norm = np.linalg.norm(x, axis=1)
     number = codes.banded(bits)
     size = turns.shape[2]
-    signs = (np.unpackbits(bits[left], axis=2).astype(np.float32) * 2 - 1) / math.sqrt(size)
-    turned = np.einsum("nd,rds->nrs", unit[right], turns)
-    estimate = (np.einsum("ars,brs->rab", signs, turned) / corrections[left].T[:, :, None]).mean(axis=0)
+    estimate = np.zeros((len(left), len(right)), np.float32)
+    for r, signs in enumerate(turns):
+        codes_ = (np.unpackbits(bits[left, r], axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(size))
+        estimate += (codes_ @ _turned(unit[right], signs).T) / corrections[left, r, None]
+    estimate /= len(turns)
     spread = np.sqrt(np.mean((1 - corrections[left] ** 2) / corrections[left] ** 2, axis=1) / (size - 1) / codes.rotations)
     a, b = np.nonzero(estimate + SIGMAS * spread[:, None] >= codes.cosine)
     a, b = left[a], right[b]
@@ -121,10 +144,26 @@ def _linked(codes: Codes, x: np.ndarray, bits: np.ndarray, corrections: np.ndarr
     return a, b
 
 
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of n nodes that hangs together with a smaller one by the links, and the smallest such one."""
+    low = np.arange(n)
+    while True:
+        both = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, both)
+        np.minimum.at(new, b, both)
+        new = new[new]
+        if (new == low).all():
+            node = np.flatnonzero(low != np.arange(n))
+            return node, low[node]
+        low = new
+
+
 def _compare(codes: Codes):
-    """Rows in order of cell -> links. A cell is one pair of blocks of one bucket, at most 2 * BLOCK rows or so."""
+    """Rows in order of cell -> for each vector of a cell how many it is linked with there (a, m), and links (a, b) that keep
+    together what the cell's links do. A cell is one pair of blocks of one bucket, at most 2 * BLOCK rows or so."""
 
-    def pairs(cell: pa.Table, known: dict) -> pa.RecordBatch | None:
+    def told(cell: pa.Table, known: dict) -> pa.RecordBatch | None:
         x = np.asarray(cell["embedding"].combine_chunks().flatten()).reshape(cell.num_rows, -1)
         if x.shape[1] not in known:
             known[x.shape[1]] = codes.turns(x.shape[1])
@@ -138,12 +177,18 @@ def _compare(codes: Codes):
         if not len(a):
             return None
         rep, many = np.asarray(cell["rep"]), np.asarray(cell["many"])
-        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(many[a]), pa.array(many[b])], names=["a", "b", "many_a", "many_b"])
+        others = np.zeros(len(x), np.int64)
+        np.add.at(others, a, many[b])
+        np.add.at(others, b, many[a])
+        node, low = _forest(len(x), a, b)
+        has = np.flatnonzero(others)
+        ends = pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(rep[low], pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((rep[has], rep[node]))), ends, pa.array(np.concatenate((others[has], np.zeros(len(node), np.int64))))], names=["a", "b", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
         for cell in runs(batches, "key", "i", "j"):
-            if cell.num_rows > 1 and (out := pairs(cell, known)):
+            if cell.num_rows > 1 and (out := told(cell, known)):
                 yield out
 
     return run
@@ -156,7 +201,9 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", number) & F.exists("embedding", lambda x: x != 0)
     rows = stage(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "rows")
-    classes = stage(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
+    # a class of equal vectors has a number of its own; as it is written, the number stays
+    classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     codes = Codes(largest, cosine)
     coded = stage(classes.select("rep", F.xxhash64("label").alias("same"), "embedding").mapInArrow(_coded(codes), "rep long, bits binary, corrections binary, keys array<long>"), "coded")
@@ -165,12 +212,13 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     met = in_cells(keyed.join(shared, "key"), "key", "rep", F.col("n"), block).drop("n")
     full = met.join(coded.select("rep", "bits", "corrections").join(classes.select("rep", "embedding", "many"), "rep"), "rep")
     cells = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = stage(cells.select("key", "i", "j", "band", "block", "rep", "bits", "corrections", "embedding", "many").mapInArrow(_compare(codes), "a long, b long, many_a long, many_b long"), "links")
-    found = components(links)
-    both = links.select("a", F.col("many_b").alias("m")).unionByName(links.select(F.col("b").alias("a"), F.col("many_a").alias("m")))
-    counted = both.groupBy("a").agg(F.sum("m").alias("others"))
+    told = stage(cells.select("key", "i", "j", "band", "block", "rep", "bits", "corrections", "embedding", "many").mapInArrow(_compare(codes), "a long, b long, m long"), "told")
+    found = components(told.where("b is not null").select("a", "b"))
+    counted = told.where("b is null").groupBy("a").agg(F.sum("m").alias("others"))
     known = classes.join(counted, F.col("rep") == F.col("a"), "left").join(found, F.col("rep") == F.col("vertex"), "left")
-    known = known.select("label", "embedding", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("usable"))
+    known = stage(known.select("label", "embedding", "least", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component")), "known")
+    first = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(first, "component").select("label", "embedding", "n_links", "component_id", F.lit(True).alias("usable"))
     out = rows.join(known, ["usable", "label", "embedding"], "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
