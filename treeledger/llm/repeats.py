@@ -4,10 +4,12 @@ A string of `length` bytes belongs to the partition of its minimiser: the least
 inside it, which depends on its bytes alone. So equal strings meet. Runs of start places with one minimiser
 travel as one substring, and only minimisers that two documents share travel at all. Each partition
 sorts the suffixes of its distinct substrings in two stages, and equal neighbours in that order
-tell the smallest doc_id that holds each string.
+tell the smallest doc_id that holds each string. Occurrences stay out of that: they are rows of their own that are
+joined to the answers, so a passage that very many documents hold is a skewed join, which Spark splits.
 
 Defined results: a null text is empty. A row without doc_id comes after all others. Rows with the same doc_id do not
-take from each other, whether their texts are equal or not. Other columns of the input are not read.
+take from each other, whether their texts are equal or not. A very long text is cut like any other. Other columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from treeledger.llm.text import mix, passes, spans_hash
 LENGTH, SEED = 50, 16
 #: Text of the corpus for each partition of minimisers.
 PARTITION_BYTES = 5_000_000
-#: Occurrences whose places are looked up at once.
-STEP = 100_000
+#: Places beyond which a minimiser's runs are cut into single strings that are dealt by themselves.
+CROWDED = 20_000
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -67,21 +70,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
     return text[first], place[first], count, value[first]
 
 
-def _part(value: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partition of each minimiser and its number there."""
-    return ((value >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), value.astype(np.uint32)
-
-
-def _keys(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Documents of items that are in document order: (steps of ids, tags, number of items)."""
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    own = ids[doc[first]]
-    return np.diff(own, prepend=0).tobytes(), tags[doc[first]].astype(np.int32).tobytes(), np.diff(np.append(first, len(doc))).astype(np.uint32).tobytes()
-
-
-def _unkeyed(ids: bytes, tags: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.frombuffer(counts, np.uint32)
-    return np.repeat(np.cumsum(np.frombuffer(ids, np.int64)), counts), np.repeat(np.frombuffer(tags, np.int32), counts)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def _slices(first: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -90,154 +80,153 @@ def _slices(first: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(first, [*first[1:], n], strict=True)) if first else []
 
 
-def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def _held(length: int):
+    """id, tag, text -> value, low, high, n: each minimiser of some texts, the least and the greatest id that has it, and
+    how many places do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(_column(batch, "id"))
+            for row, data, offsets in passes(_column(batch, "text")):
+                text, _, _, value = _runs(data, offsets, length)
+                order = np.argsort(value, kind="stable")
+                value, own = value[order], ids[row + text[order]]
+                first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+                if len(first):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), pa.array(np.diff(np.append(first, len(value))))],
+                        names=["value", "low", "high", "n"],
+                    )
+
+    return run
 
 
-def _scatter(parts: int, length: int):
-    """id, tag, text -> part, minimisers of each document."""
+def _having(length: int):
+    """id, tag, text -> id, tag, value: the distinct minimisers of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ids, all_tags = (np.asarray(_column(batch, c)) for c in ("id", "tag"))
-            docs, values = [], []
             for row, data, offsets in passes(_column(batch, "text")):
                 text, _, _, value = _runs(data, offsets, length)
-                docs.append(text + row)
-                values.append(value)
-            doc, value = np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.uint64)])
-            part, number = _part(value, parts)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                at = order[bounds[p] : bounds[p + 1]]
-                if len(at):
-                    rows.append((p, number[at].tobytes(), *_keys(all_ids, all_tags, doc[at])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "numbers", "ids", "tags", "counts"])
+                order = np.lexsort((value, text))
+                text, value = text[order], value[order]
+                new = np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1]))[: len(text)]
+                at = pa.array(row + text[new])
+                yield pa.RecordBatch.from_arrays([_column(batch, "id").take(at), _column(batch, "tag").take(at), pa.array(value[new].view(np.int64))], names=["id", "tag", "value"])
 
     return run
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """The minimisers of one partition that two documents have: id, tag, part, numbers."""
-    number = np.concatenate([np.frombuffer(b, np.uint32) for b in frame["numbers"]])
-    keys = [_unkeyed(*k) for k in zip(frame["ids"], frame["tags"], frame["counts"], strict=True)]
-    ids, tags = (np.concatenate(k) for k in zip(*keys, strict=True))
-    order = np.lexsort((ids, number))
-    n, i = number[order], ids[order]
-    first = np.append(True, n[1:] != n[:-1])
-    group = np.cumsum(first) - 1
-    at = np.flatnonzero(first)
-    many = i[at] != i[np.append(at[1:], len(i)) - 1]
-    keep = order[many[group]]
-    keep = keep[np.lexsort((number[keep], tags[keep], ids[keep]))]
-    ids, tags, number = ids[keep], tags[keep], number[keep]
-    at = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    return pd.DataFrame({"id": ids[at], "tag": tags[at], "part": np.full(len(at), frame["part"].iloc[0]), "numbers": [number[a:b].tobytes() for a, b in _slices(at, len(ids))]})
+_CUT = "part long, sub long, least long, most long, data binary, id long, tag int, place int"
+_CUT_NAMES = ["part", "sub", "least", "most", "data", "id", "tag", "place"]
 
 
 def _cut_out(parts: int, length: int):
-    """id, tag, text, shared -> part, the distinct substrings of the runs whose minimiser is shared, and which of them
-    each document has where."""
+    """id, tag, text, shared -> the runs whose minimiser is shared: each distinct one of some texts once, as a substring with
+    the least and the greatest id there (place null), and each occurrence (data null).
+
+    A run of a minimiser that very many places have is cut into single strings, and these are dealt by their own hash:
+    what lies beside a passage that many documents hold differs in each of them, and would else be one partition's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_tags = (np.asarray(_column(batch, c)) for c in ("id", "tag"))
             shared = _column(batch, "shared")
-            out: dict[int, list] = {}
             for row, data, offsets in passes(_column(batch, "text")):
                 text, place, count, value = _runs(data, offsets, length)
-                part, number = _part(value, parts)
                 lists = shared.slice(row, len(offsets) - 1)
                 flat = lists.flatten()
                 owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-                blobs = flat.field("numbers").to_pylist()
-                of = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs])
-                have = np.unique(mix((owner[of].astype(np.uint64) << np.uint64(32)) + np.asarray(flat.field("part"))[of].astype(np.uint64)) ^ (np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                mine = mix((text.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)) ^ (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                at = np.flatnonzero(np.isin(mine, have))
-                at = at[np.argsort(part[at], kind="stable")]
-                spans = np.zeros(len(text), np.uint64)
-                spans[at] = spans_hash(data, offsets[text[at]] + place[at], offsets[text[at]] + place[at] + count[at] + length - 1)
-                for a, b in _slices(np.flatnonzero(np.append(True, part[at][1:] != part[at][:-1])[: len(at)]), len(at)):
-                    own = at[a:b]
-                    begin, size = offsets[text[own]] + place[own], count[own] + length - 1
-                    _, one, which = np.unique(spans[own], return_index=True, return_inverse=True)
-                    index = np.repeat(begin[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(size[one].sum())
-                    out.setdefault(int(part[own[0]]), []).append((spans[own][one], data[index], size[one], which, place[own], text[own] + row))
-            rows = []
-            for p, pieces in out.items():
-                spans, data, size, which, place, doc = map(list, zip(*pieces, strict=True))
-                first = np.cumsum([0, *map(len, spans)])
-                which = np.concatenate([w + n for w, n in zip(which, first[:-1], strict=True)])
-                spans, data, size, place, doc = (np.concatenate(c) for c in (spans, data, size, place, doc))
-                # once more over the passes of the batch
-                _, one, again = np.unique(spans, return_index=True, return_inverse=True)
-                index = np.repeat((np.cumsum(size) - size)[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(size[one].sum())
-                rows.append((p, data[index].tobytes(), (size[one] - length + 1).astype(np.uint8).tobytes(), again[which].astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), *_keys(all_ids, all_tags, doc)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "data", "sizes", "which", "places", "ids", "tags", "counts"])
+                crowded = np.asarray(flat.field("crowded")).astype(bool)
+                have = _paired(owner, np.asarray(flat.field("value")).view(np.uint64))
+                mine = _paired(text, value)
+                keep = np.isin(mine, have)
+                cut = keep & np.isin(mine, have[crowded])
+                text, place, count, value, cut = (x[keep] for x in (text, place, count, value, cut))
+                many = np.where(cut, count, 1)
+                nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                text, place, value, cut, count = (np.repeat(x, many) for x in (text, place, value, cut, count))
+                place, count = place + nth, np.where(cut, 1, count)
+                begin, size = offsets[text] + place, count + length - 1
+                sub = spans_hash(data, begin, begin + size)
+                part = (np.where(cut, mix(sub), value) >> np.uint64(32)) % np.uint64(parts)
+                yield from _sent(data, begin, size, part.astype(np.int64), sub.view(np.int64), all_ids[row + text], all_tags[row + text], place)
 
     return run
 
 
-def _repeated(length: int):
-    """One partition's substrings -> id, tag and the covered spans, by a suffix array over the distinct ones."""
+def _paired(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(text.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ value)
+
+
+def _sent(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: np.ndarray, sub: np.ndarray, ids: np.ndarray, tags: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(sub):
+        return
+    order = np.lexsort((sub, part))
+    first = np.flatnonzero(np.append(True, (part[order][1:] != part[order][:-1]) | (sub[order][1:] != sub[order][:-1])))
+    one = order[first]
+    n, nothing = len(one), pa.nulls
+    index = np.repeat(begin[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
+    blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size[one])).astype(np.int32)), pa.py_buffer(data[index])])
+    own = ids[order]
+    yield pa.RecordBatch.from_arrays([pa.array(part[one]), pa.array(sub[one]), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), blobs, nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.int32())], names=_CUT_NAMES)
+    n = len(sub)
+    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sub), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.binary()), pa.array(ids), pa.array(tags.astype(np.int32)), pa.array(place.astype(np.int32))], names=_CUT_NAMES)
+
+
+def _suffixes(length: int):
+    """One partition's substrings (sub, least, most, data) -> part, sub, lows: for each string that begins in it the smallest
+    id that holds it. Substrings that take nothing from any of their own documents are left out."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        data = np.frombuffer(b"".join(frame["data"]), np.uint8)
-        count = np.concatenate([np.frombuffer(b, np.uint8) for b in frame["sizes"]]).astype(np.int64)
-        place = np.concatenate([np.frombuffer(b, np.uint32) for b in frame["places"]]).astype(np.int64)
-        ids, tags = (np.concatenate(k) for k in zip(*[_unkeyed(*k) for k in zip(frame["ids"], frame["tags"], frame["counts"], strict=True)], strict=True))
-        size = count + length - 1
-        begin = np.cumsum(size) - size
-        _, one, same = np.unique(spans_hash(data, begin, begin + size), return_index=True, return_inverse=True)
-        # the distinct substring of each occurrence
-        sent = np.cumsum([0, *map(len, frame["sizes"])])
-        which = same[np.concatenate([np.frombuffer(b, np.uint32) + n for b, n in zip(frame["which"], sent[:-1], strict=True)])]
-        least = np.full(len(one), LAST)
-        np.minimum.at(least, which, ids)
-        # distinct substrings with a zero byte after each
-        width = size[one] + 1
+        sub, one, same = np.unique(frame["sub"].to_numpy(), return_index=True, return_inverse=True)
+        least, most = np.full(len(one), LAST), np.full(len(one), -1 - LAST)
+        np.minimum.at(least, same, frame["least"].to_numpy())
+        np.maximum.at(most, same, frame["most"].to_numpy())
+        blobs = frame["data"].to_numpy()[one]
+        # the distinct substrings, a zero byte after each
+        width = np.array([len(b) for b in blobs]) + 1
         base = np.cumsum(width) - width
-        text = np.zeros(int(width.sum()), np.uint8)
-        index = np.arange(int(size[one].sum())) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
-        text[np.repeat(base, size[one]) + index] = data[np.repeat(begin[one], size[one]) + index]
+        text = np.frombuffer(b"\0".join(blobs) + b"\0", np.uint8)
+        count = width - length
         owner = np.repeat(np.arange(len(one)), width)
-        starts = np.arange(len(text)) - base[owner] < count[one][owner]
+        starts = np.arange(len(text)) - base[owner] < count[owner]
         order = suffix_array(text, length)
         order = order[starts[order]]
         first = np.flatnonzero(equal_runs(text, order, length))
         lowest = np.full(len(text), LAST)
-        if len(order):
-            lowest[order] = np.repeat(np.minimum.reduceat(least[owner[order]], first), np.diff(np.append(first, len(order))))
-        items, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for from_ in range(0, len(which), STEP):
-            many = count[one][which[from_ : from_ + STEP]]
-            nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            item = np.repeat(np.arange(from_, from_ + len(many)), many)
-            hit = np.flatnonzero(lowest[base[which[item]] + nth] < ids[item])
-            items.append(item[hit])
-            ats.append(place[item[hit]] + nth[hit])
-        item, at = np.concatenate(items), np.concatenate(ats)
-        new = np.append(True, (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)) if len(item) else np.zeros(0, bool)
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(item)) - 1 if len(a) else a
-        item, start, end = item[a], at[a], at[z] + length
-        turn = np.lexsort((start, tags[item], ids[item]))
-        item, start, end = item[turn], start[turn], end[turn]
-        cut = np.flatnonzero(np.append(True, (ids[item][1:] != ids[item][:-1]) | (tags[item][1:] != tags[item][:-1]))) if len(item) else np.zeros(0, np.int64)
-        spans = np.stack((start, end), axis=1).astype(np.int64)
-        return pd.DataFrame({"id": ids[item][cut], "tag": tags[item][cut], "spans": [spans[p:q].tobytes() for p, q in _slices(cut, len(item))]})
+        lowest[order] = np.repeat(np.minimum.reduceat(least[owner[order]], first), np.diff(np.append(first, len(order))))
+        takes = np.flatnonzero(np.minimum.reduceat(np.where(starts, lowest, LAST), base) < most)
+        return pd.DataFrame({"part": np.full(len(takes), frame["part"].iloc[0]), "sub": sub[takes], "lows": [lowest[base[k] : base[k] + count[k]].tobytes() for k in takes.tolist()]})
+
+    return run
+
+
+def _covered(length: int):
+    """Occurrences (id, tag, place, lows) -> id, tag, start, end of the spans that an earlier document holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows = _column(batch, "lows")
+            many = np.asarray(pc.binary_length(lows)).astype(np.int64) // 8
+            low = np.frombuffer(b"".join(lows.to_pylist()), np.int64)
+            item = np.repeat(np.arange(batch.num_rows), many)
+            nth = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            ids, place = np.asarray(_column(batch, "id")), np.asarray(_column(batch, "place")).astype(np.int64)
+            hit = np.flatnonzero(low < ids[item])
+            item, at = item[hit], place[item[hit]] + nth[hit]
+            a = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1))[: len(item)])
+            z = np.append(a[1:], len(item)) - 1 if len(a) else a
+            own = pa.array(item[a])
+            yield pa.RecordBatch.from_arrays([_column(batch, "id").take(own), _column(batch, "tag").take(own), pa.array(at[a]), pa.array(at[z] + length)], names=["id", "tag", "start", "end"])
 
     return run
 
 
-def _union(blobs: list[bytes] | None) -> np.ndarray:
+def _union(found: list[dict] | None) -> np.ndarray:
     """Maximal spans (start, end) of overlapping or touching ones, in order."""
-    spans = np.frombuffer(b"".join(blobs or []), np.int64).reshape(-1, 2)
+    spans = np.array([(s["start"], s["end"]) for s in found or []], np.int64).reshape(-1, 2)
     if not len(spans):
         return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -291,12 +280,16 @@ class _Corpus:
         """id, tag, spans (what partitions found) of the documents that are no whole copies and lose something."""
         copies = small(stage(self.marked.where("copy").select("id", "tag").distinct(), "copies"))
         own = self.keyed.select("id", "tag", F.col("_text").alias("text")).join(copies, ["id", "tag"], "left_anti")
-        sent = own.mapInArrow(_scatter(self.parts, self.length), "part long, numbers binary, ids binary, tags binary, counts binary")
-        shared = sent.groupBy("part").applyInPandas(_shared, "id long, tag int, part long, numbers binary")
-        shared = stage(shared.groupBy("id", "tag").agg(F.collect_list(F.struct("part", "numbers")).alias("shared")), "shared")
-        cut = own.join(shared, ["id", "tag"]).mapInArrow(_cut_out(self.parts, self.length), "part long, data binary, sizes binary, which binary, places binary, ids binary, tags binary, counts binary")
-        found = cut.groupBy("part").applyInPandas(_repeated(self.length), "id long, tag int, spans binary")
-        return stage(found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans")), "spans")
+        held = own.mapInArrow(_held(self.length), "value long, low long, high long, n long")
+        held = held.groupBy("value").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
+        values = stage(held.select("value", (F.col("n") > CROWDED).alias("crowded")), "values")
+        having = own.mapInArrow(_having(self.length), "id long, tag int, value long").join(values, "value")
+        shared = stage(having.groupBy("id", "tag").agg(F.collect_list(F.struct("value", "crowded")).alias("shared")), "shared")
+        cut = stage(own.join(shared, ["id", "tag"]).mapInArrow(_cut_out(self.parts, self.length), _CUT), "cut")
+        lows = cut.where("data is not null").select("part", "sub", "least", "most", "data").groupBy("part").applyInPandas(_suffixes(self.length), "part long, sub long, lows binary")
+        hits = cut.where("data is null").select("part", "sub", "id", "tag", "place").join(lows, ["part", "sub"])
+        found = hits.select("id", "tag", "place", "lows").mapInArrow(_covered(self.length), "id long, tag int, start long, end long")
+        return stage(found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -330,7 +323,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the text that is left; bytes of a character cut in two go with it. n_chars follows, if there is one."""
     corpus = _Corpus(docs, length)
     whole = corpus.marked.where(F.col("copy") & (F.col("n_bytes") >= length))
-    found = stage(corpus.spans().withColumn("whole", F.lit(False)).unionByName(whole.select("id", "tag", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("whole"))).dropDuplicates(["id", "tag"]), "found")
+    found = stage(corpus.spans().withColumn("whole", F.lit(False)).unionByName(whole.select("id", "tag", F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(True).alias("whole"))).dropDuplicates(["id", "tag"]), "found")
     joined = corpus.keyed.join(found, ["id", "tag"], "left")
     text = F.when(F.coalesce("whole", F.lit(False)), F.lit("")).when(F.col("spans").isNotNull(), F.col("_text")).otherwise(F.col("_row.text"))
     rows = joined.select(*[F.col("_row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text.alias("text"), "spans")
