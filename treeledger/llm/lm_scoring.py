@@ -1,17 +1,24 @@
-"""Stupid-backoff language-model scores of documents, from counts over the same corpus.
+"""Stupid-backoff language-model scores of documents, from counts over the same corpus, as joins of tables.
 
-    S(w | v) = c(v w) / c(v)           if c(v w) >= MIN_COUNT
-             = ALPHA * c(w) / N        otherwise, and for the first word of a text, there without ALPHA
+    S(w | u v) = c(u v w) / c(u v)             if c(u v w) >= MIN_COUNT
+               = ALPHA * S(w | v)              otherwise
+    S(w)       = c(w) / N
 
-c counts over all documents, N is the number of words. Bigrams go to the partition of the hash of their first
-word, so a partition counts both c(v w) and c(v), and joins them to the bigrams of each document; what backs off
-goes on to the partition of its word in the unigram table. Scores are summed per document.
-A task sends each distinct bigram of its texts once, with the documents that hold it. The few words of more than
-half a partition's share have their counts broadcast, and their bigrams are dealt by both words.
+and so on for other orders; the first words of a text have as much context as there is. c counts over all documents, N is
+the number of words. A table of each order holds the n-grams that are counted often enough, dealt by hash, with
 
-Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z folded, told apart by 64-bit hashes.
+    gain(u v w) = ln c(u v w) / c(u v)  -  ln S(w | v)  -  ln ALPHA
+
+where the context and the shorter n-gram come by joins with the table of the order below (an n-gram counted twice has
+parts that are counted twice). An n-gram that isn't in the table backs off, so its document keeps what the shorter one gives:
+a document's score is the sum of ln S(w) over its words, of ln ALPHA for each step that its words could be backed off,
+and of the gains of its n-grams. Those are explodes of the texts, joined to the tables and summed by document.
+
+Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z folded. They are told apart by 64-bit hashes, and
+n-grams of documents meet the tables by 64-bit hashes of theirs.
 Defined results: a null or wordless text has 0 words, a log-score of 0 and a null mean. Repeated rows count as often
-as they come; rows with the same doc_id are one document. Other columns of the input are not read.
+as they come; rows with the same doc_id are one document. A very long text is one document like any other. Other columns
+of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,262 +27,133 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.staging import stage
-from treeledger.llm.text import mix, passes, word_hashes, words
-
-ALPHA, MIN_COUNT = 0.4, 2
-#: Bigram occurrences of a partition, words of a partition of the unigram table, documents whose sums travel together.
-PARTITION_WORDS, PARTITION_TYPES, SHARD_DOCS = 1_200_000, 200_000, 4000
-#: Bytes of text whose words or bigrams are gathered before they are sent.
-FLUSH_BYTES = 4_000_000
-_END = np.uint64(0)
-
-
-def _five(x: np.ndarray) -> bytes:
-    """The low five bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+from treeledger.llm.text import passes, word_hashes, words
 
-
-def _from_five(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys (the first counts most), and where groups begin in that order."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    return order, np.flatnonzero(new)
+#: n-grams counted once are left out of the tables: they say no more than that the words came there.
+ALPHA, MIN_COUNT, ORDER = 0.4, 2, 3
+#: Bytes of text whose n-grams are counted before they are sent.
+FLUSH_BYTES = 8_000_000
 
 
 def _hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Word hashes and their rows."""
+    """Word hashes, their rows, and how many bytes were read."""
     for row, data, offsets in passes(column):
         starts, ends, first = words(data, offsets)
-        h = word_hashes(data, starts, ends)
-        yield h, row + np.repeat(np.arange(len(offsets) - 1), np.diff(first)), len(data)
-
-
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted(held: list) -> pa.RecordBatch:
-        word, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "count"])
+        yield word_hashes(data, starts, ends).view(np.int64), row + np.repeat(np.arange(len(offsets) - 1), np.diff(first)), len(data)
 
-    for batch in batches:
-        held, size = [], 0
-        for h, _, n in _hashes(batch.column(0)):
-            held.append(h)
-            size += n
-            if size > FLUSH_BYTES:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
 
+def _grams(h: np.ndarray, row: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each n-gram, a column each, and its row."""
+    n = max(0, len(h) - order + 1)
+    inside = row[:n] == row[order - 1 : order - 1 + n]
+    return [h[i : i + n][inside] for i in range(order)], row[:n][inside]
 
-class Layout:
-    """How words and bigrams are numbered and dealt."""
 
-    def __init__(self, total: int, types: int, docs: int, heavy: dict[int, int]) -> None:
-        self.total = total
-        self.shards = max(1, math.ceil(docs / SHARD_DOCS))
-        self.parts = max(8, math.ceil(total / PARTITION_WORDS))
-        self.tables = max(1, math.ceil(types / PARTITION_TYPES))
-        self.words = np.array(sorted(heavy), np.uint64)
-        self.counts = np.array([heavy[w] for w in sorted(heavy)], np.int64)
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        """40 bits that with the partition tell a word."""
-        return h >> np.uint64(24)
-
-    def part(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        own = v & np.uint64(0xFFFFFF)
-        return (np.where(np.isin(v, self.words), mix(v ^ mix(w)), own) % np.uint64(self.parts)).astype(np.int64)
+def _counted_runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and how often each comes."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
-    def table(self, h: np.ndarray) -> np.ndarray:
-        return ((h & np.uint64(0xFFFFFF)) % np.uint64(self.tables)).astype(np.int64)
 
+def _names(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order)]
 
-def _sums(layout: Layout, ids: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """(shard, none of a table, no word, sums, ids) of distinct ids, a row a shard."""
-    shard = (mix(ids.view(np.uint64)) % np.uint64(layout.shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    shard, ids, value = shard[order], ids[order], value[order]
-    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(ids) else np.zeros(0, np.int64)
-    return [(int(shard[a]), -1, None, value[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(first, [*first[1:], len(ids)], strict=False)]
 
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-_SENT = "part long, first binary, pairs binary, second binary, place binary, many binary, doc binary, ids binary"
 
+def _counts(order: int):
+    """text -> n-grams of some texts and how often each comes there."""
 
-def _send(layout: Layout):
-    """doc_id, text -> for each partition the distinct bigrams of some texts and the documents of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    def rows(v: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        part, a, b = layout.part(v, w), layout.number(v), layout.number(w)
-        place = layout.table(w)
-        order, first = _groups(part, a, b, place)
-        part, a, b, place, doc = part[order], a[order], b[order], place[order], doc[order]
-        many = np.diff(np.append(first, len(part)))
-        part, a, b, place = part[first], a[first], b[first], place[first]
-        cut = np.searchsorted(part, np.arange(layout.parts + 1))
-        ends = np.append(first, len(doc))
-        out = []
-        for p in range(layout.parts):
-            s, e = cut[p], cut[p + 1]
-            if s < e:
-                own = a[s:e]
-                new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                out.append((p, _five(own[new]), np.diff(np.append(new, e - s)).astype(np.uint32).tobytes(), _five(b[s:e]), place[s:e].astype(np.uint16).tobytes(), many[s:e].astype(np.uint32).tobytes(), doc[ends[s] : ends[e]].astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), np.diff(ids, prepend=0).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "first", "pairs", "second", "place", "many", "doc", "ids"])
+        def told() -> pa.RecordBatch:
+            found, n = _counted_runs([np.concatenate(c) for c in zip(*held, strict=True)])
+            return _batch([*found, n], [*_names(order), "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            held, size = [], 0
-            for h, row, n in _hashes(batch.column(1)):
-                if not len(h):
-                    continue
-                # before each text's first word stands the end mark, which is never counted as a word
-                first = np.append(True, row[1:] != row[:-1])
-                held.append((np.concatenate((h, np.full(int(first.sum()), _END))), np.concatenate((np.append(h[1:], _END), h[first])), np.concatenate((row, row[first]))))
-                last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
-                held[-1][1][last] = _END
-                size += n
+            for h, row, read in _hashes(batch.column(0)):
+                held.append(_grams(h, row, order)[0])
+                size += read
                 if size > FLUSH_BYTES:
-                    yield self_rows(held, ids)
+                    yield told()
                     held, size = [], 0
-            if held:
-                yield self_rows(held, ids)
-
-    def self_rows(held: list, ids: np.ndarray) -> pa.RecordBatch:
-        v, w, row = (np.concatenate(x) for x in zip(*held, strict=True))
-        low = int(row.min())
-        return rows(v, w, row - low, ids[low : int(row.max()) + 1])
-
-    return run
-
-
-_SCORED = "shard long, place long, word binary, many binary, ids binary"
-_NAMES = ["shard", "place", "word", "many", "ids"]
-
-
-def _score(layout: Layout, min_count: int):
-    """A partition's bigrams -> score of each document from those that are kept, and what backs off, by table."""
-    end = int(layout.number(np.array([_END]))[0])
-    heavy = dict(zip(layout.number(layout.words).tolist(), layout.counts.tolist(), strict=True))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, place, many, doc = [], [], [], [], []
-        for r in frame.itertuples():
-            own = _from_five(r.first)
-            a.append(np.repeat(own, np.frombuffer(r.pairs, np.uint32)))
-            b.append(_from_five(r.second))
-            place.append(np.frombuffer(r.place, np.uint16))
-            many.append(np.frombuffer(r.many, np.uint32))
-            ids = np.cumsum(np.frombuffer(r.ids, np.int64))
-            doc.append(ids[np.frombuffer(r.doc, np.uint16 if len(ids) < 65536 else np.uint32)])
-        a, b, place, many, doc = (np.concatenate(x) for x in (a, b, place, many, doc))
-        many = many.astype(np.int64)
-        word, at = np.unique(a, return_inverse=True)
-        alone = np.bincount(at, weights=many, minlength=len(word))
-        for i, w in enumerate(word.tolist() if heavy else []):
-            if w in heavy:
-                alone[i] = heavy[w]
-        order, first = _groups(at, b, place)
-        group = np.empty(len(order), np.int64)
-        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        together = np.bincount(group, weights=many)[group]
-        kept = (together >= min_count) & (a != end) & (b != end)
-        back = ~kept & (b != end)
-        value = np.where(kept, np.log(np.maximum(together, 1)) - np.log(np.maximum(alone[at], 1)), 0.0) + np.where(back & (a != end), math.log(ALPHA), 0.0)
-        value, occurrence = np.repeat(value, many), np.repeat(back, many)
-        ids, which = np.unique(doc, return_inverse=True)
-        out = _sums(layout, ids, np.bincount(which, weights=value, minlength=len(ids)))
-        if back.any():
-            word, table, n, doc = b[back], place[back], many[back], doc[occurrence]
-            item = np.repeat(np.arange(len(word)), n)
-            order, first = _groups(table[item], word[item], doc)
-            table, word, doc = table[item][order], word[item][order], doc[order]
-            for t in np.unique(table).tolist():
-                s, e = np.searchsorted(table, [t, t + 1])
-                own = word[s:e]
-                new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                out.append((-1, t, _five(own[new]), np.diff(np.append(new, e - s)).astype(np.uint32).tobytes(), doc[s:e].tobytes()))
-        return pd.DataFrame(out, columns=_NAMES)
-
-    return run
-
-
-def _back_off(layout: Layout):
-    """One table's words (many null: ids hold the counts) and those who ask for them -> sums of documents."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        is_table = frame["many"].isna()
-        word = np.concatenate([_from_five(b) for b in frame.loc[is_table, "word"]])
-        count = np.concatenate([np.frombuffer(b, np.int64) for b in frame.loc[is_table, "ids"]])
-        order = np.argsort(word)
-        word, value = word[order], np.log(count[order]) - math.log(layout.total)
-        asked = frame[~is_table]
-        doc, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for w, n, ids in zip(asked["word"], asked["many"], asked["ids"], strict=True):
-            got = np.repeat(value[np.searchsorted(word, _from_five(w))], np.frombuffer(n, np.uint32))
-            own, which = np.unique(np.frombuffer(ids, np.int64), return_inverse=True)
-            doc.append(own)
-            score.append(np.bincount(which, weights=got))
-        doc, which = np.unique(np.concatenate(doc), return_inverse=True)
-        return pd.DataFrame(_sums(layout, doc, np.bincount(which, weights=np.concatenate(score), minlength=len(doc))), columns=_NAMES)
+        if held:
+            yield told()
 
     return run
 
 
-def _total(frame: pd.DataFrame) -> pd.DataFrame:
-    """One shard's sums -> one row a document."""
-    doc, which = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in frame["ids"]]), return_inverse=True)
-    value = np.concatenate([np.frombuffer(b, np.float64) for b in frame["many"]])
-    return pd.DataFrame({"doc_id": doc, "log_score": np.bincount(which, weights=value)})
-
-
-def _tabled(layout: Layout):
-    """word, count -> rows of each table."""
+def _by_document(order: int):
+    """doc_id, text -> the distinct n-grams of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, count = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-            place = layout.table(word)
-            out = [(int(t), _five(layout.number(word[place == t])), count[place == t].astype(np.int64).tobytes()) for t in np.unique(place)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["place", "word", "ids"])
+            ids = np.asarray(batch.column(0))
+            for h, row, _ in _hashes(batch.column(1)):
+                columns, own = _grams(h, row, order)
+                (own, *columns), n = _counted_runs([own, *columns])
+                yield _batch([ids[own], *columns, n], ["doc_id", *_names(order), "n"])
 
     return run
 
 
-def language_model_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score: one row per row of docs (doc_id, text)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    unigrams = stage(docs.select("text").mapInArrow(_unigrams, "word long, count long").groupBy("word").agg(F.sum("count").alias("count")), "unigrams")
-    total, types = unigrams.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    share = total / (2 * max(8, math.ceil(total / PARTITION_WORDS)))
-    # fewer than 2 x partitions words can have more than that share
-    heavy = {r[0] & (1 << 64) - 1: r[1] for r in unigrams.where(F.col("count") > share).collect()}
-    layout = Layout(total, types, docs.count(), heavy)
-    found = stage(docs.mapInArrow(_send(layout), _SENT).groupBy("part").applyInPandas(_score(layout, min_count), _SCORED), "found")
-    asked = found.where("place >= 0").select("place", "word", "many", "ids")
-    tables = unigrams.mapInArrow(_tabled(layout), "place long, word binary, ids binary").select("place", "word", F.lit(None).cast("binary").alias("many"), "ids")
-    backed = asked.unionByName(tables).groupBy("place").applyInPandas(_back_off(layout), _SCORED)
-    sums = found.where("place < 0").unionByName(backed).select("shard", "many", "ids")
-    scores = sums.groupBy("shard").applyInPandas(_total, "doc_id long, log_score double")
-    counted = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(scores, "doc_id", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0)))
-    same = F.sum("n_words").over(Window.partitionBy("doc_id"))
-    out = out.withColumn("all_words", same)
-    return out.select(F.nullif(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("all_words").alias("n_words"), "log_score", F.when(F.col("all_words") > 0, F.col("log_score") / F.col("all_words")).alias("mean_log_score"))
+def _typed(order: int) -> str:
+    return ", ".join(f"{w} long" for w in _names(order))
+
+
+def _tables(docs: DataFrame, order: int, min_count: int) -> list[DataFrame]:
+    """For each order 1, 2, ... its n-grams: words, n, score (ln of their probability, without back-off), gain."""
+    counted = lambda k: docs.select("text").mapInArrow(_counts(k), f"{_typed(k)}, n long").groupBy(*_names(k)).agg(F.sum("n").alias("n"))
+    one = stage(counted(1), "words")
+    total = one.agg(F.sum("n")).first()[0] or 1
+    score = F.ln("n") - F.lit(math.log(total))
+    tables = [stage(one.select("w0", "n", score.alias("score"), score.alias("gain")), "order1")]
+    for k in range(2, order + 1):
+        often = stage(counted(k).where(F.col("n") >= min_count), f"often{k}")
+        below = tables[-1]
+        context = below.select(*_names(k - 1), F.col("n").alias("context"))
+        shorter = below.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(k - 1)], F.col("score").alias("shorter"))
+        both = often.join(context, _names(k - 1)).join(shorter, _names(k)[1:])
+        score = F.ln("n") - F.ln("context")
+        tables.append(stage(both.select(*_names(k), "n", score.alias("score"), (score - F.col("shorter") - F.lit(math.log(ALPHA))).alias("gain")), f"order{k}"))
+    return tables
+
+
+def language_model_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score: one row per row of docs (doc_id, text). min_count: 2 or more."""
+    if min_count < 2 or order < 1:
+        raise ValueError("min_count must be at least 2, order at least 1")
+    nobody = F.lit(-(1 << 63))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc_id"), "text")
+    parts = []
+    for k, table in enumerate(_tables(docs, order, min_count), 1):
+        key = F.xxhash64(*_names(k)) if k > 1 else F.col("w0")
+        own = docs.mapInArrow(_by_document(k), f"doc_id long, {_typed(k)}, n long").select("doc_id", key.alias("key"), "n")
+        met = own.join(table.select(key.alias("key"), "gain"), "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("x"))
+        parts.append(stage(met, f"gains{k}"))
+    gains = parts[0]
+    for p in parts[1:]:
+        gains = gains.unionByName(p)
+    gains = gains.groupBy("doc_id").agg(F.sum("x").alias("x"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    # word i of a text can be backed off min(i, order - 1) times
+    steps = F.when(F.col("own_words") >= order, (order - 1) * (F.col("own_words") - order) + order * (order - 1) / 2).otherwise(F.col("own_words") * (F.col("own_words") - 1) / 2)
+    counted = docs.select("doc_id", n_words.alias("own_words")).withColumn("steps", steps)
+    sums = counted.groupBy("doc_id").agg(F.sum("own_words").alias("n_words"), F.sum("steps").alias("steps"))
+    scores = sums.join(gains, "doc_id", "left").select("doc_id", "n_words", (F.coalesce("x", F.lit(0.0)) + F.col("steps") * math.log(ALPHA)).alias("log_score"))
+    out = docs.select("doc_id").join(scores, "doc_id")
+    return out.select(F.nullif(F.col("doc_id"), nobody).alias("doc_id"), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

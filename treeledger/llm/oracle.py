@@ -8,10 +8,11 @@ r AS (SELECT id, id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.i
 c AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1)"""
 
 LM_SCORES = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-t AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS v FROM d),
-one AS (SELECT w, count(*) AS n FROM t GROUP BY 1), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
-s AS (SELECT t.doc_id, CASE WHEN two.n >= 2 THEN ln(two.n) - ln(h.n) ELSE ln(one.n) - ln((SELECT count(*) FROM t)) + CASE WHEN t.v IS NULL THEN 0 ELSE ln(0.4) END END AS x
-  FROM t JOIN one ON one.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN one h ON h.w = t.v),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS v, unnest(list_concat([NULL, NULL], ws[:-3])[:len(ws)]) AS u FROM d),
+one AS (SELECT w, count(*) AS n FROM t GROUP BY 1), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL), three AS (SELECT u, v, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL),
+s AS (SELECT t.doc_id, CASE WHEN three.n >= 2 THEN ln(three.n) - ln(g.n) WHEN two.n >= 2 THEN ln(two.n) - ln(h.n) + CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END
+  ELSE ln(one.n) - ln((SELECT count(*) FROM t)) + CASE WHEN t.v IS NULL THEN 0 WHEN t.u IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS x
+  FROM t JOIN one ON one.w = t.w LEFT JOIN three ON three.u = t.u AND three.v = t.v AND three.w = t.w LEFT JOIN two g ON g.v = t.u AND g.w = t.v LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN one h ON h.w = t.v),
 g AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 4) AS log_score, round(CASE WHEN len(ws) > 0 THEN x / len(ws) END, 4) AS mean_log_score FROM d LEFT JOIN g USING (doc_id)"""
 
