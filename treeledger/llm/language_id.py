@@ -1,13 +1,14 @@
 """Language of documents from a linear-chain conditional random field over words.
 
 Every word is labelled by forward-backward over the whole text, so code-switched passages keep their own
-language; learned transitions make switches rare. State features are affixes and
-character n-grams (hashed) and the words of a learned lexicon. The document gets the
-language with most posterior mass; the score is that share.
+language. Transitions are learned from labelled texts and from sequences that switch from one such text to one of
+another language. State features are affixes and character n-grams (hashed) and the words of a learned lexicon. A
+run of letters of more than WIDTH counts as several words, so a text without spaces is read whole.
+Neighbours with one label make a span. The document gets the language with most posterior mass; the score is that share.
 
-Defined results: a null text or one without letters is `und` with score 0. If no row teaches a
+Defined results: a null text or one without letters is `und` with score 0 and no spans. If no row teaches a
 language, everything is `und`. Ties go to the language that sorts first. Rows are independent,
-so repeats change nothing. Other columns of the input are not read.
+so repeats change nothing. A very long text is one sequence like any other. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from treeledger.llm.staging import small, stage
 from treeledger.llm.text import LETTER, point_classes, spans_hash
 
-#: At most so many labelled documents of each language are fitted on.
-SAMPLE = 150
+#: At most so many labelled documents of each language are fitted on, and of each so many code points.
+SAMPLE, READ = 150, 100_000
 #: Words of the lexicon for each language, and hashed features.
 LEXICON, BUCKETS = 400, 1 << 15
-#: Affixes and n-grams are of the first and last so many letters of a word.
+#: Letters of a word at most.
 WIDTH = 14
 EPOCHS, RATE, RIDGE, WINDOW = 30, 0.15, 1e-6, 64
+#: Of so many windows of a text one also begins a sequence that goes on with a window of another language.
+SWITCHED = 4
 #: A task forgets the emissions of words beyond so many.
 REMEMBERED = 1_000_000
 #: Words of a segment that runs beside the other segments of its text.
@@ -65,16 +68,23 @@ class Model:
         return self.rows[np.searchsorted(self.known, keys)]
 
 
+def _lower(text: str) -> str:
+    """In lower case, a code point for a code point: a letter that would become two stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def _words(texts: list[str]):
-    """Points of the joined texts, starts and ends of the runs of letters, number of them in each text."""
-    joined = "\n".join(texts).lower()
-    if len(joined) != sum(map(len, texts)) + len(texts) - 1:  # some letters grow in lower case
-        texts = [t.lower() for t in texts]
-        joined = "\n".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Points of the joined texts, starts and ends of their words, number of words of each text."""
+    points = np.frombuffer("\n".join(map(_lower, texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = np.concatenate(([False], point_classes()[points] == LETTER, [False])).view(np.int8)
     edge = np.flatnonzero(np.diff(letter))
     starts, ends = edge[0::2], edge[1::2]
+    pieces = -(-(ends - starts) // WIDTH)
+    if len(pieces) and pieces.max() > 1:
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, ends = np.repeat(starts, pieces) + nth * WIDTH, np.repeat(ends, pieces)
+        ends = np.minimum(ends, starts + WIDTH)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
     return points, starts, ends, np.diff(bounds)
 
@@ -176,23 +186,44 @@ def _posteriors(emission: np.ndarray, length: np.ndarray, step: np.ndarray, star
             product[on] = p / p.sum(axis=(1, 2), keepdims=True)
         place = np.full(len(text) + 1, -1)
         place[long] = np.arange(len(long))
+        # texts by falling number of segments: those with more than i are the first ones
+        turn = np.argsort(-parts, kind="stable")
+        begins = (np.cumsum(parts) - parts)[turn]
+        going = np.searchsorted(-parts[turn], -np.arange(int(parts.max()) + 1), side="left")
         for i in range(int(parts.max()) - 1):
-            at = np.flatnonzero((number == i) & (parts[text] > i + 1))
+            at = begins[: going[i + 1]] + i
             left[at + 1] = _scaled(np.einsum("ni,nij->nj", left[at], product[place[at]])) @ step
         for i in range(int(parts.max()) - 1, 0, -1):
-            at = np.flatnonzero(number == i)
+            at = begins[: going[i]] + i
             right[at - 1] = _scaled(np.einsum("nij,nj->ni", product[place[at]], right[at])) @ step.T
     return _marginals(e, size, step, left, right)[0]
 
 
+def _sequences(count: np.ndarray, lang: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (by number) of training sequences and the length of each: windows of the texts, and windows that go over to
+    one of the next language in the middle. count, lang: words and label of each text."""
+    begin = np.cumsum(count) - count
+    windows = [[(b + i, min(WINDOW, c - i)) for i in range(0, c, WINDOW)] for b, c in zip(begin.tolist(), count.tolist(), strict=True)]
+    plain = [np.arange(b, b + n) for own in windows for b, n in own]
+    full = [[w for own, label in zip(windows, lang.tolist(), strict=True) if label == j for w in own[::SWITCHED] if w[1] == WINDOW] for j in range(k)]
+    switched = []
+    for j in range(k):
+        for (a, n), (b, m) in zip(full[j], full[(j + 1) % k], strict=False) if k > 1 else ():
+            switched.append(np.concatenate((np.arange(a, a + n // 2), np.arange(b + m // 2, b + m))))
+            switched.append(np.concatenate((np.arange(b, b + m // 2), np.arange(a + n // 2, a + n))))
+    every = plain + switched
+    return np.concatenate([*every, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in every], np.int64)
+
+
 def fit(texts: list[str], langs: list[str]) -> Model | None:
-    """A model from whole texts and the language of each."""
+    """A model from texts and the language of each."""
     labels = sorted(set(langs))
     if not labels:
         return None
     points, starts, ends, count = _words(texts)
     keys, where, which = np.unique(spans_hash(points, starts, ends), return_index=True, return_inverse=True)
-    gold = np.repeat([labels.index(x) for x in langs], count)
+    lang = np.array([labels.index(x) for x in langs])
+    gold = np.repeat(lang, count)
     k = len(labels)
     seen = np.bincount(which * k + gold, minlength=len(keys) * k).reshape(-1, k)
     lexicon = np.unique(keys[np.concatenate([np.lexsort((keys, -seen[:, j]))[:LEXICON] for j in range(k)])]) if len(keys) else keys
@@ -200,7 +231,8 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     rows = BUCKETS + 1 + len(lexicon) + 1
     fixed = [BUCKETS, rows - 1]
     weights = [np.zeros((rows, k)), np.zeros((k, k)) + np.eye(k), np.zeros(k)]
-    length = np.concatenate([[min(WINDOW, c - i) for i in range(0, c, WINDOW)] for c in count] or [[]]).astype(np.int64)
+    at, length = _sequences(count, lang, k)
+    which, gold = which[at], gold[at]
     first = np.cumsum(length) - length
     hot = np.eye(k)[gold]
     inner = np.ones(len(gold), bool)
@@ -228,39 +260,66 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     return Model(labels, lexicon, weights[0].astype(np.float32), np.exp(weights[1]).astype(np.float32), np.exp(weights[2]).astype(np.float32))
 
 
-def label(model: Model, texts: list[str]) -> np.ndarray:
-    """Posterior mass of each language in each text, and 0 where there is no letter."""
-    out = np.zeros((len(texts), len(model.labels)))
+@dataclass
+class Labelled:
+    """Posterior mass of each language in each text (0 without letters), and the spans of one label: text, place in it
+    (code points), label, mean posterior."""
+
+    mass: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    label: np.ndarray
+    score: np.ndarray
+
+
+def label(model: Model, texts: list[str]) -> Labelled:
+    mass = np.zeros((len(texts), len(model.labels)))
     size = np.cumsum([len(t) + 1 for t in texts])
-    emission, counts, begin, at = [], [], 0, 0
+    held, begin, at, spans = [], 0, 0, [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
     while at < len(texts):
-        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PASS, side="right")) - at)
+        before = size[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(size, before + PASS, side="right")) - at)
         points, starts, ends, count = _words(texts[at : at + n])
         keys, where, which = np.unique(spans_hash(points, starts, ends), return_index=True, return_inverse=True)
-        emission.append(model.emissions(keys, points, starts[where], ends[where])[which])
-        counts.append(count)
+        shift = np.repeat(np.concatenate(([0], size[at : at + n - 1] - before)), count)
+        held.append((model.emissions(keys, points, starts[where], ends[where])[which], count, starts - shift, ends - shift))
         at += n
-        if at == len(texts) or sum(map(len, emission)) > TOGETHER:
-            length = np.concatenate(counts)
+        if at == len(texts) or sum(len(h[0]) for h in held) > TOGETHER:
+            emission, length, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
             has = length > 0
             if has.any():
-                post = _posteriors(np.concatenate(emission), length[has], model.step, model.start)
-                out[begin:at][has] = np.add.reduceat(post.astype(np.float64), (np.cumsum(length) - length)[has], axis=0)
-            emission, counts, begin = [], [], at
-    return out
+                post = _posteriors(emission, length[has], model.step, model.start)
+                mass[begin:at][has] = np.add.reduceat(post.astype(np.float64), (np.cumsum(length) - length)[has], axis=0)
+                spans.append(_spans(post, begin + np.repeat(np.arange(len(length)), length), start, end))
+            held, begin = [], at
+    return Labelled(mass, *(np.concatenate(x) for x in zip(*spans, strict=True)))
+
+
+def _spans(post: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Runs of words of one text with one label: text, start, end, label, mean posterior."""
+    best = post.argmax(axis=1)
+    first = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (text[1:] != text[:-1])))
+    last = np.append(first[1:], len(best)) - 1
+    sums = np.add.reduceat(post[np.arange(len(best)), best].astype(np.float64), first)
+    return [text[first], start[first], end[last], best[first], sums / (last - first + 1)]
+
+
+_SPAN = "array<struct<start:long,end:long,lang:string,score:double>>"
 
 
 def _labeller(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            else:
-                mass = label(model, [t or "" for t in batch.column(1).to_pylist()])
-                total = mass.sum(axis=1)
-                lang = [model.labels[j] if n else UNKNOWN for j, n in zip(mass.argmax(axis=1), total, strict=True)]
-                score = np.clip(mass.max(axis=1) / np.maximum(total, 1e-300), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            n = batch.num_rows
+            found = label(model, [t or "" for t in batch.column(1).to_pylist()]) if model else Labelled(np.zeros((n, 1)), *[np.zeros(0, np.int64)] * 4, np.zeros(0))
+            names = pa.array([*(model.labels if model else []), UNKNOWN])
+            total = found.mass.sum(axis=1)
+            lang = names.take(pa.array(np.where(total > 0, found.mass.argmax(axis=1), len(names) - 1)))
+            score = np.clip(found.mass.max(axis=1) / np.maximum(total, 1e-300), 0, 1)
+            each = pa.StructArray.from_arrays([pa.array(found.start), pa.array(found.end), names.take(pa.array(found.label)), pa.array(np.clip(found.score, 0, 1))], names=["start", "end", "lang", "score"])
+            cut = np.searchsorted(found.text, np.arange(n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lang, pa.array(score), pa.array(np.maximum(np.diff(cut) - 1, 0).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), each)], names=["doc_id", "lang_pred", "score", "n_switches", "spans"])
 
     return run
 
@@ -273,12 +332,13 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # about twice the sample of each language passes by its hash, so no language is ranked whole
     some = rows.join(many, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.lit(2_000_006.0 * sample + 20e6) / F.col("count"))
     ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("n") <= sample)
-    found = ranked.select("lang", "n", "text").toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
+    found = ranked.select("lang", "n", F.substring("text", 1, READ).alias("text")).toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
     return fit(found["text"].to_pylist(), found["lang"].to_pylist())
 
 
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang). One pass, no shuffle of texts."""
+    """doc_id, held_out, lang_pred, score, n_switches, spans (start and end in code points, lang, mean posterior of the words)
+    for every row of docs (doc_id, text, lang). One pass, no shuffle of texts."""
     model = learned(docs, sample)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_labeller(model), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_labeller(model), f"doc_id long, lang_pred string, score double, n_switches long, spans {_SPAN}")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_switches", "spans")
