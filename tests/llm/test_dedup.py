@@ -13,7 +13,7 @@ import pytest
 from treeledger.llm import repeats
 from treeledger.llm.cells import runs
 from treeledger.llm.components import components
-from treeledger.llm.embedding_dedup import similar_vectors
+from treeledger.llm.embedding_dedup import _forest, similar_vectors
 from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.minhash import near_duplicates, unique_documents
 from treeledger.llm.repeats import deduplicated, without_repeats
@@ -224,18 +224,73 @@ def test_runs_cross_batches():
     assert [t["k"].to_pylist() for t in runs(iter(batches), "k")] == [[1, 1, 1], [2, 2], [3]]
 
 
-def test_batches_send_a_shared_passage_once():
+def test_crowded_minimisers_are_cut_into_single_strings(spark, monkeypatch):
+    """Many documents hold one passage between texts of their own; the result is the same wherever the bound lies."""
+    rng = random.Random(8)
+    words = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, other = words(300), words(70)
+    rows = [(i, words(40) + passage[rng.randrange(20) : 300 - rng.randrange(20)] + words(30) + (other if i % 3 else "")) for i in range(150)] + [(200, passage), (201, passage), (202, other)]
+    want = cut(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded, size in ((5, 1000), (10**6, 10**6), (0, 5000)):
+        monkeypatch.setattr(repeats, "CROWDED", crowded)
+        monkeypatch.setattr(repeats, "PARTITION_BYTES", size)
+        assert sorted((tuple(r) for r in deduplicated(docs).collect()), key=key) == want
+
+
+def test_a_batch_sends_a_shared_passage_once():
     n, passage = 2000, "".join(random.Random(8).choices("abcdefgh ", k=400))
-    batch = pa.table({"id": np.arange(n), "tag": np.zeros(n, np.int32), "text": [f"{i:09d}{passage}{i:09d}" for i in range(n)]}).to_batches()[0]
-    shared = repeats._shared(next(repeats._scatter(1, 50)(iter([batch]))).to_pandas())
-    found = dict(zip(shared["id"], shared[["part", "numbers"]].to_dict("records"), strict=True))
-    lists = pa.array([[found[i]] if i in found else [] for i in range(n)], pa.list_(pa.struct([("part", pa.int64()), ("numbers", pa.binary())])))
-    sent = next(repeats._cut_out(1, 50)(iter([pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "tag", "text", "shared"])]))).to_pandas()
-    inner = sum(len(x) for x in sent["which"]) // 4
-    assert inner >= 5 * n
-    # runs at the edges of the passage hold what is beside it and differ
-    assert 1 <= sent["data"].map(lambda d: d.count(passage.encode()[180:230])).sum() <= 3
-    found = repeats._repeated(50)(sent)
-    assert sorted(found["id"]) == list(range(1, n))
-    # numbers that begin or end alike are covered too
-    assert all(start <= 9 and end >= 409 for b in found["spans"] for start, end in repeats._union([b]))
+    texts = pa.array([f"{i:09d}{passage}{i:09d}" for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32)), texts], names=["id", "tag", "text"])
+    held = pa.Table.from_batches(list(repeats._held(50)(iter([batch])))).to_pandas()
+    values = [{"value": v, "crowded": False} for v in held[held["low"] < held["high"]]["value"]]
+    shared = pa.array([values] * n, pa.list_(pa.struct([("value", pa.int64()), ("crowded", pa.bool_())])))
+    sent = pa.Table.from_batches(list(repeats._cut_out(1, 50)(iter([pa.RecordBatch.from_arrays([*batch.columns, shared], names=["id", "tag", "text", "shared"])])))).to_pandas()
+    inner = sent["data"].dropna().map(lambda d: d.count(passage.encode()[180:230])).sum()
+    assert 1 <= inner <= 3
+    assert sent["place"].notna().sum() >= 5 * n
+
+
+def complement_pairs(letters, sizes=(1024, 4096)):
+    """Words that a hash by sums of powers can't tell apart."""
+    for a, b in letters:
+        bits = [0]
+        for n in sizes:
+            while len(bits) < n:
+                bits += [1 - x for x in bits]
+            yield "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_complementary_words_are_different(spark):
+    rows = [(i, w) for i, w in enumerate(w for pair in complement_pairs(("ab", "xe")) for w in pair)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
+def test_unequal_texts_with_one_id(spark):
+    """Every id stands for two texts, each of them near to one of another id."""
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(80)]
+    rows = [(i // 2, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*t[:-2], "new", "end"])) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect())
+    assert [c for d, _, c, _ in got if d >= 1000] == [i // 2 for i in range(80)]
+    assert all(c == d for d, _, c, _ in got if d < 1000)
+
+
+def test_unequal_vectors_with_one_id(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((40, 32))
+    rows = [(i // 2, v.tolist(), 1) for i, v in enumerate(x)] + [(1000 + i, (v + 0.02 * rng.standard_normal(32)).tolist(), 1) for i, v in enumerate(x)] + [(5, x[3].tolist(), 1)]
+    got = sorted((tuple(r) for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=key)
+    assert got == linked(rows)
+
+
+def test_a_crowded_cell_tells_counts_and_a_forest(spark):
+    """Near vectors that all link: what a cell sends grows with its vectors, not with their pairs."""
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(300)
+    rows = [(i, (hot + 0.02 * rng.standard_normal(300)).tolist(), 1) for i in range(400)]
+    got = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=100).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
+    node, low = _forest(6, np.array([1, 2, 4]), np.array([2, 3, 5]))
+    assert list(zip(node.tolist(), low.tolist(), strict=True)) == [(2, 1), (3, 1), (5, 4)]

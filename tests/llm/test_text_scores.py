@@ -18,30 +18,33 @@ FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EMPTY = "doc_id long, text string, score int, lang string, source string"
 
 
-def scores(rows):
+def scores(rows, order):
     docs = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))) for d, t in rows]
-    one = Counter(w for _, ws in docs for w in ws)
-    two = Counter(p for _, ws in docs for p in zip(ws, ws[1:], strict=False))
-    total, out, n = sum(one.values()), Counter(), Counter()
+    c = Counter(tuple(ws[i : i + k]) for _, ws in docs for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    total, out, n = sum(v for g, v in c.items() if len(g) == 1), Counter(), Counter()
+
+    def score(g):
+        if len(g) == 1:
+            return math.log(c[g] / total)
+        return math.log(c[g] / c[g[:-1]]) if c[g] >= 2 else math.log(0.4) + score(g[1:])
+
     for d, ws in docs:
         n[d] += len(ws)
-        for i, w in enumerate(ws):
-            kept = i and two[ws[i - 1], w] >= 2
-            out[d] += math.log(two[ws[i - 1], w] / one[ws[i - 1]]) if kept else math.log((0.4 if i else 1) * one[w] / total)
+        out[d] += sum(score(tuple(ws[max(0, i - order + 1) : i + 1])) for i in range(len(ws)))
     return {d: (n[d], out[d]) for d, _ in docs}
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_language_model(spark, big):
-    small = [(1, "a b a B", 0), (1, "a b", 0), (2, None, 0), (None, "c a b d", 0), (4, " ", 0), (5, "x", 0), (6, "a " * 5000, 0)]
+@pytest.mark.parametrize(("big", "order"), [(False, 1), (False, 2), (False, 3), (False, 4), (True, 3)])
+def test_language_model(spark, big, order):
+    small = [(1, "a b a B", 0), (1, "a b", 0), (2, None, 0), (None, "c a b d", 0), (4, " ", 0), (5, "x", 0), (6, "a " * 5000, 0), (7, "d a b a b", 0)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text") if big else spark.createDataFrame(small, "doc_id long, text string, n_words int")
-    want = scores([(r.doc_id, r.text) for r in docs.collect()])
-    got = language_model_scores(docs).collect()
+    want = scores([(r.doc_id, r.text) for r in docs.collect()], order)
+    got = language_model_scores(docs, order).collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r.n_words, r.log_score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-9, abs=1e-9))
         assert (r.mean_log_score is None) == (r.n_words == 0)
-    assert language_model_scores(docs.limit(0)).count() == 0
+    assert language_model_scores(docs.limit(0), order).count() == 0
 
 
 def test_token_counts_are_the_library_s(spark):
@@ -52,6 +55,11 @@ def test_token_counts_are_the_library_s(spark):
     rng = random.Random(5)
     letters = "aaab'sStT ΣσςİıIéÉ́ñ123٣½\n\t\x85  ​　\x1c漢\U0001f389<|endoftext|>#$%'ll_ﬁǅß"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    # words that a hash by sums of powers can't tell apart
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    texts += ["".join(ab[b ^ flip] for b in bits[:n]) for n in (1024, 4096) for ab in ("er", "in", "xe") for flip in (0, 1)]
     texts += ["", None, "a" * 5000, "<|startoftext|>it's<|endoftext|>DON'T", "\0", "x y " * 40000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     library = Tokenizer.from_file(path)
@@ -79,6 +87,32 @@ def test_languages_on_held_out_documents(spark):
     assert language_id.languages(docs.limit(0)).count() == 0
 
 
+def test_switched_texts_are_labelled_by_word(spark):
+    """Half of one language and half of another: the spans part them near the place where they meet."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and length(text) between 400 and 4000")
+    own = {}
+    for r in docs.orderBy("doc_id").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
+            own.setdefault(r.lang, []).append(re.sub(r"\s+", " ", r.text))
+    pairs = [(a, b, x[:400], y[:400]) for a in own for b in own if a != b for x, y in zip(own[a][:6], own[b][:6], strict=False)]
+    mixed = spark.createDataFrame([(10**6 + i, f"{x} {y}") for i, (_, _, x, y) in enumerate(pairs)], "doc_id long, text string")
+    out = {r.doc_id - 10**6: r for r in language_id.languages(docs.unionByName(mixed, allowMissingColumns=True)).where("doc_id >= 1000000").collect()}
+    right = total = 0
+    for i, (a, b, x, y) in enumerate(pairs):
+        for s in out[i].spans:
+            total += s.end - s.start
+            right += (min(s.end, len(x)) - min(s.start, len(x))) * (s.lang == a) + (max(s.end, len(x)) - max(s.start, len(x))) * (s.lang == b)
+            assert 0 <= s.start < s.end <= len(x) + 1 + len(y)
+    assert right / total > 0.95
+    assert sum(r.n_switches >= 1 for r in out.values()) / len(out) > 0.9
+
+
+def test_runs_of_letters_without_spaces_are_read_whole():
+    points, starts, ends, count = language_id._words(["x" * 100, "\u0130b"])
+    assert (ends - starts).tolist() == [14] * 7 + [2, 2]
+    assert count.tolist() == [8, 1]
+
+
 def test_segments_give_the_posteriors_of_whole_texts():
     rng = np.random.default_rng(3)
     emission, step, start = rng.normal(size=(900, 3)), np.exp(rng.normal(size=(3, 3))), np.exp(rng.normal(size=3))
