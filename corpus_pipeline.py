@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (words in fives, similarity 0.8 or more) the smallest doc_id stays."""
-    return unique_documents(docs)
+    """Of each group of near duplicates (words in fours, similarity 0.8 or more, as op5 has it) the smallest doc_id stays."""
+    return unique_documents(docs, width=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
