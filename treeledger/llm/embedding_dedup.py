@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.cells import in_cells, runs, sides
-from treeledger.llm.components import components
+from treeledger.llm.components import components, forest
 from treeledger.llm.staging import small, stage
 from treeledger.llm.text import mix
 
@@ -144,21 +144,6 @@ def _linked(codes: Codes, x: np.ndarray, bits: np.ndarray, corrections: np.ndarr
     return a, b
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of n nodes that hangs together with a smaller one by the links, and the smallest such one."""
-    low = np.arange(n)
-    while True:
-        both = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, both)
-        np.minimum.at(new, b, both)
-        new = new[new]
-        if (new == low).all():
-            node = np.flatnonzero(low != np.arange(n))
-            return node, low[node]
-        low = new
-
-
 def _compare(codes: Codes):
     """Rows in order of cell -> for each vector of a cell how many it is linked with there (a, m), and links (a, b) that keep
     together what the cell's links do. A cell is one pair of blocks of one bucket, at most 2 * BLOCK rows or so."""
@@ -180,7 +165,7 @@ def _compare(codes: Codes):
         others = np.zeros(len(x), np.int64)
         np.add.at(others, a, many[b])
         np.add.at(others, b, many[a])
-        node, low = _forest(len(x), a, b)
+        node, low = forest(len(x), a, b)
         has = np.flatnonzero(others)
         ends = pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(rep[low], pa.int64())])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate((rep[has], rep[node]))), ends, pa.array(np.concatenate((others[has], np.zeros(len(node), np.int64))))], names=["a", "b", "m"])
