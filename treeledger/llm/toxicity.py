@@ -6,7 +6,8 @@ the blame of a toxic document to its worst sentences, which the model then locat
 
 Defined results: a null, empty or wordless text scores 0. A label row without doc_id or without a value
 teaches nothing; repeated label rows count as often as they come. Without labels of both kinds
-every score is 0. Other columns of the inputs are not read.
+every score is 0. A very long text is a bag with many sentences. Of sentences with one score the last is the worst; of
+features with one gain those with the smaller hash are kept. Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SAMPLE = 3000
 TAIL, HEADS = 4, range(3, 11)
 #: Features the model keeps: those of toxic documents with the highest log-likelihood ratio, which must reach MIN_GAIN (nats).
 VOCABULARY, MIN_GAIN = 500, 3.0
-STEPS, RATE, RIDGE = 250, 0.1, 1e-4
+STEPS, RATE, RIDGE = 250, 0.1, 1e-5
 #: Score from which a document is toxic, and a sentence offending.
 THRESHOLD, OFFENDING = 0.7, 0.5
 
