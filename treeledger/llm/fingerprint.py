@@ -7,7 +7,9 @@ bucket but not the bytes get different fingerprints (a number is appended).
 
 Defined results: a null text is the empty text. Documents are in order of doc_id, null first, then text; after the
 last comes the first, so one document alone is followed by itself. Repeated rows are rows of their own.
-The likeness of exact fingerprints is 1 or 0. Other columns of the input are not read.
+The likeness of exact fingerprints is 1 or 0. A very long text is a value like any other. Other columns of the input
+are not read. Normalisation and case folding are calls of a Java method by name, once a text (twice if it isn't ASCII):
+that is outside generated code, but no text leaves the JVM.
 """
 
 from __future__ import annotations
@@ -42,43 +44,48 @@ def _edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array: one literal in the plan, however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """Number of the bounds that are at most key, by way of about sqrt(n) groups of them."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     count = lambda of: F.size(F.filter(of, lambda b: b <= key))
-    group = count(F.array(*[F.lit(g[0]) for g in groups]))
-    inner = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.greatest(group, F.lit(1)))
+    group = count(_longs(bounds[::step]))
+    inner = F.slice(_longs(bounds), F.greatest(group - 1, F.lit(0)) * step + 1, F.lit(step))
     return F.when(key.isNull() | (group == 0), 0).otherwise((group - 1) * step + count(inner))
 
 
-def _with_following(docs: DataFrame) -> DataFrame:
-    """Each document with the one after it. Documents are dealt to ranges of doc_id of like size, so no
-    task orders them all; of each range only its first document is passed on to the range before."""
-    spark = docs.sparkSession
-    n = 4 * partitions(spark)
+def _with_following(docs: DataFrame, digest: Column) -> DataFrame:
+    """Each document with the one after it, both as structs of doc_id, text and digest. Documents are dealt to ranges of
+    doc_id of like size, so no task orders them all. What follows the last of a range is looked up by its doc_id."""
+    n = 4 * partitions(docs.sparkSession)
     found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     ranged = docs.withColumn("range", _bucket(F.col("doc_id"), sorted(set(found))))
-    own = Window.partitionBy("range").orderBy("doc_id", "text")
-    doc = F.struct("doc_id", "text", "digest")
-    led = ranged.select("range", "doc_id", "text", "digest", F.lead(doc).over(own).alias("following"))
-    # one row a range from here
-    firsts = ranged.groupBy("range").agg(F.min(doc).alias("first"))
+    # one number a range from here; in a struct null comes first, as in the order of documents
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id")).alias("first"))
     across = Window.orderBy("range")
     everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("range", F.coalesce(F.lead("first").over(across), F.first("first").over(everything)).alias("after"))
-    return led.join(after, "range").select("doc_id", "text", "digest", F.coalesce("following", "after").alias("following"))
+    after = stage(firsts.select("range", F.coalesce(F.lead("first").over(across), F.first("first").over(everything))["doc_id"].alias("next_id")), "after")
+    doc = F.struct("doc_id", "text", "digest")
+    looked_up = docs.alias("d").join(small(after).alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.next_id"))).groupBy("a.range").agg(F.min(F.struct("d.doc_id", "d.text")).alias("first"))
+    looked_up = looked_up.select("range", "first.*").withColumn("digest", digest).select("range", doc.alias("after"))
+    own = Window.partitionBy("range").orderBy("doc_id", "text")
+    led = ranged.withColumn("digest", digest).select("range", doc.alias("own"), F.lead(doc).over(own).alias("following"))
+    return led.join(looked_up, "range").select("own", F.coalesce("following", "after").alias("following"))
 
 
 def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per row of docs
     (doc_id, text). The edited text has its last half replaced by the start of the next document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    digested = docs.withColumn("digest", _digest(canonical(F.col("text")), bits))
-    edited = _edited(F.col("text"), F.col("following.text"))
-    pairs = _with_following(digested).select("doc_id", F.col("following.doc_id").alias("next_id"), F.char_length("text").cast("long").alias("n_chars"), "digest", F.col("following.digest").alias("next_digest"), edited.alias("edited"))
+    edited = _edited(F.col("own.text"), F.col("following.text"))
+    pairs = _with_following(docs, _digest(canonical(F.col("text")), bits))
+    pairs = pairs.select("own.doc_id", F.col("following.doc_id").alias("next_id"), F.char_length("own.text").cast("long").alias("n_chars"), F.col("own.digest").alias("digest"), F.col("following.digest").alias("next_digest"), edited.alias("edited"))
     table = stage(pairs.select("doc_id", "next_id", "n_chars", "digest", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), _digest(canonical(F.col("edited")), bits).alias("edited_digest")), "digests")
     split = _split(docs, table, bits)
     hex_ = lambda d: F.lower(F.concat(*[F.lpad(F.hex(F.col(f"{d}.{k}")), 16, "0") for k in "xy"]))
