@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from treeledger.llm import components as components_
 from treeledger.llm import repeats
 from treeledger.llm.cells import runs
-from treeledger.llm.components import components
-from treeledger.llm.embedding_dedup import _forest, similar_vectors
+from treeledger.llm.components import components, forest
+from treeledger.llm.embedding_dedup import similar_vectors
 from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.minhash import near_duplicates, unique_documents
 from treeledger.llm.repeats import deduplicated, without_repeats
@@ -90,7 +91,10 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [10**6, 7])
+def test_components(spark, monkeypatch, at_once):
+    """With few links to a task it takes the rounds over all of them."""
+    monkeypatch.setattr(components_, "CONTRACTED", at_once)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 2)]
     got = {r.vertex: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {v: c for v, c in joined({x for p in links for x in p}, links).items()}
@@ -292,5 +296,5 @@ def test_a_crowded_cell_tells_counts_and_a_forest(spark):
     rows = [(i, (hot + 0.02 * rng.standard_normal(300)).tolist(), 1) for i in range(400)]
     got = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=100).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
-    node, low = _forest(6, np.array([1, 2, 4]), np.array([2, 3, 5]))
+    node, low = forest(6, np.array([1, 2, 4]), np.array([2, 3, 5]))
     assert list(zip(node.tolist(), low.tolist(), strict=True)) == [(2, 1), (3, 1), (5, 4)]
