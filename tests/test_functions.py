@@ -20,9 +20,9 @@ def test_clean_rel(spark):
 
 
 def test_devices_escape_and_come_back(spark):
-    rows = ["a/con.txt", "%con", "plain", "COM1/x", "%plain", "%%nul.z"]
+    rows = ["a/con.txt", "%con", "plain", "COM1/x", "%plain", "%%nul.z", "con ", "a%b"]
     escaped = values(spark, rows, paths.escape_devices)
-    assert escaped[0] == "a/%con.txt" and escaped[2] == "plain"
+    assert escaped[:3] == ["a/%con.txt", "%%con", "plain"]
     assert len(set(escaped)) == len(rows)
     assert values(spark, escaped, paths.unescape_devices) == rows
 
@@ -34,8 +34,9 @@ def test_percent(spark):
 
 
 def test_rules(spark):
-    assert values(spark, ["", "0123456789abcdef_" + "0" * 32, "x", "a/b"], paths.chunk_id_rule) == ["id.empty", None, "id.shape", "id.separator"]
-    assert values(spark, ["1.2", "1", ""], paths.tag_rule) == [None, "tag.shape", "tag.empty"]
+    assert values(spark, ["", "0123456789abcdef_" + "0" * 32, "x", "a/b"], paths.chunk_id_rule) == ["chunk-id.empty", None, "chunk-id.shape", "chunk-id.shape"]
+    assert values(spark, ["1.2", "7.1.0-beta", "", "1.", "con"], paths.tag_rule) == [None, None, "tag.empty", "tag.edge-dot", "tag.device"]
+    assert values(spark, ["con"], lambda x: paths.tag_rule(x, allow_device=True)) == [None]
     assert values(spark, ["5.1", "4.0", "x"], lambda x: paths.staleness(F.lit("5.0"), x)) == [0, 1, None]
     assert values(spark, ["0123456789ABCDEF_" + "A" * 32, "z"], lambda x: paths.split_manifest_id(x)["checksum"]) == ["a" * 32, None]
 
@@ -56,6 +57,13 @@ def test_excluded_ancestor_hides_what_is_below(spark):
     assert values(spark, ["a*b", "axb"], lambda x: globs.kept_by_filter(x, ["a\\*b"], [])) == [True, False]
 
 
+def test_values_are_cut_between_characters(spark):
+    rows = ["abc", "éé", "漢字", "🎉🎉", "a🎉", ""]
+    for most in range(9):
+        want = [max((t[:k] for k in range(len(t) + 1) if len(t[:k].encode()) <= most), key=len) for t in rows]
+        assert values(spark, rows, lambda x, n=most: totals.capped(x, n)) == want
+
+
 def test_saturating_sum(spark):
     most = (1 << 63) - 1
     total = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x long").agg(totals.saturating_sum(F.col("x"))).first()[0]

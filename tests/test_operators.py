@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from treeledger.operators import assertions, manifest, repair, selection, trees
-from treeledger.plans.queries import QUERIES
+from treeledger.operators import assertions, manifest, plan, repair, reports, scan, selection, sync, trees
+from treeledger.plans import QUERIES
 
 FILE = "field string, manifest_pos int, pos int, file string, is_folder boolean, size long, md5 string, chunks array<struct<id:string,uncompressed_md5:string,offset:long,compressed_size:long,uncompressed_size:long>>"
 
@@ -96,6 +97,16 @@ def test_case_mismatch_is_out_of_step_with_total_0(spark):
     assert (row.total, row.case_mismatch, row.in_step) == (0, 1, False)
 
 
+def test_a_pair_in_two_spellings_is_told_twice(spark):
+    src = spark.createDataFrame([("A", "file", 1, 1, {}), ("B", "file", 1, 1, {}), ("c", "file", 1, 1, {})], SIDE)
+    dst = spark.createDataFrame([("a", "file", 1, 1, {}), ("b", "file", 2, 1, {}), ("c", "file", 1, 1, {})], SIDE)
+    diff = trees.tree_diff(src, dst, fold=True)
+    row = trees.diff_summary(diff).first()
+    assert (row.identical, row.changed, row.case_mismatch, row.total) == (2, 1, 2, 1)
+    told = [(r.label, r.rel, r.tag) for r in reports.verdict_stream(diff).collect()]
+    assert told == [("CHANGED", "B", "stat-size"), ("CASE-MISMATCH", "A", "a"), ("CASE-MISMATCH", "B", "b"), ("SUMMARY", None, "missing=0 extra=0 changed=1 type_conflict=0 case_mismatch=2 identical=2 total=1")]
+
+
 def test_cache_is_taken_over_when_one_spelling_is_stale(spark):
     live = spark.createDataFrame([("A", "file", 1, 1), ("b", "file", 2, 2)], "rel string, kind string, size long, mtime_ns long")
     cache = spark.createDataFrame([("a", "file", 1, 1, {"md5": b"x"}), ("B", "file", 2, 2, {}), ("B ", "file", 2, 2, {})], SIDE)
@@ -107,9 +118,41 @@ def test_cache_is_taken_over_when_one_spelling_is_stale(spark):
 def test_sync_actions(spark):
     rows = lambda *xs: spark.createDataFrame([(r, k, s, 1, {}) for r, k, s in xs], SIDE)
     src, dst = rows(("d", "dir", 0), ("n", "file", 1), ("c", "file", 1)), rows(("c", "file", 2), ("x", "file", 1), ("x/yy", "file", 1))
-    got = [(r.stage, r.rel) for r in trees.sync_actions(trees.tree_diff(src, dst), src).collect()]
-    assert got == [("MKDIR", "d"), ("DELETE", "x/yy"), ("DELETE", "x"), ("COPY", "c"), ("COPY", "n")]
-    assert {r.stage for r in trees.sync_actions(trees.tree_diff(src, dst), src, missing_only=True).collect()} == {"MKDIR", "COPY"}
+    got = [(r.stage, r.rel, r.because) for r in sync.sync_plan(trees.tree_diff(src, dst)).collect()]
+    assert got == [("MKDIR", "d", None), ("DELETE", "x", None), ("DELETE", "x/yy", None), ("COPY", "c", "changed"), ("COPY", "n", "missing")]
+    least = sync.sync_plan(trees.tree_diff(src, dst), missing_only=True, keep_extra=True)
+    assert {(r.stage, r.rel) for r in least.collect()} == {("MKDIR", "d"), ("COPY", "n")}
+
+
+def test_folders_links_and_conflicts_of_a_plan(spark):
+    rows = lambda *xs: spark.createDataFrame([(r, k, 1, 1, {}) for r, k in xs], SIDE)
+    src = rows(("fix", "dir"), ("fix/new", "file"), ("over", "file"), ("shared", "dir"))
+    dst = rows(("fix", "file"), ("over", "dir"), ("over/sub", "dir"), ("gone", "dir"), ("gone/deep", "dir"), ("link", "dir"), ("link/x", "file"), ("shared", "dir"), ("shared/y", "file"))
+    links = spark.createDataFrame([("link", None), ("shared", None)], "rel string, target string")
+    diff = trees.tree_diff(src, dst)
+    plan = sync.sync_plan(diff, links)
+    assert [(r.stage, r.rel) for r in plan.collect()] == [("FIX-DIR", "fix"), ("DELETE", "link"), ("COPY", "fix/new"), ("COPY", "over"), ("RMDIR", "gone/deep"), ("RMDIR", "gone")]
+    shared = sync.shared_link_extras(diff, links)
+    assert [tuple(r) for r in sync.guards(plan, dst, links, shared).collect()] == [("shared-link", "shared/y", "shared")]
+    assert sync.guards(plan, dst, links).count() == 0  # the file above fix/new is replaced first
+    bad = spark.createDataFrame([("COPY", "link/z"), ("COPY", "fix/new")], "stage string, rel string")
+    assert {tuple(r) for r in sync.guards(bad, dst, links).collect()} == {("through-link", "link/z", "link"), ("file-above", "fix/new", "fix")}
+
+
+def test_what_links_need_is_spared(spark):
+    links = spark.createDataFrame([("a", "file", "l/b"), ("l/b", "file", "real/d/x"), ("dead", "file", "other")], "rel string, kind string, target string")
+    src = spark.createDataFrame([("a", "file")], "rel string, kind string")
+    assert {tuple(r) for r in sync.spared(src, links).collect()} == {("l/b", "link"), ("real/d/x", "storage"), ("l", "directory"), ("real", "directory"), ("real/d", "directory")}
+
+
+def test_a_record_is_held_against_its_disk(spark):
+    record = spark.createDataFrame([("a", "file", 1, 1, {"md5": bytes.fromhex("0cc175b9c0f1b6a831c399e269772661")}), ("b", "file", 1, 1, {"md5": b"x"}), ("c", "file", 9, 1, {})], SIDE)
+    live = spark.createDataFrame([("a", "file", 1, 1), ("b", "file", 1, 1), ("c", "file", 1, 1)], "rel string, kind string, size long, mtime_ns long")
+    contents = spark.createDataFrame([("a", b"a"), ("b", b"b"), ("c", b"c")], "rel string, content binary")
+    got = {r.src_rel: r.tag for r in sync.compare_self(record, live, contents, trees.Trust(), ["md5"]).collect()}
+    assert got == {"a": "digest-matches:md5", "b": "digest-differs:md5", "c": "stat-size"}
+    new = {r.rel: sorted(r.hashes) for r in sync.updated(live, record, contents, ["sha256"]).collect()}
+    assert new == {"a": ["md5", "sha256"], "b": ["md5", "sha256"], "c": ["sha256"]}
 
 
 def test_renamed_parent_moves_its_children(spark):
@@ -120,6 +163,8 @@ def test_renamed_parent_moves_its_children(spark):
 def test_links(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "link string, target string")
     assert trees.link_closure(edges).count() == 9
+    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)], "link string, target string")
+    assert trees.link_closure(chain).count() == 60 * 61 // 2
     assert trees.link_above(spark.createDataFrame([("x/y/z",)], "rel string"), spark.createDataFrame([("x/y",), ("x",)], "rel string")).first().link == "x"
 
 
@@ -171,16 +216,22 @@ def test_greedy_walk_covers_the_whole_table(spark):
     for k, c in rows:
         want[k] = c <= left
         left -= c if want[k] else 0
-    assert {r.p_partkey: r.admitted for r in QUERIES["greedy_walk"](spark, sf).collect()} == want
+    assert {r.p_partkey: r.admitted for r in QUERIES["greedy_fold"](spark, sf).collect()} == want
 
 
 def test_selection_covers_and_reports_over_budget(spark):
-    rows = [("game", "i", "identical", 1, 0, 1, 1), ("game", "m", "changed", 8, 1, 2, 3), ("game", "n", "changed", 50, 0, 0, 2), ("game", "add", "added", 2, 0, 0, 1)]
-    found = selection.candidates(spark.createDataFrame(rows, "field string, file string, state string, total_cost long, moved long, reused long, nchunks long"))
-    out, status = selection.select_by_class(found, 1, 20, ["m"])
+    # the same path in another field is another file
+    rows = [("game", "i", "identical", 1, 0, 1, 1, 1, 1), ("game", "m", "changed", 8, 1, 2, 3, 1, 1), ("zh-cn", "m", "identical", 30, 0, 1, 1, 1, 1), ("game", "n", "changed", 50, 0, 0, 2, 1, 1), ("game", "add", "added", 7, 0, 0, 1, None, 2)]
+    found = selection.candidates(spark.createDataFrame(rows, "field string, file string, state string, total_cost long, moved long, reused long, nchunks long, old_size long, new_bytes long"))
+    out, status = selection.select_by_class(found, 1, 20, [("game", "m")])
     by = {s["class"]: (s["status"], s["file"]) for s in status}
     assert by == {"identical": ("captured", "i"), "no_reuse": ("over_budget", "n"), "reuse_in_place": ("unavailable", None), "reuse_moved": ("covered", "m"), "added": ("captured", "add"), "removed": ("unavailable", None)}
     assert [o["file"] for o in out if o["admitted"]] == ["m", "i", "add"]
+    table = spark.createDataFrame([(s["class"], s["status"]) for s in status], "class string, status string")
+    assert {r.line for r in selection.unmet(table, ["no_reuse", "reuse_moved", "removed"]).collect()} == {"no_reuse: over_budget", "removed: unavailable"}
+    with pytest.raises(ValueError, match="no_reuse: over_budget"):
+        selection.require(table, ["identical", "no_reuse"])
+    selection.require(table, ["identical", "added"])
 
 
 def test_numbers_do_not_depend_on_partitions(spark):
@@ -199,6 +250,55 @@ def test_assertions(spark):
     assert {r.id: r.agrees for r in assertions.agreement(recorded, checks).collect()} == {"A1": False, "A2": True}
 
 
-def test_rebuild(spark):
-    parts = spark.createDataFrame([("g", "f", 2, b"c"), ("g", "f", 0, b"ab")], "field string, file string, offset long, bytes binary")
-    assert bytes(manifest.rebuild(parts).first().content) == b"abc"
+def test_a_scan_of_files_is_the_scan_of_their_contents(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    texts = {f"d/{i}": bytes(rng.randrange(97, 100) for _ in range(n)) for i, n in enumerate((0, 1, 300, 5000))}
+    (tmp_path / "d").mkdir()
+    rows = []
+    for rel, data in [*texts.items(), ("d/none", b"abc")]:
+        if rel in texts:
+            (tmp_path / rel).write_bytes(data)
+        for c in range(12):
+            a, n = rng.randrange(len(data) + 2), rng.randrange(40)
+            held = data[a : a + n]
+            source = rng.choice([None, rng.randrange(len(data) + 2)])
+            rows.append((rel, c, a, n, hashlib.md5(held if rng.random() < 0.7 else b"x").hexdigest().upper(), source))
+    chunks = spark.createDataFrame(rows, "rel string, cpos long, offset long, uncompressed_size long, uncompressed_md5 string, source long")
+    disk = spark.createDataFrame(list(texts.items()), "rel string, content binary")
+    want = sorted(tuple(r) for r in scan.deep_scan(chunks, disk).collect())
+    monkeypatch.setattr(scan, "READ", 7)
+    assert len(want) == len(rows)
+    assert sorted(tuple(r) for r in scan.scan_files(chunks, str(tmp_path)).collect()) == want
+    assert {r[2] for r in want} == {True, False}
+
+
+def test_a_repair_plan_refuses_bad_ranges_and_tidies_chunks(spark):
+    good = [("f", [("b", "m", 10, 1, 5), ("a", "m", 0, 1, 10), ("e", "m", 3, 1, 0)], 15)]
+    make = lambda rows: spark.createDataFrame([("game", 0, i, f, False, n, "m", c) for i, (f, c, n) in enumerate(rows)], FILE)
+    row = plan.repair_plan(make(good)).first()
+    assert ([c.id for c in row.chunks], row.tiled) == (["a", "b"], True)
+    assert not plan.repair_plan(make([("f", [("a", "m", 0, 1, 10)], 15)])).first().tiled
+    for chunk in (("a", "m", -1, 1, 1), ("a", "m", 0, 1, -1), ("a", "m", 10, 1, 10), ("a", "m", (1 << 63) - 1, 1, 5)):
+        bad = make([*good, ("g", [chunk], 15)])
+        with pytest.raises(Exception, match="bad range"):
+            plan.repair_plan(bad).collect()
+        # what is out of scope refuses nothing
+        assert plan.repair_plan(bad, exclude=["g"]).count() == 1
+    with pytest.raises(ValueError, match="selects nothing"):
+        plan.scope_selected(plan.repair_plan(make(good), include=["zz"]), None, ["zz"])
+
+
+def test_a_chunk_plan_has_a_ceiling(spark):
+    old, new = (manifest.flatten(build(spark, **f)) for f in ({"a": "AB", "b": "X"}, {"a": "BC", "b": "Y"}))
+    admitted = spark.createDataFrame([("game", "a")], "field string, file string")
+    kept, wanted, projected = plan.chunk_plan(admitted, old, new, ceiling=180)
+    assert (wanted.count(), projected.first().projected) == (3, "180")
+    with pytest.raises(ValueError, match="more than 179"):
+        plan.chunk_plan(admitted, old, new, ceiling=179)
+
+
+def test_rebuild(spark, tmp_path):
+    parts = spark.createDataFrame([("g", "d/f", 2, b"c"), ("g", "d/f", 0, b"ab"), ("g", "hole", 1, b"x")], "field string, file string, offset long, bytes binary")
+    got = {r.file: (r.size, r.md5, r.tiled) for r in manifest.rebuild(parts, str(tmp_path)).collect()}
+    assert got == {"d/f": (3, hashlib.md5(b"abc").hexdigest(), True), "hole": (1, hashlib.md5(b"x").hexdigest(), False)}
+    assert (tmp_path / "g/d/f").read_bytes() == b"abc"

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from treeledger.plans.queries import ORACLE_SQL, QUERIES
+from treeledger.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -20,6 +20,13 @@ def test_exit_status_is_the_first_hard_stop(spark):
     assert [r.status for r in reports.exit_status(rows).collect()] == ["ok", "limit", "usage", "damaged"]
 
 
+def test_one_file_at_a_time_is_staged_if_it_fits(spark):
+    p = one(spark, "file string, payload long", ("a", 1_000_000), ("b", 10), ("c", 10), ("d", 0))
+    tiers = lambda ceiling: {r.file: r.tier for r in reports.tiering(p, ceiling).collect()}
+    assert tiers(100) == {"a": "ordered", "b": "staged", "c": "staged", "d": "staged"}
+    assert set(tiers(0).values()) == {"ordered"} and set(tiers(None).values()) == {"staged"}
+
+
 def test_actions(spark):
     rows = one(spark, "dest_ok boolean, source long, live boolean, staged boolean", (True, None, False, False), (False, 0, True, True), (False, 0, True, False), (False, 0, False, False), (False, None, False, False))
     assert [r.action for r in reports.file_actions(rows).collect()] == ["kept", "staged", "copied", "download", "download"]

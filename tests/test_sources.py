@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import json
 import os
 
 import pytest
@@ -7,6 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from treeledger.functions.records import ordered
+from treeledger.operators import bundle
 from treeledger.sources import files, manifests, requests, settings
 from treeledger.streaming.requests import bytes_by_window, read_log
 
@@ -53,6 +55,61 @@ def test_stat_tree_has_nanoseconds_links_and_errors(spark, tmp_path):
     assert got["l"].is_link and got["l"].error
 
 
+def test_a_walk_is_dealt_by_upper_levels(spark, tmp_path):
+    for d in ("one/a", "one/b/c", "two"):
+        (tmp_path / d).mkdir(parents=True)
+    for f in ("one/a/f", "one/b/c/g", "two/h", "top"):
+        (tmp_path / f).write_text("x")
+    (tmp_path / "one/b/up").symlink_to(tmp_path / "one")
+    walk = files._Walk({"path": str(tmp_path), "followlinks": "true"})
+    parts = walk.partitions()
+    assert [(p.rel, p.whole) for p in parts] == [("one", False), ("one/a", False), ("one/a/f", True), ("one/b", False), ("one/b/c", True), ("one/b/up", True), ("top", True), ("two", False), ("two/h", True)]
+    got = {r.rel: (r.is_dir, r.error) for r in files.stat_tree(spark, str(tmp_path), followlinks="true").collect()}
+    assert got == {"one": (True, None), "one/a": (True, None), "one/a/f": (False, None), "one/b": (True, None), "one/b/c": (True, None), "one/b/c/g": (False, None), "one/b/up": (True, "loop"), "top": (False, None), "two": (True, None), "two/h": (False, None)}
+    shallow = {r.rel for r in files.stat_tree(spark, str(tmp_path), maxdepth="2").collect()}
+    assert shallow == {"one", "one/a", "one/b", "top", "two", "two/h"}
+
+
+def test_answers_and_nodes(spark):
+    bodies = spark.createDataFrame([("a", '{"retcode": 0, "data": {"x": 1}}'), ("b", '{"retcode": 5, "message": "no"}')], "name string, body string")
+    assert requests.answers(bodies.where("name = 'a'"), "struct<x:int>").first().data.x == 1
+    with pytest.raises(Exception, match="b: retcode 5 no"):
+        requests.answers(bodies, "struct<x:int>").collect()
+    assert requests.node(bodies, "a").count() == 1
+    with pytest.raises(ValueError, match="0 nodes"):
+        requests.node(bodies, "c")
+
+
+def test_a_bundle_opens_or_says_why_not(spark, tmp_path):
+    (tmp_path / "diff").mkdir()
+    (tmp_path / "MANIFEST.json").write_text('{"schema_version": 1, "x": 2}')
+    (tmp_path / "diff/a.json").write_text('{\n "schema_version": 1\n}')
+    assert {r.path: r.schema_version for r in bundle.open_bundle(spark, str(tmp_path), [1]).select("path", "schema_version").collect()} == {"MANIFEST.json": 1, "diff/a.json": 1}
+    (tmp_path / "diff/a.json").write_text("{")
+    with pytest.raises(Exception, match="diff/a.json: not JSON"):
+        bundle.open_bundle(spark, str(tmp_path), [1]).select("path", "schema_version").collect()
+
+
+def test_a_bundle_s_document(spark):
+    matrix = spark.createDataFrame([("removed", "unavailable", None), ("identical", "captured", "a")], "class string, status string, file string")
+    listed = spark.createDataFrame([("b", 2, "m", "s", "identity"), ("a", 1, "m", "s", "gzip")], "path string, bytes long, md5 string, sha256 string, encoding string")
+    sets = spark.createDataFrame([("reuse", 3), ("patch_fetch", 1)], "role string, chunks long")
+    doc = json.loads(bundle.bundle_manifest(matrix, listed, sets).first().document)
+    assert (doc["totals"], doc["totals_by_set"]) == ({"files": 2, "bytes": 3}, {"patch_fetch": 1, "reuse": 3})
+    assert [m["class"] for m in doc["matrix"]] == ["identical", "removed"] and [f["path"] for f in doc["files"]] == ["a", "b"]
+
+
+def test_manifest_dump_round_trip(spark, tmp_path):
+    rows = [("7.1", "game", 0, 0, "a/b", False, 9, "m", [("id", "u", 0, 1, 2)]), ("7.1", "zh-cn", 0, 0, "d", True, 0, "", [])]
+    entries = spark.createDataFrame(rows, "build_tag string, field string, manifest_pos int, pos int, file string, is_folder boolean, size long, md5 string, chunks array<struct<id:string,uncompressed_md5:string,offset:long,compressed_size:long,uncompressed_size:long>>")
+    manifests.write_dump(entries, str(tmp_path / "dump"))
+    assert sorted(map(tuple, manifests.read_dump(spark, str(tmp_path / "dump")).select("build_tag", "field", "file", "size").collect())) == [("7.1", "game", "a/b", 9), ("7.1", "zh-cn", "d", 0)]
+    manifests.write_paths(entries, str(tmp_path / "paths"))
+    assert {(r.field, r.file, r.size, r.chunks) for r in manifests.read_paths(spark, str(tmp_path / "paths")).collect()} == {("game", "a/b", 9, 1), ("zh-cn", "d", 0, 0)}
+    with pytest.raises(Exception, match="field.multi-component"):
+        manifests.write_dump(entries.withColumn("field", F.lit("x/y")), str(tmp_path / "bad"))
+
+
 def test_inventory_digests_what_a_gzip_holds(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"abc")
     (tmp_path / "b.gz").write_bytes(gzip.compress(b"abc"))
@@ -67,7 +124,19 @@ def test_settings(spark, tmp_path):
     ini.write_text("[g]\ngame_version=1.0\ngame_version =2.0=x\ngame_version=\n")
     found = settings.lines(spark, str(ini))
     assert settings.game_version(found).first().version == "2.0=x"
-    assert {r.key: r.value for r in settings.merged_ini(found, {"channel": "1"}).collect()}["channel"] == "1"
+    sections = {(r.section, r.key): r.value for r in settings.merged_ini(found, {"channel": "1"}).collect()}
+    assert sections == {("g", "game_version"): "", ("General", "channel"): "1", ("General", "sdk_version"): ""}
+    ini.write_text('top="x"\n; note\n[General]\nk = 1\n[Other]\nK=2\n[general]\nCHANNEL=old\nsdk_version=9\n[ ]\nk=3\nno\n[Empty]\n')
+    text = settings.ini_text(settings.merged_ini(settings.lines(spark, str(ini)), {"channel": "1", "game_version": "5"})).first().text
+    assert text == "[General]\nCHANNEL=1\ngame_version=5\nk=3\nsdk_version=9\ntop=x\n\n[Other]\nK=2\n\n[Empty]\n\n"
+    ini.write_text("[g]\nx=1\n")
+    text = settings.ini_text(settings.merged_ini(settings.lines(spark, str(ini)), {"game_version": "5"})).first().text
+    assert text == "[g]\nx=1\n\n[General]\ngame_version=5\nsdk_version=\n\n"
+    assert settings.hash_list(" MD5,sha256,md5") == ["md5", "sha256"] and settings.hash_list("none") == []
+    with pytest.raises(ValueError, match="none"):
+        settings.hash_list("none,md5")
+    with pytest.raises(ValueError, match="both sides"):
+        settings.distinct_sides("/a/", "/a")
     keep = tmp_path / "keep"
     keep.write_text('﻿{"remoteName": "a"}\nbad\n{"remoteName": "b"}\n')
     assert {r.rel for r in settings.path_list(settings.lines(spark, str(keep))).collect()} == {"a", "b"}
@@ -101,6 +170,15 @@ def test_request_log_round_trip_and_stream(spark, tmp_path):
     assert {r.seq for r in back.collect()} == {1, 2}
     assert back.where(requests.retryable(F.col("status"))).count() == 1
     assert requests.match_bodies(spark.createDataFrame([("h/x",), ("none",)], "endpoint string"), back).orderBy("endpoint").collect()[0].seq == 2
+    # beyond a few endpoints each is looked up by its first letters
+    urls = [f"https://h/{i % 40}/api/{i}" for i in range(300)]
+    many = spark.createDataFrame([(i, u, 200 if i % 7 else 404) for i, u in enumerate(urls)], "seq long, url string, status int")
+    ends = [f"/{i}/api" for i in range(50)] + [f"api/{i}" for i in range(0, 300, 3)] + ["", "zz", "https://h/3/api/43/and/more"]
+    bodies = spark.createDataFrame([(e,) for e in ends], "endpoint string")
+    want = {e: max((i for i, u in enumerate(urls) if e in u and i % 7), default=0) for e in ends}
+    for few in (1000, 5):
+        requests.FEW = few
+        assert {r.endpoint: r.seq for r in requests.match_bodies(bodies, many).collect()} == want
     query = bytes_by_window(read_log(spark, str(tmp_path / "log"))).writeStream.outputMode("update").format("memory").queryName("totals").start()
     query.processAllAvailable()
     query.stop()

@@ -22,9 +22,10 @@ def _parts(rel: Column) -> Column:
     return F.split(rel, "/", -1)
 
 
-def is_device(part: Column) -> Column:
-    """Whether a name's stem is a reserved device."""
-    stem = F.rtrim(F.split_part(part, F.lit("."), F.lit(1)))
+def is_device(part: Column, trimmed: bool = True) -> Column:
+    """Whether a name's stem, with or without the blanks at its end, is a reserved device."""
+    stem = F.split_part(part, F.lit("."), F.lit(1))
+    stem = F.rtrim(stem) if trimmed else stem
     return F.upper(stem).isin(DEVICES) | stem.rlike(_NUMBERED)
 
 
@@ -40,7 +41,7 @@ def bad_rel(rel: Column) -> Column:
         ("parent", part(lambda p: p == "..")),
         ("trailing dot or space", part(lambda p: (p != ".") & p.rlike(r"[. ]$"))),
         ("stream", slashed.contains(":")),
-        ("device name", part(is_device)),
+        ("device name", part(lambda p: is_device(p))),
         ("names nothing", F.size(F.filter(_parts(slashed), lambda p: ~p.isin("", "."))) == 0),
     ]
     return reduce(lambda rest, rule: F.when(rule[1], rule[0]).otherwise(rest), reversed(rules), F.lit(None).cast("string"))
@@ -64,19 +65,22 @@ def path_rule(path: Column, allow_device: bool = False) -> Column:
         ("path.parent", part(lambda p: p == "..")),
         ("path.dot-component", part(lambda p: p == ".")),
         ("path.windows-fold", part(lambda p: p.rlike(r"[. ]$"))),
-        *([] if allow_device else [("path.device", part(is_device))]),
+        *([] if allow_device else [("path.device", part(lambda p: is_device(p, trimmed=False)))]),
         ("path.empty-component", part(lambda p: p == "")),
     ]
     return reduce(lambda rest, rule: F.when(rule[1], rule[0]).otherwise(rest), reversed(rules), F.lit(None).cast("string"))
 
 
 def escape_devices(path: Column) -> Column:
-    """A spelling of the path that opens no device; unescape_devices() undoes it."""
-    return F.array_join(F.transform(_parts(path), lambda p: F.when(is_device(F.regexp_replace(p, "^%+", "")), F.concat(F.lit("%"), p)).otherwise(p)), "/")
+    """A spelling of the path that opens no device: such a part gets a % before it, and in all others each % is doubled.
+    unescape_devices() undoes it."""
+    one = lambda p: F.when(is_device(p, trimmed=False), F.concat(F.lit("%"), p)).otherwise(F.replace(p, F.lit("%"), F.lit("%%")))
+    return F.array_join(F.transform(_parts(path), one), "/")
 
 
 def unescape_devices(path: Column) -> Column:
-    return F.array_join(F.transform(_parts(path), lambda p: F.when(p.startswith("%") & is_device(F.regexp_replace(p, "^%+", "")), F.substring(p, F.lit(2), F.length(p))).otherwise(p)), "/")
+    one = lambda p: F.when(p.rlike("^%(?!%)"), F.substring(p, F.lit(2), F.length(p))).otherwise(F.replace(p, F.lit("%%"), F.lit("%")))
+    return F.array_join(F.transform(_parts(path), one), "/")
 
 
 def percent_encode(text: Column) -> Column:
@@ -113,14 +117,29 @@ def within(child: Column, parent: Column) -> Column:
     return (child == parent) | child.startswith(F.concat(F.rtrim(parent, F.lit("/")), F.lit("/")))
 
 
+def field_rule(value: Column) -> Column:
+    """Rule that a manifest field breaks, or null: a bundle path of one part."""
+    return F.coalesce(path_rule(value), F.when(value.contains("/"), "field.multi-component"))
+
+
 def chunk_id_rule(value: Column) -> Column:
     """Rule that a chunk id breaks, or null: <16 hex digits>_<32 hex digits>."""
-    return F.when(value == "", "id.empty").when(value.contains("/") | value.contains("\\"), "id.separator").when(~value.rlike("^[0-9A-Fa-f]{16}_[0-9A-Fa-f]{32}$"), "id.shape")
+    return F.when(value == "", "chunk-id.empty").when(~value.rlike(r"\A[0-9A-Fa-f]{16}_[0-9A-Fa-f]{32}\z"), "chunk-id.shape")
 
 
-def tag_rule(value: Column) -> Column:
-    """Rule that a version tag breaks, or null: numbers with dots between."""
-    return F.when(value == "", "tag.empty").when(~value.rlike(r"^\d+(\.\d+)+$"), "tag.shape")
+def tag_rule(value: Column, allow_device: bool = False) -> Column:
+    """Id of the first rule that a version tag breaks, or null. Tags from a server may name a device, which is escaped on disk."""
+    rules = [
+        ("tag.empty", value == ""),
+        ("tag.too-long", F.octet_length(value) > 32),
+        ("tag.control", value.rlike(r"\p{Cc}")),
+        ("tag.separator", value.rlike(r"[/\\ ]")),
+        ("tag.drive", value.contains(":")),
+        ("tag.windows-character", value.rlike(r'[*?"<>|]')),
+        ("tag.edge-dot", value.startswith(".") | value.endswith(".")),
+        *([] if allow_device else [("tag.device", is_device(value, trimmed=False))]),
+    ]
+    return reduce(lambda rest, rule: F.when(rule[1], rule[0]).otherwise(rest), reversed(rules), F.lit(None).cast("string"))
 
 
 def split_manifest_id(value: Column) -> Column:

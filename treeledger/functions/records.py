@@ -25,3 +25,16 @@ def ordered(frames: list[tuple[str, DataFrame]], *order: str) -> DataFrame:
         part = frame.select(F.lit(rank).alias("stage_rank"), F.lit(name).alias("stage"), "*")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.orderBy("stage_rank", *order)
+
+
+def diff_rows(scores: DataFrame) -> DataFrame:
+    """The nine columns of a diff's table, as they are written: a one-sided path has blank sizes and zeros."""
+    both = F.col("state").isin("identical", "changed")
+    size = lambda c: F.when(both, F.col(c).cast("string")).otherwise("").alias(c)
+    number = lambda c: F.when(both, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long").alias(c)
+    return scores.select("field", F.col("file").alias("path"), "state", size("old_size"), size("new_size"), *map(number, ("reused", "moved", "patch_bytes", "total_cost")))
+
+
+def write_diff(scores: DataFrame, path: str) -> None:
+    """The diff's table with its header, by field and path."""
+    diff_rows(scores).repartitionByRange("field", "path").sortWithinPartitions("field", "path").write.csv(path, sep="\t", header=True, emptyValue="")

@@ -25,8 +25,8 @@ def slice_md5(content: Column, offset: Column, length: Column) -> Column:
 
 
 def slices_match(content: Column, ranges: Column) -> Column:
-    """For each struct(offset, length, md5): whether the bytes there have that digest; past the end: no."""
-    return F.transform(ranges, lambda r: (r["offset"] + r["length"] <= F.octet_length(content)) & (slice_md5(content, r["offset"], r["length"]) == F.lower(r["md5"])))
+    """For each struct(offset, length, md5): whether the bytes (of a text: the characters) there have that digest; past the end: no."""
+    return F.transform(ranges, lambda r: (r["offset"] + r["length"] <= F.length(content)) & (slice_md5(content, r["offset"], r["length"]) == F.lower(r["md5"])))
 
 
 def range_end(start: Column, length: Column) -> Column:
@@ -44,3 +44,28 @@ def contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
 
 def gap_between(a_end: Column, b_start: Column) -> Column:
     return F.when(b_start > a_end, b_start - a_end)
+
+
+def is_inverted(start: Column, end: Column) -> Column:
+    return end < start
+
+
+def is_empty(start: Column, end: Column) -> Column:
+    """Holds nothing; an inverted range holds nothing either."""
+    return end <= start
+
+
+def gzipped(size: Column, threshold: int) -> Column:
+    """Whether a document of that size is stored compressed."""
+    return size > threshold
+
+
+def capped(text: Column, most: int) -> Column:
+    """The longest start of a text that has at most so many UTF-8 bytes; no character is cut in two."""
+    data = F.encode(text, "utf-8")
+    # a character ends at byte n unless the byte after it goes on with it; it has four bytes at most
+    goes_on = lambda n: F.hex(F.substring(data, n + 1, 1)).between("80", "BF")
+    end = F.lit(max(0, most - 3))
+    for n in range(max(0, most - 2), most + 1):
+        end = F.when(~goes_on(n), F.lit(n)).otherwise(end)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), end), "utf-8"))

@@ -7,6 +7,12 @@ compressed_size, uncompressed_size, ...>>. flat chunk: field, file, manifest_pos
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +26,9 @@ _IDENTITY = ["field", "file", "uncompressed_md5", "uncompressed_size"]
 def flatten(files: DataFrame) -> DataFrame:
     """One row per chunk, folders and nameless entries dropped."""
     named = files.where(~F.coalesce("is_folder", F.lit(False)) & (F.col("file") != ""))
-    return named.select("field", "manifest_pos", "pos", "file", F.posexplode("chunks").alias("cpos", "c")).select("field", "manifest_pos", "pos", "file", "cpos", "c.*")
+    # the outer form, as the plain one makes Spark evaluate the list once more in a filter on its size
+    listed = named.select("field", "manifest_pos", "pos", "file", F.posexplode_outer("chunks").alias("cpos", "c"))
+    return listed.where("c is not null").select("field", "manifest_pos", "pos", "file", "cpos", "c.*")
 
 
 def select_manifests(files: DataFrame, ignored: list[str], audio: list[str]) -> DataFrame:
@@ -51,14 +59,19 @@ def path_diff(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
 
 
 def path_scores(new_chunks: DataFrame, old_chunks: DataFrame) -> DataFrame:
-    """Per file: chunks, reused and moved ones, bytes to fetch and in all."""
+    """Per file: chunks, reused and moved ones, how far into the old file the reused bytes reach, compressed bytes of both
+    sides and of what is fetched. total_cost, the ranking key, is both sides together: the old file must be had whole."""
     moved = F.col("source").isNotNull() & (F.col("source") != F.col("offset"))
     fetched = F.when(F.col("source").isNull(), at_least_0(F.col("compressed_size"))).otherwise(0)
-    return chunk_reuse(new_chunks, old_chunks).groupBy("field", "file").agg(
+    reach = F.max(F.when(F.col("source").isNotNull(), at_least_0(F.try_add("source", "uncompressed_size"))))
+    old = old_chunks.groupBy("field", "file").agg(F.sum(at_least_0(F.col("compressed_size"))).alias("old_bytes"))
+    new = chunk_reuse(new_chunks, old_chunks).groupBy("field", "file").agg(
         F.count("*").alias("nchunks"), F.count("source").alias("reused"), F.count_if(moved).alias("moved"),
         F.count_if(moved & (F.col("source") < F.col("offset"))).alias("moved_later"), F.count_if(moved & (F.col("source") > F.col("offset"))).alias("moved_earlier"),
-        F.sum(fetched).alias("patch_bytes"), F.sum(at_least_0(F.col("compressed_size"))).alias("total_cost"),
+        F.coalesce(reach, F.lit(0)).cast("long").alias("old_max_end"), F.sum(at_least_0(F.col("compressed_size"))).alias("new_bytes"), F.sum(fetched).alias("patch_bytes"),
     )
+    both = new.join(old, ["field", "file"], "left").withColumn("old_bytes", F.coalesce("old_bytes", F.lit(0)))
+    return both.withColumn("total_cost", F.col("old_bytes") + F.col("new_bytes"))
 
 
 def class_of(state: Column, nchunks: Column, reused: Column, moved: Column) -> Column:
@@ -78,11 +91,16 @@ def scored(old_files: DataFrame, new_files: DataFrame, old_chunks: DataFrame, ne
 
 
 def diff_rollup(scores: DataFrame) -> DataFrame:
-    """Counts and bytes by field and over all fields (field null), in one pass."""
+    """Counts and bytes by field and over all fields (field null), in one pass; diff_paths() has the lists behind them."""
     state = lambda s: F.count_if(F.col("state") == s).alias(s)
     return scores.groupingSets([["field"], []], "field").agg(*map(state, ("added", "removed", "identical", "changed")), saturating_sum(F.col("patch_bytes")).cast("long").alias("patch_bytes"), saturating_sum(F.col("new_size")).cast("long").alias("new_bytes"))
 
 
+def diff_paths(scores: DataFrame) -> DataFrame:
+    """state, path (field:file) of every path that is not identical."""
+    return scores.where("state <> 'identical'").select("state", F.concat_ws(":", "field", "file").alias("path"))
+
+
 def reuse_pool(new_chunks: DataFrame, old_chunks: DataFrame) -> DataFrame:
     """How many new chunks have their bytes anywhere in the old build (by digest alone) against in the same file."""
     anywhere = old_chunks.select(F.col("uncompressed_md5").alias("m")).distinct()
@@ -141,11 +159,19 @@ def range_violations(chunks: DataFrame) -> DataFrame:
 def wants(chunks: DataFrame) -> DataFrame:
     """Each distinct chunk id once: how often and by how many files it is asked for, its identity by list order, and
     how many rows disagree with that."""
-    order = F.struct("manifest_pos", "pos", "cpos")
-    identity = F.struct("uncompressed_md5", "uncompressed_size")
-    first = Window.partitionBy("id")
-    with_first = chunks.withColumn("first", F.min_by(identity, order).over(first))
-    return with_first.groupBy("id").agg(F.count("*").alias("references"), F.count_distinct("field", "file").alias("files"), F.max("first.uncompressed_size").alias("bytes"), F.count_if(F.struct("uncompressed_md5", "uncompressed_size") != F.col("first")).alias("conflicts"), F.max("compressed_size").alias("compressed_size"))
+    # by file first, then by identity, then by id: each step is summed up before it is shuffled, so no id is one task's list
+    order = F.min(F.struct("manifest_pos", "pos", "cpos")).alias("first")
+    identity = ["id", "uncompressed_md5", "uncompressed_size"]
+    by_file = chunks.groupBy(*identity, "field", "file").agg(F.count("*").alias("n"), order, F.max("compressed_size").alias("c"))
+    kinds = by_file.groupBy(*identity).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("c").alias("c"))
+    named = kinds.groupBy("id").agg(F.sum("n").alias("references"), F.min_by(F.struct("uncompressed_md5", "uncompressed_size", "n"), "first").alias("kind"), F.max("c").alias("compressed_size"))
+    files = by_file.select("id", "field", "file").distinct().groupBy("id").agg(F.count("*").alias("files"))
+    return named.join(files, "id").select("id", "references", "files", F.col("kind.uncompressed_size").alias("bytes"), (F.col("references") - F.col("kind.n")).alias("conflicts"), "compressed_size")
+
+
+def projected_download(wanted: DataFrame) -> DataFrame:
+    """One row: the bytes that fetching every wanted chunk once would move."""
+    return wanted.agg(saturating_sum(F.col("compressed_size")).cast("string").alias("projected"))
 
 
 def retention(new_chunks: DataFrame, old_chunks: DataFrame) -> DataFrame:
@@ -167,7 +193,50 @@ def patch_totals(plan: DataFrame) -> DataFrame:
     return plan.groupBy("field").agg(F.count("*").alias("chunks"), F.count_if(F.col("decision") == "REUSE").alias("reuse"), F.count_if(F.col("decision") == "FETCH").alias("fetch"), F.count_if("moved").alias("moved"), F.sum(cost.cast("long")).alias("download_bytes"))
 
 
-def rebuild(parts: DataFrame) -> DataFrame:
-    """field, file, content of files put together from (field, file, offset, bytes)."""
-    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("offset", "bytes"))), F.unhex(F.lit("")), lambda s, p: F.concat(s, p["bytes"]))
-    return parts.groupBy("field", "file").agg(whole.alias("content"))
+def rebuild(parts: DataFrame, root: str | None = None) -> DataFrame:
+    """field, file, size, md5, tiled of files put together from (field, file, offset, bytes); with root they are also
+    written below it, a folder that all executors share.
+
+    A file's parts pass one task in order and one at a time, so a file may be of any size. tiled: they begin at 0 and
+    leave no hole and no overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out = None, None
+        for batch in batches:
+            for field, file, offset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (field, file) != key:
+                    if out:
+                        yield out.done(*key)
+                    key, out = (field, file), _Whole(root, field, file)
+                out.add(offset, data)
+        if out:
+            yield out.done(*key)
+
+    ordered = parts.select("field", "file", F.col("offset").cast("long").alias("offset"), F.col("bytes").cast("binary").alias("bytes")).repartition("field", "file").sortWithinPartitions("field", "file", "offset")
+    return ordered.mapInArrow(run, "field string, file string, size long, md5 string, tiled boolean")
+
+
+class _Whole:
+    """One file as its parts come in; its bytes go through a temporary name until it is whole."""
+
+    def __init__(self, root: str | None, field: str, file: str) -> None:
+        self.md5, self.size, self.tiled = hashlib.md5(), 0, True
+        self.path = f"{root}/{field}/{file}" if root else None
+        if self.path:
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+            self.temporary = f"{self.path}.{uuid.uuid4().hex}"
+            self.handle = open(self.temporary, "wb")
+
+    def add(self, offset: int, data: bytes) -> None:
+        self.tiled &= offset == self.size
+        self.md5.update(data)
+        self.size += len(data)
+        if self.path:
+            self.handle.write(data)
+
+    def done(self, field: str, file: str) -> pa.RecordBatch:
+        if self.path:
+            self.handle.close()
+            os.replace(self.temporary, self.path)
+        return pa.RecordBatch.from_pydict({"field": [field], "file": [file], "size": [self.size], "md5": [self.md5.hexdigest()], "tiled": [self.tiled]})

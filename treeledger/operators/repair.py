@@ -9,6 +9,11 @@ from treeledger.functions.paths import ancestors, bad_rel, clean_rel, depth, pat
 from treeledger.functions.totals import at_least_0, saturating_sum
 
 
+def _fold(name: str) -> str:
+    """What path_key() makes of a name."""
+    return name.translate({c: c + 32 for c in range(65, 91)})
+
+
 def plan_files(files: DataFrame, blocked: list[str] | None = None) -> DataFrame:
     """The files of a plan: cleaned paths, the first of those that fold alike, in path order.
 
@@ -18,7 +23,7 @@ def plan_files(files: DataFrame, blocked: list[str] | None = None) -> DataFrame:
     checked = files.where(~F.coalesce("is_folder", F.lit(False)) & (F.col("file") != ""))
     checked = checked.withColumn("rel", F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("bad path "), "file", F.lit(": "), why))).otherwise(clean_rel(F.col("file"))))
     if blocked:
-        checked = checked.where(~path_key(F.col("rel")).isin([b.lower() for b in blocked]))
+        checked = checked.where(~path_key(F.col("rel")).isin([_fold(b) for b in blocked]))
     first = F.row_number().over(Window.partitionBy(path_key(F.col("rel"))).orderBy("manifest_pos", "pos"))
     return checked.withColumn("nth", first).where("nth = 1").drop("nth").orderBy("rel")
 
@@ -58,11 +63,19 @@ def limit_hits(actual: DataFrame, limits: dict[str, int]) -> DataFrame:
     return long.withColumn("limit", limit[F.col("what")]).where(F.col("actual") > F.col("limit"))
 
 
-def purge(disk: DataFrame, expected: DataFrame, keep: list[str], visible: Column | None = None) -> DataFrame:
-    """disk (rel, bytes) with the verdict for each path, by the first rule that holds."""
+def is_audio_version(rel: Column) -> Column:
+    """Whether a path names a record of which voice packs are installed."""
+    name = path_key(F.element_at(F.split(rel, "/", -1), -1))
+    return name.startswith("audio_lang_") | (name.startswith("audio_") & name.endswith("_pkg_version"))
+
+
+def purge(disk: DataFrame, expected: DataFrame, keep: list[str], visible: Column | None = None, blocked: list[str] | None = None) -> DataFrame:
+    """disk (rel, bytes) with the verdict for each path, by the first rule that holds: out-of-scope, expected, kept (the
+    tool's own), blocked, audio-version, purge."""
     known = expected.select(path_key(F.col("rel")).alias("key"), F.lit(True).alias("expected")).distinct()
     keyed = disk.withColumn("key", path_key(F.col("rel"))).join(known, "key", "left")
-    verdict = F.when(~(visible if visible is not None else F.lit(True)), "out-of-scope").when(F.col("expected"), "expected").when(F.col("key").isin([k.lower() for k in keep]), "kept").otherwise("purge")
+    among = lambda names: F.col("key").isin([_fold(n) for n in names]) if names else F.lit(False)
+    verdict = F.when(~(visible if visible is not None else F.lit(True)), "out-of-scope").when(F.col("expected"), "expected").when(among(keep), "kept").when(among(blocked), "blocked").when(is_audio_version(F.col("rel")), "audio-version").otherwise("purge")
     return keyed.select("rel", "bytes", verdict.alias("verdict"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions.totals import at_least_0, overlaps, saturating_sum
+from treeledger.operators.trees import diff_summary
 
 #: The order in which a comparison is told.
 VERDICTS = ["missing", "extra", "changed", "type-conflict", "case-mismatch", "identical"]
@@ -20,10 +21,16 @@ def plan_line(files: DataFrame, estimates: DataFrame, purged: DataFrame, scoped:
 
 
 def verdict_stream(diff: DataFrame, show_identical: bool = False) -> DataFrame:
-    """Rows of a tree diff in the order in which they are told: by bucket, then by path."""
+    """Rows of a tree diff in the order in which they are told: by bucket, then by path, and the counts last. A pair in two
+    spellings is told in its bucket and as a case mismatch, with the other spelling as its tag."""
     rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("bucket"))
     told = diff if show_identical else diff.where("bucket <> 'identical'")
-    return told.select(rank.alias("rank"), F.upper("bucket").alias("label"), F.coalesce("src_rel", "dst_rel").alias("rel"), "tag").orderBy("rank", "rel")
+    rows = told.select(rank.alias("rank"), F.upper("bucket").alias("label"), F.coalesce("src_rel", "dst_rel").alias("rel"), "tag")
+    spelled = diff.where("case_mismatch").select(F.lit(VERDICTS.index("case-mismatch") + 1).cast("long").alias("rank"), F.lit("CASE-MISMATCH").alias("label"), F.col("src_rel").alias("rel"), F.col("dst_rel").alias("tag"))
+    counts = diff_summary(diff)
+    keys = [c for c in counts.columns if c != "in_step"]
+    last = counts.select(F.lit(len(VERDICTS) + 1).cast("long").alias("rank"), F.lit("SUMMARY").alias("label"), F.lit(None).cast("string").alias("rel"), F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys]).alias("tag"))
+    return rows.unionAll(spelled).unionAll(last).orderBy("rank", "rel")
 
 
 def examples(paths: DataFrame, most: int = 5) -> DataFrame:
@@ -44,10 +51,10 @@ def run_summary(events: DataFrame) -> DataFrame:
     return row.withColumn("done", F.col("skipped") + F.col("repaired") + F.col("failed"))
 
 
-def exit_status(summary: DataFrame) -> DataFrame:
-    """The first hard stop that a run met (columns usage_error, metadata_error, limit_hits, write_error, failed), or ok."""
+def exit_status(summary: DataFrame, *keys: str) -> DataFrame:
+    """The first hard stop that each run met (columns usage_error, metadata_error, limit_hits, write_error, failed), or ok."""
     status = F.when(F.col("usage_error"), "usage").when(F.col("metadata_error"), "metadata").when(F.col("limit_hits") > 0, "limit").when(F.col("write_error"), "write").when(F.col("failed") > 0, "damaged").otherwise("ok")
-    return summary.select(status.alias("status"))
+    return summary.select(*keys, status.alias("status"))
 
 
 def stored_bodies(bodies: DataFrame, budget: int) -> DataFrame:
@@ -63,13 +70,16 @@ def newest(copies: DataFrame, keep: int) -> DataFrame:
     return copies.withColumn("nth", rank).where(F.col("nth") <= keep).drop("nth")
 
 
-def tiering(payloads: DataFrame, ceiling: int) -> DataFrame:
-    """payloads (grp, file, payload: bytes of bad chunks that move): how each file can be written in place.
+def tiering(payloads: DataFrame, ceiling: int | None) -> DataFrame:
+    """payloads (file, payload: bytes of bad chunks that move): how each file can be written in place.
 
-    Reservations are made in path order; what would be reserved at once on a busy host may differ.
+    A file reserves its payload while it is written and gives it back when it is done, and a refused reservation is
+    not charged. So one file at a time is staged whenever its own payload fits; with several in work, those that
+    overlap share the ceiling, which a plan can't foresee. ceiling: None for no limit; 0 stages nothing at all.
     """
-    before = F.coalesce(F.sum(at_least_0(F.col("payload"))).over(Window.partitionBy("grp").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tier = F.when(F.lit(ceiling) == 0, "ordered").when(F.col("payload") <= 0, "staged").when(before + F.col("payload") <= ceiling, "staged").otherwise("ordered")
+    if ceiling is None:
+        return payloads.withColumn("tier", F.lit("staged"))
+    tier = F.when(F.lit(ceiling) == 0, "ordered").when(at_least_0(F.col("payload")) <= ceiling, "staged").otherwise("ordered")
     return payloads.withColumn("tier", tier)
 
 

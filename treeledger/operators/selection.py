@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from treeledger.functions.cut import checkpointed
 from treeledger.functions.paths import field_rank
+from treeledger.functions.totals import at_least_0
 from treeledger.operators.manifest import CLASSES
 
 #: Candidates of a class that can matter: those picked and those that earlier classes may have taken.
@@ -34,7 +36,7 @@ def _ranged(rows: DataFrame, order: list) -> DataFrame:
     """Rows dealt to ranges of a total order and kept there: `_part` is the range, `_in` rises within it."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return ranged.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at").checkpoint()
+    return checkpointed(ranged.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"))
 
 
 def _with_before(ranged: DataFrame, amount: Column) -> DataFrame:
@@ -159,13 +161,27 @@ def candidates(scores: DataFrame) -> DataFrame:
         "reuse_moved": changed & (F.col("moved") > 0), "added": F.col("state") == "added", "removed": F.col("state") == "removed",
     }
     classes = F.array_compact(F.array(*[F.when(fits[c], c) for c in CLASSES]))
-    return scores.select("field", "file", "state", F.coalesce("total_cost", F.lit(0)).alias("budget_cost"), classes.alias("classes"))
+    cost = F.when(F.col("state") == "removed", at_least_0(F.col("old_size"))).when(F.col("state") == "added", F.col("new_bytes")).otherwise(F.col("total_cost"))
+    return scores.select("field", "file", "state", F.coalesce(cost, F.lit(0)).alias("budget_cost"), classes.alias("classes"))
 
 
-def select_by_class(found: DataFrame, per_class: int, budget: int, forced: list[str] | None = None) -> tuple[list[dict], list[dict]]:
+def unmet(status: DataFrame, required: list[str]) -> DataFrame:
+    """class, line of the required classes that are neither captured nor covered."""
+    asked = status.where(F.col("class").isin(required) & ~F.col("status").isin("captured", "covered"))
+    return asked.select("class", F.concat(F.col("class"), F.lit(": "), F.col("status")).alias("line"))
+
+
+def require(status: DataFrame, required: list[str]) -> None:
+    """Raise with every unmet class (there are six at most)."""
+    lines = [r.line for r in unmet(status, required).orderBy("class").collect()] if required else []
+    if lines:
+        raise ValueError("; ".join(lines))
+
+
+def select_by_class(found: DataFrame, per_class: int, budget: int, forced: list[tuple[str, str]] | None = None) -> tuple[list[dict], list[dict]]:
     """(admitted or refused files, status of each class).
 
-    Forced paths come first, in the order given, each charged as often as it is named. Then each class in order is
+    Forced files (field, file) come first, in the order given, each charged as often as it is named. Then each class in order is
     covered by what is in, or gets its `per_class` cheapest files that no class took before. Spark ranks;
     the driver folds over at most KEPT_PER_CLASS files of each of the six classes.
     """
@@ -173,7 +189,10 @@ def select_by_class(found: DataFrame, per_class: int, budget: int, forced: list[
     rank = F.row_number().over(Window.partitionBy("class").orderBy("budget_cost", field_rank(F.col("field")), "file"))
     per = found.select("*", F.explode("classes").alias("class")).withColumn("nth", rank).where(F.col("nth") <= max(KEPT_PER_CLASS, 6 * per_class + len(forced)))
     rows = [r.asDict() for r in per.orderBy("class", "nth").collect()]
-    named = {r["file"]: r.asDict() for r in found.where(F.col("file").isin(forced)).collect()} if forced else {}
+    key = lambda row: (row["field"], row["file"])
+    # as many rows as files are named
+    names = found.sparkSession.createDataFrame(sorted(set(forced)), "field string, file string") if forced else None
+    named = {key(r): r.asDict() for r in found.join(F.broadcast(names), ["field", "file"]).collect()} if forced else {}
     spent, out, taken = 0, [], {}
 
     def admit(row: dict, why: str) -> bool:
@@ -182,7 +201,7 @@ def select_by_class(found: DataFrame, per_class: int, budget: int, forced: list[
         spent += row["budget_cost"] if ok else 0
         out.append({"field": row["field"], "file": row["file"], "class": why, "budget_cost": row["budget_cost"], "admitted": ok})
         if ok:
-            taken[row["file"]] = row
+            taken[key(row)] = row
         return ok
 
     for f in forced:
@@ -191,18 +210,28 @@ def select_by_class(found: DataFrame, per_class: int, budget: int, forced: list[
     wanted, status = [], {}
     for c in CLASSES:
         own = [r for r in rows if r["class"] == c]
-        cover = [f for f, r in taken.items() if c in r["classes"]]
+        cover = [r for r in taken.values() if c in r["classes"]]
         earlier = sorted((w for w in wanted if c in w[0]["classes"]), key=lambda w: (w[0]["budget_cost"], w[0]["file"]))
         if cover:
-            status[c] = ("covered", cover[0])
+            status[c] = ("covered", key(cover[0]))
         elif earlier:
-            status[c] = ("covered", earlier[0][0]["file"])
+            status[c] = ("covered", key(earlier[0][0]))
         else:
-            used = {w[0]["file"] for w in wanted} | taken.keys()
-            picked = [r for r in own if r["file"] not in used][:per_class]
+            used = {key(w[0]) for w in wanted} | taken.keys()
+            picked = [r for r in own if key(r) not in used][:per_class]
             wanted += [(r, c) for r in picked]
-            status[c] = ("captured", picked[0]["file"]) if picked else ("unavailable", None)
+            status[c] = ("captured", key(picked[0])) if picked else ("unavailable", (None, None))
     for row, c in sorted(wanted, key=lambda w: (w[0]["budget_cost"], w[0]["field"] != "game", w[0]["field"], w[0]["file"])):
         admit(row, c)
-    refused = {o["file"] for o in out if not o["admitted"]} - taken.keys()
-    return out, [{"class": c, "status": "over_budget" if f in refused else s, "file": f} for c, (s, f) in status.items()]
+    refused = {key(o) for o in out if not o["admitted"]} - taken.keys()
+    return out, [{"class": c, "status": "over_budget" if k in refused else s, "field": k[0], "file": k[1]} for c, (s, k) in status.items()]
+
+
+def candidates_document(scores: DataFrame) -> DataFrame:
+    """field, file, state, budget_cost of all paths, with the rank of those that are scored as changed and the admission rank
+    of those that stand for a class; both null for the others."""
+    found = candidates(scores.fillna(0, ["reused", "moved", "nchunks", "total_cost"]))
+    key = ["field", "file"]
+    rank = ranked(scores.where("state = 'changed'").select(*key, "total_cost", "moved", "reused")).select(*key, "rank")
+    admission = admission_ranked(found.where(F.size("classes") > 0).select(*key, "budget_cost")).select(*key, "admission_rank")
+    return found.select(*key, "state", "budget_cost").join(rank, key, "left").join(admission, key, "left")

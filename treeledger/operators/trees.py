@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeledger.functions.cut import written
 from treeledger.functions.paths import ancestors, path_key
 
 
@@ -59,21 +60,24 @@ def verdict(s: Column, d: Column, trust: Trust, required: Column) -> Column:
 
 
 def tree_diff(src: DataFrame, dst: DataFrame, trust: Trust | None = None, algos: list[str] | None = None, fold: bool = False) -> DataFrame:
-    """bucket, src_rel, dst_rel, tag for every path of either side."""
+    """bucket, src_rel, dst_rel, tag, case_mismatch, src_kind, dst_kind for every path of either side.
+
+    A pair in two spellings is a case mismatch and has its own bucket besides.
+    """
     s, d = F.col("s"), F.col("d")
     tag = F.when(s.isNotNull() & d.isNotNull() & (s["kind"] == d["kind"]), verdict(s, d, trust or Trust(), F.array(*map(F.lit, algos or [])).cast("array<string>")))
     same = tag.isin("dir-present", "stat-match") | tag.startswith("digest-matches")
     bucket = (
         F.when(d.isNull(), "missing").when(s.isNull(), "extra").when(s["kind"] != d["kind"], "type-conflict")
-        .when(~same, "changed").when(s["rel"] != d["rel"], "case-mismatch").otherwise("identical")
+        .when(~same, "changed").otherwise("identical")
     )
-    return joined(src, dst, fold).select(bucket.alias("bucket"), s["rel"].alias("src_rel"), d["rel"].alias("dst_rel"), tag.alias("tag"))
+    return joined(src, dst, fold).select(bucket.alias("bucket"), s["rel"].alias("src_rel"), d["rel"].alias("dst_rel"), tag.alias("tag"), F.coalesce(s["rel"] != d["rel"], F.lit(False)).alias("case_mismatch"), s["kind"].alias("src_kind"), d["kind"].alias("dst_kind"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
     """Counts by bucket; `total` leaves case mismatches out, `in_step` does not."""
     count = lambda b: F.count_if(F.col("bucket") == b).alias(b.replace("-", "_"))
-    row = diff.agg(*map(count, ("missing", "extra", "changed", "type-conflict", "case-mismatch", "identical")))
+    row = diff.agg(*map(count, ("missing", "extra", "changed", "type-conflict")), F.count_if("case_mismatch").alias("case_mismatch"), count("identical"))
     total = F.col("missing") + F.col("extra") + F.col("changed") + F.col("type_conflict")
     return row.withColumn("total", total).withColumn("in_step", (total + F.col("case_mismatch")) == 0)
 
@@ -131,22 +135,6 @@ def any_of(src: Column, dst: Column, algos: list[str]) -> Column:
     return F.array_min(F.array(*[F.struct(missing(F.lit(a)).alias("missing"), F.lit(i).alias("place"), F.lit(a).alias("algo")) for i, a in enumerate(algos)]))["algo"]
 
 
-def sync_actions(diff: DataFrame, src: DataFrame, missing_only: bool = False, keep_extra: bool = False) -> DataFrame:
-    """What would bring dst in step: stage, rel, because; stages in their order, removals deepest first."""
-    kind = diff.join(src.select(F.col("rel").alias("src_rel"), "kind"), "src_rel", "left")
-    at = lambda when, stage, rank, rel="src_rel": kind.where(when).select(F.lit(rank).alias("rank"), F.lit(stage).alias("stage"), F.col(rel).alias("rel"), F.coalesce("tag", "bucket").alias("because"))
-    parts = [at("bucket = 'missing' and kind = 'dir'", "MKDIR", 1), at("bucket = 'missing' and kind = 'file'", "COPY", 3)]
-    if not missing_only:
-        parts.append(at("bucket = 'changed'", "COPY", 3))
-        parts.append(at("bucket = 'type-conflict'", "FIX-DIR", 0))
-    if not keep_extra and not missing_only:
-        parts.append(at("bucket = 'extra'", "DELETE", 2, "dst_rel"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.orderBy("rank", F.when(F.col("stage") == "DELETE", -F.length("rel")), "rel")
-
-
 def pulled_in(live: DataFrame, kept: Column) -> DataFrame:
     """Rows that are kept, and the directories above kept files."""
     chosen = live.where(kept)
@@ -172,16 +160,18 @@ def rename_steps(renames: DataFrame) -> DataFrame:
     return out.select("src_rel", "dst_rel", F.coalesce(moved, "dst_rel").alias("from_rel"), F.size(F.split("dst_rel", "/")).alias("depth")).orderBy("depth", "dst_rel")
 
 
-def link_closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """All (link, target) pairs that following links reaches; a loop ends where it comes round."""
-    reach = edges.select("link", "target").distinct()
-    size = -1
-    for _ in range(rounds):
-        reach = reach.unionAll(reach.alias("a").join(edges.alias("b"), F.col("a.target") == F.col("b.link")).select("a.link", "b.target")).distinct().checkpoint()
-        if (n := reach.count()) == size:
-            break
-        size = n
-    return reach
+def link_closure(edges: DataFrame) -> DataFrame:
+    """All (link, target) pairs that following links reaches; a loop ends where it comes round.
+
+    What is reached is joined with itself, so a chain of n links takes log n rounds; it ends when a round finds nothing.
+    """
+    reach = written(edges.select("link", "target").distinct())
+    while True:
+        further = reach.alias("a").join(reach.alias("b"), F.col("a.target") == F.col("b.link")).select("a.link", "b.target").distinct()
+        new = written(further.join(reach, ["link", "target"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach = written(reach.unionAll(new))
 
 
 def first_by_group(rows: DataFrame, group: str, *order: str) -> DataFrame:

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions import globs, paths, records, totals
-from treeledger.operators import assertions, manifest, repair, reports, selection, trees
+from treeledger.operators import assertions, manifest, repair, reports, selection, sync, trees
 from treeledger.plans.derived import manifest as build
-from treeledger.plans.derived import side, table, with_
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from treeledger.plans.derived import BLOCK, bodies, odd_manifest, side, table, with_
+from treeledger.plans.registry import query
+from treeledger.sources import requests
 
 def _chunks(spark: SparkSession, d: str, which: str) -> DataFrame:
     return manifest.flatten(build(spark, d, which))
@@ -50,7 +35,7 @@ def manifest_diff_state(spark, d):
     return manifest.path_diff(build(spark, d, "old"), build(spark, d, "new"))
 
 
-@query(with_("score") + "SELECT * REPLACE (patch_bytes::BIGINT AS patch_bytes, total_cost::BIGINT AS total_cost) FROM score")
+@query(with_("score") + "SELECT * FROM score")
 def path_score(spark, d):
     return manifest.path_scores(_chunks(spark, d, "new"), _chunks(spark, d, "old"))
 
@@ -124,8 +109,6 @@ def layout_tiling(spark, d):
 
 
 def _layout(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     o = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     length = F.col("l_quantity").cast("long")
     base = F.coalesce(F.sum(length).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -146,11 +129,17 @@ def range_violations(spark, d):
     return manifest.range_violations(c).withColumn("cpos", F.col("cpos").cast("long"))
 
 
-@query(with_("chunks") + """, f AS (SELECT field, file, length(body) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS size FROM new_body WHERE length(body) > 0), t AS (SELECT field, file, sum(n) AS total, max(n) AS mx FROM new_chunk GROUP BY ALL)
-SELECT 0::BIGINT AS empty, 0::BIGINT AS backslash, count(*) FILTER (regexp_matches(file, '[^\\x00-\\x7F]')) AS non_ascii, 0::BIGINT AS unsorted, 0::BIGINT AS gapped, count(*) FILTER (total <> size) AS wrong_size,
-max(mx)::BIGINT AS max_chunk, 0::BIGINT AS duplicates FROM f JOIN t USING (field, file)""")
+@query(with_("odd") + """, t AS (SELECT doc_id, sum(n) AS total, max(n) AS mx, bool_or(off <= prev) AS unsorted, bool_or(off <> prev_end) AS gapped FROM (SELECT *, lag(off) OVER w AS prev, lag(off + n) OVER w AS prev_end FROM odd_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY cpos)) GROUP BY 1),
+f AS (SELECT * FROM odd_file LEFT JOIN t USING (doc_id))
+SELECT count(*) FILTER (bare) AS empty, count(*) FILTER (contains(file, chr(92))) AS backslash, count(*) FILTER (regexp_matches(file, '[^\\x00-\\x7F]')) AS non_ascii, count(*) FILTER (unsorted) AS unsorted, count(*) FILTER (gapped) AS gapped,
+count(*) FILTER (NOT is_folder AND coalesce(total, 0) <> size) AS wrong_size, max(mx)::BIGINT AS max_chunk, (count(*) - count(DISTINCT file))::BIGINT AS duplicates FROM f""")
 def structure_counts(spark, d):
-    return manifest.structure_counts(build(spark, d, "new").withColumn("size", F.col("size") + F.when(F.col("pos") % 4 == 0, 1).otherwise(0)))
+    return manifest.structure_counts(odd_manifest(spark, d))
+
+
+@query(with_("odd") + "SELECT doc_id, file, cpos, id, off AS \"offset\", n AS uncompressed_size FROM odd_chunk WHERE NOT is_folder AND file <> ''")
+def manifest_flatten_odd(spark, d):
+    return manifest.flatten(odd_manifest(spark, d)).select(F.col("pos").alias("doc_id"), "file", F.col("cpos").cast("long").alias("cpos"), "id", "offset", "uncompressed_size")
 
 
 @query("""WITH p AS (SELECT doc_id, lower(source) || '/' || lang || '/' || (doc_id // 2) AS rel, row_number() OVER (PARTITION BY source, lang, doc_id // 2 ORDER BY doc_id) AS nth FROM documents)
@@ -174,25 +163,51 @@ def ancestor_exclude(spark, d):
     return table(spark, d, "documents").select(rel.alias("rel")).where(globs.kept_by_filter(F.col("rel"), [], ["src?/fr", "src??/fr", "SRC3", "src*/??/5", "src*/??/?5"]))
 
 
-@query(with_("files") + """SELECT file AS rel, size AS bytes, CASE WHEN file IN (SELECT file FROM new_file) THEN 'expected' WHEN file = 'src1/en/1' THEN 'kept' ELSE 'purge' END AS verdict FROM old_file""")
+#: Installed files: those of the old build, records of voice packs among them, and two folders of which nothing is expected.
+_DISK = with_("files") + """, disk AS (SELECT CASE WHEN doc_id % 31 = 0 THEN regexp_replace(file, '[^/]*$', '') || CASE WHEN doc_id % 2 = 0 THEN 'Audio_' || doc_id || '_pkg_version' ELSE 'AUDIO_LANG_' || doc_id END
+  WHEN doc_id % 11 = 0 THEN 'gone/' || (doc_id % 3) || '/' || doc_id ELSE file END AS rel, length(body) AS bytes FROM old_body WHERE length(body) > 0),
+v AS (SELECT rel, bytes, CASE WHEN rel IN (SELECT file FROM new_file) THEN 'expected' WHEN lower(rel) = 'gone/1/22' THEN 'kept' WHEN lower(rel) = 'gone/0/33' THEN 'blocked'
+  WHEN lower(split_part(rel, '/', -1)) LIKE 'audio\\_lang\\_%' ESCAPE '\\' OR lower(split_part(rel, '/', -1)) LIKE 'audio\\_%\\_pkg\\_version' ESCAPE '\\' THEN 'audio-version' ELSE 'purge' END AS verdict FROM disk)
+"""
+
+
+def _installed(spark: SparkSession, d: str) -> DataFrame:
+    n, old = F.col("pos"), build(spark, d, "old")
+    record = F.concat(F.regexp_replace("file", "[^/]*$", ""), F.when(n % 2 == 0, F.concat(F.lit("Audio_"), n.cast("string"), F.lit("_pkg_version"))).otherwise(F.concat(F.lit("AUDIO_LANG_"), n.cast("string"))))
+    gone = F.concat_ws("/", F.lit("gone"), (n % 3).cast("string"), n.cast("string"))
+    return old.select(F.when(n % 31 == 0, record).when(n % 11 == 0, gone).otherwise(F.col("file")).alias("rel"), F.col("size").alias("bytes"))
+
+
+@query(_DISK + "SELECT * FROM v")
 def purge_keepset_anti(spark, d):
-    disk = build(spark, d, "old").select(F.col("file").alias("rel"), F.col("size").alias("bytes"))
-    return repair.purge(disk, build(spark, d, "new").select(F.col("file").alias("rel")), keep=["SRC1/en/1"])
+    return repair.purge(_installed(spark, d), build(spark, d, "new").select(F.col("file").alias("rel")), keep=["GONE/1/22"], blocked=["gone/0/33"])
 
 
-@query(with_("files") + """, b AS (SELECT split_part(file, '/', 1) AS a, split_part(file, '/', 2) AS l, file NOT IN (SELECT file FROM new_file) AS gone FROM old_file), u AS (SELECT a AS dir, gone FROM b UNION ALL SELECT a || '/' || l, gone FROM b)
-SELECT dir FROM u GROUP BY dir HAVING bool_and(gone)""")
+@query(_DISK + """, u AS (SELECT split_part(rel, '/', 1) AS dir, verdict FROM v UNION ALL SELECT split_part(rel, '/', 1) || '/' || split_part(rel, '/', 2), verdict FROM v)
+SELECT dir FROM u GROUP BY dir HAVING bool_and(verdict = 'purge')""")
 def purge_empty_dirs(spark, d):
     return repair.empty_dirs(purge_keepset_anti(spark, d))
 
 
-_TAG = """CASE WHEN s.rel IS NULL OR d.rel IS NULL THEN NULL WHEN s.size <> d.size AND s.mtime_ns <> d.mtime_ns THEN 'stat-size+stat-mtime' WHEN s.size <> d.size THEN 'stat-size'
+@query(_DISK + "SELECT count(*) FILTER (verdict = 'purge') AS files, coalesce(sum(bytes) FILTER (verdict = 'purge'), 0)::BIGINT AS bytes, 0::BIGINT AS hidden FROM v")
+def purge_totals(spark, d):
+    return repair.purge_totals(purge_keepset_anti(spark, d))
+
+
+_TAG = """CASE WHEN s.rel IS NULL OR d.rel IS NULL OR s.kind <> d.kind THEN NULL WHEN s.kind = 'dir' THEN 'dir-present' WHEN s.size <> d.size AND s.mtime_ns <> d.mtime_ns THEN 'stat-size+stat-mtime' WHEN s.size <> d.size THEN 'stat-size'
 WHEN s.mtime_ns <> d.mtime_ns THEN 'stat-mtime' WHEN s.h <> d.h THEN 'digest-differs:md5' ELSE 'digest-matches:md5' END"""
+_FOLDED = "translate(s.rel, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(d.rel, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_sql(on: str, name: str = "") -> str:
+    """A pair in two spellings is a case mismatch and has the bucket of its contents besides. name: as a relation, not a query."""
+    pairs, rows = _tree_parts(on)
+    return with_("sides") + pairs + (f", {name} AS ({rows})" if name else f"\n{rows}")
 
 
-def _tree_sql(on: str) -> str:
-    return with_("sides") + f""", j AS (SELECT s.rel AS src_rel, d.rel AS dst_rel, {_TAG} AS tag FROM src s FULL JOIN dst d ON {on})
-SELECT CASE WHEN dst_rel IS NULL THEN 'missing' WHEN src_rel IS NULL THEN 'extra' WHEN tag <> 'digest-matches:md5' THEN 'changed' WHEN src_rel <> dst_rel THEN 'case-mismatch' ELSE 'identical' END AS bucket, * FROM j"""
+def _tree_parts(on: str) -> tuple[str, str]:
+    return f""", j AS (SELECT s.rel AS src_rel, d.rel AS dst_rel, s.kind AS src_kind, d.kind AS dst_kind, {_TAG} AS tag FROM src s FULL JOIN dst d ON {on})""", """SELECT CASE WHEN dst_rel IS NULL THEN 'missing' WHEN src_rel IS NULL THEN 'extra' WHEN src_kind <> dst_kind THEN 'type-conflict' WHEN tag NOT IN ('digest-matches:md5', 'dir-present') THEN 'changed' ELSE 'identical' END AS bucket,
+coalesce(src_rel <> dst_rel, false) AS case_mismatch, * FROM j"""
 
 
 def _diff(spark: SparkSession, d: str, fold: bool) -> DataFrame:
@@ -204,28 +219,38 @@ def tree_diff_exact(spark, d):
     return _diff(spark, d, False)
 
 
-@query(_tree_sql("translate(s.rel, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(d.rel, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+@query(_tree_sql(_FOLDED))
 def tree_diff_folded(spark, d):
     return _diff(spark, d, True)
 
 
-@query(f"WITH t AS ({_tree_sql('s.rel = d.rel')}) SELECT count(*) FILTER (bucket = 'missing') AS missing, count(*) FILTER (bucket = 'extra') AS extra, count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'type-conflict') AS type_conflict, count(*) FILTER (bucket = 'case-mismatch') AS case_mismatch, count(*) FILTER (bucket = 'identical') AS identical, count(*) FILTER (bucket IN ('missing', 'extra', 'changed', 'type-conflict')) AS total, count(*) FILTER (bucket <> 'identical') = 0 AS in_step FROM t")
+def _summary_sql(on: str) -> str:
+    return f"""WITH t AS ({_tree_sql(on)}), c AS (SELECT count(*) FILTER (bucket = 'missing') AS missing, count(*) FILTER (bucket = 'extra') AS extra, count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'type-conflict') AS type_conflict,
+count(*) FILTER (case_mismatch) AS case_mismatch, count(*) FILTER (bucket = 'identical') AS identical, count(*) FILTER (bucket <> 'identical') AS total FROM t) SELECT *, total + case_mismatch = 0 AS in_step FROM c"""
+
+
+@query(_summary_sql("s.rel = d.rel"))
 def tree_diff_summary(spark, d):
     return trees.diff_summary(_diff(spark, d, False))
 
 
+@query(_summary_sql(_FOLDED))
+def tree_diff_folded_summary(spark, d):
+    return trees.diff_summary(_diff(spark, d, True))
+
+
 @query(with_("sides") + "SELECT s.rel AS src_rel, d.rel AS dst_rel FROM src s JOIN dst d ON lower(s.rel) = lower(d.rel) WHERE s.rel <> d.rel")
 def case_renames(spark, d):
     return trees.case_renames(side(spark, d, "src"), side(spark, d, "dst"))
 
 
-@query(with_("sides") + """, t AS (SELECT CASE WHEN s.h <> d.h THEN 'digest-differs:md5' ELSE 'digest-matches:md5' END AS tag FROM src s JOIN dst d USING (rel)) SELECT tag, count(*) AS pairs FROM t GROUP BY tag""")
+@query(with_("sides") + """, t AS (SELECT CASE WHEN s.kind = 'dir' THEN 'dir-present' WHEN s.h <> d.h THEN 'digest-differs:md5' ELSE 'digest-matches:md5' END AS tag FROM src s JOIN dst d USING (rel) WHERE s.kind = d.kind) SELECT tag, count(*) AS pairs FROM t GROUP BY tag""")
 def verdict_tags(spark, d):
     diff = trees.tree_diff(side(spark, d, "src"), side(spark, d, "dst"), trees.Trust(size=False, mtime=False), ["md5"])
     return diff.where("tag is not null").groupBy("tag").agg(F.count("*").alias("pairs"))
 
 
-@query(with_("sides") + """, t AS (SELECT CASE WHEN s.size <> d.size AND s.mtime_ns <> d.mtime_ns THEN 'unverifiable:size+mtime' WHEN s.size <> d.size THEN 'unverifiable:size' WHEN s.mtime_ns <> d.mtime_ns THEN 'unverifiable:mtime' ELSE 'stat-match' END AS tag FROM src s JOIN dst d USING (rel)) SELECT tag, count(*) AS pairs FROM t GROUP BY tag""")
+@query(with_("sides") + """, t AS (SELECT CASE WHEN s.kind = 'dir' THEN 'dir-present' WHEN s.size <> d.size AND s.mtime_ns <> d.mtime_ns THEN 'unverifiable:size+mtime' WHEN s.size <> d.size THEN 'unverifiable:size' WHEN s.mtime_ns <> d.mtime_ns THEN 'unverifiable:mtime' ELSE 'stat-match' END AS tag FROM src s JOIN dst d USING (rel) WHERE s.kind = d.kind) SELECT tag, count(*) AS pairs FROM t GROUP BY tag""")
 def verdict_unverifiable(spark, d):
     diff = trees.tree_diff(side(spark, d, "src"), side(spark, d, "dst"), trees.Trust(size=False, mtime=False), [])
     return diff.where("tag is not null").groupBy("tag").agg(F.count("*").alias("pairs"))
@@ -235,15 +260,15 @@ def _effective(spark: SparkSession, d: str) -> DataFrame:
     return trees.with_cache(side(spark, d, "src").drop("hashes"), side(spark, d, "dst"))
 
 
-_FRESH = with_("sides") + ", e AS (SELECT s.rel, d.h, coalesce(s.size = d.size AND s.mtime_ns = d.mtime_ns, false) AS fresh, s.h AS now FROM src s LEFT JOIN dst d USING (rel))\n"
+_FRESH = with_("sides") + ", e AS (SELECT s.rel, s.kind, d.h, coalesce(s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND s.mtime_ns = d.mtime_ns, false) AS fresh, s.h AS now FROM src s LEFT JOIN dst d USING (rel))\n"
 
 
-@query(_FRESH + "SELECT 'src' AS side, 'md5' AS algo, count(*) FILTER (fresh) AS have, count(*) FILTER (NOT fresh) AS undecided FROM e UNION ALL SELECT 'src', 'sha256', 0, count(*) FROM e")
+@query(_FRESH + "SELECT 'src' AS side, 'md5' AS algo, count(*) FILTER (fresh) AS have, count(*) FILTER (NOT fresh) AS undecided FROM e WHERE kind = 'file' UNION ALL SELECT 'src', 'sha256', 0, count(*) FROM e WHERE kind = 'file'")
 def coverage_tally(spark, d):
     return trees.coverage(_effective(spark, d).withColumn("side", F.lit("src")), ["md5", "sha256"])
 
 
-@query(_FRESH + "SELECT count(*) AS live, count(*) AS files, 0::BIGINT AS dirs, count(*) FILTER (fresh) AS cache_hit, count(*) FILTER (NOT fresh) AS undecided FROM e")
+@query(_FRESH + "SELECT count(*) AS live, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS dirs, count(*) FILTER (fresh) AS cache_hit, count(*) FILTER (kind = 'file' AND NOT fresh) AS undecided FROM e")
 def scan_stats(spark, d):
     return trees.scan_stats(_effective(spark, d))
 
@@ -260,9 +285,60 @@ def stale_prune(spark, d):
     return trees.stale(side(spark, d, "dst"), side(spark, d, "src")).select("rel", "size")
 
 
-@query(f"WITH t AS ({_tree_sql('s.rel = d.rel')}) SELECT CASE WHEN bucket = 'extra' THEN 2 ELSE 3 END AS rank, CASE WHEN bucket = 'extra' THEN 'DELETE' ELSE 'COPY' END AS stage, CASE WHEN bucket = 'extra' THEN dst_rel ELSE src_rel END AS rel, coalesce(tag, bucket) AS because FROM t WHERE bucket IN ('missing', 'extra', 'changed')")
+_ACTIONS = _tree_sql("s.rel = d.rel", "t") + """, lk AS (SELECT rel AS link, rel IN (SELECT rel FROM src) AS shared FROM dst WHERE is_link),
+x AS (SELECT dst_rel AS rel, dst_kind AS kind, link, shared FROM t LEFT JOIN lk ON dst_rel = link OR starts_with(dst_rel, link || '/') WHERE bucket = 'extra'),
+a AS (SELECT 0 AS stage_rank, 'FIX-DIR' AS stage, src_rel AS rel, NULL AS because FROM t WHERE bucket = 'type-conflict' AND src_kind = 'dir'
+UNION ALL SELECT 1, 'MKDIR', src_rel, NULL FROM t WHERE bucket = 'missing' AND src_kind = 'dir'
+UNION ALL SELECT DISTINCT 2, 'DELETE', link, NULL FROM x WHERE link IS NOT NULL AND NOT shared UNION ALL SELECT 2, 'DELETE', rel, NULL FROM x WHERE link IS NULL AND kind = 'file'
+UNION ALL SELECT 3, 'COPY', src_rel, bucket FROM t WHERE bucket IN ('missing', 'changed', 'type-conflict') AND src_kind = 'file'
+UNION ALL SELECT 4, 'RMDIR', rel, NULL FROM x WHERE link IS NULL AND kind = 'dir')
+"""
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return side(spark, d, "dst").where("is_link").select("rel", "kind", F.lit(None).cast("string").alias("target"))
+
+
+@query(_ACTIONS + "SELECT * FROM a")
 def sync_plan_actions(spark, d):
-    return trees.sync_actions(_diff(spark, d, False), side(spark, d, "src"))
+    return sync.sync_plan(_diff(spark, d, False), _links(spark, d))
+
+
+@query(_ACTIONS + "SELECT 0 AS renamed, count(*) FILTER (stage = 'MKDIR') AS mkdir, count(*) FILTER (stage = 'COPY') AS copied, count(*) FILTER (stage = 'DELETE') AS deleted, count(*) FILTER (stage = 'RMDIR') AS rmdir, false AS missing_only, false AS keep_extra FROM a")
+def sync_plan_summary(spark, d):
+    return sync.plan_summary(sync_plan_actions(spark, d))
+
+
+@query(_ACTIONS + "SELECT 'shared-link' AS rule, min(rel) AS rel, link AS at FROM x WHERE shared GROUP BY link")
+def sync_plan_guards(spark, d):
+    diff, dst, links = _diff(spark, d, False), side(spark, d, "dst"), _links(spark, d)
+    return sync.guards(sync.sync_plan(diff, links), dst, links, sync.shared_link_extras(diff, links))
+
+
+@query(with_("sides") + ", p AS (SELECT s.rel FROM src s JOIN dst d USING (rel) WHERE s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND s.mtime_ns = d.mtime_ns) SELECT unnest(['src', 'dst']) AS side, rel, 'sha256' AS missing FROM p")
+def hash_plan(spark, d):
+    plan = sync.hash_plan(side(spark, d, "src"), side(spark, d, "dst"), trees.Trust(), ["md5", "sha256"])
+    return plan.select("side", "rel", F.array_join("missing", "+").alias("missing"))
+
+
+@query(with_("sides") + """, t AS (SELECT n.rel, n.kind, n.size, n.mtime_ns, CASE WHEN n.kind = 'file' THEN n.h END AS md5 FROM src n) SELECT rel, kind, size, mtime_ns, md5 FROM t""")
+def record_update(spark, d):
+    src = side(spark, d, "src")
+    rel = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    contents = table(spark, d, "documents").where("doc_id % 43 <> 0").select(rel.alias("rel"), F.col("text").alias("content"))
+    out = sync.updated(src.drop("hashes"), side(spark, d, "dst"), contents, ["md5"])
+    return out.select("rel", "kind", "size", "mtime_ns", F.lower(F.hex(F.col("hashes")["md5"])).alias("md5"))
+
+
+# dst as the record, src as the disk: a pair of one size and time is decided by reading the disk alone
+@query(with_("sides") + """, j AS (SELECT r.rel AS src_rel, n.rel AS dst_rel, CASE WHEN r.rel IS NULL OR n.rel IS NULL OR r.kind <> n.kind THEN NULL WHEN r.kind = 'dir' THEN 'dir-present' WHEN r.size <> n.size AND r.mtime_ns <> n.mtime_ns THEN 'stat-size+stat-mtime' WHEN r.size <> n.size THEN 'stat-size'
+WHEN r.mtime_ns <> n.mtime_ns THEN 'stat-mtime' WHEN r.h <> n.h THEN 'digest-differs:md5' WHEN r.rel IS NOT NULL AND n.rel IS NOT NULL THEN 'digest-matches:md5' END AS tag, r.kind AS rk, n.kind AS nk FROM dst r FULL JOIN src n ON r.rel = n.rel)
+SELECT CASE WHEN dst_rel IS NULL THEN 'missing' WHEN src_rel IS NULL THEN 'extra' WHEN rk <> nk THEN 'type-conflict' WHEN tag NOT IN ('digest-matches:md5', 'dir-present') THEN 'changed' ELSE 'identical' END AS bucket, coalesce(src_rel, dst_rel) AS rel, tag FROM j""")
+def record_compare_self(spark, d):
+    rel = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    contents = table(spark, d, "documents").where("doc_id % 43 <> 0").select(rel.alias("rel"), F.col("text").alias("content"))
+    diff = sync.compare_self(side(spark, d, "dst"), side(spark, d, "src").drop("hashes"), contents, trees.Trust(), ["md5"])
+    return diff.select("bucket", F.coalesce("src_rel", "dst_rel").alias("rel"), "tag")
 
 
 @query("""SELECT p_partkey, CASE WHEN (p_partkey % 2)::INT + (p_partkey % 3 = 0)::INT >= (p_partkey % 5 = 0)::INT + (p_partkey % 7 = 0)::INT THEN 'md5' ELSE 'sha256' END AS algo FROM part""")
@@ -292,28 +368,21 @@ def greedy_budget(spark, d):
     return selection.admitted_prefix(items, 20_000_000, "p_partkey")
 
 
-@query("""WITH RECURSIVE i AS (SELECT p_partkey, cast(round(p_retailprice * 100) AS BIGINT) AS cost, row_number() OVER (ORDER BY p_partkey) AS nth FROM part WHERE p_partkey <= 200),
+@query("""WITH RECURSIVE i AS (SELECT p_partkey, cast(round(p_retailprice * 100) AS BIGINT) AS cost, row_number() OVER (ORDER BY p_partkey) AS nth FROM part),
 w AS (SELECT 0::BIGINT AS nth, NULL::BIGINT AS k, 0::BIGINT AS spent, false AS ok UNION ALL SELECT i.nth, i.p_partkey, CASE WHEN w.spent + i.cost <= 2000000 THEN w.spent + i.cost ELSE w.spent END, w.spent + i.cost <= 2000000 FROM w JOIN i ON i.nth = w.nth + 1)
 SELECT k AS p_partkey, ok AS admitted FROM w WHERE k IS NOT NULL""")
 def greedy_fold(spark, d):
-    items = table(spark, d, "part").where("p_partkey <= 200").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cost"))
-    return selection.greedy(items, 2_000_000, "p_partkey", key="p_partkey").select("p_partkey", "admitted")
-
-
-# the same walk over all parts; SQL can only recurse row by row
-@query(None)
-def greedy_walk(spark, d):
     items = table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cost"))
     return selection.greedy(items, 2_000_000, "p_partkey", key="p_partkey").select("p_partkey", "admitted")
 
 
 @query(with_("scored") + """, k AS (SELECT unnest(['identical', 'no_reuse', 'reuse_in_place', 'reuse_moved', 'added', 'removed']) AS class),
-m AS (SELECT class, coalesce(total_cost, 0)::BIGINT AS c, field, file FROM scored)
-SELECT class, arg_min(file, (c, field <> 'game', field, file)) AS file, CASE WHEN count(file) = 0 THEN 'unavailable' ELSE 'captured' END AS status FROM k LEFT JOIN m USING (class) GROUP BY class""")
+m AS (SELECT class, coalesce(CASE state WHEN 'removed' THEN old_size WHEN 'added' THEN new_bytes ELSE total_cost END, 0)::BIGINT AS c, field, file FROM scored)
+SELECT class, arg_min(field, (c, field <> 'game', field, file)) AS field, arg_min(file, (c, field <> 'game', field, file)) AS file, CASE WHEN count(file) = 0 THEN 'unavailable' ELSE 'captured' END AS status FROM k LEFT JOIN m USING (class) GROUP BY class""")
 def class_matrix(spark, d):
     found = selection.candidates(_scored(spark, d).fillna(0, ["reused", "moved", "nchunks", "total_cost"]))
     _, status = selection.select_by_class(found, per_class=1, budget=10**15)
-    return spark.createDataFrame([(s["class"], s["file"], s["status"]) for s in status], "class string, file string, status string")
+    return spark.createDataFrame([(s["class"], s["field"], s["file"], s["status"]) for s in status], "class string, field string, file string, status string")
 
 
 @query(with_("chunks") + "SELECT m AS id, count(*) AS \"references\", count(DISTINCT field || ':' || file) AS files, max(n) AS bytes, 0::BIGINT AS conflicts, max(n) AS compressed_size FROM new_chunk GROUP BY m")
@@ -321,6 +390,12 @@ def wants_by_chunk(spark, d):
     return manifest.wants(_chunks(spark, d, "new"))
 
 
+@query(with_("odd") + """, k AS (SELECT * FROM odd_chunk WHERE NOT is_folder AND file <> ''), f AS (SELECT id, arg_min(m, (doc_id, cpos)) AS m, arg_min(n, (doc_id, cpos)) AS n FROM k GROUP BY 1)
+SELECT k.id, count(*) AS "references", count(DISTINCT file) AS files, any_value(f.n)::BIGINT AS bytes, count(*) FILTER (k.m <> f.m OR k.n <> f.n) AS conflicts, max(k.n)::BIGINT AS compressed_size FROM k JOIN f USING (id) GROUP BY k.id""")
+def wants_with_conflicts(spark, d):
+    return manifest.wants(manifest.flatten(odd_manifest(spark, d)))
+
+
 @query(with_("reuse") + """SELECT 'materialize_old' AS role, count(DISTINCT field || ':' || file || ':' || m) AS chunks FROM old_chunk UNION ALL SELECT 'materialize_new', count(DISTINCT field || ':' || file || ':' || m) FROM new_chunk
 UNION ALL SELECT CASE WHEN source IS NULL THEN 'patch_fetch' ELSE 'reuse' END, count(DISTINCT field || ':' || file || ':' || m) FROM reuse GROUP BY source IS NULL""")
 def retention_sets(spark, d):
@@ -332,29 +407,27 @@ def patch_totals(spark, d):
     return manifest.patch_totals(manifest.patch_plan(_chunks(spark, d, "new"), _chunks(spark, d, "old")))
 
 
-@query(with_("bodies") + "SELECT file AS rel, md5(body) AS md5 FROM new_body WHERE length(body) > 0")
+@query(with_("bodies") + "SELECT file AS rel, md5(body) AS md5, true AS tiled FROM new_body WHERE length(body) > 0")
 def rebuild_files(spark, d):
-    from treeledger.plans.derived import BLOCK, bodies
-
-    n = F.ceil(F.length("body") / BLOCK).cast("int")
-    parts = bodies(spark, d, "new").where(F.length("body") > 0).select("field", "file", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "body")
-    parts = parts.select("field", "file", F.col("i").alias("offset"), F.encode(F.substring("body", (F.col("i") * BLOCK + 1).cast("int"), F.lit(BLOCK)), "utf-8").alias("bytes"))
-    return manifest.rebuild(parts).select(F.col("file").alias("rel"), F.md5("content").alias("md5"))
+    cut = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    parts = bodies(spark, d, "new").where(F.length("body") > 0).select("field", "file", F.posexplode_outer(cut).alias("i", "part"))
+    # offsets are in bytes here
+    start = F.sum(F.octet_length("part")).over(Window.partitionBy("field", "file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("field", "file", F.coalesce(start, F.lit(0)).alias("offset"), F.encode("part", "utf-8").alias("bytes"))
+    return manifest.rebuild(parts).select(F.col("file").alias("rel"), "md5", "tiled")
 
 
 @query("SELECT event_type AS kind, count(*) AS requests, sum(cast(round(value * 100) AS BIGINT))::BIGINT AS bytes_in, max(event_id) AS last_seq FROM events GROUP BY 1")
 def request_bytes_by_kind(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("requests"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("bytes_in"), F.max("event_id").alias("last_seq"))
+    return requests.by_kind(e.select(F.col("event_type").alias("kind"), F.round(F.col("value") * 100).cast("long").alias("bytes_in"), F.col("event_id").alias("seq")))
 
 
 @query("""WITH b AS (SELECT DISTINCT event_type AS endpoint FROM events), m AS (SELECT b.endpoint, max(e.event_id) AS seq FROM b LEFT JOIN events e ON contains('https://host/' || e.event_type || '/' || e.user_id, b.endpoint) AND e.user_id % 3 = 0 GROUP BY 1) SELECT endpoint, coalesce(seq, 0) AS seq FROM m""")
 def body_request_match(spark, d):
-    from treeledger.sources.requests import match_bodies
-
     e = table(spark, d, "events")
     log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("https://host/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"), F.when(F.col("user_id") % 3 == 0, 200).otherwise(404).alias("status"))
-    return match_bodies(e.select(F.col("event_type").alias("endpoint")).distinct(), log)
+    return requests.match_bodies(e.select(F.col("event_type").alias("endpoint")).distinct(), log)
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(url || ' %', '%', '%25'), ' ', '%20'), chr(9), '%09'), chr(13), '%0D'), chr(10), '%0A') AS encoded, replace(replace(url_encode(url || ' *~'), '%2A', '%2A'), '+', '%20') AS component FROM pages")
@@ -404,9 +477,11 @@ def saturating_totals(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(totals.saturating_sum(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(x)).cast("string").alias("total"))
 
 
-@query(f"WITH t AS ({_tree_sql('s.rel = d.rel')}) SELECT list_position(['missing', 'extra', 'changed', 'type-conflict', 'case-mismatch', 'identical'], bucket)::BIGINT AS rank, upper(bucket) AS label, coalesce(src_rel, dst_rel) AS rel, tag FROM t WHERE bucket <> 'identical'")
+@query(f"""WITH s AS ({_summary_sql(_FOLDED)}), t AS ({_tree_sql(_FOLDED)}) SELECT list_position(['missing', 'extra', 'changed', 'type-conflict', 'case-mismatch', 'identical'], bucket)::BIGINT AS rank, upper(bucket) AS label, coalesce(src_rel, dst_rel) AS rel, tag FROM t WHERE bucket <> 'identical'
+UNION ALL SELECT 5, 'CASE-MISMATCH', src_rel, dst_rel FROM t WHERE case_mismatch
+UNION ALL SELECT 7, 'SUMMARY', NULL, 'missing=' || missing || ' extra=' || extra || ' changed=' || changed || ' type_conflict=' || type_conflict || ' case_mismatch=' || case_mismatch || ' identical=' || identical || ' total=' || total FROM s""")
 def verdict_stream(spark, d):
-    return reports.verdict_stream(_diff(spark, d, False))
+    return reports.verdict_stream(_diff(spark, d, True))
 
 
 @query("""WITH b AS (SELECT event_type AS grp, event_id AS seq, cast(round(value * 100) AS BIGINT) AS bytes FROM events),
@@ -441,9 +516,9 @@ def run_summary(spark, d):
     return reports.run_summary(e)
 
 
-@query(with_("reuse") + """, u AS (SELECT field, file, sum(CASE WHEN source <> off THEN n ELSE 0 END) AS payload FROM reuse GROUP BY ALL), b AS (SELECT *, coalesce(sum(payload) OVER (PARTITION BY field ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
-SELECT field, file, CASE WHEN payload = 0 OR before + payload <= 4096 THEN 'staged' ELSE 'ordered' END AS tier FROM b""")
+@query(with_("reuse") + """, u AS (SELECT field, file, sum(CASE WHEN source <> off THEN n ELSE 0 END) AS payload FROM reuse GROUP BY ALL)
+SELECT field, file, CASE WHEN payload <= 1024 THEN 'staged' ELSE 'ordered' END AS tier FROM u""")
 def in_place_tiers(spark, d):
     moved = F.coalesce(F.col("source") != F.col("offset"), F.lit(False))
-    p = _reuse(spark, d).groupBy(F.col("field").alias("grp"), "file").agg(F.sum(F.when(moved, F.col("uncompressed_size")).otherwise(0)).alias("payload"))
-    return reports.tiering(p, 4096).select(F.col("grp").alias("field"), "file", "tier")
+    p = _reuse(spark, d).groupBy("field", "file").agg(F.sum(F.when(moved, F.col("uncompressed_size")).otherwise(0)).alias("payload"))
+    return reports.tiering(p, 1024).select("field", "file", "tier")

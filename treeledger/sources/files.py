@@ -15,23 +15,51 @@ STAT_SCHEMA = "rel string, is_dir boolean, size bigint, mtime_ns bigint, is_link
 
 
 class _Top(InputPartition):
-    def __init__(self, rel: str) -> None:
-        self.rel = rel
+    """A path with all below it, or alone."""
+
+    def __init__(self, rel: str, whole: bool, depth: int) -> None:
+        self.rel, self.whole, self.depth = rel, whole, depth
 
 
 class _Walk(DataSourceReader):
-    """One partition for each entry of the top folder; the root must be mounted on all executors."""
+    """Partitions are entries of the upper levels of the tree, as many levels as it takes to have enough of them; the root
+    must be mounted on all executors."""
+
+    #: Partitions that are enough, and levels that are listed for them at most.
+    ENOUGH, LEVELS = 256, 3
 
     def __init__(self, options: dict) -> None:
         self.root, self.follow = options["path"], options.get("followlinks", "false").lower() == "true"
         self.depth, self.skip = int(options.get("maxdepth", "64")), set(filter(None, options.get("skip", "").split(",")))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Top(n) for n in sorted(os.listdir(self.root)) if n not in self.skip] or [_Top("")]
+        found = [_Top(n, True, 1) for n in sorted(os.listdir(self.root)) if n not in self.skip]
+        for level in range(2, min(self.LEVELS, self.depth) + 1):
+            if len(found) >= self.ENOUGH:
+                break
+            found = [t for top in found for t in self._opened(top, level)]
+        return found or [_Top("", False, 0)]
+
+    def _opened(self, top: _Top, level: int) -> list[_Top]:
+        """A folder alone and its entries; a file, a link or what can't be listed stays whole."""
+        path = os.path.join(self.root, top.rel)
+        if not top.whole or os.path.islink(path) or not os.path.isdir(path):
+            return [top]
+        try:
+            names = sorted(os.listdir(path))
+        except OSError:
+            return [top]
+        return [_Top(top.rel, False, top.depth), *(_Top(f"{top.rel}/{n}", True, level) for n in names)]
 
     def read(self, partition: _Top) -> Iterator[tuple]:
         if partition.rel:
-            yield from self._visit(partition.rel, 1, ())
+            above = ()
+            parts = partition.rel.split("/")
+            for i in range(1, len(parts)):
+                stat = os.stat(os.path.join(self.root, *parts[:i]))
+                above = (*above, (stat.st_dev, stat.st_ino))
+            rows = self._visit(partition.rel, partition.depth, above)
+            yield from rows if partition.whole else [next(rows)]
 
     def _visit(self, rel: str, depth: int, above: tuple) -> Iterator[tuple]:
         path = os.path.join(self.root, rel)

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeledger.functions.paths import field_rule, tag_rule
+
 CHUNK = "struct<id:string,uncompressed_md5:string,offset:bigint,compressed_size:bigint,uncompressed_size:bigint,unknown_field6:bigint,compressed_md5:string>"
 ENTRIES = f"array<struct<file:string,chunks:array<{CHUNK}>,is_folder:boolean,size:bigint,md5:string>>"
 _SCHEMA = f"build_tag string, field string, manifest_pos int, error string, entries {ENTRIES}"
@@ -123,3 +125,32 @@ def blob_sizes(blobs: DataFrame, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "size", "md5", "error"])
 
     return blobs.select(F.col("id").cast("string").alias("id"), "content").mapInArrow(run, "id string, size long, md5 string, error string")
+
+
+_PATHS = "build_tag string, field string, manifest_pos int, pos int, file string, is_folder boolean, size bigint, md5 string, chunks int"
+
+
+def _named(entries: DataFrame) -> DataFrame:
+    """Entries whose tag and field may name a folder; another tag or field raises."""
+    why = F.coalesce(tag_rule(F.col("build_tag"), allow_device=True), field_rule(F.col("field")))
+    return entries.withColumn("field", F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("a dump can't be named: "), why))).otherwise(F.col("field")))
+
+
+def write_dump(entries: DataFrame, path: str) -> None:
+    """All of the manifest_file relation as gzipped JSON lines, a folder for each build and field."""
+    _named(entries).write.option("compression", "gzip").partitionBy("build_tag", "field").json(path)
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    kind = "build_tag string, field string, manifest_pos int, pos int, file string, is_folder boolean, size bigint, md5 string, " + f"chunks array<{CHUNK}>"
+    return spark.read.schema(kind).json(path)
+
+
+def write_paths(entries: DataFrame, path: str) -> None:
+    """The short form, a tab between columns: paths with sizes, digests and numbers of chunks."""
+    short = _named(entries).withColumn("chunks", F.coalesce(F.size("chunks"), F.lit(0)))
+    short.select(*[c.split()[0] for c in _PATHS.split(", ")]).write.csv(path, sep="\t", header=True)
+
+
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True, schema=_PATHS)
