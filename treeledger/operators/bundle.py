@@ -18,7 +18,7 @@ def open_bundle(spark: SparkSession, root: str, versions: list[int]) -> DataFram
 
     A document that isn't JSON, has another version or an unsafe path makes the bundle unreadable and raises.
     """
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select(F.input_file_name().alias("at"), "value")
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select(F.input_file_name().alias("at"), "value")
     plain = F.regexp_replace("at", "^[a-z]+:(//[^/]*)?(?=/)", "")
     base = f"{root.rstrip('/')}/"
     docs = found.select(F.substring(plain, F.lit(len(base) + 1), F.length(plain)).alias("path"), F.try_parse_json("value").alias("body"))

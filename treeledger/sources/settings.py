@@ -113,7 +113,7 @@ def import_counts(rows: DataFrame) -> DataFrame:
 
 def bundles(spark: SparkSession, root: str, versions: list[int]) -> DataFrame:
     """path, schema_version, reason (null: readable) of the bundles below root, by path."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "MANIFEST.json").text(root).select(F.input_file_name().alias("path"), "value")
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "MANIFEST.json").text(root, wholetext=True).select(F.input_file_name().alias("path"), "value")
     version = F.try_variant_get(F.try_parse_json("value"), "$.schema_version", "int")
     reason = F.when(F.try_parse_json("value").isNull(), "not JSON").when(version.isNull(), "no version").when(~version.isin(versions), "unknown version")
     return found.select("path", version.alias("schema_version"), reason.alias("reason")).orderBy("path")
