@@ -265,8 +265,9 @@ class _Corpus:
         # ids that stand for different texts; the others need no tag
         odd = stage(self.table.groupBy("id").agg((F.min("sha") != F.max("sha")).alias("odd")).where("odd"), "odd")
         self.odd = None if odd.isEmpty() else small(odd)
-        first = self.table.groupBy("sha").agg(F.min("id").alias("first"))
-        self.marked = stage(self._tagged(self.table).join(first, "sha").withColumn("copy", F.col("first") < F.col("id")), "marked")
+        # only texts that several ids hold
+        first = stage(self.table.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha", "first"), "first")
+        self.marked = stage(self._tagged(self.table).join(small(first), "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False))), "marked")
         self.keyed = self._tagged(keyed.withColumn("t", F.pmod(F.xxhash64("_text"), F.lit(1 << 31)).cast("int")))
         total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
         self.parts = max(8, math.ceil(total / PARTITION_BYTES))
