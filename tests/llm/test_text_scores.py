@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from treeledger.llm import language_id, toxicity
 from treeledger.llm.lm_scoring import language_model_scores
@@ -133,6 +134,45 @@ def test_segments_give_the_posteriors_of_whole_texts():
         at += n
 
 
+def plain_toxicity(model, text):
+    """Noisy-or over sentences, feature by feature."""
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def key(kind, word):
+        data = np.frombuffer(word, np.uint8)
+        h = toxicity.word_hashes(data, np.array([0]), np.array([len(data)]))[0]
+        return int(h) ^ (kind * 0x1F3D5B792E4C6A88 % (1 << 64))
+
+    clean = 1.0
+    for sentence in re.split(rb"[\n!.?]", (text or "").encode()):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", sentence)
+        z = model.bias
+        for w in words:
+            z += weights.get(key(0, w), 0)
+            for kind, size in enumerate((toxicity.TAIL, *toxicity.HEADS), 1):
+                if len(w) > size:
+                    z += weights.get(key(kind, w[-size:] if kind == 1 else w[:size]), 0)
+        if words:
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_toxicity_is_the_noisy_or_of_sentences(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None, "x"), (-2, "", "x"), (-3, " .!\n", "x"), (-4, "trash. idiot " * 20000, "x"), (-5, "It is no trash", "x")], "doc_id long, text string, score string")
+    both = docs.select("doc_id", "text").withColumn("score", F.lit("x")).unionAll(odd)
+    model = toxicity.learned(both, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(both, labels).collect()}
+    texts = {r.doc_id: r.text for r in both.where("doc_id < 120").collect()}
+    for d, t in texts.items():
+        assert got[d].score == pytest.approx(plain_toxicity(model, t), abs=1e-9)
+    assert [got[d].score for d in (-1, -2, -3)] == [0, 0, 0]
+    assert got[-4].score > 0.99 and got[-4].n_offending == len(got[-4].offending)
+    kept = toxicity.without_toxic(both, labels)
+    assert kept.columns == both.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
@@ -142,8 +182,8 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(out[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d in out)
     caught = [out[d].predicted for d in held if truth[d]]
     wrong = [out[d].predicted for d in held if not truth[d]]
-    # some 290 toxic documents to learn from, in four languages: most words of the rarer languages are unseen (0.77 measured)
-    assert sum(caught) / len(caught) > 0.7
+    # some labels are set although no sentence is toxic, and of the rarer languages most words are unseen
+    assert sum(caught) / len(caught) >= 0.85
     assert sum(wrong) / len(wrong) < 0.01
 
 

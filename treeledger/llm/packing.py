@@ -5,14 +5,15 @@ lengths, at most longest + 1 numbers whatever the input, goes to the driver, whe
 programming finds the boundaries with the least padding of all. Inside each bucket, pieces fill
 batches whose padded size stays within the budget.
 
-Defined results: a null or wordless text is one piece of 0 words. Repeated rows are packed as often as they come.
+Defined results: a null or wordless text is one piece of 0 words. Repeated rows are packed as often as they come. A very
+long text is many pieces.
 Ties are broken by hash, doc_id and piece. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.llm.mixing import words_in
@@ -48,12 +49,15 @@ def boundaries(counts: np.ndarray, buckets: int) -> list[int]:
     return ends[::-1]
 
 
-def packed(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD) -> DataFrame:
+def packed(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD, length: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start_word, n_words, bucket_len, batch_id, slot.
 
     batch_id is unique over all buckets; (rows of a batch) * bucket_len <= budget, unless one piece alone is longer.
+    length: what a text is measured by instead of its words, such as a column of token counts; pieces and the budget are
+    in its unit then. A null or negative length is 0.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_in(F.col("text")).alias("size"))
+    size = words_in(F.col("text")) if length is None else F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"))
     last = F.greatest(F.ceil(F.col("size") / longest) - 1, F.lit(0))
     pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select("doc_id", "piece", (F.col("piece") * longest).alias("start_word"), F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).cast("long").alias("n_words"))
     pieces = stage(pieces, "pieces")
