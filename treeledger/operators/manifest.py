@@ -32,10 +32,13 @@ def flatten(files: DataFrame) -> DataFrame:
 
 
 def select_manifests(files: DataFrame, ignored: list[str], audio: list[str]) -> DataFrame:
-    """Fields that are not ignored and are no audio field (5 or 10 bytes long with a hyphen), then those of the audio
-    selected; a field that both steps take comes twice."""
+    """Fields that are not ignored, nor of an ignored category (if there is such a column), and are no audio field (5 or 10
+    bytes long with a hyphen), then those of the audio selected; a field that both steps take comes twice."""
     audio_name = F.octet_length("field").isin(5, 10) & F.col("field").contains("-")
-    return files.where(~F.col("field").isin(ignored) & ~audio_name).unionAll(files.where(F.col("field").isin(audio)))
+    passed_over = F.col("field").isin(ignored)
+    if "category" in files.columns:
+        passed_over = passed_over | F.coalesce(F.col("category").isin(ignored), F.lit(False))
+    return files.where(~passed_over & ~audio_name).unionAll(files.where(F.col("field").isin(audio)))
 
 
 def first_sources(old_chunks: DataFrame) -> DataFrame:

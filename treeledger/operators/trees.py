@@ -117,9 +117,16 @@ def stale(cache: DataFrame, live: DataFrame) -> DataFrame:
     return cache.join(live.select("rel"), "rel", "left_anti")
 
 
-def scan_stats(effective: DataFrame) -> DataFrame:
-    """One row: what a scan saw and what it had to read."""
-    return effective.agg(F.count("*").alias("live"), F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "dir").alias("dirs"), F.count_if("fresh").alias("cache_hit"), F.count_if((F.col("kind") == "file") & ~F.col("fresh")).alias("undecided"))
+def scan_stats(effective: DataFrame, pruned: DataFrame | None = None) -> DataFrame:
+    """One row: what a scan saw and what it had to read. With a column `computed` (digests that were read) also how many
+    files were hashed and how many were judged by stat alone; with the stale rows of the cache also how many were pruned."""
+    file = F.col("kind") == "file"
+    counts = [F.count("*").alias("live"), F.count_if(file).alias("files"), F.count_if(F.col("kind") == "dir").alias("dirs"), F.count_if("fresh").alias("cache_hit"), F.count_if(file & ~F.col("fresh")).alias("undecided")]
+    if "computed" in effective.columns:
+        read = F.coalesce(F.size(F.map_keys("computed")) > 0, F.lit(False))
+        counts += [F.count_if(file & read).alias("hashed"), F.count_if(file & ~read & ~F.col("fresh")).alias("stat_only")]
+    out = effective.agg(*counts)
+    return out if pruned is None else out.crossJoin(pruned.agg(F.count("*").alias("pruned")))  # one row each
 
 
 def coverage(sides: DataFrame, algos: list[str]) -> DataFrame:

@@ -268,9 +268,13 @@ def coverage_tally(spark, d):
     return trees.coverage(_effective(spark, d).withColumn("side", F.lit("src")), ["md5", "sha256"])
 
 
-@query(_FRESH + "SELECT count(*) AS live, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS dirs, count(*) FILTER (fresh) AS cache_hit, count(*) FILTER (kind = 'file' AND NOT fresh) AS undecided FROM e")
+@query(_FRESH + """SELECT count(*) AS live, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'dir') AS dirs, count(*) FILTER (fresh) AS cache_hit, count(*) FILTER (kind = 'file' AND NOT fresh) AS undecided,
+count(*) FILTER (kind = 'file' AND NOT fresh AND length(rel) % 2 = 0) AS hashed, count(*) FILTER (kind = 'file' AND NOT fresh AND length(rel) % 2 = 1) AS stat_only, (SELECT count(*) FROM dst WHERE rel NOT IN (SELECT rel FROM src)) AS pruned FROM e""")
 def scan_stats(spark, d):
-    return trees.scan_stats(_effective(spark, d))
+    src, dst = side(spark, d, "src"), side(spark, d, "dst")
+    read = src.where("kind = 'file' and length(rel) % 2 = 0").select("rel", F.col("hashes").alias("computed"))
+    e = _effective(spark, d).join(read, "rel", "left").withColumn("computed", F.when(~F.col("fresh"), F.col("computed")))
+    return trees.scan_stats(e, trees.stale(dst, src))
 
 
 @query(_FRESH + "SELECT rel, CASE WHEN fresh THEN h ELSE now END AS md5 FROM e")
