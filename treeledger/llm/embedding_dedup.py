@@ -32,6 +32,8 @@ from treeledger.llm.text import mix
 COSINE = 0.98
 #: Chance that a pair at the threshold is in no common bucket; standard deviations of an estimate that are allowed for.
 MISS, SIGMAS = 1e-6, 5.0
+#: Padded length up to which rotations are held as matrices.
+DENSE = 256
 #: Vectors of a bucket that are compared in one task step; a larger bucket is compared block by block.
 BLOCK = 256
 
@@ -47,19 +49,16 @@ class Codes:
         self.rotations = math.ceil(self.bands / (64 // self.bits))
 
     def turns(self, width: int) -> np.ndarray:
-        """The signs of each rotation: rotations x 3 x the power of two that vectors are padded to."""
+        """The rotations of vectors of that length, padded to a power of two: of short ones matrices, rotations x width x
+        size, of longer ones the signs alone, rotations x 3 x size."""
         size = max(64, 1 << (width - 1).bit_length())
-        rng = np.random.default_rng(size)
-        return rng.integers(0, 2, (self.rotations, 3, size)).astype(np.float32) * 2 - 1
+        signs = np.random.default_rng(size).integers(0, 2, (self.rotations, 3, size)).astype(np.float32) * 2 - 1
+        return np.stack([_hadamard(np.eye(width, dtype=np.float32), s) for s in signs]) if size <= DENSE else signs
 
     def encode(self, unit: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sign bits (packed, by rotation) and corrections <code, vector> of unit vectors."""
-        bits, corrections = [], []
-        for signs in turns:
-            turned = _turned(unit, signs)
-            bits.append(np.packbits(turned > 0, axis=1))
-            corrections.append(np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1]))
-        return np.stack(bits, axis=1), np.stack(corrections, axis=1)
+        turned = _turned(unit, turns)
+        return np.packbits(turned > 0, axis=2).transpose(1, 0, 2), np.abs(turned).sum(axis=2).T / math.sqrt(turned.shape[2])
 
     def banded(self, bits: np.ndarray) -> np.ndarray:
         """The number that each band of each code spells."""
@@ -68,8 +67,8 @@ class Codes:
         return number.reshape(len(bits), -1)[:, : self.bands]
 
 
-def _turned(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Rows, padded with zeros, after one rotation."""
+def _hadamard(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows, padded with zeros, after one rotation: three times signs and a transform."""
     n, size = len(unit), signs.shape[1]
     x = np.zeros((n, size), np.float32)
     x[:, : unit.shape[1]] = unit
@@ -84,6 +83,11 @@ def _turned(unit: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
+def _turned(unit: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Rows after each rotation: rotations x rows x size."""
+    return unit @ turns if turns.shape[2] <= DENSE else np.stack([_hadamard(unit, s) for s in turns])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, by way of rows whose largest number is 1, so that no square overflows."""
     x = x.astype(np.float64)
@@ -127,11 +131,8 @@ def _linked(codes: Codes, x: np.ndarray, bits: np.ndarray, corrections: np.ndarr
     norm = np.linalg.norm(x, axis=1)
     number = codes.banded(bits)
     size = turns.shape[2]
-    estimate = np.zeros((len(left), len(right)), np.float32)
-    for r, signs in enumerate(turns):
-        codes_ = (np.unpackbits(bits[left, r], axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(size))
-        estimate += (codes_ @ _turned(unit[right], signs).T) / corrections[left, r, None]
-    estimate /= len(turns)
+    signs = (np.unpackbits(bits[left], axis=2).astype(np.float32) * 2 - 1) / (math.sqrt(size) * corrections[left])[:, :, None]
+    estimate = (signs.transpose(1, 0, 2) @ _turned(unit[right], turns).transpose(0, 2, 1)).mean(axis=0)
     spread = np.sqrt(np.mean((1 - corrections[left] ** 2) / corrections[left] ** 2, axis=1) / (size - 1) / codes.rotations)
     a, b = np.nonzero(estimate + SIGMAS * spread[:, None] >= codes.cosine)
     a, b = left[a], right[b]
