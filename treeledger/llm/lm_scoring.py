@@ -25,18 +25,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.staging import stage
-from treeledger.llm.text import passes, word_hashes, words
+from treeledger.llm.staging import drop, stage
+from treeledger.llm.text import mix, passes, word_hashes, words
 
 #: n-grams counted once are left out of the tables: they say no more than that the words came there. Counting trigrams
 #: moves five times the text, so bigrams are the usual order.
 ALPHA, MIN_COUNT, ORDER = 0.4, 2, 2
+#: Passes in which documents' n-grams of two words and more meet their table.
+SLICES = 2
 #: Bytes of text whose n-grams are counted before they are sent.
 FLUSH_BYTES = 8_000_000
 
@@ -55,16 +58,28 @@ def _grams(h: np.ndarray, row: np.ndarray, order: int) -> tuple[list[np.ndarray]
     return [h[i : i + n][inside] for i in range(order)], row[:n][inside]
 
 
-def _counted_runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns and how often each comes."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
+def _counted_runs(columns: list[np.ndarray], in_order: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and how often each comes; in_order: as they come, which lies better in a shuffle.
+
+    Rows are sorted by one hash, which is faster than by all columns; that a hash stands for two of them would only
+    tell a row in two parts.
+    """
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    order = np.argsort(key)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
+        c = c[order]
         new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+    n = np.diff(np.append(first, len(order)))
+    one = order[first]
+    if in_order:
+        turn = np.argsort(one)
+        one, n = one[turn], n[turn]
+    return [c[one] for c in columns], n
 
 
 def _names(order: int) -> list[str]:
@@ -98,15 +113,18 @@ def _counts(order: int):
     return run
 
 
-def _by_document(order: int):
-    """doc_id, text -> the distinct n-grams of each text."""
+def _by_document(order: int, slices: int, which: int):
+    """doc_id, text -> the distinct n-grams of each text whose first word is of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for h, row, _ in _hashes(batch.column(1)):
                 columns, own = _grams(h, row, order)
-                (own, *columns), n = _counted_runs([own, *columns])
+                if slices > 1:
+                    mine = columns[0].view(np.uint64) % np.uint64(slices) == which
+                    columns, own = [c[mine] for c in columns], own[mine]
+                (own, *columns), n = _counted_runs([own, *columns], in_order=True)
                 yield _batch([ids[own], *columns, n], ["doc_id", *_names(order), "n"])
 
     return run
@@ -116,22 +134,47 @@ def _typed(order: int) -> str:
     return ", ".join(f"{w} long" for w in _names(order))
 
 
-def _tables(docs: DataFrame, order: int, min_count: int) -> list[DataFrame]:
-    """For each order 1, 2, ... its n-grams: words, n, score (ln of their probability, without back-off), gain."""
-    counted = lambda k: docs.select("text").mapInArrow(_counts(k), f"{_typed(k)}, n long").groupBy(*_names(k)).agg(F.sum("n").alias("n"))
-    one = stage(counted(1), "words")
-    total = one.agg(F.sum("n")).first()[0] or 1
-    score = F.ln("n") - F.lit(math.log(total))
-    tables = [stage(one.select("w0", "n", score.alias("score"), score.alias("gain")), "order1")]
+def _key(order: int) -> Column:
+    return F.xxhash64(*_names(order)) if order > 1 else F.col("w0")
+
+
+def _counted(docs: DataFrame, order: int) -> DataFrame:
+    """n-grams and n. Tasks have summed up what they read, so rows are dealt as they are and summed where they meet."""
+    return docs.select("text").mapInArrow(_counts(order), f"{_typed(order)}, n long").repartition(*_names(order)).groupBy(*_names(order)).agg(F.sum("n").alias("n"))
+
+
+def _gains(docs: DataFrame, gains: DataFrame, order: int, slices: int) -> DataFrame:
+    """doc_id, x: the sum of the gains (key, gain) of each document's n-grams. They meet in so many passes over the texts, so
+    that no pass shuffles all n-grams at once."""
+    parts = []
+    for i in range(slices):
+        own = docs.mapInArrow(_by_document(order, slices, i), f"doc_id long, {_typed(order)}, n long").select("doc_id", _key(order).alias("key"), "n")
+        met = own.join(gains, "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("x"))
+        parts.append(stage(met, f"gains{order}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scores(docs: DataFrame, order: int, min_count: int) -> DataFrame:
+    """doc_id, x: the sum of ln S(w) over the words and of the gains of all orders."""
+    words = stage(_counted(docs, 1), "words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    # w0, ..., n, score: ln of the probability without back-off
+    below = words.withColumn("score", F.ln("n") - F.lit(math.log(total)))
+    parts = [_gains(docs, below.select(F.col("w0").alias("key"), F.col("score").alias("gain")), 1, 1)]
+    held = [words]
     for k in range(2, order + 1):
-        often = stage(counted(k).where(F.col("n") >= min_count), f"often{k}")
-        below = tables[-1]
+        often = stage(_counted(docs, k).where(F.col("n") >= min_count), f"often{k}")
         context = below.select(*_names(k - 1), F.col("n").alias("context"))
         shorter = below.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(k - 1)], F.col("score").alias("shorter"))
-        both = often.join(context, _names(k - 1)).join(shorter, _names(k)[1:])
         score = F.ln("n") - F.ln("context")
-        tables.append(stage(both.select(*_names(k), "n", score.alias("score"), (score - F.col("shorter") - F.lit(math.log(ALPHA))).alias("gain")), f"order{k}"))
-    return tables
+        both = often.join(context, _names(k - 1)).join(shorter, _names(k)[1:]).withColumn("score", score)
+        table = both.select(*(_names(k) if k < order else []), "n", "score", _key(k).alias("key"), (F.col("score") - F.col("shorter") - F.lit(math.log(ALPHA))).alias("gain"))
+        table = stage(table if k < order else table.select("key", "gain"), f"order{k}")
+        drop(often, *held)
+        parts.append(_gains(docs, table.select("key", "gain"), k, SLICES))
+        below, held = table, [table]
+    drop(*held)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def language_model_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
@@ -140,16 +183,7 @@ def language_model_scores(docs: DataFrame, order: int = ORDER, min_count: int =
         raise ValueError("min_count must be at least 2, order at least 1")
     nobody = F.lit(-(1 << 63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc_id"), "text")
-    parts = []
-    for k, table in enumerate(_tables(docs, order, min_count), 1):
-        key = F.xxhash64(*_names(k)) if k > 1 else F.col("w0")
-        own = docs.mapInArrow(_by_document(k), f"doc_id long, {_typed(k)}, n long").select("doc_id", key.alias("key"), "n")
-        met = own.join(table.select(key.alias("key"), "gain"), "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("x"))
-        parts.append(stage(met, f"gains{k}"))
-    gains = parts[0]
-    for p in parts[1:]:
-        gains = gains.unionByName(p)
-    gains = gains.groupBy("doc_id").agg(F.sum("x").alias("x"))
+    gains = _scores(docs, order, min_count).groupBy("doc_id").agg(F.sum("x").alias("x"))
     n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     # word i of a text can be backed off min(i, order - 1) times
     steps = F.when(F.col("own_words") >= order, (order - 1) * (F.col("own_words") - order) + order * (order - 1) / 2).otherwise(F.col("own_words") * (F.col("own_words") - 1) / 2)
