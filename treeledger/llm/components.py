@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.staging import stage
+from treeledger.llm.staging import drop, stage
 
 #: Links that one task contracts at once.
 CONTRACTED = 500_000
@@ -53,14 +53,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
     parts = -(-edges.count() // CONTRACTED)
-    edges = stage(edges.coalesce(max(1, parts)).mapInArrow(_contracted, "u long, v long"), "contracted")
+    contracted = stage(edges.coalesce(max(1, parts)).mapInArrow(_contracted, "u long, v long"), "contracted")
+    drop(edges)
+    edges = contracted
     while parts > 1 and not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        stars = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        drop(edges)
+        edges = stars
     top = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component_id")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component_id")).unionByName(top)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.cells import in_cells, runs, sides
 from treeledger.llm.components import components, forest
-from treeledger.llm.staging import small, stage
+from treeledger.llm.staging import drop, stage
 from treeledger.llm.text import mix
 
 COSINE = 0.98
@@ -199,6 +199,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     full = met.join(coded.select("rep", "bits", "corrections").join(classes.select("rep", "embedding", "many"), "rep"), "rep")
     cells = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     told = stage(cells.select("key", "i", "j", "band", "block", "rep", "bits", "corrections", "embedding", "many").mapInArrow(_compare(codes), "a long, b long, m long"), "told")
+    drop(coded)
     found = components(told.where("b is not null").select("a", "b"))
     counted = told.where("b is null").groupBy("a").agg(F.sum("m").alias("others"))
     known = classes.join(counted, F.col("rep") == F.col("a"), "left").join(found, F.col("rep") == F.col("vertex"), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.cells import in_cells, runs, sides
 from treeledger.llm.components import components
-from treeledger.llm.staging import small, stage
+from treeledger.llm.staging import drop, small, stage
 from treeledger.llm.text import distinct_per_text, mix, passes, shingle_hashes, word_hashes, words
 
 BANDS, ROWS = 36, 5
@@ -149,7 +149,9 @@ def _verified(texts: _Texts, sketches: DataFrame, pairs: DataFrame, percent: int
     sets = stage(texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "sets")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+    linked = stage(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+    drop(sets, pairs)
+    return linked
 
 
 class _Texts:

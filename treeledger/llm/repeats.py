@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.staging import small, stage
+from treeledger.llm.staging import drop, small, stage
 from treeledger.llm.suffix_array import equal_runs, suffix_array
 from treeledger.llm.text import mix, passes, spans_hash
 
@@ -287,10 +287,13 @@ class _Corpus:
         having = own.mapInArrow(_having(self.length), "id long, tag int, value long").join(values, "value")
         shared = stage(having.groupBy("id", "tag").agg(F.collect_list(F.struct("value", "crowded")).alias("shared")), "shared")
         cut = stage(own.join(shared, ["id", "tag"]).mapInArrow(_cut_out(self.parts, self.length), _CUT), "cut")
+        drop(shared, values)
         lows = cut.where("data is not null").select("part", "sub", "least", "most", "data").groupBy("part").applyInPandas(_suffixes(self.length), "part long, sub long, lows binary")
         hits = cut.where("data is null").select("part", "sub", "id", "tag", "place").join(lows, ["part", "sub"])
         found = hits.select("id", "tag", "place", "lows").mapInArrow(_covered(self.length), "id long, tag int, start long, end long")
-        return stage(found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+        spans = stage(found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+        drop(cut)
+        return spans
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:

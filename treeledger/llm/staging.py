@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-treeledger-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -40,16 +43,30 @@ def _shuffle_files_go(spark: SparkSession):
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or with drop().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
     with _shuffle_files_go(spark):
         df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _located(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _located(spark: SparkSession, path: str):
+    """The folder of a staged table and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove staged tables. Only for tables that nothing reads any more: whatever came of them must be staged itself."""
+    for df in tables:
+        at, files = _located(df.sparkSession, df._staged_at)
+        files.delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
