@@ -32,8 +32,9 @@ from treeledger.llm.text import mix, passes, spans_hash
 LENGTH, SEED = 50, 16
 #: Text of the corpus for each partition of minimisers.
 PARTITION_BYTES = 5_000_000
-#: Places beyond which a minimiser's runs are cut into single strings that are dealt by themselves.
-CROWDED = 20_000
+#: Places beyond which a minimiser's runs are cut into single strings that are dealt by themselves: so many runs, if they
+#: are all different, are a partition's worth of text.
+CROWDED = PARTITION_BYTES // (2 * LENGTH - SEED)
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
