@@ -42,4 +42,34 @@ l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label
 {_REACH}
 SELECT c.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = c.id) AS n_links, component_id, c.id = component_id AS kept FROM c"""
 
-ORACLE_SQL = {"op1_lm_scoring": LM_SCORES, "op2_repeats": REPEATS, "op5_minhash": NEAR_DUPLICATES, "op10_embeddings": VECTORS}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS place FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, line, place, coalesce(doc_id > least, false) AS goes FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '')) AS kept_sha256 FROM g GROUP BY 1"""
+
+
+def _codes(rounds: int) -> str:
+    """Product quantiser: each round assigns the parts (a...) to the entries and moves these (c...)."""
+    distance = "list_sum([(v[i] - e[i]) * (v[i] - e[i]) FOR i IN range(1, len(v) + 1)])::BIGINT"
+    assign = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min(struct_pack(d := {distance}, j := j)) AS b FROM t JOIN c{r} USING (p) GROUP BY 1, 2)"
+    move = lambda r: f"""m{r} AS (SELECT p, j, list(m ORDER BY i) AS e FROM (SELECT p, j, i, floor(sum(y) / count(*))::BIGINT AS m FROM (SELECT p, b.j AS j, unnest(v) AS y, unnest(range(len(v))) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT p, j, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (p, j))"""
+    steps = ",\n".join(step for r in range(rounds) for step in (assign(r), move(r)))
+    return f"""WITH k AS (SELECT vec_id, label, [floor(4096 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+t AS MATERIALIZED (SELECT vec_id, p, x[len(x) * p // 8 + 1:len(x) * (p + 1) // 8] AS v FROM k, range(8) AS q(p)),
+c0 AS MATERIALIZED (SELECT p, n AS j, v AS e FROM t JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM k) USING (vec_id) WHERE n < 16),
+{steps},
+{assign(rounds)},
+o AS (SELECT vec_id, string_agg(printf('%02x', b.j), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), h"""
+
+
+CODES = _codes(6)
+
+ORACLE_SQL = {"op1_lm_scoring": LM_SCORES, "op2_repeats": REPEATS, "op5_minhash": NEAR_DUPLICATES, "op10_embeddings": VECTORS, "op11_lines": LINES, "op12_codes": CODES}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.llm.embedding_dedup import similar_vectors
 from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.language_id import languages
+from treeledger.llm.line_dedup import without_shared_lines
 from treeledger.llm.lm_scoring import language_model_scores
 from treeledger.llm.minhash import near_duplicates
 from treeledger.llm.mixing import mixed
@@ -16,6 +17,8 @@ from treeledger.llm.packing import packed
 from treeledger.llm.repeats import deduplicated
 from treeledger.llm.token_counts import token_counts
 from treeledger.llm.toxicity import toxicity
+from treeledger.llm.vector_codes import coded
+from treeledger.llm.whitening import whitened
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -72,6 +75,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_shared_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeats": op2_repeats,
@@ -83,4 +99,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
+    "op11_lines": op11_lines,
+    "op12_codes": op12_codes,
+    "op13_whitening": op13_whitening,
 }
