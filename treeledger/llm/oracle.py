@@ -60,7 +60,7 @@ def _codes(rounds: int) -> str:
 c{r + 1} AS MATERIALIZED (SELECT p, j, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (p, j))"""
     steps = ",\n".join(step for r in range(rounds) for step in (assign(r), move(r)))
     return f"""WITH k AS (SELECT vec_id, label, [floor(4096 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 t AS MATERIALIZED (SELECT vec_id, p, x[len(x) * p // 8 + 1:len(x) * (p + 1) // 8] AS v FROM k, range(8) AS q(p)),
 c0 AS MATERIALIZED (SELECT p, n AS j, v AS e FROM t JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM k) USING (vec_id) WHERE n < 16),
 {steps},
