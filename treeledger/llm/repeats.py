@@ -32,8 +32,8 @@ from treeledger.llm.text import mix, passes, spans_hash
 LENGTH, SEED = 50, 16
 #: Text of the corpus for each partition of minimisers.
 PARTITION_BYTES = 5_000_000
-#: Places beyond which a minimiser's runs are cut into single strings that are dealt by themselves: so many runs, if they
-#: are all different, are a partition's worth of text.
+#: Different runs (of each pass over the texts) beyond which those of a minimiser are cut into single strings that are dealt
+#: by themselves: so many are a partition's worth of text.
 CROWDED = PARTITION_BYTES // (2 * LENGTH - SEED)
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -82,22 +82,32 @@ def _slices(first: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def _held(length: int):
-    """id, tag, text -> value, low, high, n: each minimiser of some texts, the least and the greatest id that has it, and
-    how many places do."""
+    """id, tag, text -> value, low, high, n: each minimiser of some texts, the least and the greatest id that has it, and how
+    many different runs do: as many of its substrings travel from here, however many places have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(_column(batch, "id"))
             for row, data, offsets in passes(_column(batch, "text")):
-                text, _, _, value = _runs(data, offsets, length)
+                text, place, count, value = _runs(data, offsets, length)
                 order = np.argsort(value, kind="stable")
-                value, own = value[order], ids[row + text[order]]
+                text, place, count, value = (x[order] for x in (text, place, count, value))
+                own = ids[row + text]
                 first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
-                if len(first):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(value[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), pa.array(np.diff(np.append(first, len(value))))],
-                        names=["value", "low", "high", "n"],
-                    )
+                if not len(first):
+                    continue
+                runs = np.diff(np.append(first, len(value)))
+                group = np.repeat(np.arange(len(first)), runs)
+                several = np.flatnonzero(runs[group] > 1)
+                begin = offsets[text[several]] + place[several]
+                sub = spans_hash(data, begin, begin + count[several] + length - 1)
+                turn = np.lexsort((sub, group[several]))
+                again = (group[several][turn][1:] == group[several][turn][:-1]) & (sub[turn][1:] == sub[turn][:-1])
+                n = runs - np.bincount(group[several][turn][1:][again], minlength=len(first))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), pa.array(n.astype(np.int64))],
+                    names=["value", "low", "high", "n"],
+                )
 
     return run
 
@@ -126,8 +136,8 @@ def _cut_out(parts: int, length: int):
     """id, tag, text, shared -> the runs whose minimiser is shared: each distinct one of some texts once, as a substring with
     the least and the greatest id there (place null), and each occurrence (data null).
 
-    A run of a minimiser that very many places have is cut into single strings, and these are dealt by their own hash:
-    what lies beside a passage that many documents hold differs in each of them, and would else be one partition's.
+    A run of a minimiser that has very many different ones is cut into single strings, and these are dealt by their own
+    hash: what lies beside a passage that many documents hold differs in each of them, and would else be one partition's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
