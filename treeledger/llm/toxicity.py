@@ -6,7 +6,7 @@ the blame of a toxic document to its worst sentences, which the model then locat
 
 Defined results: a null, empty or wordless text scores 0. A label row without doc_id or without a value
 teaches nothing; repeated label rows count as often as they come. Without labels of both kinds
-every score is 0. A very long text is a bag with many sentences; one without an end for 2 MB counts as several. Of sentences with one score the last is the worst; of
+every score is 0. A very long text is a bag with many sentences, and is read by pieces; a sentence of any length is one. Of sentences with one score the last is the worst; of
 features with one gain those with the smaller hash are kept. Other columns of the inputs are not read.
 """
 
@@ -138,7 +138,8 @@ def _spans(cut: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarra
 
 
 def _pieces(data: np.ndarray, texts: int) -> Iterator[tuple[int, int]]:
-    """Begin and end of what is scored at once: a long text goes by whole sentences of at most PASS_BYTES together."""
+    """Begin and end of what is read at once: a long text goes by whole sentences of at most PASS_BYTES together, a sentence that
+    is longer by whole words."""
     at = 0
     while texts == 1 and len(data) - at > PASS_BYTES:
         # at the end of a sentence, else of a word
@@ -157,22 +158,25 @@ def _score(model: Model | None, keep_from: float | None):
             if model is None:
                 yield (row, n, np.zeros(n), _spans(np.zeros(n + 1, np.int64), *np.zeros((2, 0), np.int64), np.zeros(0)), np.full((2, n), -1))
                 continue
-            clean, worst, top, hits = np.zeros(n), np.full((2, n), -1), np.full(n, -1.0), []
+            found, stops = [], 0
             for from_, to in _pieces(data, n):
-                hashes, sentence, doc, start, end = _sentences(data[from_:to], offsets if n > 1 else np.array([0, to - from_]))
+                piece = data[from_:to]
+                hashes, sentence, doc, start, end = _sentences(piece, offsets if n > 1 else np.array([0, to - from_]))
                 at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1) if len(model.keys) else None
                 weight = np.where(model.keys[at] == hashes, model.weights[at], 0.0) if at is not None else np.zeros(len(hashes))
-                z = np.clip(np.bincount(sentence, weights=weight, minlength=len(doc)) + model.bias, -30, 30)
-                prob = 1 / (1 + np.exp(-z))
-                clean += np.bincount(doc, weights=np.log1p(-prob), minlength=n)
-                start, end = start + from_ - offsets[doc], end + from_ - offsets[doc]
-                order = np.argsort(prob, kind="stable")
-                order = order[prob[order] >= top[doc[order]]]
-                worst[0, doc[order]], worst[1, doc[order]], top[doc[order]] = start[order], end[order], prob[order]
-                hit = np.flatnonzero(prob >= OFFENDING)
-                hits.append((doc[hit], start[hit], end[hit], prob[hit]))
-            doc, start, end, prob = (np.concatenate(x) for x in zip(*hits, strict=True))
-            yield row, n, np.clip(-np.expm1(clean), 0, 1), _spans(np.searchsorted(doc, np.arange(n + 1)), start, end, prob), worst
+                ended = np.cumsum(STOP[piece])
+                found.append((doc, start + from_ - offsets[doc], end + from_ - offsets[doc], np.bincount(sentence, weights=weight, minlength=len(doc)), stops + ended[start]))
+                stops += int(ended[-1]) if len(ended) else 0
+            doc, start, end, total, nth = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(found) > 1 and len(doc):  # of a long text; a sentence that goes on in the next piece is one
+                first = np.flatnonzero(np.append(True, nth[1:] != nth[:-1]))
+                doc, start, end, total = doc[first], start[first], end[np.append(first[1:], len(end)) - 1], np.add.reduceat(total, first)
+            prob = 1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30)))
+            clean = np.bincount(doc, weights=np.log1p(-prob), minlength=n)
+            worst, order = np.full((2, n), -1), np.argsort(prob, kind="stable")
+            worst[0, doc[order]], worst[1, doc[order]] = start[order], end[order]
+            hit = np.flatnonzero(prob >= OFFENDING)
+            yield row, n, np.clip(-np.expm1(clean), 0, 1), _spans(np.searchsorted(doc[hit], np.arange(n + 1)), start[hit], end[hit], prob[hit]), worst
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
