@@ -1,5 +1,6 @@
 """Language-model scores, languages, toxicity and token counts against plain versions."""
 
+import functools
 import math
 import random
 import re
@@ -7,10 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from treeledger.llm import language_id, toxicity
+from treeledger.llm import token_counts as token_counts_
 from treeledger.llm.lm_scoring import language_model_scores
 from treeledger.llm.token_counts import token_counts
 
@@ -72,6 +75,23 @@ def test_token_counts_are_the_library_s(spark):
     assert token_counts(docs.limit(0), path).count() == 0
 
 
+def test_every_code_point_is_split_as_the_library_does():
+    """Versions of Unicode differ in what is a letter, a mark to compose, or a capital."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_counts_.BytePairs(path)
+    points = [*range(0xD800), *range(0xE000, 0x32000), *range(0x32000, 0xE0000, 97), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 97)]
+    rng = random.Random(7)
+    texts = [f"a{c}1{c}${c} {c}" for c in map(chr, points)] + ["".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        want = [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+        got = own.counts(part)
+        assert [(t, g, w) for t, g, w in zip(part, got, want, strict=True) if g != w] == []
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -138,6 +158,7 @@ def plain_toxicity(model, text):
     """Noisy-or over sentences, feature by feature."""
     weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
 
+    @functools.cache
     def key(kind, word):
         data = np.frombuffer(word, np.uint8)
         h = toxicity.word_hashes(data, np.array([0]), np.array([len(data)]))[0]
@@ -173,6 +194,21 @@ def test_toxicity_is_the_noisy_or_of_sentences(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
 
 
+def test_long_sentences_are_read_by_pieces_and_stay_whole():
+    """Texts of more than a pass, with sentences longer than one, score as the plain version has them."""
+    words = ["it", "is", "trash", "what", "idiot", "says", "ordinary"]
+    hashed = np.sort(np.array([toxicity.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]))
+    model = toxicity.Model(hashed, np.random.default_rng(2).normal(0, 1e-4, len(hashed)), -2.0)
+    long = "it is ordinary what " * 130_000
+    texts = [long + ". trash idiot says. " + long[:50] + "!" + "it says trash " * 10, "x. " + long + "\n" + long + "?", "idiot " * 500_000, "." * 2_200_000 + long, "says " * 9]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [r for b in toxicity._score(model, None)([rows]) for r in b.to_pylist()]
+    for r, t in zip(got, texts, strict=True):
+        assert r["score"] == pytest.approx(plain_toxicity(model, t), rel=1e-6)
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[^\n!.?]+", texts[0]) if m[0].strip()]
+    assert (got[0]["worst_start"], got[0]["worst_end"]) in [(a + (len(texts[0][a:b]) - len(texts[0][a:b].lstrip())), len(texts[0][:b].rstrip())) for a, b in spans]
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}

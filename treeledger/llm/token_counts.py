@@ -5,15 +5,18 @@ byte-level symbols, merges with an end-of-word suffix) is a parameter. A batch's
 distinct pre-tokens lie end to end in one numpy array; every round applies each
 sequence's lowest-ranked pair in all sequences at once, until no pair has a rank.
 
+What is a letter, a number, a blank or a small letter is asked of the library that the file belongs to, as such tables differ
+between versions of Unicode.
+
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text are
 one token each, as in the library's default. Rows are independent, so repeats and ties
-change nothing. Other columns of the input are not read.
+change nothing. A text of any length is split and merged whole, in its task alone, which holds some 40 bytes for each of its
+bytes. An empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.text import BLANK, NUMBER, OTHER, point_classes, spans_hash
+from treeledger.llm.text import BLANK, LETTER, NUMBER, OTHER, spans_hash
 
 #: A task forgets the counts of pre-tokens beyond so many; they are counted anew when met again.
 REMEMBERED = 800_000
@@ -37,10 +40,27 @@ _SHORT = {"s", "t", "m", "d"}
 _LONG = {"re", "ve", "ll"}
 
 
-def split(text: str) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def point_classes(path: str) -> np.ndarray:
+    """Class of each code point, as the library splits for the vocabulary file: white space, letter, number or other."""
+    from tokenizers import Tokenizer
+
+    splitter = Tokenizer.from_file(path).pre_tokenizer
+    out = np.full(0x110000, BLANK, np.uint8)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    # in the order of code points a pre-token is a run of one class, which its first one tells beside a letter and a stop
+    runs = [span for _, span in splitter.pre_tokenize_str("".join(map(chr, points)))]
+    asked = {a for _, (a, _) in splitter.pre_tokenize_str("\n".join(f"a{chr(points[a])}." for a, _ in runs))}
+    for i, (a, b) in enumerate(runs):
+        kind = LETTER if 4 * i + 1 not in asked else NUMBER if 4 * i + 2 in asked else OTHER
+        out[points[a] : points[b - 1] + 1] = kind
+    return out
+
+
+def split(text: str, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pre-tokens of a normalised text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = point_classes()[points]
+    kind = classes[points]
     before = np.concatenate(([np.uint8(BLANK)], kind[:-1]))
     start = (kind != BLANK) & ((kind != before) | (kind == NUMBER))
     inside = np.zeros(len(kind) + 3, bool)  # ends a pre-token, if it isn't a blank's place
@@ -96,6 +116,8 @@ class BytePairs:
     """Counts of symbols that are left when all merges of a vocabulary file are done."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -118,11 +140,11 @@ class BytePairs:
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
         self.known: dict[str, int] = {}
+        self.library, self.classes = Tokenizer.from_file(path).normalizer, point_classes(path)
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed and in lower case; each capital sigma alone, not by its place in a word."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    def normal(self, text: str) -> str:
+        """Composed and in lower case, as the library does it."""
+        return text.lower() if text.isascii() else self.library.normalize_str(text)
 
     def merged(self, words: list[str]) -> np.ndarray:
         """Number of symbols of each word after all merges."""
@@ -171,7 +193,7 @@ class BytePairs:
         while at < len(parts):
             n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PASS, side="right")) - at)
             joined = "\n".join(parts[at : at + n])
-            starts, ends = split(joined)
+            starts, ends = split(joined, self.classes)
             tokens = self._each(joined, starts, ends)
             first = np.searchsorted(starts, size[at : at + n] - (size[at - 1] if at else 0))
             np.add.at(out, owner[at : at + n], np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(tokens)))[first]))))
