@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.functions.globs import kept_by_filter
 from treeledger.functions.paths import ancestors, path_key
-from treeledger.operators.trees import Trust, joined, link_above, link_closure, merged, tree_diff, with_cache
+from treeledger.operators.links import ends, on_the_way, ways
+from treeledger.operators.trees import Trust, joined, link_above, merged, tree_diff, with_cache
 
 #: Stages in the order of applying.
 STAGES = ["FIX-DIR", "MKDIR", "DELETE", "COPY", "RMDIR"]
@@ -96,26 +98,59 @@ def guards(plan: DataFrame, dst: DataFrame, links: DataFrame, shared: DataFrame
     return out
 
 
-def spared(src: DataFrame, links: DataFrame) -> DataFrame:
-    """rel, because of what must not be deleted: the chain, the storage and the directories above them of every link that
-    stays, that is of each file link whose path src has as a file. links: rel, kind, target."""
-    kept = links.where("kind = 'file'").join(src.where("kind = 'file'").select("rel"), "rel", "left_semi")
-    chain = link_closure(links.where("target is not null").select(F.col("rel").alias("link"), "target"))
-    reached = kept.select(F.col("rel").alias("link")).join(chain, "link")
-    is_link = links.select(F.col("rel").alias("target"), F.lit(True).alias("hop"))
-    named = reached.join(is_link, "target", "left").select(F.col("target").alias("rel"), F.when(F.col("hop"), "link").otherwise("storage").alias("because")).distinct()
-    held = named.select(F.explode(ancestors(F.col("rel"))).alias("rel")).distinct().join(named.select("rel"), "rel", "left_anti").select("rel", F.lit("directory").alias("because"))
-    return named.unionAll(held)
+def _kept_links(src: DataFrame, links: DataFrame) -> DataFrame:
+    """The file links of dst whose path src has as a file: they stay."""
+    return links.where("kind = 'file'").join(src.where("kind = 'file'").select("rel"), "rel", "left_semi")
 
 
-def shared_storage(src: DataFrame, links: DataFrame, plan: DataFrame) -> DataFrame:
+def _link_ends(kept: DataFrame, links: DataFrame, fold: bool) -> DataFrame:
+    """link, end, fate of the kept links that stay inside of dst for their first hop."""
+    starts = kept.where("target is not null").select(F.col("rel").alias("link"), F.col("target").alias("path"))
+    return starts.join(ends(ways(starts.select("path"), links, fold)), "path").select("link", "end", "fate")
+
+
+def spared(src: DataFrame, links: DataFrame, held: DataFrame | None = None, fold: bool = False) -> DataFrame:
+    """rel, because of what must not be deleted, as a link that stays needs it.
+
+    link: every link that a way from such a link passes, above a path or at it. alias: a path by which the way comes that
+    goes on through a link above it, as the plan may name it so. storage: where the way ends. directory: what is above
+    any of these. links: rel, kind, target. With fold the disk matches ASCII case, and what a link's text spells
+    otherwise is named as `held` (rel: all paths of dst) spells it.
+    """
+    way = ways(_kept_links(src, links).select(F.col("target").alias("path")), links, fold)
+    passed = on_the_way(way.select("path"), links, fold)
+    at_link = passed.where("prefix = path").select("path").distinct()
+    named = passed.select(F.col("via").alias("rel"), F.lit("link").alias("because"))
+    named = named.unionAll(way.join(at_link, "path", "left_anti").select(F.col("path").alias("rel"), F.when(F.col("via").isNull(), "storage").otherwise("alias")))
+    if fold and held is not None:
+        told = spelled(named.select("rel").distinct(), held)
+        named = named.join(told, "rel").select(F.coalesce("spelling", "rel").alias("rel"), "because")
+    named = named.distinct()
+    above = named.select(F.explode(ancestors(F.col("rel"))).alias("rel")).distinct().join(named.select("rel"), "rel", "left_anti").select("rel", F.lit("directory").alias("because"))
+    return named.unionAll(above)
+
+
+def sparing(plan: DataFrame, kept: DataFrame) -> DataFrame:
+    """The plan without the removal of what spared() names."""
+    going = F.col("stage").isin("DELETE", "RMDIR")
+    return plan.where(~going).unionByName(plan.where(going).join(kept.select("rel"), "rel", "left_anti"))
+
+
+def link_refusals(src: DataFrame, links: DataFrame, plan: DataFrame, fold: bool = False) -> DataFrame:
+    """rule, rel, at of links that stay and make a plan unfit: endless-link (it ends nowhere), storage-replaced (its storage
+    becomes a directory)."""
+    found = _link_ends(_kept_links(src, links), links, fold)
+    endless = found.where("fate = 'endless'").select(F.lit("endless-link").alias("rule"), F.col("link").alias("rel"), F.lit(None).cast("string").alias("at"))
+    fixed = plan.where("stage = 'FIX-DIR'").select(F.col("rel").alias("end"))
+    return endless.unionByName(found.join(fixed, "end", "left_semi").select(F.lit("storage-replaced").alias("rule"), F.col("link").alias("rel"), F.col("end").alias("at")))
+
+
+def shared_storage(src: DataFrame, links: DataFrame, plan: DataFrame, fold: bool = False) -> DataFrame:
     """storage, names: files that a plan would give two contents, as two mirrored names (kept links, or the file itself)
     end there and one of them is copied."""
     mirrored = src.where("kind = 'file'").select("rel")
-    chain = link_closure(links.where("target is not null").select(F.col("rel").alias("link"), "target"))
-    ends = chain.join(links.select(F.col("rel").alias("target")), "target", "left_anti")
-    kept = ends.join(links.where("kind = 'file'").select(F.col("rel").alias("link")), "link", "left_semi").join(mirrored.withColumnRenamed("rel", "link"), "link", "left_semi")
-    names = kept.select(F.col("target").alias("storage"), F.col("link").alias("name")).unionAll(kept.select(F.col("target").alias("storage"), F.col("target").alias("name")).distinct().join(mirrored.withColumnRenamed("rel", "name"), "name", "left_semi").select("storage", "name"))
+    kept = _link_ends(_kept_links(src, links), links, fold).where("end is not null").select(F.col("end").alias("storage"), F.col("link").alias("name"))
+    names = kept.unionAll(kept.select("storage", F.col("storage").alias("name")).distinct().join(mirrored.withColumnRenamed("rel", "name"), "name", "left_semi").select("storage", "name"))
     copied = plan.where("stage = 'COPY'").select(F.col("rel").alias("name"), F.lit(True).alias("copied"))
     return names.join(copied, "name", "left").groupBy("storage").agg(F.count("*").alias("n"), F.coalesce(F.bool_or("copied"), F.lit(False)).alias("copied"), F.array_sort(F.collect_list("name")).alias("names")).where("n > 1 and copied").select("storage", "names")
 
@@ -157,6 +192,27 @@ def updated(live: DataFrame, cache: DataFrame, contents: DataFrame, algos: list[
     return merged(effective.join(read, "rel", "left")).select("rel", "kind", "size", "mtime_ns", "hashes")
 
 
+
+
+def record_side(record: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, fold: bool = True, own: str | None = None) -> DataFrame:
+    """A record as a side of a comparison: the tool's own files and what the filter hides are never part of it.
+
+    An exclude without wildcards, or one that ends in /** or /*, names a folder: for a comparison of exact case it is a
+    prefix, and such prefixes go down to the scan of a stored record, so whole groups of its rows are passed over. Other
+    globs are matched row by row.
+    """
+    exclude = exclude or []
+    heads = [g.removesuffix("/**").removesuffix("/*") for g in exclude]
+    plain = [h for h in heads if h and not set(h) & set("*?[\\")]
+    side = record
+    for head in [] if fold else plain:
+        below = ~F.col("rel").startswith(f"{head}/")
+        side = side.where(below if head not in exclude else (F.col("rel") != head) & below)
+    if own:  # how the names of such files begin
+        side = side.where(~F.exists(F.split("rel", "/"), lambda part: part.startswith(own)))
+    return side.where(kept_by_filter(F.col("rel"), include or [], exclude, fold)) if include or exclude else side
+
+
 def compare_self(record: DataFrame, live: DataFrame, contents: DataFrame, trust: Trust, algos: list[str], fold: bool = False) -> DataFrame:
     """A record against the disk that it describes, without a cache for the disk: only files of open pairs are read."""
     bare = live.withColumn("hashes", F.create_map().cast("map<string,binary>"))
