@@ -73,9 +73,12 @@ def unpack(frame: bytes, limit: int, size: int | None = None, md5: str | None =
 
     if frame[:4] != MAGIC:
         raise ValueError("not a zstd frame")
-    message = zstandard.ZstdDecompressor().decompressobj().decompress(frame) if zstandard.frame_content_size(frame) <= limit else None
+    reader = zstandard.ZstdDecompressor().decompressobj()
+    message = reader.decompress(frame) if zstandard.frame_content_size(frame) <= limit else None
     if message is None or len(message) > limit:
         raise ValueError(f"more than {limit} bytes")
+    if not reader.eof:
+        raise ValueError("the frame is cut short")
     if size is not None and size != len(message):
         raise ValueError(f"{len(message)} bytes instead of {size}")
     if md5 and hashlib.md5(message).hexdigest() != md5.lower():
