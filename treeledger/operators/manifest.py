@@ -149,6 +149,23 @@ def tiling(ranges: DataFrame, key: str) -> DataFrame:
 
 def range_violations(chunks: DataFrame) -> DataFrame:
     """What is wrong with each chunk's range in list order: negative, overflow, past the end, not where the last ended."""
+    return _ranged(chunks).where("rule is not null").select("field", "file", "cpos", "rule")
+
+
+def layout_violations(chunks: DataFrame) -> DataFrame:
+    """field, file, cpos, rule: range_violations(), and for each file whose sizes do not add up to its own (total: the sum
+    of sizes that are no longs is one too) a row without a chunk. Both come from one pass over the file's chunks."""
+    order = Window.partitionBy("field", "file")
+    total = F.sum(F.col("uncompressed_size").cast("decimal(38,0)")).over(order)
+    last = F.row_number().over(order.orderBy(F.desc("manifest_pos"), F.desc("pos"), F.desc("cpos"))) == 1
+    found = _ranged(chunks).withColumns({"total": total, "last": last})
+    of_file = F.when(F.col("last") & (F.col("total") != F.col("size")), F.struct(F.lit(None).cast("long").alias("cpos"), F.lit("total").alias("rule")))
+    of_chunk = F.when(F.col("rule").isNotNull(), F.struct(F.col("cpos").cast("long").alias("cpos"), "rule"))
+    return found.select("field", "file", F.explode(F.array_compact(F.array(of_chunk, of_file))).alias("v")).select("field", "file", "v.*")
+
+
+def _ranged(chunks: DataFrame) -> DataFrame:
+    """chunks with the rule that each one's range breaks."""
     order = Window.partitionBy("field", "file").orderBy("manifest_pos", "pos", "cpos")
     end = F.try_add("offset", "uncompressed_size")
     last = F.coalesce(F.lag(end).over(order), F.lit(0))
@@ -156,7 +173,7 @@ def range_violations(chunks: DataFrame) -> DataFrame:
         F.when((F.col("offset") < 0) | (F.col("uncompressed_size") < 0), "negative").when(end.isNull(), "overflow").when(end > F.col("size"), "past-end")
         .when(F.col("uncompressed_size") == 0, "empty").when(F.col("offset") > last, "gap").when(F.col("offset") < last, "overlap")
     )
-    return chunks.withColumn("rule", rule).where("rule is not null").select("field", "file", "cpos", "rule")
+    return chunks.withColumn("rule", rule)
 
 
 def wants(chunks: DataFrame) -> DataFrame:

@@ -91,8 +91,12 @@ def empty_dirs(verdicts: DataFrame) -> DataFrame:
 
 
 def integrity(plan: DataFrame, disk: DataFrame) -> DataFrame:
-    """plan (rel, size, md5) against disk (rel, content): one verdict a file."""
-    found = plan.join(disk.select("rel", F.octet_length("content").alias("length"), F.md5("content").alias("found")), "rel", "left")
+    """plan (rel, size, md5) against disk (rel, content): one verdict a file. scan.integrity_of() has it from a scan."""
+    return file_verdicts(plan.join(disk.select("rel", F.octet_length("content").alias("length"), F.md5("content").alias("found")), "rel", "left"))
+
+
+def file_verdicts(found: DataFrame) -> DataFrame:
+    """rel, verdict of files (rel, size, md5) and what was found of them (length, found; null: nothing)."""
     verdict = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("size"), "size").when(F.col("found") != F.lower("md5"), "md5").otherwise("ok")
     return found.select("rel", verdict.alias("verdict"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.totals import saturating_sum, slices_match
+from treeledger.operators.repair import file_verdicts
 
 #: Bytes that a file scan reads at once.
 READ = 1 << 20
@@ -33,73 +34,140 @@ def ranges(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("rel").agg(F.collect_list(dest).alias("dest"), F.collect_list(source).alias("source"))
 
 
-def deep_scan(chunks: DataFrame, disk: DataFrame) -> DataFrame:
+def deep_scan(chunks: DataFrame, disk: DataFrame, whole: bool = False) -> DataFrame:
     """rel, cpos, dest_ok, source_ok of each chunk (rel, cpos, offset, uncompressed_size, uncompressed_md5, source).
 
     disk: rel, content. A file that isn't there has nothing right; a range past its end is wrong. Each file's content
-    meets the list of its ranges once. Files too large for a row: scan_files().
+    meets the list of its ranges once. whole: also length and found, the size and the digest of the file (null: it isn't
+    there), from the same read. Files too large for a row: scan_files(), scan_pieces().
     """
     asked = ranges(chunks).join(disk.select("rel", "content"), "rel", "left")
     ok = lambda name: F.when(F.col("content").isNotNull(), slices_match(F.col("content"), F.transform(name, lambda r: r["range"])))
-    seen = asked.select("rel", "dest", "source", ok("dest").alias("d"), ok("source").alias("s"))
-    return _verdicts(seen)
+    file = [F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("found")] if whole else []
+    return _verdicts(asked.select("rel", "dest", "source", ok("dest").alias("d"), ok("source").alias("s"), *file))
 
 
 def _verdicts(seen: DataFrame) -> DataFrame:
-    """rel, dest, source, d, s (whether each range holds) -> a row a chunk."""
+    """rel, dest, source, d, s (whether each range holds), more of the file -> a row a chunk."""
+    file = [c for c in seen.columns if c not in ("rel", "dest", "source", "d", "s")]
     pairs = lambda name, flags: F.transform(name, lambda r, i: F.struct(r["cpos"].alias("cpos"), F.coalesce(F.get(F.col(flags), i), F.lit(False)).alias("ok")))
     source = F.map_from_entries(pairs("source", "s"))
-    both = seen.select("rel", F.explode(pairs("dest", "d")).alias("p"), source.alias("sources"))
-    return both.select("rel", "p.cpos", F.col("p.ok").alias("dest_ok"), F.coalesce(F.try_element_at("sources", F.col("p.cpos")), F.lit(False)).alias("source_ok"))
+    both = seen.select("rel", *file, F.explode(pairs("dest", "d")).alias("p"), source.alias("sources"))
+    return both.select("rel", "p.cpos", F.col("p.ok").alias("dest_ok"), F.coalesce(F.try_element_at("sources", F.col("p.cpos")), F.lit(False)).alias("source_ok"), *file)
 
 
-def scan_files(chunks: DataFrame, root: str) -> DataFrame:
+def scan_files(chunks: DataFrame, root: str, whole: bool = False) -> DataFrame:
     """The same over files below root, a folder that all executors see: each is read once, READ bytes at a time, and all
-    its ranges are digested as they pass."""
+    its ranges (and, with whole, the file) are digested as they pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lists = [[r["range"] for r in row[name]] for name in ("dest", "source")]
-                flags = _scanned(os.path.join(root, row["rel"]), lists[0] + lists[1])
-                out = {"rel": [row["rel"]], "d": [flags[: len(lists[0])]], "s": [flags[len(lists[0]) :]]}
-                yield pa.RecordBatch.from_arrays([pa.array(out["rel"]), pa.array(out["d"], pa.list_(pa.bool_())), pa.array(out["s"], pa.list_(pa.bool_()))], names=["rel", "d", "s"])
+                sweep = _Sweep(row, whole)
+                try:
+                    with open(os.path.join(root, row["rel"]), "rb") as f:
+                        while (at := sweep.needed()) is not None:
+                            if at > sweep.at:
+                                sweep.at = min(at, os.fstat(f.fileno()).st_size)
+                                f.seek(sweep.at)
+                            if not (data := f.read(READ)):
+                                break
+                            sweep.feed(data)
+                    yield sweep.done()
+                except OSError:
+                    yield _Sweep(row, whole).lost()
 
     asked = ranges(chunks)
-    found = asked.mapInArrow(run, "rel string, d array<boolean>, s array<boolean>")
-    return _verdicts(asked.join(found, "rel"))
-
-
-def _scanned(path: str, wanted: list[dict]) -> list[bool]:
-    """Whether the file holds each range (offset, length, md5); equal ranges are digested once."""
-    kinds = sorted({(r["offset"], r["length"], (r["md5"] or "").lower()) for r in wanted})
-    right, open_, at, turn = set(), [], 0, 0
-    try:
-        with open(path, "rb") as f:
-            size = os.fstat(f.fileno()).st_size
-            while turn < len(kinds) or open_:
-                if not open_ and kinds[turn][0] > at:
-                    at = kinds[turn][0]  # nothing is asked for of what lies between
-                    f.seek(at)
-                data = f.read(READ)
-                while turn < len(kinds) and kinds[turn][0] < at + max(1, len(data)):
-                    open_.append((kinds[turn], hashlib.md5()))
-                    turn += 1
-                still = []
-                for kind, digest in open_:
-                    start, end = kind[0], kind[0] + kind[1]
-                    digest.update(data[max(0, start - at) : max(0, end - at)])
-                    if end <= at + len(data):
-                        if end <= size and digest.hexdigest() == kind[2]:
-                            right.add(kind)
-                    elif data:
-                        still.append((kind, digest))
-                open_, at = still, at + len(data)
-                if not data:
-                    break
-    except OSError:
-        return [False] * len(wanted)
-    return [(r["offset"], r["length"], (r["md5"] or "").lower()) in right for r in wanted]
+    return _verdicts(asked.join(asked.mapInArrow(run, _SWEPT), "rel").drop(*([] if whole else ["length", "found"])))
+
+
+def scan_pieces(chunks: DataFrame, pieces: DataFrame, whole: bool = False) -> DataFrame:
+    """The same over files in pieces (rel, offset, content) of any size, such as rows of a table: a file's pieces pass one task
+    in their order, and what is open at the end of one goes on with the next. A file with a hole or an overlap between its
+    pieces isn't there."""
+    asked = ranges(chunks)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("content", "binary"))]
+    rows = asked.select("rel", "dest", "source", *none).unionByName(pieces.select("rel", F.col("offset").cast("long").alias("offset"), F.col("content").cast("binary").alias("content")), allowMissingColumns=True)
+    ordered = rows.repartition("rel").sortWithinPartitions("rel", F.col("offset").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep, rel, torn = None, None, True
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("rel", "offset", "content")}
+                if row["rel"] != rel:
+                    if sweep:
+                        yield sweep.lost() if torn else sweep.done()
+                    sweep, rel, torn = None, row["rel"], True
+                if row["content"] is None and row["offset"] is None:
+                    sweep = _Sweep({c: batch.column(c)[i].as_py() for c in ("rel", "dest", "source")}, whole)
+                elif sweep:
+                    torn = row["offset"] != sweep.at or torn and sweep.at > 0
+                    if not torn:
+                        sweep.feed(row["content"])
+        if sweep:
+            yield sweep.lost() if torn else sweep.done()
+
+    found = ordered.mapInArrow(run, _SWEPT)
+    return _verdicts(asked.join(found, "rel").drop(*([] if whole else ["length", "found"])))
+
+
+_SWEPT = "rel string, d array<boolean>, s array<boolean>, length long, found string"
+
+
+class _Sweep:
+    """Digests of a file's ranges, and of the file, as its bytes pass; equal ranges are digested once."""
+
+    def __init__(self, row: dict, whole: bool) -> None:
+        self.rel, self.dest, self.source = row["rel"], [r["range"] for r in row["dest"]], [r["range"] for r in row["source"]]
+        self.kinds = sorted({self._kind(r) for r in self.dest + self.source})
+        self.turn, self.at, self.open, self.right = 0, 0, [], set()
+        self.md5 = hashlib.md5() if whole else None
+
+    @staticmethod
+    def _kind(wanted: dict) -> tuple[int, int, str]:
+        return wanted["offset"], wanted["length"], (wanted["md5"] or "").lower()
+
+    def needed(self) -> int | None:
+        """The place of the next byte that anything is asked of; null if there is none."""
+        if self.md5 or self.open:
+            return self.at
+        return max(self.at, self.kinds[self.turn][0]) if self.turn < len(self.kinds) else None
+
+    def feed(self, data: bytes) -> None:
+        if self.md5:
+            self.md5.update(data)
+        end = self.at + len(data)
+        while self.turn < len(self.kinds) and self.kinds[self.turn][0] < end:
+            self.open.append((self.kinds[self.turn], hashlib.md5()))
+            self.turn += 1
+        still = []
+        for kind, digest in self.open:
+            digest.update(data[max(0, kind[0] - self.at) : max(0, kind[0] + kind[1] - self.at)])
+            if kind[0] + kind[1] > end:
+                still.append((kind, digest))
+            elif digest.hexdigest() == kind[2]:
+                self.right.add(kind)
+        self.open, self.at = still, end
+
+    def done(self) -> pa.RecordBatch:
+        """What the file holds, now that it has ended."""
+        self.right |= {k for k in self.kinds[self.turn :] if k[:2] == (self.at, 0) and k[2] == hashlib.md5().hexdigest()}
+        return self._told(self.at if self.md5 else None, self.md5.hexdigest() if self.md5 else None)
+
+    def lost(self) -> pa.RecordBatch:
+        self.right = set()
+        return self._told(None, None)
+
+    def _told(self, length: int | None, found: str | None) -> pa.RecordBatch:
+        flags = lambda wanted: pa.array([[self._kind(r) in self.right for r in wanted]], pa.list_(pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([self.rel]), flags(self.dest), flags(self.source), pa.array([length], pa.int64()), pa.array([found], pa.string())], names=["rel", "d", "s", "length", "found"])
+
+
+def integrity_of(scanned: DataFrame, plan: DataFrame) -> DataFrame:
+    """integrity() of plan (rel, size, md5) by what a whole scan saw of its files, without another read."""
+    seen = scanned.groupBy("rel").agg(F.first("length").alias("length"), F.first("found").alias("found"))
+    return file_verdicts(plan.join(seen, "rel", "left"))
 
 
 def same_plan(verdicts: DataFrame, scanned: DataFrame, plan: DataFrame) -> DataFrame:
