@@ -112,8 +112,9 @@ def depth(rel: Column) -> Column:
     return F.size(_parts(rel))
 
 
-def within(child: Column, parent: Column) -> Column:
-    """Containment by component."""
+def within(child: Column, parent: Column, fold: bool = False) -> Column:
+    """Containment by component; fold: on a disk that matches ASCII case."""
+    child, parent = (path_key(child), path_key(parent)) if fold else (child, parent)
     return (child == parent) | child.startswith(F.concat(F.rtrim(parent, F.lit("/")), F.lit("/")))
 
 

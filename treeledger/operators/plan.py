@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.globs import in_scope
 from treeledger.functions.paths import chunk_id_rule, path_rule
+from treeledger.functions.records import as_line
 from treeledger.functions.totals import at_least_0, saturating_sum
 from treeledger.operators.manifest import chunk_reuse, projected_download, retention, wants
 from treeledger.operators.repair import empty_dirs, plan_files, purge, purge_totals
@@ -169,6 +170,18 @@ def run_record(facts: dict[str, Column | None]) -> Column:
     return F.to_json(F.struct(F.lit("summary").alias("event"), *[v.alias(k) for k, v in facts.items() if v is not None]), {"ignoreNullFields": "true"})
 
 
+def report_record(facts: DataFrame) -> DataFrame:
+    """facts with `record`, the REPORT line that comes before anything is done: version facts in a fixed order.
+
+    facts: local_version (null: none), latest_version, biz, exe, download_mode, branch, package_id, build_id (null: left
+    out), audio_langs and diff_tags (arrays; languages are sorted, tags stay as they are served).
+    """
+    joined = lambda c, sort: F.array_join(F.array_sort(c) if sort else F.col(c), ",")
+    told = facts.withColumns({"local_version": F.coalesce("local_version", F.lit("none")), "audio_langs": joined("audio_langs", True), "diff_tags": joined("diff_tags", False)})
+    line = as_line("REPORT", "local_version", "latest_version", "biz", "exe", "download_mode", "branch", "package_id", "build_id", "audio_langs", "diff_tags")
+    return told.withColumn("record", line)
+
+
 def moves(files: DataFrame, cache: str, target: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """rel, target_rel, bytes of the files below a voice cache that belong below the install, within the scope of their targets."""
     inside = files.where(F.col("rel").startswith(f"{cache.rstrip('/')}/"))

@@ -165,10 +165,10 @@ def candidates(scores: DataFrame) -> DataFrame:
     return scores.select("field", "file", "state", F.coalesce(cost, F.lit(0)).alias("budget_cost"), classes.alias("classes"))
 
 
-def unmet(status: DataFrame, required: list[str]) -> DataFrame:
-    """class, line of the required classes that are neither captured nor covered."""
+def unmet(status: DataFrame, required: list[str], *keys: str) -> DataFrame:
+    """keys, class, line of the required classes that are neither captured nor covered, of one selection or of each of many."""
     asked = status.where(F.col("class").isin(required) & ~F.col("status").isin("captured", "covered"))
-    return asked.select("class", F.concat(F.col("class"), F.lit(": "), F.col("status")).alias("line"))
+    return asked.select(*keys, "class", F.concat(F.col("class"), F.lit(": "), F.col("status")).alias("line"))
 
 
 def require(status: DataFrame, required: list[str]) -> None:

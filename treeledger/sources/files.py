@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from treeledger.functions.cut import written
+
 STAT_SCHEMA = "rel string, is_dir boolean, size bigint, mtime_ns bigint, is_link boolean, error string"
 
 
@@ -31,9 +33,14 @@ class _Walk(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root, self.follow = options["path"], options.get("followlinks", "false").lower() == "true"
         self.depth, self.skip = int(options.get("maxdepth", "64")), set(filter(None, options.get("skip", "").split(",")))
+        self.own = options.get("own", "")
+
+    def _listed(self, path: str) -> list[str]:
+        """Names in a folder but those that are not of the tree: the names to skip, and the tool's own files."""
+        return sorted(n for n in os.listdir(path) if n not in self.skip and not (self.own and n.startswith(self.own)))
 
     def partitions(self) -> list[InputPartition]:
-        found = [_Top(n, True, 1) for n in sorted(os.listdir(self.root)) if n not in self.skip]
+        found = [_Top(n, True, 1) for n in self._listed(self.root)]
         for level in range(2, min(self.LEVELS, self.depth) + 1):
             if len(found) >= self.ENOUGH:
                 break
@@ -46,7 +53,7 @@ class _Walk(DataSourceReader):
         if not top.whole or os.path.islink(path) or not os.path.isdir(path):
             return [top]
         try:
-            names = sorted(os.listdir(path))
+            names = self._listed(path)
         except OSError:
             return [top]
         return [_Top(top.rel, False, top.depth), *(_Top(f"{top.rel}/{n}", True, level) for n in names)]
@@ -76,7 +83,7 @@ class _Walk(DataSourceReader):
         yield rel, is_dir, 0 if is_dir else stat.st_size, 0 if is_dir else max(stat.st_mtime_ns, 0), link, None
         if is_dir and depth < self.depth:
             try:
-                names = sorted(os.listdir(path))
+                names = self._listed(path)
             except OSError as e:
                 yield rel, True, 0, 0, link, e.strerror
                 return
@@ -85,7 +92,8 @@ class _Walk(DataSourceReader):
 
 
 class StatTree(DataSource):
-    """spark.read.format('stat_tree').load(root); options maxDepth, followLinks, skip (names at the top)."""
+    """spark.read.format('stat_tree').load(root); options maxDepth, followLinks, skip (names), own (how the names of the
+    tool's own files begin). Such names are left out at every level, with all below them."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,6 +111,21 @@ def stat_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("stat_tree").options(**options).load(root)
 
 
+def first_fault(tree: DataFrame) -> DataFrame:
+    """One row, rel, error: of the entries that a walk could not read the first in the walk's order (null: none)."""
+    return tree.where("error is not null").agg(F.min(F.struct(F.split("rel", "/").alias("at"), "rel", "error")).alias("f")).select("f.rel", "f.error")
+
+
+def whole_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """A walk that stands only if all of it could be read, as half a listing would have the rest deleted: otherwise it raises
+    the first fault in the walk's order, whatever task met it."""
+    tree = written(stat_tree(spark, root, **options))
+    fault = first_fault(tree).first()
+    if fault.rel is not None:
+        raise ValueError(f"walk {root}: {fault.rel}: {fault.error}")
+    return tree
+
+
 def contents(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """rel, length, content of the files below root; without `content` selected no bytes are read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -96,3 +96,15 @@ def build_url(base: Column, branch: Column, package: Column, password: Column, t
     if tag is not None:
         asked.append(F.when(tag.isNotNull(), pair("tag", tag)))
     return F.concat(join_address(base, F.lit("getBuild")), F.lit("?"), F.concat_ws("&", *asked))
+
+
+def addressed(asked: DataFrame, regions: DataFrame, path: Column, language: Column, with_channels: Column) -> DataFrame:
+    """asked with `url`, the address of a launcher query of its region; a region that the table lacks raises.
+
+    regions: region, base, launcher_id, game_id, channel, sub_channel, a few rows that the caller keeps.
+    """
+    one = regions.groupBy("region").agg(*[F.first(c).alias(c) for c in ("base", "launcher_id", "game_id", "channel", "sub_channel")], F.count("*").alias("times"))
+    found = asked.join(one, "region", "left")
+    url = F.when(with_channels, service_url(F.col("base"), path, F.col("launcher_id"), language, F.col("game_id"), F.col("channel"), F.col("sub_channel"))).otherwise(service_url(F.col("base"), path, F.col("launcher_id"), language, F.col("game_id")))
+    why = F.when(F.col("times").isNull(), F.concat(F.lit("no region "), F.coalesce("region", F.lit("null")))).when(F.col("times") > 1, F.concat("region", F.lit(" is listed twice")))
+    return found.select(*asked.columns, F.when(why.isNotNull(), F.raise_error(why)).otherwise(url).alias("url"))
