@@ -44,6 +44,8 @@ def test_rules(spark):
 def test_ancestors_and_containment(spark):
     assert values(spark, ["a/b/c", "a"], paths.ancestors) == [["a", "a/b"], []]
     assert values(spark, ["a/b", "ab", "a"], lambda x: paths.within(x, F.lit("a"))) == [True, False, True]
+    assert values(spark, ["A/b", "Ab", "a", "\u00c4/b"], lambda x: paths.within(x, F.lit("a/"), fold=True)) == [True, False, False, False]
+    assert values(spark, ["A/b"], lambda x: paths.within(x, F.lit("a"))) == [False]
 
 
 @pytest.mark.parametrize(("glob", "path", "match"), [("*.pak", "x/Y.PAK", True), ("a?c", "a/c", True), ("[!a]b", "ab", False), ("[a-c]b", "Bb", True), ("a\\b", "a/b", True), ("a.b", "axb", False)])

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeledger.operators import assertions, manifest, plan, repair, reports, scan, selection, sync, trees
+from treeledger.operators import links as links_
+from treeledger.operators.links import ends, ways
 from treeledger.plans import QUERIES
 
 FILE = "field string, manifest_pos int, pos int, file string, is_folder boolean, size long, md5 string, chunks array<struct<id:string,uncompressed_md5:string,offset:long,compressed_size:long,uncompressed_size:long>>"
@@ -145,6 +147,45 @@ def test_what_links_need_is_spared(spark):
     assert {tuple(r) for r in sync.spared(src, links).collect()} == {("l/b", "link"), ("real/d/x", "storage"), ("l", "directory"), ("real", "directory"), ("real/d", "directory")}
 
 
+LINKS = "rel string, kind string, target string"
+
+
+def test_links_through_links_are_spared(spark):
+    """A target below a folder link is stored elsewhere: both spellings and every link on the way stay."""
+    links = spark.createDataFrame([("k", "file", "through/x"), ("through", "dir", "real"), ("other", "dir", "real")], LINKS)
+    src = spark.createDataFrame([("k", "file")], "rel string, kind string")
+    assert {tuple(r) for r in sync.spared(src, links).collect()} == {("through", "link"), ("through/x", "alias"), ("real/x", "storage"), ("real", "directory")}
+    dst = spark.createDataFrame([("DELETE", "through"), ("DELETE", "other"), ("RMDIR", "real"), ("COPY", "k")], "stage string, rel string")
+    assert {tuple(r) for r in sync.sparing(dst, sync.spared(src, links)).select("stage", "rel").collect()} == {("DELETE", "other"), ("COPY", "k")}
+
+
+def test_links_in_other_letters(spark):
+    """On a disk that matches case a link's text may spell what it names in another way."""
+    links = spark.createDataFrame([("k", "file", "DATA/x"), ("j", "file", "Through/Y"), ("through", "dir", "real")], LINKS)
+    src = spark.createDataFrame([("k", "file"), ("j", "file")], "rel string, kind string")
+    held = spark.createDataFrame([("data",), ("data/x",), ("through/y",), ("real/y",), ("real/Y",)], "rel string")
+    assert {tuple(r) for r in sync.spared(src, links, held, fold=True).collect()} == {("data/x", "storage"), ("data", "directory"), ("through", "link"), ("through/y", "alias"), ("real/Y", "storage"), ("real", "directory")}
+    assert {r.rel for r in sync.spared(src, links, held).collect()} == {"DATA/x", "DATA", "Through/Y", "Through"}
+
+
+def test_ways_of_links_end(spark, monkeypatch):
+    monkeypatch.setattr(links_, "HOPS", 12)  # a way that grows goes on for so long
+    chain = [(f"c{i}", "file", f"c{i + 1}") for i in range(10)] + [("c10", "file", "end"), ("a", "file", "b"), ("b", "file", "a"), ("grow", "dir", "grow/x"), ("g", "file", "grow/y"), ("out", "dir", None), ("o", "file", "out/z")]
+    links = spark.createDataFrame(chain + [("n", "file", "d1/d2/f"), ("d1", "dir", "e"), ("e/d2", "dir", "d3"), ("d1/d2", "dir", "d3")], LINKS)
+    way = ways(links.where("kind = 'file'").select(F.col("target").alias("path")), links)
+    got = {r.path: (r.end, r.fate) for r in ends(way).collect()}
+    assert {got[f"c{i}"] for i in range(1, 11)} == {("end", "inside")}
+    assert got["a"] == got["b"] == got["grow/y"] == (None, "endless") and got["out/z"] == (None, "outside") and got["d1/d2/f"] == ("d3/f", "inside")
+    src = links.where("kind = 'file'").select("rel", "kind")
+    refused = {(r.rule, r.rel, r["at"]) for r in sync.link_refusals(src, links, spark.createDataFrame([("FIX-DIR", "d3/f")], "stage string, rel string")).collect()}
+    assert refused == {("endless-link", "a", None), ("endless-link", "b", None), ("endless-link", "g", None), ("storage-replaced", "n", "d3/f")}
+    kept = {tuple(r) for r in sync.spared(src.where("rel = 'n'"), links).collect()}
+    assert kept == {("d1", "link"), ("d1/d2", "link"), ("e/d2", "link"), ("d1/d2/f", "alias"), ("e/d2/f", "alias"), ("d3/f", "storage"), ("e", "directory"), ("d3", "directory")}
+    copied = spark.createDataFrame([("COPY", "c3")], "stage string, rel string")
+    held = sync.shared_storage(src, links, copied).collect()
+    assert [(r.storage, len(r.names)) for r in held] == [("end", 11)]
+
+
 def test_a_record_is_held_against_its_disk(spark):
     record = spark.createDataFrame([("a", "file", 1, 1, {"md5": bytes.fromhex("0cc175b9c0f1b6a831c399e269772661")}), ("b", "file", 1, 1, {"md5": b"x"}), ("c", "file", 9, 1, {})], SIDE)
     live = spark.createDataFrame([("a", "file", 1, 1), ("b", "file", 1, 1), ("c", "file", 1, 1)], "rel string, kind string, size long, mtime_ns long")
@@ -155,6 +196,18 @@ def test_a_record_is_held_against_its_disk(spark):
     assert new == {"a": ["md5", "sha256"], "b": ["md5", "sha256"], "c": ["sha256"]}
 
 
+def test_a_record_side_is_filtered_in_its_scan(spark, tmp_path):
+    names = ["a/x", "a", "b/y", "b/z.tmp", "own-cache", "c/own-2/q", "A/x", "ab/x"]
+    spark.createDataFrame([(n, "file", 1, 1, {}) for n in names], SIDE).write.parquet(str(tmp_path / "record"))
+    stored = spark.read.parquet(str(tmp_path / "record"))
+    side = sync.record_side(stored, exclude=["a", "*.tmp"], fold=False, own="own-")
+    assert {r.rel for r in side.collect()} == {"b/y", "A/x", "ab/x"}
+    assert {r.rel for r in sync.record_side(stored, exclude=["a/**"], fold=False).collect()} == set(names) - {"a/x"}
+    assert {r.rel for r in sync.record_side(stored, exclude=["a"]).collect()} == {"b/y", "b/z.tmp", "own-cache", "c/own-2/q", "ab/x"}
+    plan_ = side._jdf.queryExecution().executedPlan().toString()
+    assert "Not(StringStartsWith(rel,a/))" in plan_.replace(" ", "") or "StringStartsWith(rel,a/)" in plan_
+
+
 def test_renamed_parent_moves_its_children(spark):
     got = [(r.from_rel, r.src_rel) for r in trees.rename_steps(spark.createDataFrame([("A", "a"), ("A/B", "a/b")], "src_rel string, dst_rel string")).collect()]
     assert got == [("a", "A"), ("A/b", "A/B")]
@@ -270,6 +323,27 @@ def test_a_scan_of_files_is_the_scan_of_their_contents(spark, tmp_path, monkeypa
     assert len(want) == len(rows)
     assert sorted(tuple(r) for r in scan.scan_files(chunks, str(tmp_path)).collect()) == want
     assert {r[2] for r in want} == {True, False}
+    # one read tells the ranges and the files
+    told = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    whole = told(scan.deep_scan(chunks, disk, whole=True))
+    assert [r[:4] for r in sorted(whole)] == want and {r[4:] for r in whole} == {(len(d), hashlib.md5(d).hexdigest()) for d in texts.values()} | {(None, None)}
+    assert told(scan.scan_files(chunks, str(tmp_path), whole=True)) == whole
+    for n in (1, 64, 10_000):
+        pieces = spark.createDataFrame([(r, a, d[a : a + n]) for r, d in texts.items() for a in range(0, max(1, len(d)), n)], "rel string, offset long, content binary")
+        assert sorted(told(scan.scan_pieces(chunks, pieces.repartition(5)))) == want
+        assert told(scan.scan_pieces(chunks, pieces.repartition(5), whole=True)) == whole
+    plan_ = spark.createDataFrame([(r, len(d), hashlib.md5(d + b"" * (r != "d/1")).hexdigest().upper()) for r, d in texts.items()] + [("d/none", 3, "x")], "rel string, size long, md5 string")
+    plan_ = plan_.withColumn("size", F.when(F.col("rel") == "d/2", 7).otherwise(F.col("size"))).withColumn("md5", F.when(F.col("rel") == "d/3", "y").otherwise(F.col("md5")))
+    assert told(scan.integrity_of(scan.deep_scan(chunks, disk, whole=True), plan_)) == told(repair.integrity(plan_, disk))
+    torn = pieces.where("rel = 'd/3'").withColumn("offset", F.col("offset") + 1)
+    assert not any(r.dest_ok or r.source_ok or r.found for r in scan.scan_pieces(chunks, torn, whole=True).collect())
+
+
+def test_sizes_of_chunks_must_add_up(spark):
+    rows = [("a", 0, 0, 5, 10), ("a", 1, 5, 5, 10), ("b", 0, 0, 5, 10), ("c", 0, 0, 5, 10), ("c", 1, 6, 4, 10), ("d", 0, 0, (1 << 63) - 1, 10), ("d", 1, 0, (1 << 63) - 1, 10), ("e", 0, 0, 12, 10)]
+    chunks = spark.createDataFrame([("game", f, 0, 0, c, o, n, size) for f, c, o, n, size in rows], "field string, file string, manifest_pos int, pos int, cpos int, offset long, uncompressed_size long, size long")
+    got = {(r.file, r.cpos, r.rule) for r in manifest.layout_violations(chunks).collect()}
+    assert got == {("b", None, "total"), ("c", 1, "gap"), ("c", None, "total"), ("d", 0, "past-end"), ("d", 1, "past-end"), ("d", None, "total"), ("e", 0, "past-end"), ("e", None, "total")}
 
 
 def test_a_repair_plan_refuses_bad_ranges_and_tidies_chunks(spark):

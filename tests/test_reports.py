@@ -1,6 +1,10 @@
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
-from treeledger.operators import reports
+from treeledger.operators import bundle, documents, reports
+from treeledger.operators.phases import Phases
 
 
 def one(spark, schema, *rows):
@@ -62,3 +66,43 @@ def test_blob_problems_and_verdict_reuse(spark):
     rows = one(spark, "m long, s long", (0, 3_000_000_000), (0, 2_000_000_000), (None, 9_000_000_000))
     same = reports.verdict_reusable(F.lit(1), F.lit(1), F.lit(2), F.lit(2), F.col("m"), F.col("m"), F.col("s"))
     assert [r[0] for r in rows.select(same).collect()] == [True, False, False]
+
+
+def test_a_long_document_is_the_same_in_any_number_of_parts(spark, tmp_path):
+    n = 200_000
+    files = spark.range(n).selectExpr("concat('d/', lpad(id, 8, '0')) AS path", "id AS bytes", "md5(string(id)) AS md5", "sha2(string(id), 256) AS sha256", "if(id % 2 = 0, 'identity', null) AS encoding").repartition(7)
+    matrix = spark.createDataFrame([("added", "unavailable", None), ("identical", "captured", 'a "b"')], "class string, status string, file string")
+    sets = spark.createDataFrame([("reuse", 3), ("patch_fetch", 2)], "role string, chunks long")
+    document = documents.manifest_document(matrix, files, sets)
+    seen = set()
+    for parts in (1, 5, 16):
+        at = tmp_path / f"doc{parts}.json"
+        documents.write(document, str(at), parts)
+        seen.add(hashlib.sha256(at.read_bytes()).hexdigest())
+        assert not (tmp_path / f"doc{parts}.json.runs").exists()
+    assert len(seen) == 1
+    body = json.loads(at.read_bytes())
+    assert [f["path"] for f in body["files"]] == [f"d/{i:08d}" for i in range(n)] and body["totals"] == {"files": n, "bytes": n * (n - 1) // 2}
+    assert body["matrix"][0] == {"class": "identical", "status": "captured", "file": 'a "b"'} and body["totals_by_set"] == {"patch_fetch": 2, "reuse": 3}
+    few = files.where("bytes < 3")
+    told, short = (json.loads(d) for d in (documents.text_of(documents.manifest_document(matrix, few, sets)), bundle.bundle_manifest(matrix, few, sets).first().document))
+    short["matrix"][1]["file"] = None  # the short form leaves nulls out
+    assert told == short | {"files": [{"path": f"d/{i:08d}", "bytes": i, "md5": hashlib.md5(str(i).encode()).hexdigest(), "sha256": hashlib.sha256(str(i).encode()).hexdigest(), "encoding": "identity" if i % 2 == 0 else None} for i in range(3)]}
+    assert json.loads(documents.text_of(documents.manifest_document(matrix.limit(0), few.limit(0), sets.limit(0))))["files"] == []
+
+
+def test_documents_of_answers(spark):
+    bodies = spark.createDataFrame([("a", 2, "u2", 500, 1, "text/plain", 10), ("a", 1, "u1", 404, 3, None, 95), ("b", 7, "u7", 403, 1, None, 0)], "grp string, seq long, url string, status int, attempts int, content_type string, bytes long")
+    got = json.loads(documents.text_of(documents.error_document(reports.stored_bodies(bodies, 100), 100)))
+    assert (got["budget"], got["count"], got["retained_bytes"]) == (100, 3, 100)
+    assert [(r["seq"], r["retained_bytes"], r["truncated"], r["stored_path"]) for r in got["responses"]] == [(1, 95, False, "api/error_bodies/000001.body"), (2, 5, True, "api/error_bodies/000002.body"), (7, 0, False, None)]
+    kept = spark.createDataFrame([(2, "b.json", 5, "y"), (1, "a.json", 3, "x")], "seq long, file string, bytes long, sha256 string")
+    got = json.loads(documents.text_of(documents.api_document(kept, F.col("seq") < 2)))
+    assert (got["count"], got["stored"]) == (2, 1) and [r["stored_as"] for r in got["bodies"]] == ["api/a.json", None]
+
+
+def test_counters_come_from_the_run(spark):
+    run = Phases()
+    out = run.run("one", spark.range(10).where("id > 3"), rows=F.count("*"), most=F.max("id"))
+    run.run("none", spark.range(0), rows=F.count("*"), sum=F.sum("id"))
+    assert out.count() == 6 and run.record(spark).first().asDict() == {"one_rows": 6, "one_most": 9, "none_rows": 0, "none_sum": 0}

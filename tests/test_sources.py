@@ -70,6 +70,25 @@ def test_a_walk_is_dealt_by_upper_levels(spark, tmp_path):
     assert shallow == {"one", "one/a", "one/b", "top", "two", "two/h"}
 
 
+def test_a_walk_that_fails_raises_its_first_fault(spark, tmp_path):
+    for d in ("b/deep", "a", "own-1", "b/own-2/x"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "b/own-file").write_text("x")
+    (tmp_path / "a/f").write_text("x")
+    whole = files.whole_tree(spark, str(tmp_path), followlinks="true", own="own-")
+    assert {r.rel for r in whole.collect()} == {"a", "a/f", "b", "b/deep"}
+    (tmp_path / "b/deep/none").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "b-later").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "own-link").symlink_to(tmp_path / "nowhere")
+    for enough in (1, 3, 256):
+        files._Walk.ENOUGH, before = enough, files._Walk.ENOUGH
+        try:
+            with pytest.raises(ValueError, match="b/deep/none: No such file"):
+                files.whole_tree(spark, str(tmp_path), followlinks="true", own="own-")
+        finally:
+            files._Walk.ENOUGH = before
+
+
 def test_answers_and_nodes(spark):
     bodies = spark.createDataFrame([("a", '{"retcode": 0, "data": {"x": 1}}'), ("b", '{"retcode": 5, "message": "no"}')], "name string, body string")
     assert requests.answers(bodies.where("name = 'a'"), "struct<x:int>").first().data.x == 1

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeledger.functions import cut as cut_
 from treeledger.functions import paths, records, totals
-from treeledger.operators import assertions, bundle, manifest, plan, repair, reports, scan, selection, sync, trees
+from treeledger.operators import assertions, bundle, capture, documents, manifest, plan, repair, reports, scan, selection, sync, trees
 from treeledger.plans.derived import bodies, odd_manifest, table, with_
+from treeledger.operators.phases import Phases
 from treeledger.plans.derived import manifest as build
 from treeledger.plans.registry import query
 from treeledger.sources import requests
@@ -171,6 +173,27 @@ def integrity(spark, d):
     return repair.integrity(expected, _disk(spark, d).select("rel", F.encode("content", "utf-8").alias("content")))
 
 
+@query(with_("reuse", "files") + """, disk AS (SELECT file, CASE WHEN doc_id % 6 = 0 THEN '~' || substr(body, 2) ELSE body END AS c FROM old_body WHERE length(body) > 0),
+p AS (SELECT file, encode(c) AS c, i * 700 AS at, octet_length(encode(c)) AS n FROM (SELECT *, unnest(range((octet_length(encode(c)) + 699) // 700)) AS i FROM disk))
+SELECT w.file AS rel, count(*) AS chunks, count(*) FILTER (coalesce(off + r.n <= octet_length(encode(c)) AND md5(substr(hex(encode(c)), 2 * off + 1, 2 * r.n)) = md5(substr(hex(encode(b.body)), 2 * off + 1, 2 * r.n)), false)) AS intact,
+CASE WHEN any_value(c) IS NULL THEN 'missing' WHEN octet_length(encode(any_value(c))) <> octet_length(encode(any_value(b.body))) THEN 'size' WHEN md5(any_value(c)) <> any_value(w.md5) THEN 'md5' ELSE 'ok' END AS verdict
+FROM new_file w JOIN new_body b USING (field, file) JOIN (SELECT field, file, i * 256 AS off, least(256, octet_length(encode(body)) - i * 256) AS n FROM (SELECT *, unnest(range((octet_length(encode(body)) + 255) // 256)) AS i FROM new_body)) r USING (field, file)
+LEFT JOIN disk ON disk.file = w.file GROUP BY 1""")
+def scan_in_pieces(spark, d):
+    """Ranges and whole files judged in one read of files that are stored in pieces of 700 bytes."""
+    hexed = F.hex(F.encode("body", "utf-8"))
+    new = bodies(spark, d, "new").where(F.length("body") > 0).select(F.col("file").alias("rel"), "body", hexed.alias("h"), F.octet_length("body").alias("size"))
+    part = lambda h, n, i: F.unhex(F.substring(h, 2 * n * i + 1, F.lit(2 * n)))
+    cut = lambda size, n: F.sequence(F.lit(0), F.ceil(size / n).cast("int") - 1)
+    chunks = new.select("rel", "h", F.explode(cut(F.col("size"), 256)).alias("i")).select("rel", F.col("i").cast("long").alias("cpos"), part(F.col("h"), 256, F.col("i")).alias("c"), (F.col("i") * 256).alias("offset"))
+    chunks = chunks.select("rel", "cpos", "offset", F.octet_length("c").cast("long").alias("uncompressed_size"), F.md5("c").alias("uncompressed_md5"), F.lit(None).cast("long").alias("source"))
+    disk = _disk(spark, d).select("rel", F.hex(F.encode("content", "utf-8")).alias("h"))
+    pieces = disk.select("rel", "h", F.explode(cut(F.length("h") / 2, 700)).alias("i")).select("rel", (F.col("i") * 700).alias("offset"), part(F.col("h"), 700, F.col("i")).alias("content"))
+    seen = cut_.written(scan.scan_pieces(chunks, pieces, whole=True))
+    counted = seen.groupBy("rel").agg(F.count("*").alias("chunks"), F.count_if("dest_ok").alias("intact"))
+    return counted.join(scan.integrity_of(seen, new.select("rel", "size", F.md5("body").alias("md5"))), "rel")
+
+
 # --- repair and purge plans
 
 _REPAIR = with_("odd") + """, p AS (SELECT *, replace(file, chr(92), '/') AS rel, row_number() OVER (PARTITION BY lower(replace(file, chr(92), '/')) ORDER BY doc_id) AS nth FROM odd_file WHERE NOT is_folder AND file <> ''),
@@ -403,6 +426,44 @@ def summary_records(spark, d):
     return table(spark, d, "orders").select("o_orderkey", plan.run_record(facts).alias("record"))
 
 
+@query("""SELECT doc_id, 'REPORT local_version=' || CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE '7.' || (doc_id % 9) END || ' latest_version=8.0 biz=' || source || ' exe=a%20b.exe download_mode=chunk branch=main package_id=' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' build_id=b' || doc_id END
+|| ' audio_langs=' || CASE WHEN lang < 'en' THEN lang || ',en' ELSE 'en,' || lang END || ' diff_tags=7.9,7.' || (doc_id % 9) AS record FROM documents""")
+def report_records(spark, d):
+    n = F.col("doc_id")
+    minor = F.concat(F.lit("7."), (n % 9).cast("string"))
+    facts = table(spark, d, "documents").select(
+        "doc_id", F.when(n % 4 > 0, minor).alias("local_version"), F.lit("8.0").alias("latest_version"), F.col("source").alias("biz"), F.lit("a b.exe").alias("exe"), F.lit("chunk").alias("download_mode"), F.lit("main").alias("branch"),
+        n.cast("string").alias("package_id"), F.when(n % 3 > 0, F.concat(F.lit("b"), n.cast("string"))).alias("build_id"), F.array(F.lit("en"), F.col("lang")).alias("audio_langs"), F.array(F.lit("7.9"), minor).alias("diff_tags"),
+    )
+    return plan.report_record(facts).select("doc_id", "record")
+
+
+_REGIONS = "(SELECT 'r' || n_nationkey AS region, 'https://' || n_nationkey || '.host/api/' AS base, 'l' || n_nationkey AS launcher_id, 'g' || n_regionkey AS game_id, n_regionkey::VARCHAR AS channel, '0' AS sub_channel FROM nation)"
+
+
+@query(f"""SELECT c_custkey, base || CASE WHEN c_custkey % 3 = 0 THEN 'retired' ELSE 'list' END || '?launcher_id=' || launcher_id || '&language=en&game_ids[]=' || game_id || CASE WHEN c_custkey % 3 = 0 THEN '&channel=' || channel || '&sub_channel=0' ELSE '' END AS url
+FROM customer JOIN {_REGIONS} r ON r.region = 'r' || c_nationkey""")
+def region_addresses(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    regions = table(spark, d, "nation").select(F.concat(F.lit("r"), k).alias("region"), F.concat(F.lit("https://"), k, F.lit(".host/api")).alias("base"), F.concat(F.lit("l"), k).alias("launcher_id"), F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("game_id"), F.col("n_regionkey").cast("string").alias("channel"), F.lit("0").alias("sub_channel"))
+    asked = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("region"))
+    retired = F.col("c_custkey") % 3 == 0
+    return requests.addressed(asked, regions, F.when(retired, "retired").otherwise("list"), F.lit("en"), retired).select("c_custkey", "url")
+
+
+@query("""WITH c AS (SELECT unnest(['identical', 'no_reuse', 'reuse_in_place', 'reuse_moved', 'added', 'removed']) AS class), k AS (SELECT source, count(*) AS n, ['identical', 'no_reuse', 'reuse_in_place', 'reuse_moved', 'added', 'removed'][1 + (max(doc_id) % 6)::INT] AS lacks FROM documents GROUP BY 1)
+SELECT source || ': ' || class AS class, class || ': ' || CASE WHEN n % 2 = 0 THEN 'over_budget' ELSE 'unavailable' END AS line FROM k, c WHERE class = lacks AND class <> 'added'""")
+def classes_unmet(spark, d):
+    """Required classes that sources lack: each source lacks one, which for some is not required."""
+    names = F.array(*map(F.lit, manifest.CLASSES))
+    order = ["identical", "no_reuse", "reuse_in_place", "reuse_moved", "added", "removed"]
+    lacks = F.element_at(F.array(*map(F.lit, order)), (F.max("doc_id") % 6 + 1).cast("int"))
+    kinds = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), lacks.alias("lacks"))
+    status = F.when(F.col("class") != F.col("lacks"), F.when(F.length("class") > 9, "covered").otherwise("captured")).when(F.col("n") % 2 == 0, "over_budget").otherwise("unavailable")
+    rows = kinds.select("source", "n", "lacks", F.explode(names).alias("class")).withColumn("status", status)
+    return selection.unmet(rows, [c for c in manifest.CLASSES if c != "added"], "source").select(F.concat_ws(": ", "source", "class").alias("class"), "line")
+
+
 @query("""SELECT (SELECT count(*) FROM orders) AS orders_n, (SELECT max(o_orderkey) FROM orders) AS orders_last, (SELECT count(*) FROM events) AS events_n, (SELECT min(event_id) FROM events WHERE event_id % 7 = 3) AS errors_error""")
 def capture_summary(spark, d):
     orders, events = table(spark, d, "orders"), table(spark, d, "events")
@@ -410,6 +471,76 @@ def capture_summary(spark, d):
     return plan.capture_summary({"orders": orders.agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last")), "events": events.agg(F.count("*").alias("n")), "errors": plan.first_error(errors)})
 
 
+@query(_ADMITTED + """, w AS (SELECT m, max(n) AS n, count(*) AS k FROM (SELECT m, n FROM oc UNION ALL SELECT m, n FROM nc) GROUP BY m), lines AS (SELECT field, file, sum(n) AS total, max(off + n) AS end_ FROM new_chunk GROUP BY ALL)
+SELECT (SELECT count(*) FROM diff) AS diff_paths, (SELECT count(*) FROM diff WHERE state = 'changed') AS diff_changed, (SELECT coalesce(sum(new_size), 0) FROM diff WHERE state = 'added')::BIGINT AS diff_added_bytes,
+(SELECT count(*) FROM adm) AS selection_admitted, (SELECT count(*) FROM adm LEFT JOIN old_file o USING (field, file) LEFT JOIN new_file n USING (field, file) WHERE o.md5 IS NULL AND n.md5 IS NULL) AS selection_sideless,
+(SELECT count(*) FROM w) AS chunks_wanted, (SELECT sum(n) FROM w)::BIGINT AS chunks_projected, (SELECT sum(k) FROM w)::BIGINT AS chunks_references, (SELECT count(*) FROM nc WHERE source IS NULL) AS plan_fetch, (SELECT count(*) FROM nc WHERE source IS NOT NULL) AS plan_reuse,
+(SELECT count(*) FROM lines) AS checks_total, 0::BIGINT AS checks_failed""")
+def capture_counters(spark, d):
+    """The counters of a capture's phases, each from the write of its own rows."""
+    old, new, old_chunks, new_chunks = _sides(spark, d)
+    admitted, run = _admitted(spark, d), Phases()
+    state = lambda name: F.col("state") == name
+    run.run("diff", manifest.path_diff(old, new), paths=F.count("*"), changed=F.count_if(state("changed")), added_bytes=F.sum(F.when(state("added"), F.col("new_size"))))
+    run.run("selection", plan.sides_of(admitted, old, new).select("field", "file", "old.size", F.col("new.size").alias("new_size")), admitted=F.count("*"), sideless=F.count_if(F.col("size").isNull() & F.col("new_size").isNull()))
+    run.run("chunks", plan.chunk_plan(admitted, old_chunks, new_chunks)[1], wanted=F.count("*"), projected=F.sum("compressed_size"), references=F.sum("references"))
+    chosen = lambda df: df.join(admitted.select("field", "file"), ["field", "file"], "left_semi")
+    run.run("plan", manifest.patch_plan(chosen(new_chunks), chosen(old_chunks)), fetch=F.count_if(F.col("decision") == "FETCH"), reuse=F.count_if(F.col("decision") == "REUSE"))
+    sized = new_chunks.join(new.select("field", "file", "size"), ["field", "file"])
+    run.run("checks", assertions.sizes_cover(sized), total=F.count("*"), failed=F.count_if(~F.col("ok")))
+    return run.record(spark)
+
+
+@query("""WITH f AS (SELECT doc_id::VARCHAR AS path, n_chars AS bytes, md5(text) AS md5, sha256(text) AS sha256, doc_id FROM documents), m AS (SELECT min(path) AS least FROM f)
+SELECT 0 AS part, NULL AS place, '{"schema_version":1,"totals":{"files":' || count(*) || ',"bytes":' || sum(bytes)::BIGINT || '},"matrix":[{"class":"identical","status":"captured","file":"' || min(path) || '"},{"class":"added","status":"unavailable","file":null}],"totals_by_set":{"patch_fetch":' || count(*) FILTER (doc_id % 2 = 0) || ',"reuse":' || count(*) FILTER (doc_id % 2 = 1) || '},"files":[' AS piece FROM f
+UNION ALL SELECT 1, path, CASE WHEN path = least THEN '' ELSE ',' END || '{"path":"' || path || '","bytes":' || bytes || ',"md5":"' || md5 || '","sha256":"' || sha256 || '","encoding":' || CASE WHEN doc_id % 3 > 0 THEN '"identity"' ELSE 'null' END || '}' FROM f, m
+UNION ALL SELECT 2, NULL, ']}'""")
+def long_manifest(spark, d):
+    """The rows of a bundle's index that names every document."""
+    n = F.col("doc_id")
+    files = table(spark, d, "documents").select(n.cast("string").alias("path"), F.col("n_chars").cast("long").alias("bytes"), F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.when(n % 3 > 0, "identity").alias("encoding"), "doc_id")
+    matrix = files.agg(F.min("path").alias("file")).select(F.explode(F.array(F.struct(F.lit("added").alias("class"), F.lit("unavailable").alias("status"), F.lit(None).cast("string").alias("file")), F.struct(F.lit("identical").alias("class"), F.lit("captured").alias("status"), F.col("file")))).alias("r")).select("r.*")
+    sets = files.groupBy(F.when(n % 2 == 0, "patch_fetch").otherwise("reuse").alias("role")).agg(F.count("*").alias("chunks"))
+    return documents.manifest_document(matrix, files, sets)
+
+
+@query("""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 31 = 1 THEN 'configs: absent' WHEN doc_id % 31 = 2 THEN 'configs: retcode 7' WHEN doc_id % 7 = 1 THEN 'delivery: DOWNLOAD_MODE_LDIFF' WHEN doc_id % 7 = 2 THEN 'delivery: no download mode'
+  WHEN doc_id % 11 = 1 THEN 'scan folder: path.parent' WHEN doc_id % 11 = 2 THEN 'scan folder: no scan folder' WHEN doc_id % 13 = 1 THEN 'new build: absent' WHEN doc_id % 13 = 2 THEN 'new build: no answer' WHEN doc_id % 13 = 3 THEN 'new tag: tag 9 for 2'
+  WHEN doc_id % 13 = 4 THEN 'new tag: no tag' WHEN doc_id % 17 = 1 THEN 'old build: retcode 9' WHEN doc_id % 17 = 2 THEN 'old tag: tag 9 for 1' WHEN doc_id % 19 = 1 THEN 'new store: new manifest_download: encrypted' WHEN doc_id % 23 = 1 THEN 'new store: new chunk_download: not zstd'
+  WHEN doc_id % 29 = 1 THEN 'old store: old chunk_download: encrypted' END AS why FROM documents)
+SELECT doc_id AS capture, split_part(why, ': ', 1) AS gate, substr(why, length(split_part(why, ': ', 1)) + 3) AS refusal, CASE WHEN why IS NULL THEN 'o' || doc_id END AS old_build_id, CASE WHEN why IS NULL THEN 'n' || doc_id END AS new_build_id FROM g""")
+def capture_gates(spark, d):
+    """Captures whose answers lack or spoil something, each with the first gate that refuses it."""
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
+    at = lambda k, r: n % k == r
+    answer = lambda data, code=0: F.to_json(F.struct(F.lit(code).alias("retcode"), F.lit("m").alias("message"), data.alias("data")))
+    mode = F.when(at(7, 1), "DOWNLOAD_MODE_LDIFF").when(~at(7, 2), "DOWNLOAD_MODE_CHUNK")
+    scan_dir = F.when(at(11, 1), "a/../b").when(~at(11, 2), "a/audio")
+    config = F.struct(F.array(F.struct(mode.alias("default_download_mode"), scan_dir.alias("audio_pkg_scan_dir"))).alias("launch_configs"))
+    store = lambda bad_e, bad_c: F.struct(F.when(bad_e, 1).otherwise(0).alias("encryption"), F.when(bad_c, 3).otherwise(1).alias("compression"))
+    no = F.lit(False)
+    build_ = lambda tag, id_, m, c: F.struct(tag.alias("tag"), F.concat(F.lit(id_), n.cast("string")).alias("build_id"), F.array(F.struct(store(no, no).alias("manifest_download"), store(no, no).alias("chunk_download")), F.struct(m.alias("manifest_download"), c.alias("chunk_download"))).alias("manifests"))
+    new = build_(F.when(at(13, 3), "9").when(~at(13, 4), "2"), "n", store(at(19, 1), no), store(no, at(23, 1)))
+    old = build_(F.when(at(17, 2), "9").otherwise("1"), "o", store(no, no), store(at(29, 1), no))
+    body = lambda rows, name, text: rows.select(n.alias("capture"), F.lit(name).alias("name"), text.alias("body"))
+    bodies_ = body(docs.where(~at(31, 1)), "configs", F.when(at(31, 2), answer(config, 7)).otherwise(answer(config))).unionAll(body(docs.where(~at(13, 1)), "new", F.when(at(13, 2), "<html>").otherwise(answer(new)))).unionAll(body(docs, "old", F.when(at(17, 1), answer(old, 9)).otherwise(answer(old))))
+    return capture.judged(docs.select(n.alias("capture"), F.lit("1").alias("old_tag"), F.lit("2").alias("new_tag")), bodies_)
+
+
+@query("""WITH b AS (SELECT event_id AS seq, event_id % 5 = 0 AS none, event_id % 7 * 100 AS bytes, event_type FROM events WHERE event_id % 10 = 3), c AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+s AS (SELECT *, least(bytes, greatest(2000 - before, 0)) AS stored FROM c), m AS (SELECT min(seq) AS least FROM s)
+SELECT 0 AS part, NULL AS place, '{"schema_version":1,"budget":2000,"count":' || count(*) || ',"retained_bytes":' || sum(stored)::BIGINT || ',"responses":[' AS piece FROM s
+UNION ALL SELECT 1, seq, CASE WHEN seq = least THEN '' ELSE ',' END || '{"seq":' || seq || ',"url":"https://h/' || seq || '","status":404,"attempts":' || (seq % 3 + 1) || ',"content_type":' || CASE WHEN seq % 4 = 0 THEN 'null' ELSE '"text/html"' END || ',"bytes_received":' || bytes || ',"retained_bytes":' || stored::BIGINT
+  || ',"truncated":' || (stored < bytes) || ',"stored_path":' || CASE WHEN stored > 0 THEN '"api/error_bodies/' || right('000000' || seq, 6) || '.body"' ELSE 'null' END || '}' FROM s, m
+UNION ALL SELECT 2, NULL, ']}'""")
+def error_responses(spark, d):
+    """The rows of the index of error answers, of which a budget for each kind is stored."""
+    n = F.col("event_id")
+    bodies_ = table(spark, d, "events").where(n % 10 == 3).select(F.col("event_type").alias("grp"), n.alias("seq"), F.concat(F.lit("https://h/"), n.cast("string")).alias("url"), F.lit(404).alias("status"), (n % 3 + 1).alias("attempts"), F.when(n % 4 > 0, "text/html").alias("content_type"), (n % 7 * 100).alias("bytes"))
+    return documents.error_document(reports.stored_bodies(bodies_, 2000), 2000)
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'usage' WHEN o_orderkey % 7 = 0 THEN 'metadata' WHEN o_orderkey % 5 > 3 THEN 'limit' WHEN o_orderkey % 3 = 0 THEN 'write' WHEN o_orderkey % 2 = 1 THEN 'damaged' ELSE 'ok' END AS status FROM orders""")
 def exit_states(spark, d):
     k = F.col("o_orderkey")
@@ -470,6 +601,46 @@ def shared_storage(spark, d):
     return sync.shared_storage(src, _chain(spark, d), copied).select("storage", F.array_join("names", "|").alias("names"))
 
 
+_THROUGH = """WITH RECURSIVE l AS (SELECT CASE WHEN doc_id % 8 IN (0, 4, 7) THEN 'k/' WHEN doc_id % 8 = 1 THEN 'p/' WHEN doc_id % 8 = 2 THEN 'q/' WHEN doc_id % 8 = 3 THEN 's/' ELSE 'loop/' END || doc_id AS rel,
+  CASE doc_id % 8 WHEN 0 THEN 'p/' || (doc_id + 1) || '/x' WHEN 1 THEN 'q/' || (doc_id + 1) WHEN 2 THEN 's/' || (doc_id + 1) || '/in' WHEN 3 THEN CASE WHEN doc_id % 5 > 0 THEN 'real/' || doc_id END
+  WHEN 4 THEN 'loop/' || (doc_id + 1) || '/x' WHEN 5 THEN 'loop/' || (doc_id + 1) WHEN 6 THEN 'loop/' || (doc_id - 1) ELSE 'P/' || (doc_id - 6) || '/Y' END AS target, doc_id % 8 IN (0, 4, 7) AS kept FROM documents),
+h AS (SELECT lower(rel) AS head, rel, target FROM l),
+w AS (SELECT rel AS link, target AS path FROM l WHERE kept
+  UNION SELECT link, target || substr(path, length(rel) + 1) FROM w JOIN h ON head = lower(split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) WHERE target IS NOT NULL),
+z AS (SELECT link, path, rel AS via, target FROM w LEFT JOIN h ON head = lower(split_part(path, '/', 1) || '/' || split_part(path, '/', 2))),
+"""
+
+
+def _through(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """links: of files through three folder links (one of them may lead out), in a loop, or in other letters; and src."""
+    n, docs = F.col("doc_id"), table(spark, d, "documents")
+    to = lambda head, by=0, tail="": F.concat(F.lit(head), (n + by).cast("string"), F.lit(tail))
+    case = lambda *values: F.expr("NULL") if not values else F.when(n % 8 == 8 - len(values), values[0]).otherwise(case(*values[1:]))
+    rel = case(to("k/"), to("p/"), to("q/"), to("s/"), to("k/"), to("loop/"), to("loop/"), to("k/"))
+    target = case(to("p/", 1, "/x"), to("q/", 1), to("s/", 1, "/in"), F.when(n % 5 > 0, to("real/")), to("loop/", 1, "/x"), to("loop/", 1), to("loop/", -1), to("P/", -6, "/Y"))
+    links = docs.select(rel.alias("rel"), F.when((n % 8).isin(0, 4, 7), "file").otherwise("dir").alias("kind"), target.alias("target"))
+    return links, links.where("kind = 'file'").select("rel", "kind")
+
+
+@query(_THROUGH + """e AS (SELECT DISTINCT CASE WHEN via IS NOT NULL THEN replace(path, 'P/', 'p/') ELSE path END AS rel, CASE WHEN via IS NULL THEN 'storage' ELSE 'alias' END AS because FROM z UNION SELECT via, 'link' FROM z WHERE via IS NOT NULL),
+x AS (SELECT rel, string_split(rel, '/') AS c FROM e), u AS (SELECT array_to_string(c[:i], '/') AS rel FROM (SELECT c, unnest(range(1, len(c))) AS i FROM x))
+SELECT rel, because FROM e UNION ALL SELECT DISTINCT rel, 'directory' FROM u WHERE rel NOT IN (SELECT rel FROM e)""")
+def links_through_folders(spark, d):
+    """What is spared of a disk that matches case, where links lead through folder links."""
+    links, src = _through(spark, d)
+    held = links.where("rel like 'p/%'").select(F.explode(F.array("rel", F.concat("rel", F.lit("/Y")))).alias("rel"))
+    return sync.spared(src, links, held, fold=True)
+
+
+@query(_THROUGH + """r AS (SELECT link, max(path) FILTER (via IS NULL) AS end_, coalesce(bool_or(via IS NOT NULL AND target IS NULL), false) AS out_ FROM z GROUP BY 1)
+SELECT 'endless-link' AS rule, link AS rel, NULL AS at FROM r WHERE end_ IS NULL AND NOT out_ UNION ALL SELECT 'storage-replaced', link, end_ FROM r WHERE end_ LIKE '%/in/x'""")
+def links_that_refuse(spark, d):
+    """Links in a loop, and links whose storage a plan makes a folder."""
+    links, src = _through(spark, d)
+    plan_ = links.where("rel like 's/%'").select(F.lit("FIX-DIR").alias("stage"), F.concat("target", F.lit("/in/x")).alias("rel"))
+    return sync.link_refusals(src, links, plan_, fold=True)
+
+
 @query("""WITH f AS (SELECT doc_id, 'f/' || doc_id AS rel, doc_id // 3 AS inode FROM documents), n AS (SELECT inode, count(*) AS links, count(*) FILTER (doc_id % 4 = 1) AS going FROM f GROUP BY 1)
 SELECT 'hard-link' AS rule, rel, inode::VARCHAR AS at FROM f JOIN n USING (inode) WHERE doc_id % 4 = 0 AND links > 1 AND going < links - 1""")
 def hard_link_guard(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions import globs, paths, records, totals
+from treeledger.functions.cut import written
 from treeledger.operators import assertions, manifest, repair, reports, selection, sync, trees
 from treeledger.plans.derived import manifest as build
 from treeledger.plans.derived import BLOCK, bodies, odd_manifest, side, table, with_
@@ -129,6 +130,18 @@ def range_violations(spark, d):
     return manifest.range_violations(c).withColumn("cpos", F.col("cpos").cast("long"))
 
 
+@query(with_("odd") + """, c AS (SELECT f.doc_id, f.doc_id % 3 AS moved, c.cpos, off + CASE WHEN f.doc_id % 11 = 3 AND off > 0 THEN -2 ELSE 0 END AS off, n, f.size FROM odd_chunk c JOIN odd_file f USING (doc_id)),
+l AS (SELECT *, coalesce(lag(off + n) OVER w, 0) AS prev FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY cpos)),
+r AS (SELECT doc_id, cpos, CASE WHEN off + n > size THEN 'past-end' WHEN n = 0 THEN 'empty' WHEN off > prev THEN 'gap' WHEN off < prev THEN 'overlap' END AS rule FROM l)
+SELECT 'game' AS field, doc_id::VARCHAR AS file, cpos::BIGINT AS cpos, rule FROM r WHERE rule IS NOT NULL UNION ALL SELECT 'game', doc_id::VARCHAR, NULL, 'total' FROM c GROUP BY doc_id HAVING sum(n) <> any_value(size)""")
+def layout_violations(spark, d):
+    """Ranges of a manifest whose sizes may be wrong, chunk by chunk and as a whole."""
+    rows = odd_manifest(spark, d).withColumn("file", F.col("pos").cast("string"))
+    chunks = rows.select("field", "file", "manifest_pos", "pos", "size", F.posexplode("chunks").alias("cpos", "c")).select("field", "file", "manifest_pos", "pos", "size", "cpos", "c.*")
+    offset = F.col("offset") + F.when((F.col("pos") % 11 == 3) & (F.col("offset") > 0), -2).otherwise(0)
+    return manifest.layout_violations(chunks.withColumn("offset", offset))
+
+
 @query(with_("odd") + """, t AS (SELECT doc_id, sum(n) AS total, max(n) AS mx, bool_or(off <= prev) AS unsorted, bool_or(off <> prev_end) AS gapped FROM (SELECT *, lag(off) OVER w AS prev, lag(off + n) OVER w AS prev_end FROM odd_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY cpos)) GROUP BY 1),
 f AS (SELECT * FROM odd_file LEFT JOIN t USING (doc_id))
 SELECT count(*) FILTER (bare) AS empty, count(*) FILTER (contains(file, chr(92))) AS backslash, count(*) FILTER (regexp_matches(file, '[^\\x00-\\x7F]')) AS non_ascii, count(*) FILTER (unsorted) AS unsorted, count(*) FILTER (gapped) AS gapped,
@@ -345,6 +358,17 @@ def record_compare_self(spark, d):
     return diff.select("bucket", F.coalesce("src_rel", "dst_rel").alias("rel"), "tag")
 
 
+@query(with_("sides") + """, r AS (SELECT * FROM dst WHERE rel NOT LIKE 'dirs/%' AND rel NOT LIKE 'links/%' AND rel NOT LIKE 'src2/%' AND rel NOT LIKE '%/fr/%7'), n AS (SELECT * FROM src WHERE rel NOT LIKE 'dirs/%' AND rel NOT LIKE 'links/%' AND rel NOT LIKE 'src2/%' AND rel NOT LIKE '%/fr/%7')
+SELECT CASE WHEN n.rel IS NULL THEN 'missing' WHEN r.rel IS NULL THEN 'extra' WHEN r.kind <> n.kind THEN 'type-conflict' WHEN r.kind = 'dir' THEN 'identical' WHEN r.size <> n.size OR r.mtime_ns <> n.mtime_ns THEN 'changed' ELSE 'identical' END AS bucket, count(*) AS n FROM r FULL JOIN n ON r.rel = n.rel GROUP BY 1""")
+def record_compare_filtered(spark, d):
+    """A stored record against the disk by stat, without what a filter hides on either side."""
+    hidden = ["dirs/**", "links/*", "src2/**", "*/fr/*7"]
+    stored = written(side(spark, d, "dst").select("rel", "kind", "size", "mtime_ns", "hashes"))
+    record = sync.record_side(stored, exclude=hidden, fold=False)
+    live = sync.record_side(side(spark, d, "src"), exclude=hidden, fold=False)
+    return trees.tree_diff(record, live).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT p_partkey, CASE WHEN (p_partkey % 2)::INT + (p_partkey % 3 = 0)::INT >= (p_partkey % 5 = 0)::INT + (p_partkey % 7 = 0)::INT THEN 'md5' ELSE 'sha256' END AS algo FROM part""")
 def any_of_pick(spark, d):
     k = F.col("p_partkey")
