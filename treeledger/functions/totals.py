@@ -24,9 +24,11 @@ def slice_md5(content: Column, offset: Column, length: Column) -> Column:
     return F.md5(F.substring(content, (offset + 1).cast("int"), length.cast("int")))
 
 
-def slices_match(content: Column, ranges: Column) -> Column:
-    """For each struct(offset, length, md5): whether the bytes (of a text: the characters) there have that digest; past the end: no."""
-    return F.transform(ranges, lambda r: (r["offset"] + r["length"] <= F.length(content)) & (slice_md5(content, r["offset"], r["length"]) == F.lower(r["md5"])))
+def slice_matches(content: Column, wanted: Column) -> Column:
+    """Whether the bytes (of a text: the characters) at a struct(offset, length, md5) have that digest; past the end, of no content
+    or no struct: no."""
+    inside = wanted["offset"] + wanted["length"] <= F.length(content)
+    return F.coalesce(inside & (slice_md5(content, wanted["offset"], wanted["length"]) == F.lower(wanted["md5"])), F.lit(False))
 
 
 def range_end(start: Column, length: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.globs import in_scope
 from treeledger.functions.paths import chunk_id_rule, path_rule
 from treeledger.functions.records import as_line
-from treeledger.functions.totals import at_least_0, saturating_sum
+from treeledger.functions.totals import at_least_0, saturating_sum, slice_matches
 from treeledger.operators.manifest import chunk_reuse, projected_download, retention, wants
 from treeledger.operators.repair import empty_dirs, plan_files, purge, purge_totals
 
@@ -146,12 +146,20 @@ def chunk_settlement(chunks: DataFrame) -> DataFrame:
 
 
 def patch_rows(new_chunks: DataFrame, old_chunks: DataFrame, old_files: DataFrame, contents: DataFrame) -> DataFrame:
-    """Each new chunk as REUSE of a verified slice of the old file or FETCH, and why. contents: field, file, content (old)."""
-    wanted = chunk_reuse(new_chunks, old_chunks).join(old_files.select("field", "file", F.lit(True).alias("had")), ["field", "file"], "left").join(contents, ["field", "file"], "left")
-    slice_ = F.md5(F.substring("content", (F.col("source") + 1).cast("int"), F.col("uncompressed_size").cast("int")))
-    same = F.coalesce(slice_ == F.lower("uncompressed_md5"), F.lit(False))
-    note = F.when(F.col("had").isNull(), "added").when(F.col("source").isNull(), "new bytes").when(~same, "slice differs")
-    return wanted.select("field", "file", "cpos", "id", F.when(note.isNull(), "REUSE").otherwise("FETCH").alias("decision"), F.when(note.isNull(), F.col("source")).alias("source"), note.alias("note"), "compressed_size")
+    """Each new chunk as REUSE of a verified slice of the old file or FETCH, and why. contents: field, file, content (old). A
+    file's content meets the list of its chunks once."""
+    chunk = ["cpos", "id", "source", "uncompressed_size", "uncompressed_md5", "compressed_size"]
+    files = chunk_reuse(new_chunks, old_chunks).groupBy("field", "file").agg(F.collect_list(F.struct(*chunk)).alias("chunks"))
+    met = files.join(old_files.select("field", "file", F.lit(True).alias("had")).distinct(), ["field", "file"], "left").join(contents.select("field", "file", "content"), ["field", "file"], "left")
+
+    def judged(c: Column) -> Column:
+        slice_ = F.when(c["source"].isNotNull(), F.struct(c["source"].alias("offset"), c["uncompressed_size"].alias("length"), c["uncompressed_md5"].alias("md5")))
+        note = F.when(F.col("had").isNull(), "added").when(c["source"].isNull(), "new bytes").when(~slice_matches(F.col("content"), slice_), "slice differs")
+        return F.struct(*[c[n].alias(n) for n in ("cpos", "id", "source", "compressed_size")], note.alias("note"))
+
+    rows = met.select("field", "file", F.explode(F.transform("chunks", judged)).alias("c")).select("field", "file", "c.*")
+    reused = F.col("note").isNull()
+    return rows.select("field", "file", "cpos", "id", F.when(reused, "REUSE").otherwise("FETCH").alias("decision"), F.when(reused, F.col("source")).alias("source"), "note", "compressed_size")
 
 
 def first_error(errors: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.functions.totals import saturating_sum, slices_match
+from treeledger.functions.totals import saturating_sum, slice_matches
 from treeledger.operators.repair import file_verdicts
 
 #: Bytes that a file scan reads at once.
@@ -28,10 +28,10 @@ def _range(offset: Column) -> Column:
 
 
 def ranges(chunks: DataFrame) -> DataFrame:
-    """rel, dest, source of each file: lists of struct(cpos, range). A chunk has a source range only if it has a source."""
-    dest = F.struct("cpos", _range(F.col("offset")).alias("range"))
-    source = F.when(F.col("source").isNotNull(), F.struct("cpos", _range(F.col("source")).alias("range")))
-    return chunks.groupBy("rel").agg(F.collect_list(dest).alias("dest"), F.collect_list(source).alias("source"))
+    """rel, asked of each file: a list of struct(cpos, dest, source), the ranges of its chunks. A chunk without a source has
+    none there."""
+    source = F.when(F.col("source").isNotNull(), _range(F.col("source")))
+    return chunks.groupBy("rel").agg(F.collect_list(F.struct("cpos", _range(F.col("offset")).alias("dest"), source.alias("source"))).alias("asked"))
 
 
 def deep_scan(chunks: DataFrame, disk: DataFrame, whole: bool = False) -> DataFrame:
@@ -41,19 +41,25 @@ def deep_scan(chunks: DataFrame, disk: DataFrame, whole: bool = False) -> DataFr
     meets the list of its ranges once. whole: also length and found, the size and the digest of the file (null: it isn't
     there), from the same read. Files too large for a row: scan_files(), scan_pieces().
     """
-    asked = ranges(chunks).join(disk.select("rel", "content"), "rel", "left")
-    ok = lambda name: F.when(F.col("content").isNotNull(), slices_match(F.col("content"), F.transform(name, lambda r: r["range"])))
+    met = ranges(chunks).join(disk.select("rel", "content"), "rel", "left")
+    ok = lambda r: slice_matches(F.col("content"), r)
+    judged = F.transform("asked", lambda r: F.struct(r["cpos"].alias("cpos"), ok(r["dest"]).alias("dest_ok"), ok(r["source"]).alias("source_ok")))
     file = [F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("found")] if whole else []
-    return _verdicts(asked.select("rel", "dest", "source", ok("dest").alias("d"), ok("source").alias("s"), *file))
+    return _verdicts(met.select("rel", judged.alias("judged"), *file))
 
 
 def _verdicts(seen: DataFrame) -> DataFrame:
-    """rel, dest, source, d, s (whether each range holds), more of the file -> a row a chunk."""
-    file = [c for c in seen.columns if c not in ("rel", "dest", "source", "d", "s")]
-    pairs = lambda name, flags: F.transform(name, lambda r, i: F.struct(r["cpos"].alias("cpos"), F.coalesce(F.get(F.col(flags), i), F.lit(False)).alias("ok")))
-    source = F.map_from_entries(pairs("source", "s"))
-    both = seen.select("rel", *file, F.explode(pairs("dest", "d")).alias("p"), source.alias("sources"))
-    return both.select("rel", "p.cpos", F.col("p.ok").alias("dest_ok"), F.coalesce(F.try_element_at("sources", F.col("p.cpos")), F.lit(False)).alias("source_ok"), *file)
+    """rel, judged (structs), more of the file -> a row a chunk."""
+    file = [c for c in seen.columns if c not in ("rel", "judged")]
+    return seen.select("rel", F.explode("judged").alias("p"), *file).select("rel", "p.*", *file)
+
+
+def _swept(rows: DataFrame, chunks: DataFrame, run, whole: bool) -> DataFrame:
+    """What the sweeps of run told; their chunks keep the type of cpos."""
+    kind = dict(chunks.dtypes)["cpos"]
+    told = rows.mapInArrow(run, _SWEPT)
+    told = told if whole else told.drop("length", "found")
+    return _verdicts(told).withColumn("cpos", F.col("cpos").cast(kind))
 
 
 def scan_files(chunks: DataFrame, root: str, whole: bool = False) -> DataFrame:
@@ -63,7 +69,7 @@ def scan_files(chunks: DataFrame, root: str, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sweep = _Sweep(row, whole)
+                sweep = _Sweep(row["rel"], row["asked"], whole)
                 try:
                     with open(os.path.join(root, row["rel"]), "rb") as f:
                         while (at := sweep.needed()) is not None:
@@ -75,10 +81,9 @@ def scan_files(chunks: DataFrame, root: str, whole: bool = False) -> DataFrame:
                             sweep.feed(data)
                     yield sweep.done()
                 except OSError:
-                    yield _Sweep(row, whole).lost()
+                    yield _Sweep(row["rel"], row["asked"], whole).lost()
 
-    asked = ranges(chunks)
-    return _verdicts(asked.join(asked.mapInArrow(run, _SWEPT), "rel").drop(*([] if whole else ["length", "found"])))
+    return _swept(ranges(chunks), chunks, run, whole)
 
 
 def scan_pieces(chunks: DataFrame, pieces: DataFrame, whole: bool = False) -> DataFrame:
@@ -87,40 +92,39 @@ def scan_pieces(chunks: DataFrame, pieces: DataFrame, whole: bool = False) -> Da
     pieces isn't there."""
     asked = ranges(chunks)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("content", "binary"))]
-    rows = asked.select("rel", "dest", "source", *none).unionByName(pieces.select("rel", F.col("offset").cast("long").alias("offset"), F.col("content").cast("binary").alias("content")), allowMissingColumns=True)
+    rows = asked.select("rel", "asked", *none).unionByName(pieces.select("rel", F.col("offset").cast("long").alias("offset"), F.col("content").cast("binary").alias("content")), allowMissingColumns=True)
     ordered = rows.repartition("rel").sortWithinPartitions("rel", F.col("offset").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep, rel, torn = None, None, True
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("rel", "offset", "content")}
-                if row["rel"] != rel:
+                name, offset, content = (batch.column(c)[i].as_py() for c in ("rel", "offset", "content"))
+                if name != rel:
                     if sweep:
                         yield sweep.lost() if torn else sweep.done()
-                    sweep, rel, torn = None, row["rel"], True
-                if row["content"] is None and row["offset"] is None:
-                    sweep = _Sweep({c: batch.column(c)[i].as_py() for c in ("rel", "dest", "source")}, whole)
+                    sweep, rel, torn = None, name, True
+                if content is None and offset is None:
+                    sweep = _Sweep(name, batch.column("asked")[i].as_py(), whole)
                 elif sweep:
-                    torn = row["offset"] != sweep.at or torn and sweep.at > 0
+                    torn = offset != sweep.at or torn and sweep.at > 0
                     if not torn:
-                        sweep.feed(row["content"])
+                        sweep.feed(content)
         if sweep:
             yield sweep.lost() if torn else sweep.done()
 
-    found = ordered.mapInArrow(run, _SWEPT)
-    return _verdicts(asked.join(found, "rel").drop(*([] if whole else ["length", "found"])))
+    return _swept(ordered, chunks, run, whole)
 
 
-_SWEPT = "rel string, d array<boolean>, s array<boolean>, length long, found string"
+_SWEPT = "rel string, judged array<struct<cpos:long,dest_ok:boolean,source_ok:boolean>>, length long, found string"
 
 
 class _Sweep:
     """Digests of a file's ranges, and of the file, as its bytes pass; equal ranges are digested once."""
 
-    def __init__(self, row: dict, whole: bool) -> None:
-        self.rel, self.dest, self.source = row["rel"], [r["range"] for r in row["dest"]], [r["range"] for r in row["source"]]
-        self.kinds = sorted({self._kind(r) for r in self.dest + self.source})
+    def __init__(self, rel: str, asked: list[dict], whole: bool) -> None:
+        self.rel, self.asked = rel, asked
+        self.kinds = sorted({self._kind(r[side]) for r in asked for side in ("dest", "source") if r[side]})
         self.turn, self.at, self.open, self.right = 0, 0, [], set()
         self.md5 = hashlib.md5() if whole else None
 
@@ -160,8 +164,10 @@ class _Sweep:
         return self._told(None, None)
 
     def _told(self, length: int | None, found: str | None) -> pa.RecordBatch:
-        flags = lambda wanted: pa.array([[self._kind(r) in self.right for r in wanted]], pa.list_(pa.bool_()))
-        return pa.RecordBatch.from_arrays([pa.array([self.rel]), flags(self.dest), flags(self.source), pa.array([length], pa.int64()), pa.array([found], pa.string())], names=["rel", "d", "s", "length", "found"])
+        ok = lambda r: bool(r) and self._kind(r) in self.right
+        judged = [{"cpos": r["cpos"], "dest_ok": ok(r["dest"]), "source_ok": ok(r["source"])} for r in self.asked]
+        kind = pa.list_(pa.struct([("cpos", pa.int64()), ("dest_ok", pa.bool_()), ("source_ok", pa.bool_())]))
+        return pa.RecordBatch.from_arrays([pa.array([self.rel]), pa.array([judged], kind), pa.array([length], pa.int64()), pa.array([found], pa.string())], names=["rel", "judged", "length", "found"])
 
 
 def integrity_of(scanned: DataFrame, plan: DataFrame) -> DataFrame:
