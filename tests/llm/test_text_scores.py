@@ -22,7 +22,7 @@ FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EMPTY = "doc_id long, text string, score int, lang string, source string"
 
 
-def scores(rows, order):
+def scores(rows, order, least=2):
     docs = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))) for d, t in rows]
     c = Counter(tuple(ws[i : i + k]) for _, ws in docs for k in range(1, order + 1) for i in range(len(ws) - k + 1))
     total, out, n = sum(v for g, v in c.items() if len(g) == 1), Counter(), Counter()
@@ -30,7 +30,7 @@ def scores(rows, order):
     def score(g):
         if len(g) == 1:
             return math.log(c[g] / total)
-        return math.log(c[g] / c[g[:-1]]) if c[g] >= 2 else math.log(0.4) + score(g[1:])
+        return math.log(c[g] / c[g[:-1]]) if c[g] >= least else math.log(0.4) + score(g[1:])
 
     for d, ws in docs:
         n[d] += len(ws)
@@ -38,17 +38,22 @@ def scores(rows, order):
     return {d: (n[d], out[d]) for d, _ in docs}
 
 
-@pytest.mark.parametrize(("big", "order"), [(False, 1), (False, 2), (False, 3), (False, 4), (True, 3)])
-def test_language_model(spark, big, order):
+@pytest.mark.parametrize(("big", "order", "least"), [(False, 1, 2), (False, 2, 2), (False, 3, 2), (False, 4, 2), (True, 3, 2), (False, 2, 1), (False, 3, 1), (True, 2, 1), (False, 2, 3)])
+def test_language_model(spark, big, order, least):
     small = [(1, "a b a B", 0), (1, "a b", 0), (2, None, 0), (None, "c a b d", 0), (4, " ", 0), (5, "x", 0), (6, "a " * 5000, 0), (7, "d a b a b", 0)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text") if big else spark.createDataFrame(small, "doc_id long, text string, n_words int")
-    want = scores([(r.doc_id, r.text) for r in docs.collect()], order)
-    got = language_model_scores(docs, order).collect()
+    want = scores([(r.doc_id, r.text) for r in docs.collect()], order, least)
+    got = language_model_scores(docs, order, least).collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r.n_words, r.log_score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-9, abs=1e-9))
         assert (r.mean_log_score is None) == (r.n_words == 0)
-    assert language_model_scores(docs.limit(0), order).count() == 0
+    assert language_model_scores(docs.limit(0), order, least).count() == 0
+
+
+def test_words_seen_once_are_counted_in_the_exact_form(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    assert [round(r.log_score, 3) for r in language_model_scores(docs, min_count=1).collect()] == [-1.386, -1.386]
 
 
 def test_token_counts_are_the_library_s(spark):

@@ -9,8 +9,8 @@ the number of words. A table of each order holds the n-grams that are counted of
 
     gain(u v w) = ln c(u v w) / c(u v)  -  ln S(w | v)  -  ln ALPHA
 
-where the context and the shorter n-gram come by joins with the table of the order below (an n-gram counted twice has
-parts that are counted twice). An n-gram that isn't in the table backs off, so its document keeps what the shorter one gives:
+where the context and the shorter n-gram come by joins with the table of the order below (the parts of an n-gram are
+counted at least as often as it is). An n-gram that isn't in the table backs off, so its document keeps what the shorter one gives:
 a document's score is the sum of ln S(w) over its words, of ln ALPHA for each step that its words could be backed off,
 and of the gains of its n-grams. Those are explodes of the texts, joined to the tables and summed by document.
 
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from treeledger.llm.staging import drop, stage
 from treeledger.llm.text import mix, passes, word_hashes, words
 
-#: n-grams counted once are left out of the tables: they say no more than that the words came there. Counting trigrams
-#: moves five times the text, so bigrams are the usual order.
+#: Unless asked for, n-grams counted once are left out of the tables: they say no more than that the words came there.
+#: Counting trigrams moves five times the text, so bigrams are the usual order.
 ALPHA, MIN_COUNT, ORDER = 0.4, 2, 2
 #: Passes in which documents' n-grams of two words and more meet their table.
 SLICES = 2
@@ -178,9 +178,13 @@ def _scores(docs: DataFrame, order: int, min_count: int) -> DataFrame:
 
 
 def language_model_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score: one row per row of docs (doc_id, text). min_count: 2 or more."""
-    if min_count < 2 or order < 1:
-        raise ValueError("min_count must be at least 2, order at least 1")
+    """doc_id, n_words, log_score, mean_log_score: one row per row of docs (doc_id, text).
+
+    min_count 1: every n-gram of the corpus is in its table, and only what the corpus doesn't hold backs off. That is the
+    exact form, whose tables are as long as the texts.
+    """
+    if min_count < 1 or order < 1:
+        raise ValueError("min_count and order must be at least 1")
     nobody = F.lit(-(1 << 63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc_id"), "text")
     gains = _scores(docs, order, min_count).groupBy("doc_id").agg(F.sum("x").alias("x"))
