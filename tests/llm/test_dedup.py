@@ -248,6 +248,7 @@ def test_a_batch_sends_a_shared_passage_once():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32)), texts], names=["id", "tag", "text"])
     held = pa.Table.from_batches(list(repeats._held(50)(iter([batch])))).to_pandas()
     values = [{"value": v, "crowded": False} for v in held[held["low"] < held["high"]]["value"]]
+    assert (held[held["low"] < held["high"]]["n"] == 1).sum() >= 3  # all places of such a minimiser have one run
     shared = pa.array([values] * n, pa.list_(pa.struct([("value", pa.int64()), ("crowded", pa.bool_())])))
     sent = pa.Table.from_batches(list(repeats._cut_out(1, 50)(iter([pa.RecordBatch.from_arrays([*batch.columns, shared], names=["id", "tag", "text", "shared"])])))).to_pandas()
     inner = sent["data"].dropna().map(lambda d: d.count(passage.encode()[180:230])).sum()

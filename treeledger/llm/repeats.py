@@ -35,6 +35,7 @@ PARTITION_BYTES = 5_000_000
 #: Different runs (of each pass over the texts) beyond which those of a minimiser are cut into single strings that are dealt
 #: by themselves: so many are a partition's worth of text.
 CROWDED = PARTITION_BYTES // (2 * LENGTH - SEED)
+FEW = 8
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -98,7 +99,7 @@ def _held(length: int):
                     continue
                 runs = np.diff(np.append(first, len(value)))
                 group = np.repeat(np.arange(len(first)), runs)
-                several = np.flatnonzero(runs[group] > 1)
+                several = np.flatnonzero(runs[group] > FEW)
                 begin = offsets[text[several]] + place[several]
                 sub = spans_hash(data, begin, begin + count[several] + length - 1)
                 turn = np.lexsort((sub, group[several]))
