@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.functions.cut import written
 from treeledger.functions.globs import kept_by_filter
 from treeledger.functions.paths import ancestors, path_key
 from treeledger.operators.links import ends, on_the_way, ways
@@ -39,6 +40,7 @@ def sync_plan(diff: DataFrame, links: DataFrame | None = None, missing_only: boo
     shared_link_extras(). Directories that a copy clears out of its way are not removed once more.
     """
     links = _no_links(diff) if links is None else links
+    diff = written(diff)  # each stage reads it
     stage = lambda rows, name, because=None: rows.select(F.lit(STAGES.index(name)).alias("stage_rank"), F.lit(name).alias("stage"), "rel", (because if because is not None else F.lit(None).cast("string")).alias("because"))
     src = diff.where("src_rel is not null").withColumn("rel", F.col("src_rel"))
     copied = ["missing"] if missing_only else ["missing", "changed", "type-conflict"]
@@ -49,7 +51,7 @@ def sync_plan(diff: DataFrame, links: DataFrame | None = None, missing_only: boo
         stage(copies, "COPY", F.col("bucket")),
     ]
     if not keep_extra:
-        extras = _extras(diff, links)
+        extras = written(_extras(diff, links))
         named = extras.where("link is not null and not shared").select(F.col("link").alias("rel")).unionAll(extras.where("link is null and kind = 'file'").select("rel")).distinct()
         wiped = copies.where("dst_kind = 'dir'").select(F.col("rel").alias("above"))
         dirs = extras.where("link is null and kind = 'dir'").select("rel")
@@ -192,8 +194,6 @@ def updated(live: DataFrame, cache: DataFrame, contents: DataFrame, algos: list[
     return merged(effective.join(read, "rel", "left")).select("rel", "kind", "size", "mtime_ns", "hashes")
 
 
-
-
 def record_side(record: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, fold: bool = True, own: str | None = None) -> DataFrame:
     """A record as a side of a comparison: the tool's own files and what the filter hides are never part of it.
 

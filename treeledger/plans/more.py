@@ -12,7 +12,7 @@ from treeledger.plans.derived import bodies, odd_manifest, table, with_
 from treeledger.operators.phases import Phases
 from treeledger.plans.derived import manifest as build
 from treeledger.plans.registry import query
-from treeledger.sources import requests
+from treeledger.sources import files, requests, settings
 
 
 def _text(value: str | None) -> str:
@@ -162,6 +162,49 @@ def service_addresses(spark, d):
     return table(spark, d, "customer").select("c_custkey", service.alias("service"), url.alias("build"))
 
 
+# --- what sources give, over rows of the tables
+
+
+@query("""WITH f AS (SELECT doc_id, ['game', 'en-us', 'zh-cn', 'ja-jp', 'extra-pack', 'en-usx'][(doc_id % 6)::INT + 1] AS field, CASE WHEN doc_id % 4 = 0 THEN 'beta' WHEN doc_id % 4 = 1 THEN 'main' END AS category FROM documents)
+SELECT doc_id, field, category FROM f WHERE field NOT IN ('beta', 'ja-jp') AND coalesce(category, '') NOT IN ('beta', 'ja-jp') AND NOT (octet_length(encode(field)) IN (5, 10) AND contains(field, '-')) UNION ALL SELECT doc_id, field, category FROM f WHERE field IN ('en-us', 'en-usx')""")
+def manifest_selection(spark, d):
+    n = F.col("doc_id")
+    field = F.element_at(F.array(*map(F.lit, ["game", "en-us", "zh-cn", "ja-jp", "extra-pack", "en-usx"])), (n % 6 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", field.alias("field"), F.when(n % 4 == 0, "beta").when(n % 4 == 1, "main").alias("category"))
+    return manifest.select_manifests(rows, ["beta", "ja-jp"], ["en-us", "en-usx"])
+
+
+@query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id || '.bin' AS path, encode(text) AS b FROM documents) SELECT path, octet_length(b) AS bytes, md5(b) AS md5, sha256(b) AS sha256, 'identity' AS encoding FROM f""")
+def checksum_inventory(spark, d):
+    rel = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".bin"))
+    return files.inventory(table(spark, d, "documents").select(rel.alias("rel"), F.encode("text", "utf-8").alias("content")))
+
+
+@query("""SELECT count(*) FILTER (doc_id % 5 > 0) AS files, count(*) FILTER (doc_id % 5 = 0) AS dirs, (count(*) + count(*) FILTER (doc_id % 3 = 0))::BIGINT AS hashes FROM documents""")
+def older_record_counts(spark, d):
+    n = F.col("doc_id")
+    hashes = F.when(n % 3 == 0, F.create_map(F.lit("md5"), F.md5("text"), F.lit("sha256"), F.sha2("text", 256))).otherwise(F.create_map(F.lit("md5"), F.md5("text")))
+    rows = table(spark, d, "documents").select("doc_id", F.when(n % 5 == 0, "dir").otherwise("file").alias("kind"), hashes.alias("hashes"))
+    return settings.import_counts(settings.import_cache(rows))
+
+
+def _list_lines(spark: SparkSession, d: str, number: Column) -> DataFrame:
+    """Lines of a list: objects that name a path, other text, other objects, blank lines."""
+    n, k = number.cast("string"), F.col("doc_id") % 4
+    line = F.when(k == 0, F.concat(F.lit('{"remoteName": "a/'), n, F.lit('"}'))).when(k == 1, F.concat(F.lit("not json "), n)).when(k == 2, F.concat(F.lit('{"other": '), n, F.lit("}"))).otherwise(" ")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("line_no"), line.alias("line"))
+
+
+@query("""SELECT doc_id AS line_no, CASE WHEN doc_id % 4 = 1 THEN 'not json ' || doc_id ELSE '{"other": ' || doc_id || '}' END AS line FROM documents WHERE doc_id % 4 IN (1, 2)""")
+def unusable_list_lines(spark, d):
+    return settings.bad_lines(_list_lines(spark, d, F.col("doc_id")))
+
+
+@query("SELECT DISTINCT 'a/' || (doc_id // 8) AS rel FROM documents WHERE doc_id % 4 = 0")
+def kept_list_paths(spark, d):
+    return settings.path_list(_list_lines(spark, d, F.floor(F.col("doc_id") / 8)))
+
+
 # --- scans of an install against a plan
 
 

@@ -144,4 +144,4 @@ def inventory(files: DataFrame) -> DataFrame:
 
     packed = F.col("rel").endswith(".gz")
     body = F.when(packed, inflated(F.when(packed, F.col("content")).otherwise(F.lit(gzip.compress(b""))))).otherwise(F.col("content"))
-    return files.select("rel", packed.alias("packed"), body.alias("body")).select(F.col("rel").alias("path"), F.octet_length("body").alias("bytes"), F.md5("body").alias("md5"), F.sha2("body", 256).alias("sha256"), F.when(F.col("packed"), "gzip").otherwise("identity").alias("encoding"))
+    return files.select("rel", packed.alias("packed"), body.alias("body")).select(F.col("rel").alias("path"), F.octet_length("body").cast("long").alias("bytes"), F.md5("body").alias("md5"), F.sha2("body", 256).alias("sha256"), F.when(F.col("packed"), "gzip").otherwise("identity").alias("encoding"))
