@@ -134,12 +134,12 @@ def test_store_outgrows_its_filters(spark):
 
 
 def test_a_long_text_of_lines(spark):
-    """50 MB, half of whose lines another document holds."""
-    many = "\n".join(f"line {i} of a text" for i in range(1_200_000))
+    """12 MB, half of whose lines another document holds."""
+    many = "\n".join(f"line {i} of a text" for i in range(300_000))
     long = many + "\n" + many.replace("line", "row")
     rows = [(1, many), (2, long), (3, "line 77 of a text")]
     got = told(without_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == lines_by_hand(rows) and len(long) > 50_000_000
+    assert got == lines_by_hand(rows) and len(long) > 12_000_000
 
 
 def test_hot_line_is_one_row_a_task(spark):
