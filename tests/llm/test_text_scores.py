@@ -205,7 +205,7 @@ def test_long_sentences_are_read_by_pieces_and_stay_whole():
     hashed = np.sort(np.array([toxicity.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]))
     model = toxicity.Model(hashed, np.random.default_rng(2).normal(0, 1e-4, len(hashed)), -2.0)
     long = "it is ordinary what " * 130_000
-    texts = [long + ". trash idiot says. " + long[:50] + "!" + "it says trash " * 10, "x. " + long + "\n" + long + "?", "idiot " * 500_000, "." * 2_200_000 + long, "says " * 9]
+    texts = [long + ". trash idiot says. " + long[:50] + "!" + "it says trash " * 10, "x. " + long + "\n" + long + "?", "idiot " * 500_000, "." * 2_200_000 + long, "says " * 9, "x" * 2_500_000, "", "trash. " + "x" * 3_000_000]
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     got = [r for b in toxicity._score(model, None)([rows]) for r in b.to_pylist()]
     for r, t in zip(got, texts, strict=True):

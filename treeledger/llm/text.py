@@ -50,8 +50,8 @@ def point_classes() -> np.ndarray:
     return out
 
 
-def passes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows; a line feed follows each text; null is empty."""
+def passes(column: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of at most so many bytes; a line feed follows each text; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -59,7 +59,7 @@ def passes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < len(column):
         total = np.cumsum(sizes[row : row + 65536])
-        n = max(1, int(np.searchsorted(total, PASS_BYTES, side="right")))
+        n = max(1, int(np.searchsorted(total, most, side="right")))
         part = column.slice(row, n)
         joined = pc.binary_join_element_wise(part, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
         _, offsets, data = joined.buffers()

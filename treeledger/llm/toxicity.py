@@ -33,6 +33,8 @@ VOCABULARY, MIN_GAIN = 500, 3.0
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
 #: What missing a toxic document costs against raising a clean one; chosen by cross-validation on the documents to learn from.
 TOXIC_WEIGHT = 4.0
+#: Bytes that are scored at once: their features take some hundred times as much.
+SCORED_BYTES = PASS_BYTES // 2
 #: Score from which a document is toxic, and a sentence offending.
 THRESHOLD, OFFENDING = 0.7, 0.5
 
@@ -138,12 +140,12 @@ def _spans(cut: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarra
 
 
 def _pieces(data: np.ndarray, texts: int) -> Iterator[tuple[int, int]]:
-    """Begin and end of what is read at once: a long text goes by whole sentences of at most PASS_BYTES together, a sentence that
-    is longer by whole words."""
+    """Begin and end of what is read at once: a long text goes by whole sentences of at most SCORED_BYTES together, a sentence
+    that is longer by whole words."""
     at = 0
-    while texts == 1 and len(data) - at > PASS_BYTES:
+    while texts == 1 and len(data) - at > SCORED_BYTES:
         # at the end of a sentence, else of a word
-        near = data[at : at + PASS_BYTES]
+        near = data[at : at + SCORED_BYTES]
         ends = np.flatnonzero(STOP[near]) if STOP[near].any() else np.flatnonzero(NO_LETTER[near])
         to = at + 1 + (int(ends[-1]) if len(ends) else int(np.argmax(NO_LETTER[data[at:]])))
         yield at, to
@@ -153,7 +155,7 @@ def _pieces(data: np.ndarray, texts: int) -> Iterator[tuple[int, int]]:
 
 def _score(model: Model | None, keep_from: float | None):
     def of(column: pa.Array) -> Iterator[tuple]:
-        for row, data, offsets in passes(column):
+        for row, data, offsets in passes(column, SCORED_BYTES):
             n = len(offsets) - 1
             if model is None:
                 yield (row, n, np.zeros(n), _spans(np.zeros(n + 1, np.int64), *np.zeros((2, 0), np.int64), np.zeros(0)), np.full((2, n), -1))
@@ -164,9 +166,11 @@ def _score(model: Model | None, keep_from: float | None):
                 hashes, sentence, doc, start, end = _sentences(piece, offsets if n > 1 else np.array([0, to - from_]))
                 at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1) if len(model.keys) else None
                 weight = np.where(model.keys[at] == hashes, model.weights[at], 0.0) if at is not None else np.zeros(len(hashes))
-                ended = np.cumsum(STOP[piece])
-                found.append((doc, start + from_ - offsets[doc], end + from_ - offsets[doc], np.bincount(sentence, weights=weight, minlength=len(doc)), stops + ended[start]))
-                stops += int(ended[-1]) if len(ended) else 0
+                nth = doc
+                if n == 1:  # which sentence of the text it is, as pieces may cut one
+                    ended = np.cumsum(STOP[piece])
+                    nth, stops = stops + ended[start], stops + int(STOP[piece].sum())
+                found.append((doc, start + from_ - offsets[doc], end + from_ - offsets[doc], np.bincount(sentence, weights=weight, minlength=len(doc)), nth))
             doc, start, end, total, nth = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(found) > 1 and len(doc):  # of a long text; a sentence that goes on in the next piece is one
                 first = np.flatnonzero(np.append(True, nth[1:] != nth[:-1]))
