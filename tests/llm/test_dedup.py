@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from treeledger.llm import components as components_
-from treeledger.llm import repeats
+from treeledger.llm import repeats, staging
 from treeledger.llm.cells import runs
 from treeledger.llm.components import components, forest
 from treeledger.llm.embedding_dedup import similar_vectors
@@ -299,3 +301,40 @@ def test_a_crowded_cell_tells_counts_and_a_forest(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
     node, low = forest(6, np.array([1, 2, 4]), np.array([2, 3, 5]))
     assert list(zip(node.tolist(), low.tolist(), strict=True)) == [(2, 1), (3, 1), (5, 4)]
+
+
+def test_batches_for_python_are_limited_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["x"])
+
+    docs = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert staging.stage(docs.mapInArrow(sizes, "x long"), "sizes").agg(F.max("x")).first()[0] < 2 * staging.BATCH_BYTES
+
+
+def test_runs_of_a_pass_take_little_memory():
+    data = np.random.default_rng(1).integers(97, 123, 2 << 20, np.uint8)
+    data[4999::5000] = 10
+    offsets = np.append(np.arange(0, len(data), 5000), len(data))
+    data[-1] = 10
+    tracemalloc.start()
+    repeats._runs(data, offsets, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data)
+
+
+def test_runs_are_those_of_each_place_alone():
+    """Also over the edges of the blocks that minimisers are found in."""
+    for block in (1, 7, 1 << 16):
+        texts = ["", "a" * 200, "b" * 49, "c" * 50, "".join(random.Random(3).choices("ab", k=300)), "x"]
+        data = np.frombuffer("".join(t + "\n" for t in texts).encode(), np.uint8)
+        offsets = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(repeats, "BLOCK", block)
+            text, place, count, value = repeats._runs(data, offsets, 50)
+        got = {(t, p + i): v for t, p, c, v in zip(text.tolist(), place.tolist(), count.tolist(), value.tolist(), strict=True) for i in range(c)}
+        assert sorted(got) == [(t, p) for t, x in enumerate(texts) for p in range(len(x) - 49)]
+        for (t, p), v in got.items():
+            one = np.frombuffer((texts[t][p : p + 50] + "\n").encode(), np.uint8)
+            assert v == repeats._runs(one, np.array([0, 51]), 50)[3][0]

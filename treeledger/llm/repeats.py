@@ -36,40 +36,52 @@ PARTITION_BYTES = 5_000_000
 #: by themselves: so many are a partition's worth of text.
 CROWDED = PARTITION_BYTES // (2 * LENGTH - SEED)
 FEW = 8
+#: Places, and substrings, that are worked on at once: what that takes is small beside the texts of a pass.
+BLOCK = 1 << 16
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _minimisers(data: np.ndarray, window: int) -> np.ndarray:
+    """The least hash of each `window` strings of SEED bytes that follow each other."""
+    eights = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+    x = mix(eights[:-8] * np.uint64(0x9E3779B97F4A7C15) + eights[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    span = 1
+    while 2 * span <= window:
+        x = np.minimum(x[: len(x) - span], x[span:])
+        span *= 2
+    n = len(data) - SEED - window + 2
+    return np.minimum(x[:n], x[window - span : window - span + n])
+
+
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
     """Runs of start places with the same minimiser: text, first place in it, number of places, minimiser."""
     window = length - SEED + 1
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    x = data.astype(np.uint64)
-    for shift in (1, 2, 4):
-        x = (x[: len(x) - shift] << np.uint64(8 * shift)) | x[shift:]
-    x = mix(x[: len(x) - 8] * np.uint64(0x9E3779B97F4A7C15) + x[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    span = 1
-    while 2 * span <= window:
-        x = np.minimum(x[: len(x) - span], x[span:])
-        span *= 2
-    x = np.minimum(x[:n], x[window - span : window - span + n])
-    sizes = np.diff(offsets) - 1  # without the line feed
-    many = np.maximum(sizes - length + 1, 0)
-    text = np.repeat(np.arange(len(many)), many)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    value = x[offsets[text] + place]
-    new = np.ones(len(text), bool)
-    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(text)))
+    x = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        x[at : at + BLOCK] = _minimisers(data[at : at + BLOCK + length - 1], window)
+    # places of strings that lie inside one text, which ends with a line feed; at least one place is between two texts'
+    many = np.diff(offsets) - length
+    begin = offsets[:-1][many > 0]
+    edge = np.zeros(n + 1, np.int8)
+    edge[begin] = 1
+    edge[begin + many[many > 0]] = -1
+    inside = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+    same = inside[1:] & inside[:-1]
+    same &= x[1:] == x[:-1]
+    first = np.flatnonzero(inside & ~np.append(False, same))
+    count = np.flatnonzero(inside & ~np.append(same, False)) - first + 1
+    value = x[first]
+    text = np.searchsorted(offsets, first, side="right") - 1
     if len(count) and count.max() > window:  # periodic text: a long run is cut
         parts = -(-count // window)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, count = np.repeat(first, parts) + nth * window, np.repeat(count, parts) - nth * window
-        count = np.minimum(count, window)
-    return text[first], place[first], count, value[first]
+        count, text, value = np.minimum(count, window), np.repeat(text, parts), np.repeat(value, parts)
+    return text, first - offsets[text], count, value
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -172,6 +184,10 @@ def _paired(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     return mix(mix(text.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ value)
 
 
+def _bytes_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 def _sent(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: np.ndarray, sub: np.ndarray, ids: np.ndarray, tags: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(sub):
         return
@@ -179,8 +195,8 @@ def _sent(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: np.ndarra
     first = np.flatnonzero(np.append(True, (part[order][1:] != part[order][:-1]) | (sub[order][1:] != sub[order][:-1])))
     one = order[first]
     n, nothing = len(one), pa.nulls
-    index = np.repeat(begin[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
-    blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size[one])).astype(np.int32)), pa.py_buffer(data[index])])
+    held = [_bytes_of(data, begin[some], size[some]) for some in np.split(one, range(BLOCK // 16, n, BLOCK // 16))]
+    blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size[one])).astype(np.int32)), pa.py_buffer(np.concatenate(held))])
     own = ids[order]
     yield pa.RecordBatch.from_arrays([pa.array(part[one]), pa.array(sub[one]), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), blobs, nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.int32())], names=_CUT_NAMES)
     n = len(sub)

@@ -28,16 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that go to a Python process at once: both ends hold a batch several times over.
+BATCH_BYTES = 4 << 20
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+
+
 @contextlib.contextmanager
-def _shuffle_files_go(spark: SparkSession):
-    """Within this, an ended write gives back the disk of its shuffles: what it made is in the written table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _writing(spark: SparkSession):
+    """Within this, an ended write gives back the disk of its shuffles, as what it made is in the written table, and a batch
+    of rows for Python has a limit in bytes."""
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +54,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    with _shuffle_files_go(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     at, files = _located(spark, path)
     files.deleteOnExit(at)
