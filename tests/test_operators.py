@@ -382,3 +382,8 @@ def test_rebuild(spark, tmp_path):
     got = {r.file: (r.size, r.md5, r.tiled) for r in manifest.rebuild(parts, str(tmp_path)).collect()}
     assert got == {"d/f": (3, hashlib.md5(b"abc").hexdigest(), True), "hole": (1, hashlib.md5(b"x").hexdigest(), False)}
     assert (tmp_path / "g/d/f").read_bytes() == b"abc"
+
+
+def test_a_scan_of_this_plan_cuts_the_build_once(spark):
+    plan = QUERIES["scan_of_this_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan

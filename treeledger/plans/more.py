@@ -220,6 +220,12 @@ def _disk(spark: SparkSession, d: str) -> DataFrame:
     return bodies(spark, d, "old").where(F.length("body") > 0).select(F.col("file").alias("rel"), F.when(F.col("doc_id") % 6 == 0, spoilt).otherwise(F.col("body")).alias("content"))
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The planned chunks as a table, as more than the scan reads them, and the verdicts of the scan."""
+    chunks = cut_.written(_planned(spark, d))
+    return chunks, scan.deep_scan(chunks, _disk(spark, d))
+
+
 _SCAN = with_("reuse") + """, disk AS (SELECT file, CASE WHEN doc_id % 6 = 0 THEN '~' || substr(body, 2) ELSE body END AS c FROM old_body WHERE length(body) > 0),
 v AS (SELECT r.file AS rel, r.cpos, r.off, r.n, r.source, coalesce(off + n <= length(c) AND md5(substr(c, off + 1, n)) = m, false) AS dest_ok, coalesce(source + n <= length(c) AND md5(substr(c, (source + 1)::INT, n)) = m, false) AS source_ok,
 length(r.file) % 3 AS mode FROM reuse r LEFT JOIN disk USING (file))
@@ -241,17 +247,18 @@ g AS (SELECT rel, any_value(mode) AS mode, sum(n) AS all_, sum(CASE WHEN NOT sou
 sum(CASE WHEN NOT dest_ok AND NOT coalesce(down, false) THEN n ELSE 0 END) AS w FROM f GROUP BY 1)
 SELECT rel, (CASE WHEN mode = 0 THEN all_ WHEN mode = 1 THEN temp WHEN nd > nu THEN w ELSE u END)::BIGINT AS est_download FROM g UNION ALL SELECT rel, sum(n)::BIGINT FROM v WHERE rel LIKE '%7' GROUP BY 1""")
 def deep_scan_estimate(spark, d):
-    chunks = _planned(spark, d)
+    chunks, verdicts = _scanned(spark, d)
     # of some files the scan brought nothing
-    verdicts = deep_scan(spark, d).where("rel not like '%7'")
+    verdicts = verdicts.where("rel not like '%7'")
     mode = F.when(F.length("rel") % 3 == 0, "discard").when(F.length("rel") % 3 == 1, "temp").otherwise("in_place")
     return scan.download_after_scan(chunks, verdicts, chunks.select("rel").distinct().withColumn("mode", mode))
 
 
 @query(_SCAN + "SELECT (SELECT count(*) FROM v) AS same, 0::BIGINT AS other")
 def scan_of_this_plan(spark, d):
-    chunks, verdicts = _planned(spark, d), deep_scan(spark, d)
-    here, changed = scan.fingerprint(chunks), scan.fingerprint(chunks.withColumn("compressed_size", F.col("compressed_size") + 1))
+    chunks, verdicts = _scanned(spark, d)
+    verdicts = cut_.written(verdicts)  # each count reads them, and the plan's number
+    here, changed = cut_.written(scan.fingerprint(chunks)), scan.fingerprint(chunks.withColumn("compressed_size", F.col("compressed_size") + 1))
     count = lambda scanned, name: scan.same_plan(verdicts, scanned, here).agg(F.count("*").alias(name))
     return count(here, "same").crossJoin(count(changed, "other"))  # one row each
 
@@ -417,7 +424,8 @@ def patch_rows(spark, d):
 
 @query(_SCAN + ", a AS (SELECT rel, n, CASE WHEN dest_ok THEN 'kept' WHEN source IS NOT NULL AND source_ok THEN CASE WHEN length(rel) % 2 = 0 THEN 'staged' ELSE 'copied' END ELSE 'download' END AS action FROM v) SELECT rel, (sum(CASE WHEN action = 'kept' THEN n ELSE 0 END))::BIGINT AS kept_bytes, (sum(CASE WHEN action IN ('copied', 'staged') THEN n ELSE 0 END))::BIGINT AS reused_bytes, (sum(CASE WHEN action = 'download' THEN n ELSE 0 END))::BIGINT AS fetched_bytes, (sum(CASE WHEN action <> 'kept' THEN n ELSE 0 END))::BIGINT AS written_bytes FROM a GROUP BY rel")
 def chunk_settlement(spark, d):
-    seen = _planned(spark, d).join(deep_scan(spark, d), ["rel", "cpos"]).withColumns({"live": F.col("source_ok"), "staged": F.length("rel") % 2 == 0})
+    chunks, verdicts = _scanned(spark, d)
+    seen = chunks.join(verdicts, ["rel", "cpos"]).withColumns({"live": F.col("source_ok"), "staged": F.length("rel") % 2 == 0})
     return plan.chunk_settlement(reports.file_actions(seen))
 
 
