@@ -384,6 +384,16 @@ def test_rebuild(spark, tmp_path):
     assert (tmp_path / "g/d/f").read_bytes() == b"abc"
 
 
+def test_ways_through_links_broadcast_nothing(spark):
+    given = spark.createDataFrame([("k/1", "file", "p/1/x"), ("p/1", "dir", "q/1")], "rel string, kind string, target string")
+    src = given.where("kind = 'file'").select("rel", "kind")
+    plan = spark.createDataFrame([("FIX-DIR", "q/1/x")], "stage string, rel string")
+    step = links_._step(given.select(F.col("target").alias("path")), given, False)
+    for frame in (step, links_.on_the_way(step.select("path"), given), sync.link_refusals(src, given, plan)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in sync.link_refusals(src, given, plan).collect()] == [("storage-replaced", "k/1", "q/1/x")]
+
+
 def test_a_scan_of_this_plan_cuts_the_build_once(spark):
     plan = QUERIES["scan_of_this_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "documents.parquet" not in plan

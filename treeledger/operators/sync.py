@@ -102,13 +102,13 @@ def guards(plan: DataFrame, dst: DataFrame, links: DataFrame, shared: DataFrame
 
 def _kept_links(src: DataFrame, links: DataFrame) -> DataFrame:
     """The file links of dst whose path src has as a file: they stay."""
-    return links.where("kind = 'file'").join(src.where("kind = 'file'").select("rel"), "rel", "left_semi")
+    return links.where("kind = 'file'").join(src.where("kind = 'file'").select("rel").hint("merge"), "rel", "left_semi")
 
 
 def _link_ends(kept: DataFrame, links: DataFrame, fold: bool) -> DataFrame:
     """link, end, fate of the kept links that stay inside of dst for their first hop."""
     starts = kept.where("target is not null").select(F.col("rel").alias("link"), F.col("target").alias("path"))
-    return starts.join(ends(ways(starts.select("path"), links, fold)), "path").select("link", "end", "fate")
+    return starts.join(ends(ways(starts.select("path"), links, fold)).hint("merge"), "path").select("link", "end", "fate")
 
 
 def spared(src: DataFrame, links: DataFrame, held: DataFrame | None = None, fold: bool = False) -> DataFrame:
@@ -123,12 +123,12 @@ def spared(src: DataFrame, links: DataFrame, held: DataFrame | None = None, fold
     passed = on_the_way(way.select("path"), links, fold)
     at_link = passed.where("prefix = path").select("path").distinct()
     named = passed.select(F.col("via").alias("rel"), F.lit("link").alias("because"))
-    named = named.unionAll(way.join(at_link, "path", "left_anti").select(F.col("path").alias("rel"), F.when(F.col("via").isNull(), "storage").otherwise("alias")))
+    named = named.unionAll(way.join(at_link.hint("merge"), "path", "left_anti").select(F.col("path").alias("rel"), F.when(F.col("via").isNull(), "storage").otherwise("alias")))
     if fold and held is not None:
         told = spelled(named.select("rel").distinct(), held)
-        named = named.join(told, "rel").select(F.coalesce("spelling", "rel").alias("rel"), "because")
+        named = named.join(told.hint("merge"), "rel").select(F.coalesce("spelling", "rel").alias("rel"), "because")
     named = named.distinct()
-    above = named.select(F.explode(ancestors(F.col("rel"))).alias("rel")).distinct().join(named.select("rel"), "rel", "left_anti").select("rel", F.lit("directory").alias("because"))
+    above = named.select(F.explode(ancestors(F.col("rel"))).alias("rel")).distinct().join(named.select("rel").hint("merge"), "rel", "left_anti").select("rel", F.lit("directory").alias("because"))
     return named.unionAll(above)
 
 
@@ -144,7 +144,7 @@ def link_refusals(src: DataFrame, links: DataFrame, plan: DataFrame, fold: bool
     found = _link_ends(_kept_links(src, links), links, fold)
     endless = found.where("fate = 'endless'").select(F.lit("endless-link").alias("rule"), F.col("link").alias("rel"), F.lit(None).cast("string").alias("at"))
     fixed = plan.where("stage = 'FIX-DIR'").select(F.col("rel").alias("end"))
-    return endless.unionByName(found.join(fixed, "end", "left_semi").select(F.lit("storage-replaced").alias("rule"), F.col("link").alias("rel"), F.col("end").alias("at")))
+    return endless.unionByName(found.join(fixed.hint("merge"), "end", "left_semi").select(F.lit("storage-replaced").alias("rule"), F.col("link").alias("rel"), F.col("end").alias("at")))
 
 
 def shared_storage(src: DataFrame, links: DataFrame, plan: DataFrame, fold: bool = False) -> DataFrame:
@@ -152,16 +152,16 @@ def shared_storage(src: DataFrame, links: DataFrame, plan: DataFrame, fold: bool
     end there and one of them is copied."""
     mirrored = src.where("kind = 'file'").select("rel")
     kept = _link_ends(_kept_links(src, links), links, fold).where("end is not null").select(F.col("end").alias("storage"), F.col("link").alias("name"))
-    names = kept.unionAll(kept.select("storage", F.col("storage").alias("name")).distinct().join(mirrored.withColumnRenamed("rel", "name"), "name", "left_semi").select("storage", "name"))
+    names = kept.unionAll(kept.select("storage", F.col("storage").alias("name")).distinct().join(mirrored.withColumnRenamed("rel", "name").hint("merge"), "name", "left_semi").select("storage", "name"))
     copied = plan.where("stage = 'COPY'").select(F.col("rel").alias("name"), F.lit(True).alias("copied"))
-    return names.join(copied, "name", "left").groupBy("storage").agg(F.count("*").alias("n"), F.coalesce(F.bool_or("copied"), F.lit(False)).alias("copied"), F.array_sort(F.collect_list("name")).alias("names")).where("n > 1 and copied").select("storage", "names")
+    return names.join(copied.hint("merge"), "name", "left").groupBy("storage").agg(F.count("*").alias("n"), F.coalesce(F.bool_or("copied"), F.lit(False)).alias("copied"), F.array_sort(F.collect_list("name")).alias("names")).where("n > 1 and copied").select("storage", "names")
 
 
 def spelled(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """rel and how `held` (rel) spells it: the same, else the one path that folds alike, else null."""
     exact = held.select("rel", F.col("rel").alias("exact"))
     alike = held.groupBy(path_key(F.col("rel")).alias("key")).agg(F.min("rel").alias("alike"))
-    found = wanted.join(exact, "rel", "left").join(alike, path_key(F.col("rel")) == F.col("key"), "left")
+    found = wanted.join(exact.hint("merge"), "rel", "left").join(alike.hint("merge"), path_key(F.col("rel")) == F.col("key"), "left")
     return found.select("rel", F.coalesce("exact", "alike").alias("spelling"))
 
 
