@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from treeledger.llm import language_id, toxicity
+from treeledger.llm import language_id, lm_scoring, toxicity
 from treeledger.llm import token_counts as token_counts_
 from treeledger.llm.lm_scoring import language_model_scores
 from treeledger.llm.token_counts import token_counts
@@ -51,6 +51,17 @@ def test_language_model(spark, big, order, least):
     assert language_model_scores(docs.limit(0), order, least).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 1])
+def test_words_that_no_task_holds_meet_their_table(spark, monkeypatch, known):
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    rows = [(1, "a b a B a a a"), (1, "a b"), (2, None), (3, "c a b d"), (5, "x")]
+    want = scores(rows, 2)
+    got = language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.log_score == pytest.approx(want[r.doc_id][1], rel=1e-9, abs=1e-9)
+
+
 def test_words_seen_once_are_counted_in_the_exact_form(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     assert [round(r.log_score, 3) for r in language_model_scores(docs, min_count=1).collect()] == [-1.386, -1.386]

@@ -12,7 +12,9 @@ the number of words. A table of each order holds the n-grams that are counted of
 where the context and the shorter n-gram come by joins with the table of the order below (the parts of an n-gram are
 counted at least as often as it is). An n-gram that isn't in the table backs off, so its document keeps what the shorter one gives:
 a document's score is the sum of ln S(w) over its words, of ln ALPHA for each step that its words could be backed off,
-and of the gains of its n-grams. Those are explodes of the texts, joined to the tables and summed by document.
+and of the gains of its n-grams. Those are explodes of the texts, joined to the tables and summed by document. The words
+that come most often are a short list and most of every text: their scores go to the tasks, which add them up as they
+read. All other words meet their table.
 
 Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z folded. They are told apart by 64-bit hashes, and
 n-grams of documents meet the tables by 64-bit hashes of theirs.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.staging import drop, stage
+from treeledger.llm.staging import BROADCAST_ROWS, drop, stage
 from treeledger.llm.text import mix, passes, word_hashes, words
 
 #: Unless asked for, n-grams counted once are left out of the tables: they say no more than that the words came there.
@@ -40,6 +42,8 @@ from treeledger.llm.text import mix, passes, word_hashes, words
 ALPHA, MIN_COUNT, ORDER = 0.4, 2, 2
 #: Passes in which documents' n-grams of two words and more meet their table.
 SLICES = 2
+#: Words at most whose scores every task holds.
+KNOWN = BROADCAST_ROWS
 #: Bytes of text whose n-grams are counted before they are sent.
 FLUSH_BYTES = 8_000_000
 
@@ -130,6 +134,56 @@ def _by_document(order: int, slices: int, which: int):
     return run
 
 
+def _known(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the words that come at least 2^k times, with the least k for which they are at most so
+    many."""
+    held = dict(words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("words")).collect())
+    total, k = 0, max(held, default=0) + 1
+    while k > 0 and total + held.get(k - 1, 0) <= most:
+        k -= 1
+        total += held.get(k, 0)
+    found = words.where(F.floor(F.log2("n")) >= k).select("w0", "n").toArrow()
+    hashes, n = (found.column(c).to_numpy() for c in ("w0", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _word_sums(known, total: int):
+    """doc_id, text -> the sum x of ln S(w) over the known words of each text (w0 and n null), and its other words, each once (x
+    null). known: what _known() gives, broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = known.value
+        score = np.log(n) - math.log(total)
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for h, row, _ in _hashes(batch.column(1)):
+                at = np.searchsorted(hashes, h)
+                at[at == len(hashes)] = 0
+                has = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+                own = np.flatnonzero(np.bincount(row[has]))
+                x = np.bincount(row[has], score[at[has]])[own]
+                nothing = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), nothing, nothing, pa.array(x, pa.float64())], names=_WORD_SUMS)
+                (own, rare), times = _counted_runs([row[~has], h[~has]], in_order=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(rare), pa.array(times), pa.nulls(len(own), pa.float64())], names=_WORD_SUMS)
+
+    return run
+
+
+_WORD_SUMS = ["doc_id", "w0", "n", "x"]
+
+
+def _word_gains(docs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """doc_id, x: the sums of ln S(w) over the words of each document."""
+    known = docs.sparkSession.sparkContext.broadcast(_known(words, KNOWN))
+    told = stage(docs.mapInArrow(_word_sums(known, total), "doc_id long, w0 long, n long, x double"), "words1")
+    score = words.select("w0", (F.ln("n") - F.lit(math.log(total))).alias("score"))
+    rest = told.where("x is null").select("doc_id", "w0", "n").join(score.hint("shuffle_hash"), "w0")
+    met = stage(rest.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("score")).alias("x")), "gains1")
+    return told.where("x is not null").select("doc_id", "x").unionAll(met)
+
+
 def _typed(order: int) -> str:
     return ", ".join(f"{w} long" for w in _names(order))
 
@@ -145,11 +199,12 @@ def _counted(docs: DataFrame, order: int) -> DataFrame:
 
 def _gains(docs: DataFrame, gains: DataFrame, order: int, slices: int) -> DataFrame:
     """doc_id, x: the sum of the gains (key, gain) of each document's n-grams. They meet in so many passes over the texts, so
-    that no pass shuffles all n-grams at once."""
+    that no pass shuffles all n-grams at once. A task hashes its share of the table, whose keys are distinct and dealt evenly;
+    the documents' side, which is longer and may be skewed, needs no order."""
     parts = []
     for i in range(slices):
         own = docs.mapInArrow(_by_document(order, slices, i), f"doc_id long, {_typed(order)}, n long").select("doc_id", _key(order).alias("key"), "n")
-        met = own.join(gains, "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("x"))
+        met = own.join(gains.hint("shuffle_hash"), "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("x"))
         parts.append(stage(met, f"gains{order}"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -160,7 +215,7 @@ def _scores(docs: DataFrame, order: int, min_count: int) -> DataFrame:
     total = words.agg(F.sum("n")).first()[0] or 1
     # w0, ..., n, score: ln of the probability without back-off
     below = words.withColumn("score", F.ln("n") - F.lit(math.log(total)))
-    parts = [_gains(docs, below.select(F.col("w0").alias("key"), F.col("score").alias("gain")), 1, 1)]
+    parts = [_word_gains(docs, words, total)]
     held = [words]
     for k in range(2, order + 1):
         often = stage(_counted(docs, k).where(F.col("n") >= min_count), f"often{k}")
