@@ -8,6 +8,7 @@ import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from treeledger.llm.embedding_dedup import similar_vectors
 from treeledger.llm.fingerprint import fingerprints
 from treeledger.llm.minhash import near_duplicates, unique_documents
 from treeledger.llm.repeats import deduplicated, without_repeats
-from treeledger.llm.suffix_array import suffix_array
+from treeledger.llm.suffix_array import sorted_strings, suffix_array
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -338,3 +339,33 @@ def test_runs_are_those_of_each_place_alone():
         for (t, p), v in got.items():
             one = np.frombuffer((texts[t][p : p + 50] + "\n").encode(), np.uint8)
             assert v == repeats._runs(one, np.array([0, 51]), 50)[3][0]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 30, 256])
+def test_strings_at_some_places(letters):
+    rng = np.random.default_rng(letters)
+    for n, depth in ((1, 1), (5, 24), (400, 1), (400, 9), (3000, 50)):
+        text = rng.integers(0, letters, n).astype(np.uint8)
+        text[n // 2 : n // 2 + n // 4] = text[: n // 4]
+        places = np.flatnonzero(rng.random(n) < 0.6)
+        order, new = sorted_strings(text, places, depth)
+        strings = [text.tobytes()[i : i + depth] for i in order]
+        assert strings == sorted(text.tobytes()[i : i + depth] for i in places) and sorted(order) == places.tolist()
+        assert new.tolist() == [not k or strings[k] != strings[k - 1] for k in range(len(strings))]
+
+
+def test_a_partition_sorts_each_string_about_once(monkeypatch):
+    """Neither places where no string begins nor strings that are equal to the full length take part in more sorting."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=90)).encode() for _ in range(300)]
+    data = [t[:84] for t in texts] + [t[6:] for t in texts]
+    at = np.arange(len(data))
+    frame = pd.DataFrame({"part": 0, "sub": at, "least": at % 300, "most": at % 300 + 300, "data": data})
+    taken = []
+    for name in ("argsort", "lexsort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, plain=plain, name=name, **k: taken.append(len(x) if name == "argsort" else len(x[0])) or plain(x, *a, **k))
+    out = repeats._suffixes(50)(frame)
+    lows = dict(zip(out["sub"], out["lows"], strict=True))
+    assert all(np.frombuffer(lows[i], np.int64).tolist() == [i % 300] * 35 for i in at.tolist())
+    assert sum(taken) < 1.3 * 35 * len(data)

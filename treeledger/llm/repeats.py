@@ -3,7 +3,7 @@
 A string of `length` bytes belongs to the partition of its minimiser: the least hash of the SEED-byte strings
 inside it, which depends on its bytes alone. So equal strings meet. Runs of start places with one minimiser
 travel as one substring, and only minimisers that two documents share travel at all. Each partition
-sorts the suffixes of its distinct substrings in two stages, and equal neighbours in that order
+sorts the suffixes of its distinct substrings that begin such a string, over its length, and equal neighbours in that order
 tell the smallest doc_id that holds each string. Occurrences stay out of that: they are rows of their own that are
 joined to the answers, so a passage that very many documents hold is a skewed join, which Spark splits.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.staging import drop, small, stage
-from treeledger.llm.suffix_array import equal_runs, suffix_array
+from treeledger.llm.suffix_array import sorted_strings
 from treeledger.llm.text import mix, passes, spans_hash
 
 LENGTH, SEED = 50, 16
@@ -220,9 +220,8 @@ def _suffixes(length: int):
         count = width - length
         owner = np.repeat(np.arange(len(one)), width)
         starts = np.arange(len(text)) - base[owner] < count[owner]
-        order = suffix_array(text, length)
-        order = order[starts[order]]
-        first = np.flatnonzero(equal_runs(text, order, length))
+        order, new = sorted_strings(text, np.flatnonzero(starts), length)
+        first = np.flatnonzero(new)
         lowest = np.full(len(text), LAST)
         lowest[order] = np.repeat(np.minimum.reduceat(least[owner[order]], first), np.diff(np.append(first, len(order))))
         takes = np.flatnonzero(np.minimum.reduceat(np.where(starts, lowest, LAST), base) < most)

@@ -1,96 +1,76 @@
-"""Two-stage suffix sorting of byte arrays in numpy: the part of a suffix-array deduplication that a task does."""
+"""Suffix sorting of byte arrays in numpy, to a depth: the part of a suffix-array deduplication that a task does."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def words_at(text: np.ndarray, depth: int) -> np.ndarray:
-    """The eight bytes from every place as one big-endian number; zeros beyond the end and for `depth` places more."""
-    x = np.concatenate((text, np.zeros(depth + 8, np.uint8))).astype(np.uint64)
-    for shift in (1, 2, 4):
-        x = (x[: len(x) - shift] << np.uint64(8 * shift)) | x[shift:]
-    return x
+def _coded(text: np.ndarray, depth: int) -> tuple[np.ndarray, int, int]:
+    """From every place, as many bytes as fit into 64 bits, as one number in their order; how many; and bits for each.
 
+    Bytes are numbered by rank among those that occur, from 1 on: beyond the end are zeros, so a suffix comes before what it begins.
+    """
+    occurs = np.bincount(text, minlength=256) > 0
+    rank = np.cumsum(occurs).astype(np.uint64)
+    bits = int(rank[-1]).bit_length()
+    most = 64 // bits
+    x = np.concatenate((rank[text], np.zeros(depth + 2 * most, np.uint64)))
+    width = 1
+    while width < most:
+        more = min(width, most - width)
+        # numbers of `width` bytes: the first `more` of the next one follow
+        x = x[: len(x) - width] << np.uint64(bits * more) | x[width:] >> np.uint64(bits * (width - more))
+        width += more
+    return x, most, bits
 
-def _smaller_than_successor(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the one that starts a place later; the last is not."""
-    n = len(text)
-    differs = np.append(text[:-1] != text[1:], True)
-    decides = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
-    follow = np.append(text[1:], 0)
-    return (text < follow)[decides] & (decides < n - 1)
 
+def sorted_strings(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """places in order of the suffixes there, compared over `depth` bytes, and whether each has a common prefix of less
+    than that with the one before it.
 
-def _sorted(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """places ordered by the suffixes there, compared over at least depth bytes."""
-    places = places[np.argsort(words[places], kind="stable")]
+    The first bytes that fit into 64 bits are sorted. After that only places that are not told apart yet are sorted, by the
+    number of their group and as many bytes more as fit beside it; a group that is equal to the full depth is done.
+    """
     if not len(places):
-        return places
-    new = np.append(True, words[places[1:]] != words[places[:-1]])
-    for k in range(8, depth, 8):
-        group = np.cumsum(new) - 1
-        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
-        if not len(open_):
+        return places, np.zeros(0, bool)
+    words, most, bits = _coded(text, depth)
+    key = words[places]
+    done = min(most, depth)
+    key >>= np.uint64(bits * (most - done))
+    order = np.argsort(key)
+    places, key = places[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    live = np.arange(len(places))
+    while done < depth:
+        starts = new[live]
+        open_ = ~(starts & np.append(starts[1:], True))
+        live, starts = live[open_], starts[open_]
+        if not len(live):
+            break
+        own = places[live]
+        first = np.flatnonzero(starts)
+        same = np.ones(len(live) - 1, bool)
+        for k in range(done, depth, most):
+            word = words[own + k] >> np.uint64(bits * max(0, most - (depth - k)))
+            same &= word[1:] == word[:-1]
+        differs = np.logical_or.reduceat(np.append(False, ~same) & ~starts, first)
+        group = np.cumsum(starts) - 1
+        stay = differs[group]
+        live, own = live[stay], own[stay]
+        if not len(live):
             break
-        own = places[open_]
-        key = words[own + k]
-        order = np.lexsort((key, group[open_]))
-        places[open_] = own[order]
-        key = key[order]
-        new[open_[1:]] |= (key[1:] != key[:-1]) & (group[open_[1:]] == group[open_[:-1]])
-    return places
+        group = (np.cumsum(differs) - 1)[group[stay]].astype(np.uint64)
+        room = 64 - int(group[-1]).bit_length()
+        more = min(most, room // bits, depth - done)
+        key = group << np.uint64(bits * more) if bits * more < 64 else np.zeros(len(group), np.uint64)
+        key |= words[own + done] >> np.uint64(bits * (most - more))
+        order = np.argsort(key)
+        places[live], key = own[order], key[order]
+        new[live[1:]] |= key[1:] != key[:-1]
+        done += more
+    return places, new
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes in order of at least their first `depth` bytes.
-
-    Suffixes smaller than their successors are sorted directly. The others are induced: the buckets of first bytes
-    are scanned upwards, and each suffix found puts its predecessor, if that is larger, at the next
-    free place of its bucket. Those of one bucket's scan step move together.
-    """
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    small = _smaller_than_successor(text)
-    direct = _sorted(np.flatnonzero(small), words_at(text, depth), depth)
-    begins = np.searchsorted(text[direct], np.arange(257))
-    waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))
-    out = []
-
-    def scan(found: np.ndarray, byte: int) -> np.ndarray:
-        """Send predecessors to their buckets; those of this bucket are returned."""
-        out.append(found)
-        before = found[found > 0] - 1
-        before = before[~small[before]]
-        first = text[before]
-        order = np.argsort(first, kind="stable")
-        before, first = before[order], first[order]
-        cut = np.searchsorted(first, np.arange(byte, 257))
-        for b in np.unique(first[cut[1] :]).tolist():
-            waiting[b].append(before[cut[b - byte] : cut[b - byte + 1]])
-        return before[cut[0] : cut[1]]
-
-    for byte in range(256):
-        found = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int64)
-        waiting[byte] = []
-        while len(found):
-            found = scan(found, byte)
-        own = direct[begins[byte] : begins[byte + 1]]
-        if len(own):
-            scan(own, byte)
-    return np.concatenate(out)
-
-
-def equal_runs(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For places in suffix order: whether each has a common prefix of less than length bytes with the one before it."""
-    words = words_at(text, length)
-    new = np.ones(len(order), bool)
-    if len(order) > 1:
-        same = np.ones(len(order) - 1, bool)
-        for k in [*range(0, length - 7, 8), length - 8]:
-            w = words[order + k]
-            same &= w[1:] == w[:-1]
-        new[1:] = ~same
-    return new
+    """Places of all suffixes in order of their first `depth` bytes."""
+    return sorted_strings(text, np.arange(len(text)), depth)[0]
