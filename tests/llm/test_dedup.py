@@ -369,3 +369,15 @@ def test_a_partition_sorts_each_string_about_once(monkeypatch):
     lows = dict(zip(out["sub"], out["lows"], strict=True))
     assert all(np.frombuffer(lows[i], np.int64).tolist() == [i % 300] * 35 for i in at.tolist())
     assert sum(taken) < 1.3 * 35 * len(data)
+
+
+def test_each_text_has_its_minimisers_once():
+    rng = random.Random(4)
+    texts = ["a" * 400, "a" * 90, "", *("".join(rng.choices("ab", k=300)) * 2 for _ in range(30)), "b" * 49, "a" * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts)], names=["id", "tag", "text"])
+    got = [(r["id"], r["value"]) for b in repeats._having(50)(iter([batch])) for r in b.to_pylist()]
+    want = set()
+    for i, t in enumerate(texts):
+        _, _, _, value = repeats._runs(np.frombuffer((t + "\n").encode(), np.uint8), np.array([0, len(t) + 1]), 50)
+        want |= {(i, v) for v in value.view(np.int64).tolist()}
+    assert len(got) == len(want) and set(got) == want

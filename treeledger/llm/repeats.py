@@ -65,17 +65,16 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
         x[at : at + BLOCK] = _minimisers(data[at : at + BLOCK + length - 1], window)
     # places of strings that lie inside one text, which ends with a line feed; at least one place is between two texts'
     many = np.diff(offsets) - length
-    begin = offsets[:-1][many > 0]
-    edge = np.zeros(n + 1, np.int8)
-    edge[begin] = 1
-    edge[begin + many[many > 0]] = -1
-    inside = np.cumsum(edge[:n], dtype=np.int8).view(bool)
-    same = inside[1:] & inside[:-1]
-    same &= x[1:] == x[:-1]
-    first = np.flatnonzero(inside & ~np.append(False, same))
-    count = np.flatnonzero(inside & ~np.append(same, False)) - first + 1
+    stop = np.where(many > 0, offsets[:-1] + many, 0)
+    edge = np.empty(n + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=edge[1:n])
+    edge[offsets[:-1][many > 0]] = edge[stop] = edge[[0, n]] = True
+    first = np.flatnonzero(edge)
+    text = np.searchsorted(offsets, first[:-1], side="right") - 1
+    inside = np.flatnonzero(first[:-1] < stop[text])
+    count = (first[1:] - first[:-1])[inside]
+    first, text = first[inside], text[inside]
     value = x[first]
-    text = np.searchsorted(offsets, first, side="right") - 1
     if len(count) and count.max() > window:  # periodic text: a long run is cut
         parts = -(-count // window)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -103,7 +102,7 @@ def _held(length: int):
             ids = np.asarray(_column(batch, "id"))
             for row, data, offsets in passes(_column(batch, "text")):
                 text, place, count, value = _runs(data, offsets, length)
-                order = np.argsort(value, kind="stable")
+                order = np.argsort(value)
                 text, place, count, value = (x[order] for x in (text, place, count, value))
                 own = ids[row + text]
                 first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
@@ -132,9 +131,13 @@ def _having(length: int):
         for batch in batches:
             for row, data, offsets in passes(_column(batch, "text")):
                 text, _, _, value = _runs(data, offsets, length)
-                order = np.lexsort((value, text))
+                order = np.argsort(value)
                 text, value = text[order], value[order]
-                new = np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1]))[: len(text)]
+                again = value[1:] == value[:-1]
+                # places of a value that is there more than once, by text
+                several = np.flatnonzero(np.append(again, False) | np.append(False, again)[: len(value)])
+                text[several] = text[several][np.lexsort((text[several], value[several]))]
+                new = np.append(True, (text[1:] != text[:-1]) | ~again)[: len(text)]
                 at = pa.array(row + text[new])
                 yield pa.RecordBatch.from_arrays([_column(batch, "id").take(at), _column(batch, "tag").take(at), pa.array(value[new].view(np.int64))], names=["id", "tag", "value"])
 
